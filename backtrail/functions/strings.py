@@ -64,12 +64,20 @@ def has_key(text: Column, mark: str = ":") -> Column:
 
 
 def ngrams(words: Column, n: int, sep: str = "|") -> Column:
-    """The n-word windows of an array, each joined by `sep`; empty when it is shorter."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda start: F.concat_ws(sep, F.slice(words, start, n)),
-    )
-    return F.when(F.size(words) >= n, windows).otherwise(F.array().cast(_NO_WORDS))
+    """The n-word windows of an array, each joined by `sep`; empty when it is shorter.
+
+    The outer one-item transform names the array, which is then evaluated once per row
+    and not once per window.
+    """
+
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(
+            F.size(w) >= n,
+            F.transform(starts, lambda start: F.concat_ws(sep, F.slice(w, start, n))),
+        ).otherwise(F.array().cast(_NO_WORDS))
+
+    return F.flatten(F.transform(F.array(words), windows))
 
 
 def cut_after(text: Column, limit: int = 1000, mark: str = ",") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
 from backtrail.plans.groups import MAX_GROUP, gather, if_small
+from backtrail.session import durable
 
 # Fixed value: reviews are cut at the first comma at or after this offset of a line.
 REVIEW_OFFSET = 1000
@@ -138,8 +139,11 @@ def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) ->
 
 def kmeans_step(ratings: DataFrame, centroids: DataFrame,
                 by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """One iteration: the members with their clusters, and the new centroid rows."""
-    assigned = classify(ratings, centroids, by)
+    """One iteration: the members with their clusters, and the new centroid rows.
+
+    The members are used three times, so they are computed once and kept.
+    """
+    assigned = durable(classify(ratings, centroids, by))
     return assigned, recenter(assigned, ratings, by)
 
 

@@ -77,14 +77,14 @@ def common(a: Ranges, b: Ranges) -> Ranges:
 
 # --- trials as rows -----------------------------------------------------------------
 
-def _lookup(bounds: Sequence[int], values: Sequence[Column]) -> Column:
-    """The value of the interval that holds the rank, as a balanced tree of comparisons."""
+def _lookup(bounds: Sequence[int], values: Sequence[str]) -> str:
+    """SQL for the value of the interval that holds the rank: a balanced tree of ifs."""
     if len(values) == 1:
         return values[0]
     mid = len(values) // 2
     below = _lookup(bounds[: mid - 1], values[:mid])
     above = _lookup(bounds[mid:], values[mid:])
-    return F.when(F.col(RANK) < bounds[mid - 1], below).otherwise(above)
+    return f"if({RANK} < {bounds[mid - 1]}L, {below}, {above})"
 
 
 def with_trials(candidates: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
@@ -95,10 +95,9 @@ def with_trials(candidates: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
         for lo, hi in ranges:
             for i in range(bisect_right(cuts, lo) - 1, bisect_right(cuts, hi) - 1):
                 member[i].append(trial)
-    none = F.array().cast("array<int>")
-    leaves = [F.array(*[F.lit(t) for t in m]) if m else none for m in member]
+    leaves = [f"array({','.join(map(str, m))})" if m else "cast(array() AS array<int>)" for m in member]
     inside = (F.col(RANK) >= cuts[0]) & (F.col(RANK) < cuts[-1])
-    found = _lookup(cuts[1:-1], leaves)
+    found = F.expr(_lookup(cuts[1:-1], leaves))
     return candidates.filter(inside).withColumn(TRIAL, F.explode(found)).drop(RANK)
 
 

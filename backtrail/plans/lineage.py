@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.operators.faults import mark
-from backtrail.plans.groups import if_small, keep_matching, measure
+from backtrail.plans.groups import keep_matching, measure
 from backtrail.session import stored
 from backtrail.sources.lines import LID, trace_source
 
@@ -72,12 +72,16 @@ class Traced:
 
     def join(self, name: str, other: Traced, on: Sequence[str], side: str,
              how: str = "inner") -> Traced:
-        """Join with the last stage of another program; `side` names it in traces."""
+        """Join with the last stage of another program; `side` names it in traces.
+
+        The other side is computed and measured once, here.
+        """
+        theirs = other.rows()
+        names = {c: "__right" if c == LID else c for c in theirs.columns}
+        right = measure(theirs).frame(names)
 
         def apply(rows: DataFrame) -> DataFrame:
-            right = other.rows().withColumnRenamed(LID, "__right")
-            small = if_small(right)
-            joined = rows.join(right if small is None else small, list(on), how)
+            joined = rows.join(right, list(on), how)
             lid = F.struct(F.col(LID).alias("main"), F.col("__right").alias(side))
             return joined.withColumn(LID, lid).drop("__right")
 
