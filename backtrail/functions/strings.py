@@ -5,6 +5,8 @@ All of them are built-in column expressions, so they stay in generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ def tokenize(text: Column) -> Column:
 
 def split_nonempty(text: Column, delimiter: str) -> Column:
     """Split on a literal one-character delimiter, without empty items."""
-    return F.array_remove(F.split(text, "[" + delimiter + "]"), "")
+    return F.array_remove(F.split(text, re.escape(delimiter)), "")
 
 
 def trim_control(text: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(0x21)))))
 
 
 def before_last(text: Column, mark: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
-from backtrail.plans.groups import MAX_GROUP, gather, if_small
+from backtrail.plans.groups import MAX_GROUP, gather, measure
 from backtrail.session import durable
 
 # Fixed value: reviews are cut at the first comma at or after this offset of a line.
@@ -39,9 +39,8 @@ def match_centroids(ratings: DataFrame, centroids: DataFrame) -> DataFrame:
 
     A rating meets one review per cluster at most.
     """
-    reviews = centroid_reviews(centroids)
-    small = if_small(reviews)
-    return ratings.join(reviews if small is None else small, "rater_id", "left")
+    reviews = measure(centroid_reviews(centroids))
+    return ratings.join(reviews.frame(), "rater_id", "left")
 
 
 def score(matched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -113,16 +112,14 @@ def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) ->
         F.sum(F.col("similarity").cast("decimal(20,9)")).alias("__sum"),
         F.count(F.lit(1)).alias("__n"),
     ).select(*keys, (F.col("__sum").cast("double") / F.col("__n")).alias("__mean"))
-    small = if_small(means)
-    with_mean = assigned.join(means if small is None else small, keys)
+    with_mean = assigned.join(measure(means).frame(), keys)
     gap = F.round(F.abs(F.col("__mean") - F.col("similarity")), 9)
     winners = with_mean.groupBy(*keys).agg(
         F.min_by(F.struct("movie_id", "similarity"), F.struct(gap, F.col("movie_id"))).alias("w")
     ).select(*keys, "w.movie_id", "w.similarity")
-    few = if_small(winners)
     first = Window.partitionBy(*keys, "movie_id").orderBy("pos")
     reviews = (
-        ratings.join(winners if few is None else few, [*by, "movie_id"])
+        ratings.join(measure(winners).frame(), [*by, "movie_id"])
         .withColumn("__rn", F.row_number().over(first))
         .filter(F.col("__rn") <= REVIEWS_WITHIN_OFFSET)
         .groupBy(*keys, "movie_id", "similarity")

@@ -49,8 +49,11 @@ def grep_count(lines: DataFrame, pattern: str, by: Sequence[str] = ()) -> DataFr
 
 def phrases(docs: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """One row per n-word window of each record; shorter records give none."""
-    found = F.explode(S.ngrams(S.tokenize(F.col("content")), n))
-    return docs.select(*by, "doc", found.alias("phrase"))
+    worded = docs.select(*by, "doc", S.tokenize(F.col("content")).alias("__w"))
+    starts = F.explode_outer(F.sequence(F.lit(0), F.size("__w") - n))
+    windows = worded.filter(F.size("__w") >= n).select(*by, "doc", "__w", starts.alias("__i"))
+    window = F.concat_ws("|", *[F.get("__w", F.col("__i") + k) for k in range(n)])
+    return windows.select(*by, "doc", window.alias("phrase"))
 
 
 def sequence_count(docs: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -79,17 +82,15 @@ def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (
     """
     found = postings(docs, by)
     keys = [*by, "word"]
-    # Occurrences bound the postings of a word and need no shuffle by (word, doc).
-    sizes = doc_words(docs, by)
     if distinct:
-        return gather(found, keys, ["doc"], "doc", "docs", max_group, sizes)
+        return gather(found, keys, ["doc"], "doc", "docs", max_group)
     run = max_group or MAX_GROUP
     last = F.floor((F.col("count") - 1) / F.lit(run)).cast("bigint")
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     copies = F.least(F.lit(run).cast("bigint"), F.col("count") - F.col("piece") * run)
     runs = found.select("*", pieces.alias("piece")).withColumn("copies", copies)
     runs = runs.select(*keys, "doc", "piece", "copies", F.struct("doc", "copies").alias("run"))
-    packed = gather(runs, keys, ["doc", "piece"], "run", "runs", max_group, sizes, weight="copies")
+    packed = gather(runs, keys, ["doc", "piece"], "run", "runs", max_group, "copies")
     repeated = F.flatten(
         F.transform("runs", lambda r: F.array_repeat(r["doc"], r["copies"].cast("int")))
     )

@@ -9,62 +9,42 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backtrail.session import durable
+from backtrail.session import durable, stored
 
-SMALL_ROWS = 50_000
-SMALL_ROW_BYTES = 1_024
+SMALL_ROWS = 1_000_000          # a broadcast side stays within both limits
+SMALL_BYTES = 64 * 1024 * 1024
 MAX_GROUP = 200_000
 
 
-def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> list[Row] | None:
-    """The rows on the driver, or None when there are too many of them.
-
-    Rows and bytes are both bounded before anything reaches the driver: at most
-    `max_rows` + 1 rows come back, and a row wider than SMALL_ROW_BYTES comes back empty
-    and counts as too large.
-    """
-    narrow = F.length(F.to_json(F.struct(*df.columns))) <= SMALL_ROW_BYTES
-    probe = df.select(
-        F.when(narrow, F.struct(*df.columns)).alias("row"), F.lit(1).alias("one")
-    )
-    rows = probe.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or any(r["row"] is None for r in rows):
-        return None
-    return [r["row"] for r in rows]
-
-
-def _local(df: DataFrame, rows: list[Row]) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, df.schema, verifySchema=False)
-
-
-def if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """The rows as a broadcast-hinted local frame, or None when there are too many."""
-    rows = small_rows(df, max_rows)
-    return None if rows is None else F.broadcast(_local(df, rows))
-
-
 @dataclass(frozen=True)
 class KeySet:
-    """Keys computed once: local when measured small, else in the checkpoint folder."""
+    """Rows computed once into the checkpoint folder, and whether they may be broadcast."""
 
     rows: DataFrame
     small: bool
-    empty: bool = False
+    empty: bool
 
-    def frame(self, names: dict[str, str]) -> DataFrame:
-        """The keys under other names, hinted for broadcast when small."""
-        df = self.rows.select(*[F.col(old).alias(new) for old, new in names.items()])
+    def frame(self, names: dict[str, str] | None = None) -> DataFrame:
+        """The rows, under other names if given, hinted for broadcast when small."""
+        df = self.rows
+        if names is not None:
+            df = df.select(*[F.col(old).alias(new) for old, new in names.items()])
         return F.broadcast(df) if self.small else df
 
 
-def measure(keys: DataFrame, max_rows: int = SMALL_ROWS) -> KeySet:
-    rows = small_rows(keys, max_rows)
-    if rows is None:
-        return KeySet(durable(keys), small=False)
-    return KeySet(_local(keys, rows), small=True, empty=not rows)
+def measure(df: DataFrame) -> KeySet:
+    """Compute the rows once, and count them and their bytes where they were written.
+
+    Nothing but the two totals reaches the driver.
+    """
+    rows = durable(df)
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    small = total["n"] <= SMALL_ROWS and (total["bytes"] or 0) <= SMALL_BYTES
+    return KeySet(rows, small, total["n"] == 0)
 
 
 def same_keys(pairs: dict[str, str]) -> Column:
@@ -88,9 +68,11 @@ def keep_matching(df: DataFrame, keys: DataFrame | KeySet, on: Sequence[str],
     return df.join(keys.frame(names), same_keys(names), "left_anti" if anti else "left_semi")
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], max_group: int) -> DataFrame:
+def large_groups(df: DataFrame, keys: Sequence[str], max_group: int,
+                 weight: str | None = None) -> DataFrame:
     """The keys of groups with more than `max_group` rows (map-side partial counts)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(*keys).agg(size.alias("__n"))
     return sizes.filter(F.col("__n") > max_group).select(*keys)
 
 
@@ -124,8 +106,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
     )
     same = (F.col("__part") == F.col("__p")) & same_keys({k: f"__k{i}" for i, k in enumerate(keys)})
-    measured = if_small(runs)
-    joined = placed.join(measured if measured is not None else runs, same)
+    joined = placed.join(measure(runs).frame(), same)
     if weight is None:
         inside = F.col("__at") - F.col("__first")
     else:
@@ -138,15 +119,17 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str, out: str,
-           max_group: int | None = MAX_GROUP, sizes: DataFrame | None = None,
-           weight: str | None = None) -> DataFrame:
+           max_group: int | None = MAX_GROUP, weight: str | None = None) -> DataFrame:
     """One sorted array per key and segment: `keys`, `segment`, `out`.
 
     `order` columns must order the rows of a key totally. A key with up to `max_group`
     rows gives segment 0 only; a larger one gives consecutive segments of `max_group`
-    items each, and no item is lost. `sizes` may be a cheaper frame whose groups are at
-    least as large. `max_group=None` is for groups known to be bounded. With `weight`
-    an item counts that many times, at most `max_group`, towards the size of a segment.
+    items each, and no item is lost. With `weight` an item counts that many times, at most
+    `max_group`, towards the size of a segment. `max_group=None` is for groups known to be
+    bounded.
+
+    The rows are written once: they are read to measure the groups, which takes the key
+    columns only, and again for the small and the large groups.
     """
     plain = list(order) == [item]
     entry = F.col(item) if plain else F.struct(*dict.fromkeys([*order, item]))
@@ -161,7 +144,9 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str,
 
     if max_group is None:
         return whole(df)
-    large = measure(large_groups(df if sizes is None else sizes, keys, max_group))
+    needed = dict.fromkeys([*keys, *order, item, *([] if weight is None else [weight])])
+    df = stored(df.select(*needed), "groups")
+    large = measure(large_groups(df, keys, max_group, weight))
     if large.empty:
         return whole(df)
     cold = keep_matching(df, large, keys, anti=True)

@@ -18,19 +18,25 @@ def _others(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "value"]
 
 
-def _settle(df: DataFrame, fields: dict[str, Column], ok: Column, on_error: str) -> DataFrame:
-    """Project to the parsed fields, treating rows that are not `ok` as asked."""
+def _check(df: DataFrame, ok: Column, on_error: str) -> DataFrame:
+    """Leave out or refuse rows that are not `ok`, unless they are to become empty."""
     if on_error not in ("fail", "drop", "null"):
         raise ValueError(f"on_error: {on_error}")
     kept = F.coalesce(ok, F.lit(False))
     if on_error == "drop":
-        df = df.filter(kept)
-    elif on_error == "fail":
+        return df.filter(kept)
+    if on_error == "fail":
         message = F.concat(F.lit("malformed line: "), F.substring("value", 1, 200))
-        df = df.filter(F.when(kept, True).otherwise(F.raise_error(message).cast("boolean")))
-    else:
-        fields = {name: F.when(kept, field) for name, field in fields.items()}
-    return df.select(*_others(df), *[field.alias(name) for name, field in fields.items()])
+        return df.filter(F.when(kept, True).otherwise(F.raise_error(message).cast("boolean")))
+    return df
+
+
+def _settle(df: DataFrame, fields: dict[str, Column], ok: Column, on_error: str) -> DataFrame:
+    """Project to the parsed fields, treating rows that are not `ok` as asked."""
+    if on_error == "null":
+        fields = {name: F.when(ok, field) for name, field in fields.items()}
+    checked = _check(df, ok, on_error)
+    return checked.select(*_others(df), *[field.alias(name) for name, field in fields.items()])
 
 
 def parse_edges(df: DataFrame, on_error: str = "drop") -> DataFrame:
@@ -54,16 +60,15 @@ def parse_ratings(df: DataFrame, on_error: str = "drop") -> DataFrame:
     """`movie:rater_rating,rater_rating,...`, one row per review."""
     value = F.col("value")
     movie = F.expr("try_cast(substring_index(value, ':', 1) AS BIGINT)")
-    lines = df.withColumn("movie_id", movie)
-    lines = _settle(
-        lines,
-        {"__reviews": S.split_nonempty(S.after_first(value, ":"), ",")},
-        S.has_key(value) & F.col("movie_id").isNotNull(),
-        on_error,
-    )
-    kept = [c for c in lines.columns if c != "__reviews"]
-    outer = F.posexplode_outer if on_error == "null" else F.posexplode
-    reviews = lines.select(*kept, outer("__reviews").alias("pos", "value"))
+    ok = S.has_key(value) & movie.isNotNull()
+    items = S.split_nonempty(S.after_first(value, ":"), ",")
+    if on_error == "null":
+        found = F.posexplode_outer(F.when(ok, items))
+        movie = F.when(ok, movie)
+    else:
+        found = F.posexplode(items)
+    lines = _check(df, ok, on_error).withColumn("movie_id", movie)
+    reviews = lines.select(*_others(lines), found.alias("pos", "value"))
     review = F.col("value")
     fields = {
         "rater_id": F.expr("try_cast(substring_index(value, '_', 1) AS BIGINT)"),

@@ -34,7 +34,7 @@ def holding(lines, word):
 def key_sizes(request, monkeypatch):
     """Run with key sets that are broadcast, and with ones treated as too large."""
     if request.param == "large":
-        monkeypatch.setattr(groups, "SMALL_ROW_BYTES", 0)
+        monkeypatch.setattr(groups, "SMALL_BYTES", -1)
 
 
 @pytest.mark.parametrize("captured", [False, True])

@@ -219,8 +219,8 @@ def test_keep_matching_when_keys_are_not_small(spark, monkeypatch):
     keys = spark.createDataFrame([(None,), ("a",)], "k string")
     from backtrail.plans import groups
 
-    for limit in (groups.SMALL_ROW_BYTES, 0):
-        monkeypatch.setattr(groups, "SMALL_ROW_BYTES", limit)
+    for limit in (groups.SMALL_BYTES, -1):
+        monkeypatch.setattr(groups, "SMALL_BYTES", limit)
         assert sorted(r.v for r in keep_matching(df, keys, ["k"]).collect()) == [1, 2]
         assert [r.v for r in keep_matching(df, keys, ["k"], anti=True).collect()] == [3]
 

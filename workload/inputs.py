@@ -46,18 +46,22 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 def edges(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """(src, dst): part to supplier."""
     part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(*keep, part.alias("src"), supplier.alias("dst"))
+    return lineitem(spark, sf_dir).select(*keep, part.alias("src"), supplier.alias("dst"))
 
 
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as text: part ids padded to eleven digits, `VertexID...,S...`."""
     part = F.concat(F.lit("VertexID"), F.lpad(F.col("l_partkey").cast("string"), 11, "0"))
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.concat_ws(",", part, supplier).alias("value"))
+    return lineitem(spark, sf_dir).select(F.concat_ws(",", part, supplier).alias("value"))
 
 
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,7 @@ def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """(movie_id, pos, rater_id, rating): parts reviewed by suppliers."""
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem(spark, sf_dir).select(
         *keep,
         F.col("l_partkey").alias("movie_id"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice").alias("pos"),
@@ -84,7 +88,7 @@ def rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat_ws("_", F.col("l_suppkey").cast("string"), rating)
     second = F.concat_ws("_", F.col("l_orderkey").cast("string"), rating)
     line = F.concat(F.col("l_partkey").cast("string"), F.lit(":"), first, F.lit(","), second)
-    return table(spark, sf_dir, "lineitem").select(line.alias("value"))
+    return lineitem(spark, sf_dir).select(line.alias("value"))
 
 
 def centroid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

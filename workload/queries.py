@@ -488,7 +488,10 @@ def _edges_program(spark, d):
     part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
     return programs.adjacency(
-        rows.select("__lid", "l_orderkey", part.alias("src"), supplier.alias("dst")), None
+        I.spread(
+            rows.select("__lid", "l_orderkey", part.alias("src"), supplier.alias("dst")), "l_orderkey"
+        ),
+        None,
     )
 
 
@@ -512,7 +515,7 @@ def _cluster_program(spark, d):
         F.col("l_suppkey").alias("rater_id"),
         (F.lit(1) + F.col("l_linenumber") % 5).cast("int").alias("rating"),
     )
-    return programs.classification(rows, None, I.centroids(spark, d))
+    return programs.classification(I.spread(rows, "l_orderkey"), None, I.centroids(spark, d))
 
 
 @query
