@@ -30,15 +30,32 @@ def diff_inner(actual: DataFrame, expected: DataFrame, on: Sequence[str], value:
     that differs. The expected side comes down to its least and greatest value per key,
     which is enough to know whether some value differs.
     """
-    v = F.struct(value)
-    bounds = expected.groupBy(*on).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi")).select(
-        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], "__lo", "__hi"
-    )
+    v = F.col(value)
+    bounds = expected.groupBy(*on).agg(
+        F.min(v).alias("__lo"), F.max(v).alias("__hi"),
+        (F.count(F.lit(1)) > F.count(v)).alias("__null"),
+    ).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], "__lo", "__hi", "__null")
     same = same_keys({c: f"__k{i}" for i, c in enumerate(on)})
-    other = F.when(~v.eqNullSafe(F.col("__lo")), F.col("__lo")).otherwise(F.col("__hi"))
-    joined = actual.join(bounds, same).withColumn("__other", other)
-    differing = joined.filter(~v.eqNullSafe(F.col("__other")))
-    return differing.select(*actual.columns, F.col("__other")[value].alias("expected"))
+    below, above = ~v.eqNullSafe(F.col("__lo")), ~v.eqNullSafe(F.col("__hi"))
+    joined = actual.join(bounds, same)
+    differing = joined.filter(below | above | (v.isNotNull() & F.col("__null")))
+    other = F.when(below, F.col("__lo")).when(above, F.col("__hi"))
+    return differing.select(*actual.columns, other.alias("expected"))
+
+
+def _bounds(value: Sequence[str], side: Column, name: str) -> tuple[list[Column], list[str]]:
+    """Aggregates that tell one side's values of a key, and their names.
+
+    A single value column is kept as it is, which leaves the aggregation hashed; several
+    are compared together as a struct.
+    """
+    if not value:
+        return [], []
+    v = F.col(value[0]) if len(value) == 1 else F.struct(*value)
+    mine = F.when(side, v)
+    names = [f"{name}_lo", f"{name}_hi", f"{name}_set"]
+    found = [F.min(mine), F.max(mine), F.count(mine)]
+    return [f.alias(n) for f, n in zip(found, names)], names
 
 
 def diff_full(actual: DataFrame, expected: DataFrame, on: Sequence[str],
@@ -55,18 +72,15 @@ def diff_full(actual: DataFrame, expected: DataFrame, on: Sequence[str],
     keys = [*by, *on]
     if mode == "exact":
         both = _sides(actual, expected, [*keys, *value])
-        v = F.struct(*value) if value else F.struct(F.lit(1))
-        mine, theirs = F.when(F.col("__actual"), v), F.when(~F.col("__actual"), v)
+        is_actual = F.col("__actual")
+        mine, my_names = _bounds(value, is_actual, "__a")
+        theirs, their_names = _bounds(value, ~is_actual, "__e")
         seen = both.groupBy(*keys).agg(
-            F.count(mine).alias("n_actual"), F.count(theirs).alias("n_expected"),
-            F.min(mine).alias("__a_lo"), F.max(mine).alias("__a_hi"),
-            F.min(theirs).alias("__e_lo"), F.max(theirs).alias("__e_hi"),
-        )
-        equal = (
-            (F.col("n_actual") == F.col("n_expected"))
-            & F.col("__a_lo").eqNullSafe(F.col("__e_lo"))
-            & F.col("__a_hi").eqNullSafe(F.col("__e_hi"))
+            F.count(F.when(is_actual, 1)).alias("n_actual"),
+            F.count(F.when(~is_actual, 1)).alias("n_expected"),
+            *mine, *theirs,
         )
+        equal = (F.col("n_actual") == F.col("n_expected")) & same_keys(dict(zip(my_names, their_names)))
         shown = [*keys]
     elif mode in ("set", "bag"):
         both = _sides(actual, expected, [*keys, *value])

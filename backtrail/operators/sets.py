@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.plans.groups import number_rows
+from backtrail.plans.groups import expand_copies, number_rows
 
 
 def _by_value(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -23,8 +23,7 @@ def _by_value(a: DataFrame, b: DataFrame) -> DataFrame:
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of `a` whose value is absent from `b`, with their repetitions."""
     only = _by_value(a, b).filter((F.col("__a") > 0) & (F.col("__b") == 0))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__a")))
-    return only.withColumn("__copy", copies).select(*a.columns)
+    return expand_copies(only.select(*a.columns, "__a"), "__a")
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.plans.groups import number_rows
+from backtrail.plans.groups import expand_copies, number_rows
 
 COPIES_PER_RUN = 100_000
 
@@ -24,12 +24,8 @@ def terasort(kv: DataFrame, key: str = "key", tiebreak: Sequence[str] = ()) -> D
         rest = [c for c in others if c not in tiebreak]
         return kv.orderBy(key, *tiebreak, *rest)
     counted = kv.groupBy(*kv.columns).agg(F.count(F.lit(1)).alias("__n"))
-    last = F.floor((F.col("__n") - 1) / F.lit(COPIES_PER_RUN)).cast("bigint")
-    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    ordered = runs.orderBy(key, *others, "__run")
-    in_run = F.least(F.lit(COPIES_PER_RUN).cast("bigint"), F.col("__n") - F.col("__run") * COPIES_PER_RUN)
-    copies = F.explode(F.array_repeat(F.lit(1), in_run.cast("int")))
-    return ordered.withColumn("__copy", copies).select(*kv.columns)
+    ordered = expand_copies(counted, "__n", [key, *others], COPIES_PER_RUN)
+    return ordered.select(*kv.columns)
 
 
 def sort_positions(kv: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:

@@ -27,7 +27,7 @@ from backtrail.session import stored
 TRIAL, RANK = "__trial", "__rank"
 PART_WAVE = 256       # disjoint parts tested in one job
 COPY_WAVE = 32        # overlapping sets tested in one job
-SMALL_COPIES = 200_000  # rows up to which tests that may not be needed ride along
+SMALL_COPIES = 40_000   # rows up to which tests that may not be needed ride along
 
 Ranges = tuple[tuple[int, int], ...]
 
@@ -101,6 +101,105 @@ def with_trials(candidates: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
     return candidates.filter(inside).withColumn(TRIAL, F.explode(found)).drop(RANK)
 
 
+class RankSets:
+    """Sets as rank ranges; parts are runs of the candidates' order."""
+
+    def __init__(self, candidates: DataFrame):
+        self.candidates = candidates
+        self.total = candidates.count()
+        self.whole: Ranges = ((0, self.total),) if self.total else ()
+
+    def learn(self, sets: Iterable[Ranges]) -> None:
+        """Sizes follow from the ranges."""
+
+    def size(self, ranges: Ranges) -> int:
+        return size_of(ranges)
+
+    def parts(self, ranges: Ranges, n: int) -> list[Ranges]:
+        return parts_of(ranges, n)
+
+    def finest(self, ranges: Ranges) -> int:
+        """The number of parts beyond which splitting tells nothing new."""
+        return size_of(ranges)
+
+    def without(self, ranges: Ranges, part: Ranges) -> Ranges:
+        return without(ranges, part)
+
+    def common(self, a: Ranges, b: Ranges) -> Ranges:
+        return common(a, b)
+
+    def assign(self, trials: dict[int, Ranges]) -> DataFrame:
+        return with_trials(self.candidates, trials)
+
+
+Conditions = tuple[tuple[int, int, bool], ...]
+
+
+class SplitSets:
+    """Sets under the caller's own split: `split(n)` is a column that numbers the parts
+    0 to n-1.
+
+    A set is the list of (n, part, kept or left out) that led to it, so again nothing but
+    numbers stays on the driver. Rows that the split never tells apart stay together in
+    the result.
+    """
+
+    def __init__(self, candidates: DataFrame, split: Callable[[int], Column]):
+        self.candidates, self.split = candidates, split
+        self.total = candidates.count()
+        self.whole: Conditions = ()
+        self.sizes: dict[Conditions, int] = {(): self.total}
+        self.split_up: dict[tuple[Conditions, int], list[Conditions]] = {}
+
+    def _part(self, n: int) -> Column:
+        return F.coalesce(self.split(n).cast("int"), F.lit(0))
+
+    def _holds(self, conditions: Conditions) -> Column:
+        holds = F.lit(True)
+        for n, part, kept in conditions:
+            mine = self._part(n) == part
+            holds = holds & (mine if kept else ~mine)
+        return holds
+
+    def learn(self, sets: Iterable[Conditions]) -> None:
+        """Count the sets whose sizes are not known yet, many in one job."""
+        fresh = [s for s in dict.fromkeys(sets) if s not in self.sizes]
+        for start in range(0, len(fresh), PART_WAVE):
+            batch = dict(enumerate(fresh[start : start + PART_WAVE]))
+            counted = dict(self.assign(batch).groupBy(TRIAL).count().collect())
+            self.sizes.update({s: counted.get(t, 0) for t, s in batch.items()})
+
+    def size(self, conditions: Conditions) -> int:
+        self.learn([conditions])
+        return self.sizes[conditions]
+
+    def parts(self, conditions: Conditions, n: int) -> list[Conditions]:
+        """The parts that hold rows, found and counted in one job."""
+        if (conditions, n) not in self.split_up:
+            mine = self.candidates.filter(self._holds(conditions))
+            counted = mine.groupBy(self._part(n).alias("part")).count().orderBy("part").collect()
+            found = {(*conditions, (n, r["part"], True)): r["count"] for r in counted}
+            self.sizes.update(found)
+            self.split_up[conditions, n] = list(found)
+        return self.split_up[conditions, n]
+
+    def finest(self, conditions: Conditions) -> int:
+        return self.total
+
+    def without(self, conditions: Conditions, part: Conditions) -> Conditions:
+        n, i, _ = part[-1]
+        rest = (*conditions, (n, i, False))
+        self.sizes[rest] = self.sizes[conditions] - self.sizes[part]
+        return rest
+
+    def common(self, a: Conditions, b: Conditions) -> Conditions:
+        return tuple(dict.fromkeys((*a, *b)))
+
+    def assign(self, trials: dict[int, Conditions]) -> DataFrame:
+        member = F.array_compact(F.array(*[F.when(self._holds(c), t) for t, c in trials.items()]))
+        return self.candidates.withColumn(TRIAL, F.explode(member)).drop(RANK)
+
+
 # --- tests --------------------------------------------------------------------------
 
 class BatchTest:
@@ -113,8 +212,8 @@ class BatchTest:
     def __init__(self, fn: Callable[[DataFrame], DataFrame], fails_when_silent: bool = False):
         self.fn, self.fails_when_silent = fn, fails_when_silent
 
-    def outcomes(self, candidates: DataFrame, trials: dict[int, Ranges]) -> dict[int, bool]:
-        rows = self.fn(with_trials(candidates, trials)).select(TRIAL, "failed").collect()
+    def outcomes(self, sets: RankSets | SplitSets, trials: dict) -> dict[int, bool]:
+        rows = self.fn(sets.assign(trials)).select(TRIAL, "failed").collect()
         told = {r[TRIAL]: bool(r["failed"]) for r in rows}
         return {t: told.get(t, self.fails_when_silent) for t in trials}
 
@@ -125,11 +224,8 @@ class SingleTest:
     def __init__(self, fn: Callable[[DataFrame], bool]):
         self.fn = fn
 
-    def outcomes(self, candidates: DataFrame, trials: dict[int, Ranges]) -> dict[int, bool]:
-        return {
-            t: bool(self.fn(with_trials(candidates, {t: ranges}).drop(TRIAL)))
-            for t, ranges in trials.items()
-        }
+    def outcomes(self, sets: RankSets | SplitSets, trials: dict) -> dict[int, bool]:
+        return {t: bool(self.fn(sets.assign({t: one}).drop(TRIAL))) for t, one in trials.items()}
 
 
 Program = Callable[[DataFrame, Sequence[str]], DataFrame]
@@ -159,7 +255,7 @@ def truth_test(program: Program, truth: Program, on: Sequence[str],
 class Branch:
     """One failing set, how finely to split it, and where to start with complements."""
 
-    ranges: Ranges
+    ranges: Ranges | Conditions
     parts: int = 2
     offset: int = 0
 
@@ -172,7 +268,7 @@ class Minimised:
     be minimal.
     """
 
-    solutions: list[Ranges]
+    solutions: list[Ranges | Conditions]
     rows: DataFrame
     history: DataFrame
     rounds: int
@@ -189,74 +285,75 @@ _HISTORY = T.StructType([
 
 
 class _Search:
-    def __init__(self, candidates: DataFrame, test, lookahead: int):
-        self.candidates, self.lookahead = candidates, lookahead
+    def __init__(self, sets: RankSets | SplitSets, test, lookahead: int):
+        self.sets, self.lookahead = sets, lookahead
         self.test = test if hasattr(test, "outcomes") else SingleTest(test)
         self.batched = isinstance(self.test, BatchTest)
-        self.known: dict[Ranges, bool] = {(): False}
+        self.known: dict = {}
         self.log: list[tuple] = []
-        self.run, self.jobs = 0, 0
+        self.run, self.jobs, self.spent = 0, 0, 0
 
-    def ask(self, wanted: Iterable[Ranges], wave: int) -> None:
-        """Test the sets that have not been tested yet, `wave` per job."""
+    def ask(self, wanted: Iterable, wave: int) -> None:
+        """Test the sets that have not been tested yet, `wave` per job. An empty set
+        passes."""
         fresh = [r for r in dict.fromkeys(wanted) if r not in self.known]
+        self.sets.learn(fresh)
+        self.known.update({r: False for r in fresh if self.sets.size(r) == 0})
+        fresh = [r for r in fresh if r not in self.known]
         for start in range(0, len(fresh), wave):
             batch = dict(enumerate(fresh[start : start + wave]))
             begun = time.monotonic()
-            for t, failed in self.test.outcomes(self.candidates, batch).items():
+            for t, failed in self.test.outcomes(self.sets, batch).items():
                 self.known[batch[t]] = failed
             self.jobs += 1 if self.batched else len(batch)
             self.spent = int((time.monotonic() - begun) * 1000)
 
-    def note(self, branch: Branch, kind: str, index: int, ranges: Ranges) -> bool:
-        failed = self.known[ranges]
-        self.log.append(
-            (self.run, size_of(ranges), branch.parts, kind, index, failed, self.spent)
-        )
-        return failed
-
-    spent = 0
+    def note(self, branch: Branch, kind: str, index: int, one) -> bool:
+        """Log a test; true when the set fails and is smaller than its branch."""
+        size, failed = self.sets.size(one), self.known[one]
+        self.log.append((self.run, size, branch.parts, kind, index, failed, self.spent))
+        return failed and size < self.sets.size(branch.ranges)
 
-    def ahead(self, ranges: Ranges, depth: int) -> list[Ranges]:
+    def ahead(self, one, depth: int) -> list:
         """Halves of halves that the next rounds would ask for if this set fails."""
-        if depth == 0 or size_of(ranges) < 2:
+        if depth == 0 or self.sets.size(one) < 2:
             return []
-        halves = parts_of(ranges, 2)
+        halves = self.sets.parts(one, 2)
         return halves + [r for h in halves for r in self.ahead(h, depth - 1)]
 
     def ask_parts(self, branches: Sequence[Branch]) -> None:
         """All parts of the branches. Small sets bring the tests of later rounds along."""
-        parts = [p for b in branches for p in parts_of(b.ranges, b.parts)]
+        parts = [p for b in branches for p in self.sets.parts(b.ranges, b.parts)]
         if self.batched and self.lookahead and not all(p in self.known for p in parts):
-            rows = sum(size_of(b.ranges) for b in branches)
-            extra: list[Ranges] = []
+            rows = sum(self.sets.size(b.ranges) for b in branches)
+            extra: list = []
             if rows * self.lookahead <= SMALL_COPIES:
                 extra += [r for p in parts[:8] for r in self.ahead(p, self.lookahead)]
             extra += [
-                without(b.ranges, p)
+                rest
                 for b in branches
-                if 2 < b.parts <= COPY_WAVE and size_of(b.ranges) * b.parts <= SMALL_COPIES
-                for p in parts_of(b.ranges, b.parts)
+                if b.parts <= COPY_WAVE and self.sets.size(b.ranges) * b.parts <= SMALL_COPIES
+                for _, rest in self.complements(b)
             ]
             parts += extra
         self.ask(parts, PART_WAVE)
 
-    def complements(self, b: Branch) -> list[tuple[int, Ranges]]:
+    def complements(self, b: Branch) -> list[tuple]:
         """(part number, complement) from the branch's offset round; halves need none."""
-        if b.parts == 2:
+        parts = self.sets.parts(b.ranges, b.parts)
+        if len(parts) <= 2:
             return []
-        parts = parts_of(b.ranges, b.parts)
-        turn = [(j + b.offset) % b.parts for j in range(b.parts)]
-        return [(i, without(b.ranges, parts[i])) for i in turn]
+        turn = [(j + b.offset) % len(parts) for j in range(len(parts))]
+        return [(i, self.sets.without(b.ranges, parts[i])) for i in turn]
 
     def finer(self, b: Branch) -> Branch | None:
         """The branch split twice as finely, or None when every part is one row."""
-        total = size_of(b.ranges)
-        return None if b.parts >= total else Branch(b.ranges, min(total, 2 * b.parts), b.offset)
+        most = self.sets.finest(b.ranges)
+        return None if b.parts >= most else Branch(b.ranges, min(most, 2 * b.parts), b.offset)
 
     def first_failing(self, b: Branch) -> Branch | None:
         """The next set of the one-solution search."""
-        for i, part in enumerate(parts_of(b.ranges, b.parts)):
+        for i, part in enumerate(self.sets.parts(b.ranges, b.parts)):
             if self.note(b, "part", i, part):
                 return Branch(part)
         others = self.complements(b)
@@ -272,7 +369,7 @@ class _Search:
         """Every next set of the exhaustive search; none when the branch is minimal."""
         found = [
             Branch(part)
-            for i, part in enumerate(parts_of(b.ranges, b.parts))
+            for i, part in enumerate(self.sets.parts(b.ranges, b.parts))
             if self.note(b, "part", i, part)
         ]
         if found:
@@ -282,7 +379,7 @@ class _Search:
         rest, parts = b.ranges, b.parts
         for i, complement in others:
             if self.note(b, "complement", i, complement):
-                rest, parts = common(rest, complement), parts - 1
+                rest, parts = self.sets.common(rest, complement), parts - 1
                 found.append(Branch(rest, max(parts, 2), i))
         if found:
             return found
@@ -303,29 +400,30 @@ def ranked_candidates(candidates: DataFrame, order: Sequence[str], seed: int | N
 
 
 def ddmin(candidates: DataFrame, test, order: Sequence[str], exhaustive: bool = False,
-          seed: int | None = None, max_rounds: int = 10_000, lookahead: int = 3) -> Minimised:
+          seed: int | None = None, max_rounds: int = 10_000, lookahead: int = 3,
+          split: Callable[[int], Column] | None = None) -> Minimised:
     """Minimal failing sets of candidates.
 
     `test` is a BatchTest, or a function from a set's rows to true when it fails. `order`
     names columns that order the candidates totally; parts are runs of that order, or of
-    a seeded shuffle of it. One search follows the first failing part, else the first
-    failing complement. With `exhaustive` every failing branch is followed, all branches
-    of a round sharing jobs. `rows` has `solution_id` and the candidate columns.
+    a seeded shuffle of it, or what `split(n)` says. One search follows the first failing
+    part, else the first failing complement. With `exhaustive` every failing branch is
+    followed, all branches of a round sharing jobs. `rows` has `solution_id` and the
+    candidate columns.
     """
     ranked = ranked_candidates(candidates, order, seed)
-    total = ranked.count()
-    search = _Search(ranked, test, lookahead)
-    everything: Ranges = ((0, total),) if total else ()
-    search.ask([everything], 1)
-    search.note(Branch(everything, 1), "whole", 0, everything)
-    frontier = [Branch(everything)] if search.known[everything] else []
-    solutions: list[Ranges] = []
+    sets = RankSets(ranked) if split is None else SplitSets(ranked, split)
+    search = _Search(sets, test, lookahead if split is None else 0)
+    search.ask([sets.whole], 1)
+    failed = search.known[sets.whole]
+    search.log.append((0, sets.total, 1, "whole", 0, failed, search.spent))
+    frontier = [Branch(sets.whole)] if failed else []
+    solutions: list = []
     seen: set[Branch] = set(frontier)
     while frontier and search.run < max_rounds:
         search.run += 1
-        done = [b for b in frontier if size_of(b.ranges) == 1]
-        solutions += [b.ranges for b in done]
-        active = [b for b in frontier if size_of(b.ranges) > 1]
+        solutions += [b.ranges for b in frontier if sets.size(b.ranges) == 1]
+        active = [b for b in frontier if sets.size(b.ranges) > 1]
         search.ask_parts(active)
         frontier = []
         for b in active:
@@ -336,22 +434,20 @@ def ddmin(candidates: DataFrame, test, order: Sequence[str], exhaustive: bool =
                 following = [] if step is None else [step]
             if not following:
                 solutions.append(b.ranges)
-            else:
-                search.ask([f.ranges for f in following], COPY_WAVE)
-                following = [f for f in following if search.known[f.ranges] and f not in seen]
-                seen.update(following)
-                frontier += following
+                continue
+            search.ask([f.ranges for f in following], COPY_WAVE)
+            following = [f for f in following if search.known[f.ranges] and f not in seen]
+            seen.update(following)
+            frontier += following
     complete = not frontier
     solutions = list(dict.fromkeys([*solutions, *[b.ranges for b in frontier]]))
-    spark = candidates.sparkSession
-    history = spark.createDataFrame(search.log, _HISTORY)
+    history = candidates.sparkSession.createDataFrame(search.log, _HISTORY)
     return Minimised(
-        solutions, _solution_rows(ranked, solutions), history, search.run, search.jobs, complete
+        solutions, _solution_rows(sets, solutions), history, search.run, search.jobs, complete
     )
 
 
-def _solution_rows(ranked: DataFrame, solutions: list[Ranges]) -> DataFrame:
+def _solution_rows(sets: RankSets | SplitSets, solutions: list) -> DataFrame:
     if not solutions:
-        return ranked.filter("false").withColumn("solution_id", F.lit(0)).drop(RANK)
-    rows = with_trials(ranked, dict(enumerate(solutions)))
-    return rows.withColumnRenamed(TRIAL, "solution_id")
+        return sets.candidates.filter("false").withColumn("solution_id", F.lit(0)).drop(RANK)
+    return sets.assign(dict(enumerate(solutions))).withColumnRenamed(TRIAL, "solution_id")

@@ -154,3 +154,20 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str,
     segment = F.floor((F.col("__rn") - 1) / F.lit(max_group)).cast("bigint")
     hot = hot.withColumn("segment", segment)
     return whole(cold).unionByName(arrays(hot, [*keys, "segment"]))
+
+
+def expand_copies(counted: DataFrame, copies: str, order: Sequence[str] | None = None,
+                  run: int = 100_000) -> DataFrame:
+    """Each row as many times as its `copies` column says, without that column.
+
+    The copies of one row are cut into runs that are shuffled before they are written
+    out, so that many copies of one row do not come from one task. With `order` the rows
+    also come out sorted.
+    """
+    others = [c for c in counted.columns if c != copies]
+    last = F.floor((F.col(copies) - 1) / F.lit(run)).cast("bigint")
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    spread = runs.repartition(*others, "__run") if order is None else runs.orderBy(*order, "__run")
+    in_run = F.least(F.lit(run).cast("bigint"), F.col(copies) - F.col("__run") * run)
+    ones = F.explode(F.array_repeat(F.lit(1), in_run.cast("int")))
+    return spread.withColumn("__copy", ones).select(*others)

@@ -105,6 +105,19 @@ def test_result_fails_and_is_one_minimal(spark):
     assert not any(bad([v for v in solution if v != out]) for out in solution)
 
 
+@pytest.mark.parametrize("wanted", [[6], [3, 6]])
+def test_the_callers_own_split(spark, wanted):
+    result = ddmin(numbers(spark), all_of(*wanted), ["id"], split=lambda n: F.col("id") % n)
+    assert found(result) == [wanted] and result.complete
+    every = ddmin(numbers(spark), any_of(2, 7), ["id"], exhaustive=True, split=lambda n: F.col("id") % n)
+    assert found(every) == [[2], [7]]
+
+
+def test_a_split_that_cannot_separate_rows_still_ends(spark):
+    result = ddmin(numbers(spark), all_of(6), ["id"], split=lambda n: F.lit(0))
+    assert result.complete and 6 in found(result)[0]
+
+
 def test_range_arithmetic():
     whole = ((0, 10), (20, 30))
     for n in range(1, 21):

@@ -250,6 +250,19 @@ def test_diff_inner(spark):
     assert rows(checks.diff_inner(counts(spark, a=1), repeated, ["word"])) == [("a", 1, 2)]
 
 
+def test_diffs_tell_null_values_apart(spark):
+    schema = "word string, count long"
+    a = spark.createDataFrame([("a", None), ("b", 1), ("c", None), (None, 1)], schema)
+    e = spark.createDataFrame([("a", 1), ("b", None), ("c", None), (None, 2)], schema)
+    got = checks.diff_inner(a, e, ["word"]).collect()
+    assert {r.word: r.expected for r in got} == {"a": 1, "b": None, None: 2}
+    full = checks.diff_full(a, e, ["word"], ["count"]).collect()
+    assert {r.word: r.status for r in full} == dict.fromkeys(["a", "b", None], "changed")
+    a2, e2 = (df.withColumn("other", F.lit(1)) for df in (a, e))
+    two = checks.diff_full(a2, e2, ["word"], ["count", "other"]).collect()
+    assert {r.word for r in two} == {"a", "b", None}
+
+
 def test_diff_full(spark):
     a, e = counts(spark, a=1, b=2, x=9), counts(spark, a=1, b=3, y=9)
     exact = [("b", "changed"), ("x", "extra"), ("y", "missing")]
