@@ -19,6 +19,8 @@ from backtrail.session import durable
 REVIEW_OFFSET = 1000
 # A review and its comma take four characters at least, so no more fit before the cut.
 REVIEWS_WITHIN_OFFSET = REVIEW_OFFSET // 4 + 2
+# Similarities are compared in steps of 1e-9; cluster ids stay below CLUSTER_IDS.
+SIMILARITY_STEPS, CLUSTER_IDS = 1_000_000_000, 1 << 20
 
 
 def ratings_histogram(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,16 +59,19 @@ def score(matched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     denom = F.sqrt("sq_r") * F.sqrt("sq_c")
     sim = F.round(F.when(denom > 0, F.col("numer") / denom), 9)
-    scored = sums.withColumn("sim", F.when(sim > 0, sim))
-    best = F.max_by(
-        F.struct("cluster_id", "sim"),
-        F.when(F.col("sim").isNotNull(), F.struct("sim", -F.col("cluster_id"))),
+    # One number holds both: similarity first, then the lower cluster id. Its greatest
+    # value needs no sort, unlike that of a struct.
+    rank = F.round(sim * SIMILARITY_STEPS).cast("bigint") * CLUSTER_IDS + (
+        CLUSTER_IDS - 1 - F.col("cluster_id")
     )
-    picked = scored.groupBy(*by, "movie_id").agg(best.alias("best"))
-    return picked.select(
+    ranked = sums.withColumn("rank", F.when(sim > 0, rank))
+    best = ranked.groupBy(*by, "movie_id").agg(F.max("rank").alias("rank"))
+    cluster = F.lit(CLUSTER_IDS - 1) - F.col("rank") % CLUSTER_IDS
+    similarity = F.floor(F.col("rank") / CLUSTER_IDS) / F.lit(float(SIMILARITY_STEPS))
+    return best.select(
         *by, "movie_id",
-        F.coalesce("best.cluster_id", F.lit(0)).alias("cluster_id"),
-        F.coalesce("best.sim", F.lit(0.0)).alias("similarity"),
+        F.coalesce(cluster, F.lit(0)).cast("int").alias("cluster_id"),
+        F.coalesce(similarity, F.lit(0.0)).alias("similarity"),
     )
 
 
@@ -79,7 +84,7 @@ def classify(ratings: DataFrame, centroids: DataFrame, by: Sequence[str] = ()) -
 def cluster_members(assigned: DataFrame, by: Sequence[str] = (),
                     max_group: int | None = MAX_GROUP) -> DataFrame:
     """(cluster_id, segment, movie_ids): sorted members, in bounded segments."""
-    return gather(assigned, [*by, "cluster_id"], ["movie_id"], "movie_id", "movie_ids", max_group)
+    return gather(assigned, [*by, "cluster_id"], ["movie_id"], "movie_ids", max_group=max_group)
 
 
 def cluster_sizes(assigned: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -83,14 +83,14 @@ def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (
     found = postings(docs, by)
     keys = [*by, "word"]
     if distinct:
-        return gather(found, keys, ["doc"], "doc", "docs", max_group)
+        return gather(found, keys, ["doc"], "docs", max_group=max_group)
     run = max_group or MAX_GROUP
     last = F.floor((F.col("count") - 1) / F.lit(run)).cast("bigint")
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
     copies = F.least(F.lit(run).cast("bigint"), F.col("count") - F.col("piece") * run)
     runs = found.select("*", pieces.alias("piece")).withColumn("copies", copies)
-    runs = runs.select(*keys, "doc", "piece", "copies", F.struct("doc", "copies").alias("run"))
-    packed = gather(runs, keys, ["doc", "piece"], "run", "runs", max_group, "copies")
+    packed = gather(runs, keys, ["doc", "piece"], "runs", carry=["copies"], max_group=max_group,
+                    weight="copies")
     repeated = F.flatten(
         F.transform("runs", lambda r: F.array_repeat(r["doc"], r["copies"].cast("int")))
     )
@@ -104,10 +104,13 @@ def ranked_inverted_index(phrase_counts: DataFrame, by: Sequence[str] = (),
     Segments follow the ranking, so segment 0 holds the leading postings of a phrase.
     """
     ranked = phrase_counts.select(
-        *by, "phrase", (-F.col("count")).alias("__down"), F.col("doc").alias("file"),
-        F.struct("count", F.col("doc").alias("file")).alias("posting"),
+        *by, "phrase", (-F.col("count")).alias("__down"), F.col("doc").alias("file")
+    )
+    return gather(
+        ranked, [*by, "phrase"], ["__down", "file"], "postings",
+        lambda e: F.struct((-e["__down"]).alias("count"), e["file"].alias("file")),
+        max_group=max_group,
     )
-    return gather(ranked, [*by, "phrase"], ["__down", "file"], "posting", "postings", max_group)
 
 
 def term_vector(docs: DataFrame, min_count: int = 2, per: Sequence[str] = ("doc",),
@@ -121,10 +124,13 @@ def term_vector(docs: DataFrame, min_count: int = 2, per: Sequence[str] = ("doc"
     found = docs.select(*unit, F.explode(S.tokenize(F.col("content"))).alias("term"))
     counts = found.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("count"))
     frequent = counts.filter(F.col("count") >= min_count).select(
-        *unit, (-F.col("count")).alias("__down"), "term",
-        F.struct("term", "count").alias("entry"),
+        *unit, (-F.col("count")).alias("__down"), "term"
+    )
+    return gather(
+        frequent, unit, ["__down", "term"], "terms",
+        lambda e: F.struct(e["term"].alias("term"), (-e["__down"]).alias("count")),
+        max_group=max_group,
     )
-    return gather(frequent, unit, ["__down", "term"], "entry", "terms", max_group)
 
 
 def docs_text(column: str = "docs") -> Column:

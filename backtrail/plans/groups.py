@@ -6,7 +6,7 @@ groups are sorted across the cluster by range, numbered, and cut into segments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,25 +118,27 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.select(*df.columns, number.cast("bigint").alias(name))
 
 
-def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str, out: str,
+def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
+           item: Callable[[Column], Column] | None = None, carry: Sequence[str] = (),
            max_group: int | None = MAX_GROUP, weight: str | None = None) -> DataFrame:
     """One sorted array per key and segment: `keys`, `segment`, `out`.
 
-    `order` columns must order the rows of a key totally. A key with up to `max_group`
-    rows gives segment 0 only; a larger one gives consecutive segments of `max_group`
-    items each, and no item is lost. With `weight` an item counts that many times, at most
-    `max_group`, towards the size of a segment. `max_group=None` is for groups known to be
-    bounded.
+    `order` columns must order the rows of a key totally. An array item is the one order
+    column, or the struct of `order` and `carry` columns, or what `item` makes of it. A
+    key with up to `max_group` rows gives segment 0 only; a larger one gives consecutive
+    segments of `max_group` items each, and no item is lost. With `weight` an item counts
+    that many times, at most `max_group`, towards the size of a segment. `max_group=None`
+    is for groups known to be bounded.
 
     The rows are written once: they are read to measure the groups, which takes the key
     columns only, and again for the small and the large groups.
     """
-    plain = list(order) == [item]
-    entry = F.col(item) if plain else F.struct(*dict.fromkeys([*order, item]))
+    fields = [*order, *carry]
+    entry = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
 
     def arrays(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("__all"))
-        items = F.col("__all") if plain else F.col("__all")[item]
+        items = F.col("__all") if item is None else F.transform("__all", item)
         return packed.select(*by, items.alias(out))
 
     def whole(rows: DataFrame) -> DataFrame:
@@ -144,8 +146,8 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: str,
 
     if max_group is None:
         return whole(df)
-    needed = dict.fromkeys([*keys, *order, item, *([] if weight is None else [weight])])
-    df = stored(df.select(*needed), "groups")
+    needed = [*keys, *fields, *([] if weight is None else [weight])]
+    df = stored(df.select(*dict.fromkeys(needed)), "groups")
     large = measure(large_groups(df, keys, max_group, weight))
     if large.empty:
         return whole(df)
