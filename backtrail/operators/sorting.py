@@ -17,15 +17,16 @@ def terasort(kv: DataFrame, key: str = "key", tiebreak: Sequence[str] = ()) -> D
 
     A range sort cannot split rows that compare equal. Equal keys are therefore ordered by
     the other columns too. Name columns that identify a row in `tiebreak` if there are
-    some; without them whole copies are counted before the shuffle and sorted as runs.
+    some; without them whole copies are counted before the shuffle, and each copy's number
+    then tells it from the others.
     """
     others = [c for c in kv.columns if c != key]
     if tiebreak:
         rest = [c for c in others if c not in tiebreak]
         return kv.orderBy(key, *tiebreak, *rest)
     counted = kv.groupBy(*kv.columns).agg(F.count(F.lit(1)).alias("__n"))
-    ordered = expand_copies(counted, "__n", [key, *others], COPIES_PER_RUN)
-    return ordered.select(*kv.columns)
+    copies = expand_copies(counted, "__n", "__copy", COPIES_PER_RUN)
+    return copies.orderBy(key, *others, "__copy").select(*kv.columns)
 
 
 def sort_positions(kv: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:

@@ -158,18 +158,30 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     return whole(cold).unionByName(arrays(hot, [*keys, "segment"]))
 
 
-def expand_copies(counted: DataFrame, copies: str, order: Sequence[str] | None = None,
+def expand_copies(counted: DataFrame, copies: str, number: str | None = None,
                   run: int = 100_000) -> DataFrame:
     """Each row as many times as its `copies` column says, without that column.
 
-    The copies of one row are cut into runs that are shuffled before they are written
-    out, so that many copies of one row do not come from one task. With `order` the rows
-    also come out sorted.
+    Rows with more than `run` copies are cut into runs that are shuffled before they are
+    written out, so that the copies of one row do not all come from one task. `number`
+    names a column for the copy's number from 1.
     """
     others = [c for c in counted.columns if c != copies]
-    last = F.floor((F.col(copies) - 1) / F.lit(run)).cast("bigint")
-    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    spread = runs.repartition(*others, "__run") if order is None else runs.orderBy(*order, "__run")
-    in_run = F.least(F.lit(run).cast("bigint"), F.col(copies) - F.col("__run") * run)
-    ones = F.explode(F.array_repeat(F.lit(1), in_run.cast("int")))
-    return spread.withColumn("__copy", ones).select(*others)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def written(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        numbers = F.explode(F.sequence(first, last)).alias(number or "__copy")
+        return rows.select(*others, numbers)
+
+    few = counted.filter(F.col(copies).between(1, run))
+    last_run = F.floor((F.col(copies) - 1) / F.lit(run)).cast("bigint")
+    many = counted.filter(F.col(copies) > run)
+    runs = many.withColumn("__run", F.explode(F.sequence(zero, last_run)))
+    # A fixed number of partitions: merged by their bytes they would grow too many copies.
+    partitions = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(partitions, *others, "__run")
+    start = F.col("__run") * run
+    rows = written(few, one, F.col(copies)).unionByName(
+        written(runs, start + 1, F.least(start + run, F.col(copies)))
+    )
+    return rows if number else rows.drop("__copy")

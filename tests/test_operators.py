@@ -225,6 +225,13 @@ def test_keep_matching_when_keys_are_not_small(spark, monkeypatch):
         assert [r.v for r in keep_matching(df, keys, ["k"], anti=True).collect()] == [3]
 
 
+def test_copies_spread_over_the_sorted_partitions(spark):
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"))
+    sizes = sorting.terasort(df).rdd.glom().map(len).collect()
+    assert sum(sizes) == 4000 and (len(sizes) == 1 or max(sizes) < 2000)
+
+
 def test_set_operations(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "v string")
     b = spark.createDataFrame([("y",), (None,)], "v string")
