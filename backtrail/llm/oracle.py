@@ -56,4 +56,24 @@ q AS (SELECT d.*, t.source_size, t.target,
 SELECT doc_id, size, source_size, target,
   CAST(size * least(2, passes + CASE WHEN size > 0 AND off + size / 2 <= target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q""",
+    "op2_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+f AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM f WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT x.doc_id, count(c.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept
+      FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
 }
