@@ -11,12 +11,15 @@ document and a probe of the other: a shared run of BLOCK * STRIDE + BLOCK - 1 wo
 another document has too; that is seen from the smallest and largest document of a block,
 so a block which a third of the documents hold stays one row, and no pairs are made.
 
-Each anchor extends to the windows that contain it. Of these, hashes alone are grouped to
+Documents whose whole text an earlier one has go whole. In the others, each anchor extends
+to the windows that contain it. Of these, hashes alone are grouped to
 find the first document, and windows whose first document is an earlier one mark their
-words: consecutive ones add up to the maximal repeat. Hashes of windows have 128 bits.
+words: consecutive ones add up to the maximal repeat. Hashes of windows
+have 128 bits.
 
 Null and empty texts have no words. A null doc_id is smaller than any other. Rows that
-repeat a doc_id and its text count as one document.
+repeat a doc_id and its text count as one document; texts that share a doc_id are told
+apart by two bytes of their hash.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from backtrail.llm.line_dedup import fingerprint
 from backtrail.llm.textbytes import Chunk, Hashes, chunks, whitespace, windows
 
 WINDOW, BLOCK, STRIDE = 50, 8, 5
-_DOC = ["doc_id", "fp"]
+_DOC = ["doc", "fp"]
+NO_ID = -(1 << 63)
 
 
 def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +66,7 @@ def _anchors(step: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows),
                      pa.array(place.astype(np.int32)), pa.array(runs[bounds[doc] + place].view(np.int64))],
-                    ["doc_id", "fp", "pos", "hash"])
+                    ["doc", "fp", "pos", "hash"])
     return run
 
 
@@ -87,75 +91,84 @@ def _candidates(window: int):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(rows), batch.column(1).take(rows),
                          pa.array(place.astype(np.int32)), pa.array(near[where].view(np.int64)),
-                         pa.array(far[where].view(np.int64))], ["doc_id", "fp", "pos", "h1", "h2"])
+                         pa.array(far[where].view(np.int64))], ["doc", "fp", "pos", "h1", "h2"])
     return run
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            later = batch.column(3).to_pylist()
-            for chunk in chunks(batch.column(2)):
+            later, copies = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for chunk in chunks(batch.column(1)):
                 starts, ends, _, bounds = _words(chunk)
                 sizes, removed, kept = [], [], []
                 data = chunk.data.tobytes()
                 for row in range(chunk.n):
                     lo, hi = bounds[row], bounds[row + 1]
-                    stay = np.ones(hi - lo, bool)
+                    stay = np.full(hi - lo, not copies[chunk.lo + row] or hi - lo < window)
                     places = later[chunk.lo + row]
                     if places:
                         marks = np.zeros(hi - lo + 1, np.int32)
                         np.add.at(marks, np.array(places), 1)
                         np.add.at(marks, np.array(places) + window, -1)
-                        stay = np.cumsum(marks)[:-1] == 0
+                        stay &= np.cumsum(marks)[:-1] == 0
                     words = [data[s:e] for s, e in zip(starts[lo:hi][stay], ends[lo:hi][stay])]
                     sizes.append(hi - lo)
                     removed.append(int((~stay).sum()))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.lo, chunk.n), batch.column(1).slice(chunk.lo, chunk.n),
-                     pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array([k.decode() for k in kept], pa.string()),
+                    [batch.column(0).slice(chunk.lo, chunk.n), pa.array(sizes, pa.int64()),
+                     pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()),
                      pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
-                    ["doc_id", "fp", "n_words", "n_removed", "kept", "kept_sha256"])
+                    ["doc", "n_words", "n_removed", "kept", "kept_sha256"])
     return run
 
 
-def _same(doc: str = "__doc", fp: str = "__fp"):
-    return F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("fp") == F.col(fp))
+def _narrow(docs: DataFrame) -> DataFrame:
+    """(doc, fp, text): a null id becomes the least one, the text's hash two bytes."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
+                       F.pmod(fingerprint(), F.lit(1 << 16)).cast("int").alias("fp"), "text")
+
 
+def exact_copies(rows: DataFrame) -> DataFrame:
+    """(doc, fp): documents whose whole text an earlier document has."""
+    whole = rows.filter(F.col("text").isNotNull()).select(
+        "doc", "fp", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(3), "text", F.lit(5)).alias("t2"))
+    first = whole.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    first = first.filter(F.col("first") < F.col("last"))
+    return whole.join(first, ["t1", "t2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp").distinct()
 
-def _keyed(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), *more)
 
+def later_windows(rows: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, fp, pos): windows whose words also start in an earlier document.
 
-def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, fp, pos): windows whose words also start in an earlier document."""
+    Exact copies are left out: the first of them stands for all.
+    """
     if window < BLOCK * STRIDE + BLOCK - 1:
         raise ValueError(f"a window must have {BLOCK * STRIDE + BLOCK - 1} words at least")
-    docs = docs.select("doc_id", fingerprint().alias("fp"), "text")
-    schema = "doc_id long, fp long, pos int, hash long"
-    # Null ids sort first; another value than any id's keeps them apart from the others.
-    index = docs.mapInArrow(_anchors(BLOCK), schema).select("hash", F.struct("doc_id").alias("doc")).groupBy(
-        "hash").agg(F.min("doc.doc_id").alias("lo"), F.max("doc.doc_id").alias("hi"),
-                    F.max(F.col("doc.doc_id").isNull()).alias("nameless"))
-    probes = docs.mapInArrow(_anchors(STRIDE), schema)
-    other = (F.col("lo") != F.col("doc_id")) | (F.col("hi") != F.col("doc_id")) | (
-        F.col("nameless") & F.col("doc_id").isNotNull()) | (F.col("doc_id").isNull() & F.col("lo").isNotNull())
+    schema = "doc long, fp int, pos int, hash long"
+    index = rows.mapInArrow(_anchors(BLOCK), schema).groupBy("hash").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    probes = rows.mapInArrow(_anchors(STRIDE), schema)
+    other = (F.col("lo") != F.col("doc")) | (F.col("hi") != F.col("doc"))
     anchors = probes.join(index, "hash").filter(other).groupBy(*_DOC).agg(F.collect_set("pos").alias("anchors"))
-    places = docs.join(_keyed(anchors, "anchors"), _same()).select("doc_id", "fp", "text", "anchors")
-    found = places.mapInArrow(_candidates(window), "doc_id long, fp long, pos int, h1 long, h2 long")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id")).alias("first"))
-    return found.join(first, ["h1", "h2"]).filter(
-        F.col("first") < F.struct("doc_id")).select("doc_id", "fp", "pos")
+    anchors = anchors.join(copies, _DOC, "left_anti")
+    places = rows.join(anchors, _DOC).select("doc", "fp", "text", "anchors")
+    found = places.mapInArrow(_candidates(window), "doc long, fp int, pos int, h1 long, h2 long")
+    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
+    return found.join(first, ["h1", "h2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp", "pos")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, fp, n_words, n_removed, kept, kept_sha256): one row per document row.
+    """(doc_id, n_words, n_removed, kept, kept_sha256): one row per document row.
 
     `kept` is what is left of the words, joined by single spaces.
     """
-    later = later_windows(docs, window).groupBy(*_DOC).agg(F.collect_set("pos").alias("later"))
-    rows = docs.select("doc_id", fingerprint().alias("fp"), "text").join(_keyed(later, "later"), _same(), "left")
-    return rows.select("doc_id", "fp", "text", "later").mapInArrow(
-        _cut(window), "doc_id long, fp long, n_words long, n_removed long, kept string, kept_sha256 string")
+    rows = _narrow(docs)
+    copies = exact_copies(rows)
+    later = later_windows(rows, copies, window).groupBy(*_DOC).agg(F.collect_set("pos").alias("later"))
+    judged = rows.join(later, _DOC, "left").join(copies.withColumn("copy", F.lit(True)), _DOC, "left")
+    cut = judged.select("doc", "text", "later", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
+        _cut(window), "doc long, n_words long, n_removed long, kept string, kept_sha256 string")
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    return cut.select(doc_id.alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
