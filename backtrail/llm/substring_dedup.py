@@ -125,9 +125,14 @@ def _cut(window: int):
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    """(doc, fp, text): a null id becomes the least one, the text's hash two bytes."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.pmod(fingerprint(), F.lit(1 << 16)).cast("int").alias("fp"), "text")
+    """(doc, fp, text): a null id becomes the least one.
+
+    `fp` tells texts that share an id apart; it is 0 where every id has one row.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    unique = docs.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty()
+    fp = F.lit(0) if unique else F.pmod(fingerprint(), F.lit(1 << 16))
+    return docs.select(doc, fp.cast("int").alias("fp"), "text")
 
 
 def exact_copies(rows: DataFrame) -> DataFrame:
@@ -153,7 +158,7 @@ def later_windows(rows: DataFrame, copies: DataFrame, window: int = WINDOW) -> D
     other = (F.col("lo") != F.col("doc")) | (F.col("hi") != F.col("doc"))
     anchors = probes.join(index, "hash").filter(other).groupBy(*_DOC).agg(F.collect_set("pos").alias("anchors"))
     anchors = anchors.join(copies, _DOC, "left_anti")
-    places = rows.join(anchors, _DOC).select("doc", "fp", "text", "anchors")
+    places = rows.repartition("doc").join(anchors, _DOC).select("doc", "fp", "text", "anchors")
     found = places.mapInArrow(_candidates(window), "doc long, fp int, pos int, h1 long, h2 long")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     return found.join(first, ["h1", "h2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp", "pos")
@@ -167,7 +172,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _narrow(docs)
     copies = exact_copies(rows)
     later = later_windows(rows, copies, window).groupBy(*_DOC).agg(F.collect_set("pos").alias("later"))
-    judged = rows.join(later, _DOC, "left").join(copies.withColumn("copy", F.lit(True)), _DOC, "left")
+    # The same exchange of the texts serves here and where windows are made.
+    judged = rows.repartition("doc").join(later, _DOC, "left").join(copies.withColumn("copy", F.lit(True)), _DOC, "left")
     cut = judged.select("doc", "text", "later", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
         _cut(window), "doc long, n_words long, n_removed long, kept string, kept_sha256 string")
     doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
