@@ -15,7 +15,7 @@ Documents whose whole text an earlier one has go whole. In the others, each anch
 to the windows that contain it. Of these, hashes alone are grouped to
 find the first document, and windows whose first document is an earlier one mark their
 words: consecutive ones add up to the maximal repeat. Hashes of windows
-have 128 bits.
+have 95 bits.
 
 Null and empty texts have no words. A null doc_id is smaller than any other. Rows that
 repeat a doc_id and its text count as one document; texts that share a doc_id are told
@@ -91,7 +91,7 @@ def _candidates(window: int):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(rows), batch.column(1).take(rows),
                          pa.array(place.astype(np.int32)), pa.array(near[where].view(np.int64)),
-                         pa.array(far[where].view(np.int64))], ["doc", "fp", "pos", "h1", "h2"])
+                         pa.array((far[where] >> np.uint64(33)).astype(np.int32))], ["doc", "fp", "pos", "h1", "h2"])
     return run
 
 
@@ -155,13 +155,21 @@ def later_windows(rows: DataFrame, copies: DataFrame, window: int = WINDOW) -> D
     index = rows.mapInArrow(_anchors(BLOCK), schema).groupBy("hash").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     probes = rows.mapInArrow(_anchors(STRIDE), schema)
-    other = (F.col("lo") != F.col("doc")) | (F.col("hi") != F.col("doc"))
-    anchors = probes.join(index, "hash").filter(other).groupBy(*_DOC).agg(F.collect_set("pos").alias("anchors"))
+    # A document is looked at as a later one near anchors that an earlier document has, and
+    # as a first one near anchors that a later document has.
+    late, early = F.col("lo") < F.col("doc"), F.col("hi") > F.col("doc")
+    anchors = probes.join(index, "hash").filter(late | early).groupBy(*_DOC).agg(
+        F.collect_set(F.when(late, F.col("pos"))).alias("late"),
+        F.collect_set(F.when(early, F.col("pos"))).alias("early"))
     anchors = anchors.join(copies, _DOC, "left_anti")
-    places = rows.repartition("doc").join(anchors, _DOC).select("doc", "fp", "text", "anchors")
-    found = places.mapInArrow(_candidates(window), "doc long, fp int, pos int, h1 long, h2 long")
-    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    return found.join(first, ["h1", "h2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp", "pos")
+    places = rows.repartition("doc").join(anchors, _DOC)
+
+    def found(side: str) -> DataFrame:
+        return places.filter(F.size(side) > 0).select("doc", "fp", "text", side).mapInArrow(
+            _candidates(window), "doc long, fp int, pos int, h1 long, h2 int")
+
+    first = found("early").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
+    return found("late").join(first, ["h1", "h2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp", "pos")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
