@@ -127,8 +127,11 @@ def diff_lists(actual: DataFrame, expected: DataFrame, on: Sequence[str], item:
 
 
 def diff_adjacency(actual: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Vertices of `actual` whose neighbour sets differ from the expected ones."""
-    keys = [*by, "vertex"]
+    """Vertices of `actual` whose neighbour sets differ from the expected ones.
+
+    Complete lists are compared, segment by segment.
+    """
+    keys = [*by, "vertex", "segment"]
     theirs = expected.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         F.col("from").alias("__from"), F.col("to").alias("__to"),
@@ -143,7 +146,8 @@ def diff_adjacency(actual: DataFrame, expected: DataFrame, by: Sequence[str] = (
         F.when(F.col("__from").isNull(), EXTRA)
         .when(apart("from", "__from") | apart("to", "__to"), CHANGED)
     )
-    return joined.withColumn("status", status).filter("status IS NOT NULL").select(*keys, "status")
+    return joined.withColumn("status", status).filter("status IS NOT NULL").groupBy(*by, "vertex").agg(
+        F.min("status").alias("status"))
 
 
 def any_faulty(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:

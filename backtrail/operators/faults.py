@@ -21,13 +21,13 @@ def count_at_least(n: int = 3) -> Column:
 
 
 def postings_over(n: int = 3) -> Column:
-    """Postings list longer than n; a word in its second segment has more already."""
-    return (F.col("segment") > 0) | (F.size("docs") > n)
+    """Word with more than n postings, repeats counted."""
+    return F.col("postings") > n
 
 
 def documents_over(n: int = 1) -> Column:
     """Phrase found in more than n documents."""
-    return (F.col("segment") > 0) | (F.size("postings") > n)
+    return F.col("documents") > n
 
 
 def count_over(n: int = 3) -> Column:
@@ -35,12 +35,8 @@ def count_over(n: int = 3) -> Column:
 
 
 def busy_terms(count: int = 2, terms: int = 2) -> Column:
-    """Some term above `count`, and more than `terms` terms.
-
-    Segment 0 holds the most frequent terms of a unit, so it decides.
-    """
-    some = F.exists("terms", lambda t: t["count"] > count)
-    return some & (F.size("terms") > terms)
+    """Some term above `count`, and more than `terms` terms."""
+    return (F.col("top_count") > count) & (F.col("n_terms") > terms)
 
 
 def out_degree_over(n: int = 438) -> Column:
@@ -70,10 +66,10 @@ def drop_low_ratings(ratings: DataFrame) -> DataFrame:
 
 
 def drop_lowest_ratings(ratings: DataFrame) -> DataFrame:
-    """Lose rating 1 of movies divisible by 13 and raters by 13, 7, 24 or 16."""
-    rater = F.lit(False)
+    """Lose rating 1 of movies divisible by 13 and raters by all of 13, 7, 24 and 16."""
+    rater = F.lit(True)
     for divisor in (13, 7, 24, 16):
-        rater = rater | (F.col("rater_id") % divisor == 0)
+        rater = rater & (F.col("rater_id") % divisor == 0)
     lost = (F.col("rating") == 1) & (F.col("movie_id") % 13 == 0) & rater
     return ratings.filter(~lost)
 
@@ -83,10 +79,11 @@ def drop_edge_lines(lines: DataFrame, slice_text: str = "10642", at: int = 14) -
     return lines.filter(F.substring("value", at + 1, len(slice_text)) != slice_text)
 
 
-def rewrite_destination(edges: DataFrame, src: str = "VertexID00006510642_31",
+def rewrite_destination(facts: DataFrame, src: str = "VertexID00006510642_31",
                         dst: str = "VertexIDA") -> DataFrame:
-    changed = F.when(F.col("src") == src, F.lit(dst)).otherwise(F.col("dst"))
-    return edges.withColumn("dst", changed)
+    """Edge facts with the `to` neighbours of one vertex replaced; the other ends stay."""
+    wrong = (F.col("vertex") == src) & (F.col("side") == "to")
+    return facts.withColumn("neighbour", F.when(wrong, F.lit(dst)).otherwise(F.col("neighbour")))
 
 
 def shift_cluster(assigned: DataFrame, movie_id: int = 1) -> DataFrame:

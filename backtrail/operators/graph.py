@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.plans.groups import keep_matching, large_groups, measure, number_rows
-
-NEIGHBOUR_LIMIT = 200_000
-
+from backtrail.plans.groups import MAX_GROUP, keep_matching, large_groups, measure, number_rows
 
 def edge_facts(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Two facts per edge: (vertex, side, neighbour), side `from` or `to`.
@@ -24,11 +21,14 @@ def edge_facts(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.select(*by, F.explode(ends).alias("end")).select(*by, "end.*")
 
 
-def adjacency_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT, by: Sequence[str] = ()) -> DataFrame:
-    """(vertex, from, to): distinct sorted neighbours, the first `limit` on each side.
+def adjacency_list(edges: DataFrame, limit: int | None = None, by: Sequence[str] = (),
+                   max_group: int = MAX_GROUP) -> DataFrame:
+    """(vertex, segment, from, to): distinct sorted neighbours.
 
-    A vertex with at most `limit` edge facts is gathered directly. A busier one is first
-    ranked across the cluster and reduced to the neighbours within the limit.
+    A vertex with at most `max_group` edge facts has the one segment 0. A busier one is
+    ranked across the cluster and continues in further segments of `max_group` neighbours
+    on each side. Only with `limit` are neighbours left out: the first `limit` on each side
+    stay.
     """
     facts = edge_facts(edges, by)
     keys = [*by, "vertex"]
@@ -36,23 +36,31 @@ def adjacency_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT, by: Sequence[
     def lists(rows: DataFrame) -> DataFrame:
         def side(name: str) -> Column:
             kept = F.collect_set(F.when(F.col("side") == name, F.col("neighbour")))
-            return F.slice(F.sort_array(kept), 1, limit).alias(name)
+            kept = F.sort_array(kept)
+            return (kept if limit is None else F.slice(kept, 1, limit)).alias(name)
 
-        return rows.groupBy(*keys).agg(side("from"), side("to"))
+        return rows.groupBy(*keys, "segment").agg(side("from"), side("to"))
 
-    large = measure(large_groups(facts, keys, limit))
+    first = F.lit(0).cast("bigint")
+    large = measure(large_groups(facts, keys, max_group))
     if large.empty:
-        return lists(facts)
-    cold = keep_matching(facts, large, keys, anti=True)
+        return lists(facts.withColumn("segment", first))
+    cold = keep_matching(facts, large, keys, anti=True).withColumn("segment", first)
     hot = keep_matching(facts, large, keys).dropDuplicates()
     ranked = number_rows(hot, [*keys, "side"], ["neighbour"])
-    within = ranked.filter(F.col("__rn") <= limit).drop("__rn")
-    return lists(cold.unionByName(within))
+    if limit is not None:
+        ranked = ranked.filter(F.col("__rn") <= limit)
+    segment = F.floor((F.col("__rn") - 1) / F.lit(max_group)).cast("bigint")
+    return lists(cold.unionByName(ranked.withColumn("segment", segment).drop("__rn")))
 
 
 def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(vertex, in_degree, out_degree) over distinct edges, without building lists."""
-    facts = edge_facts(edges.select(*by, "src", "dst").dropDuplicates(), by)
+    return fact_degrees(edge_facts(edges.select(*by, "src", "dst").dropDuplicates(), by), by)
+
+
+def fact_degrees(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from edge facts, which must be distinct."""
 
     def side(name: str) -> Column:
         return F.count(F.when(F.col("side") == name, 1))

@@ -17,8 +17,6 @@ from backtrail.session import durable
 
 # Fixed value: reviews are cut at the first comma at or after this offset of a line.
 REVIEW_OFFSET = 1000
-# A review and its comma take four characters at least, so no more fit before the cut.
-REVIEWS_WITHIN_OFFSET = REVIEW_OFFSET // 4 + 2
 # Similarities are compared in steps of 1e-9; cluster ids stay below CLUSTER_IDS.
 SIMILARITY_STEPS, CLUSTER_IDS = 1_000_000_000, 1 << 20
 
@@ -61,9 +59,10 @@ def score(matched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sim = F.round(F.when(denom > 0, F.col("numer") / denom), 9)
     # One number holds both: similarity first, then the lower cluster id. Its greatest
     # value needs no sort, unlike that of a struct.
-    rank = F.round(sim * SIMILARITY_STEPS).cast("bigint") * CLUSTER_IDS + (
+    fits = F.col("cluster_id").between(0, CLUSTER_IDS - 1)
+    rank = F.when(fits, F.round(sim * SIMILARITY_STEPS).cast("bigint") * CLUSTER_IDS + (
         CLUSTER_IDS - 1 - F.col("cluster_id")
-    )
+    )).otherwise(F.raise_error(F.lit(f"cluster ids must be below {CLUSTER_IDS}")).cast("bigint"))
     ranked = sums.withColumn("rank", F.when(sim > 0, rank))
     best = ranked.groupBy(*by, "movie_id").agg(F.max("rank").alias("rank"))
     cluster = F.lit(CLUSTER_IDS - 1) - F.col("rank") % CLUSTER_IDS
@@ -110,7 +109,7 @@ def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) ->
     The member whose similarity is nearest the cluster's mean becomes its centroid; ties
     go to the lowest movie id. Means come from exact decimal sums with map-side partial
     aggregation, so no cluster is gathered. Only the winners' reviews are read back, and
-    of those only as many as can stand before the cut.
+    of those only as many as start before the cut.
     """
     keys = [*by, "cluster_id"]
     means = assigned.groupBy(*keys).agg(
@@ -122,11 +121,13 @@ def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) ->
     winners = with_mean.groupBy(*keys).agg(
         F.min_by(F.struct("movie_id", "similarity"), F.struct(gap, F.col("movie_id"))).alias("w")
     ).select(*keys, "w.movie_id", "w.similarity")
-    first = Window.partitionBy(*keys, "movie_id").orderBy("pos")
+    # A review counts with its comma; one that starts beyond the offset is cut off anyway.
+    width = F.length(F.concat_ws("_", F.col("rater_id").cast("string"), F.col("rating").cast("string"))) + 1
+    before = Window.partitionBy(*keys, "movie_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     reviews = (
         ratings.join(measure(winners).frame(), [*by, "movie_id"])
-        .withColumn("__rn", F.row_number().over(first))
-        .filter(F.col("__rn") <= REVIEWS_WITHIN_OFFSET)
+        .withColumn("__at", F.coalesce(F.sum(width).over(before), F.lit(0)))
+        .filter(F.col("__at") <= REVIEW_OFFSET)
         .groupBy(*keys, "movie_id", "similarity")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "rater_id", "rating"))).alias("__pairs"))
     )

@@ -64,7 +64,7 @@ def sequence_count(docs: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataF
 
 def doc_words(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per token and record: (word, doc)."""
-    return docs.select(*by, "doc", F.explode(S.tokenize(F.col("content"))).alias("word"))
+    return docs.select(*by, "doc", F.explode(S.split_words(F.col("content"))).alias("word"))
 
 
 def postings(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -73,6 +73,26 @@ def postings(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.groupBy(*by, "word", "doc").agg(F.count(F.lit(1)).alias("count"))
 
 
+def posting_counts(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(word, postings): occurrences of each word in all records."""
+    return doc_words(docs, by).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("postings"))
+
+
+def document_counts(phrase_counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(phrase, documents): in how many documents each phrase stands."""
+    return phrase_counts.groupBy(*by, "phrase").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def term_counts(docs: DataFrame, min_count: int = 2, per: Sequence[str] = ("doc",),
+                by: Sequence[str] = ()) -> DataFrame:
+    """(per..., n_terms, top_count): of the terms seen at least `min_count` times."""
+    unit = [*by, *dict.fromkeys(per)]
+    terms = docs.select(*unit, F.explode(S.split_words(F.col("content"))).alias("term"))
+    counts = terms.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("count"))
+    return counts.filter(F.col("count") >= min_count).groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.max("count").alias("top_count"))
+
+
 def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (),
                    max_group: int | None = MAX_GROUP) -> DataFrame:
     """(word, segment, docs): the sorted documents of each word.
@@ -121,7 +141,7 @@ def term_vector(docs: DataFrame, min_count: int = 2, per: Sequence[str] = ("doc"
     such a term give no row.
     """
     unit = [*by, *dict.fromkeys(per)]
-    found = docs.select(*unit, F.explode(S.tokenize(F.col("content"))).alias("term"))
+    found = docs.select(*unit, F.explode(S.split_words(F.col("content"))).alias("term"))
     counts = found.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("count"))
     frequent = counts.filter(F.col("count") >= min_count).select(
         *unit, (-F.col("count")).alias("__down"), "term"

@@ -61,7 +61,7 @@ def inverted_index(docs: DataFrame, ids: Ids) -> Traced:
 
     return (
         Traced.source(docs, ids, "records")
-        .explode("words", S.tokenize(F.col("content")), "word", ["doc"])
+        .explode("words", S.split_words(F.col("content")), "word", ["doc"])
         .group("index", ["word"], sizes)
     )
 
@@ -90,7 +90,7 @@ def term_vector(docs: DataFrame, ids: Ids, min_count: int = 2) -> Traced:
 
     return (
         Traced.source(docs, ids, "records")
-        .explode("terms", S.tokenize(F.col("content")), "term", ["doc"])
+        .explode("terms", S.split_words(F.col("content")), "term", ["doc"])
         .group("counts", ["doc", "term"], counted)
         .map("frequent", lambda rows: rows.filter(F.col("count") >= min_count))
         .group("vectors", ["doc"], vector)

@@ -104,11 +104,11 @@ def parse_numbers(df: DataFrame, on_error: str = "fail") -> DataFrame:
     return _settle(df, {"n": number}, number.isNotNull(), on_error)
 
 
-def parse_centroids(df: DataFrame, max_clusters: int = 16) -> DataFrame:
+def parse_centroids(df: DataFrame, max_clusters: int | None = None) -> DataFrame:
     """`slot similarity movie total r_r,r_r,...`: the centroid model.
 
     Slots are renumbered by falling movie id; a movie id of -1 marks an unused slot.
-    At most `max_clusters` rows can result, one per slot.
+    A repeated slot, or one at or above `max_clusters` if that is given, is an error.
     """
     tokens = S.tokenize(F.col("value"))
     review = "named_struct('rater_id', cast(substring_index(r, '_', 1) AS BIGINT)," \
@@ -119,11 +119,15 @@ def parse_centroids(df: DataFrame, max_clusters: int = 16) -> DataFrame:
         F.get(tokens, F.lit(2)).cast("bigint").alias("movie_id"),
         F.get(tokens, F.lit(3)).cast("int").alias("total"),
         S.split_nonempty(F.get(tokens, F.lit(4)), ",").alias("__reviews"),
-    ).filter(F.col("slot").between(0, max_clusters - 1) & (F.col("movie_id") != -1))
+    ).filter((F.col("slot") >= 0) & (F.col("movie_id") != -1))
     rows = rows.withColumn("reviews", F.expr(f"transform(__reviews, r -> {review})"))
-    one_per_slot = rows.groupBy("slot").agg(
-        F.max(F.struct("movie_id", "similarity", "total", "reviews")).alias("c")
-    )
+    record = F.struct("movie_id", "similarity", "total", "reviews")
+    slots = rows.groupBy("slot").agg(F.max(record).alias("c"), F.count(F.lit(1)).alias("n"))
+    wrong = F.col("n") > 1
+    if max_clusters is not None:
+        wrong = wrong | (F.col("slot") >= max_clusters)
+    text = F.concat(F.lit("slot is repeated or too large: "), F.col("slot").cast("string"))
+    one_per_slot = slots.withColumn("c", F.when(wrong, F.raise_error(text)).otherwise(F.col("c")))
     order = Window.orderBy(F.desc("c.movie_id"), "slot")
     return one_per_slot.select(
         (F.row_number().over(order) - 1).alias("cluster_id"),
@@ -131,7 +135,7 @@ def parse_centroids(df: DataFrame, max_clusters: int = 16) -> DataFrame:
     )
 
 
-def read_centroids(spark: SparkSession, path: str, max_clusters: int = 16) -> DataFrame:
+def read_centroids(spark: SparkSession, path: str, max_clusters: int | None = None) -> DataFrame:
     return parse_centroids(read_lines(spark, path), max_clusters)
 
 

@@ -63,12 +63,18 @@ def test_sequence_count(docs, corpus):
     assert got == dict(want)
 
 
+def spaced(content):
+    """Words between single spaces; inner empties are words."""
+    kept = content.rstrip(" ")
+    return [] if content and not kept else kept.split(" ")
+
+
 @pytest.mark.parametrize("distinct", [True, False])
 @pytest.mark.parametrize("max_group", [200_000, 3, None])
 def test_inverted_index(docs, corpus, distinct, max_group):
     want = defaultdict(list)
     for doc, content in corpus:
-        for w in content.split():
+        for w in spaced(content):
             want[w].append(doc)
     want = {w: sorted(set(d) if distinct else d) for w, d in want.items()}
     got = defaultdict(list)
@@ -99,7 +105,7 @@ def test_ranked_inverted_index(docs, max_group):
 def test_term_vector(docs, per, max_group):
     want = defaultdict(Counter)
     for r in docs.collect():
-        want[tuple(r[c] for c in per)].update(r.content.split())
+        want[tuple(r[c] for c in per)].update(spaced(r.content))
     want = {
         k: sorted((-n, t) for t, n in c.items() if n >= 2)
         for k, c in want.items() if any(n >= 2 for n in c.values())
@@ -301,16 +307,12 @@ def test_diff_adjacency(spark):
 
 
 def test_marks(spark, docs):
-    marked = faults.mark(text.inverted_index(docs), faults.postings_over(3))
-    for r in marked.collect():
-        assert r["__faulty"] == (len(r.docs) > 3)
-    small = faults.mark(text.inverted_index(docs, max_group=4), faults.postings_over(3))
-    assert {r.word for r in small.filter("__faulty").collect()} == {
-        r.word for r in marked.filter("__faulty").collect()
-    }
-    vectors = faults.mark(text.term_vector(docs), faults.busy_terms())
-    for r in vectors.collect():
-        assert r["__faulty"] == (len(r.terms) > 2 and r.terms[0]["count"] > 2)
+    marked = faults.mark(text.posting_counts(docs), faults.postings_over(3))
+    repeats = {r.word: len(r.docs) for r in text.inverted_index(docs, distinct=False).collect()}
+    assert {r.word: r["__faulty"] for r in marked.collect()} == {w: n > 3 for w, n in repeats.items()}
+    vectors = {r.doc: r["__faulty"] for r in faults.mark(text.term_counts(docs), faults.busy_terms()).collect()}
+    for r in text.term_vector(docs).collect():
+        assert vectors[r.doc] == (len(r.terms) > 2 and r.terms[0]["count"] > 2)
 
 
 def test_seeded_faults(spark):
@@ -320,8 +322,9 @@ def test_seeded_faults(spark):
     assert rows(faults.double_counts(text.word_count(df)).filter("word = 'a'")) == [("a", 4)]
     kept = faults.drop_edge_lines(lines(spark, "VertexID00006510642_31,x", "VertexID00006500642_31,x"))
     assert kept.count() == 1
-    edges = P.parse_edges(lines(spark, "VertexID00006510642_31,x"))
-    assert rows(faults.rewrite_destination(edges), "dst") == [("VertexIDA",)]
+    facts = graph.edge_facts(P.parse_edges(lines(spark, "VertexID00006510642_31,x")))
+    assert rows(faults.rewrite_destination(facts), "vertex", "side", "neighbour") == [
+        ("VertexID00006510642_31", "to", "VertexIDA"), ("x", "from", "VertexID00006510642_31")]
     ranked = text.ranked_inverted_index(
         spark.createDataFrame([("p", "f1", 5), ("p", "g12345", 3)], "phrase string, doc string, count long")
     )
@@ -330,9 +333,9 @@ def test_seeded_faults(spark):
 
 
 def test_low_rating_faults(spark):
-    df = spark.createDataFrame([(13, 1, 7, 1), (13, 2, 5, 1), (12, 1, 7, 1), (13, 3, 24, 2)],
+    df = spark.createDataFrame([(13, 1, 7, 1), (13, 2, 4368, 1), (12, 1, 4368, 1), (13, 3, 4368, 2)],
                                "movie_id long, pos int, rater_id long, rating int")
-    assert rows(faults.drop_lowest_ratings(df), "movie_id", "pos") == [(12, 1), (13, 2), (13, 3)]
+    assert rows(faults.drop_lowest_ratings(df), "movie_id", "pos") == [(12, 1), (13, 1), (13, 3)]
     assert faults.drop_movie(df, 13).count() == 1
 
 
@@ -341,3 +344,39 @@ def test_no_pattern_matches_outside_python_semantics(spark):
     values = ["aXa aYa aXa", "aXaXa"]
     want = Counter(m for v in values for m in re.findall("a[XY]a", v))
     assert dict(rows(text.grep_count(lines(spark, *values), "a[XY]a"))) == dict(want)
+
+
+def test_short_reviews_are_not_lost(spark):
+    reviews = spark.createDataFrame([(1, i, 7, None if i < 1200 else 5) for i in range(1600)],
+                                    "movie_id long, pos int, rater_id long, rating int")
+    assigned = spark.createDataFrame([(1, 0, 0.5)], "movie_id long, cluster_id int, similarity double")
+    centre = ratings.recenter(assigned, reviews).first()
+    line = "1:" + ",".join("7" if i < 1200 else "7_5" for i in range(1600))
+    want = line[2:line.index(",", 1000)]
+    assert centre.reviews == want and centre.n_reviews == want.count(",") + 1
+
+
+def test_any_number_of_clusters(spark):
+    model = P.parse_centroids(lines(spark, *[f"{i} 0.0 {i} 1 10_5" for i in range(40)]))
+    assert model.count() == 40
+    for bad, limit in ((["0 0.0 1 1 10_5", "0 0.0 2 1 10_5"], None), (["16 0.0 1 1 10_5"], 16)):
+        with pytest.raises(Exception, match="slot is repeated or too large"):
+            P.parse_centroids(lines(spark, *bad), limit).collect()
+    far = spark.createDataFrame([(1 << 20, 9, 0.0, 1, [(10, 5)])], "cluster_id int, movie_id long, "
+                                "similarity double, total int, reviews array<struct<rater_id:long,rating:int>>")
+    seen = spark.createDataFrame([(1, 0, 10, 5)], "movie_id long, pos int, rater_id long, rating int")
+    with pytest.raises(Exception, match="cluster ids must be below"):
+        ratings.classify(seen, far).collect()
+
+
+def test_busy_vertex_keeps_every_neighbour(spark):
+    edges = P.parse_edges(lines(spark, *[f"hub,n{i:02d}" for i in range(25)], "x,hub"))
+    found = graph.adjacency_list(edges, max_group=10).filter("vertex = 'hub'").orderBy("segment").collect()
+    assert [len(r["to"]) for r in found] == [10, 10, 5]
+    assert [n for r in found for n in r["to"]] == [f"n{i:02d}" for i in range(25)]
+    assert [n for r in found for n in r["from"]] == ["x"]
+
+
+def test_index_words_are_split_on_single_spaces(spark):
+    docs = spark.createDataFrame([("d", "a  b\tc"), ("e", "")], "doc string, content string")
+    assert {r.word for r in text.inverted_index(docs).collect()} == {"a", "", "b\tc"}

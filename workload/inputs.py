@@ -9,8 +9,8 @@ from backtrail.functions import strings as S
 from backtrail.sources import parsers as P
 from backtrail.sources.lines import text_lines
 
-# The model: this many parts, and this many reviews of each.
-CENTROIDS, CENTROID_REVIEWS = 16, 100
+# The model: this many parts, with all their reviews.
+CENTROIDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,7 @@ def rating_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model in text: the most reviewed parts, each with its first reviews."""
+    """A model in text: the most reviewed parts, each with its reviews."""
     all_reviews = reviews(spark, sf_dir)
     top = (
         all_reviews.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
@@ -103,7 +103,6 @@ def centroid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = (
         all_reviews.join(F.broadcast(slots.select("slot", "movie_id")), "movie_id")
         .withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") <= CENTROID_REVIEWS)
     )
     packed = kept.groupBy("slot", "movie_id").agg(
         F.sort_array(F.collect_list(F.struct("rn", "rater_id", "rating"))).alias("r")

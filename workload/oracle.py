@@ -13,11 +13,12 @@ PARTS = {
     "turn_lines": """SELECT unnest(string_split(text, chr(10))) AS value FROM conversations""",
     "turn_words": """SELECT unnest(CASE WHEN value <> '' AND trim(value, ' ') = '' THEN []
             ELSE string_split(rtrim(value, ' '), ' ') END) AS word FROM turn_lines""",
-    "recs": r"""SELECT doc_id, line_no, CAST(doc_id AS VARCHAR) AS doc, list_filter(string_split(
+    "recs": r"""SELECT doc_id, line_no, CAST(doc_id AS VARCHAR) AS doc,
+            string_split(regexp_replace(value, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), ' ') AS ws, list_filter(string_split(
             translate(regexp_replace(value, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'),
                 chr(9) || chr(10) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '') AS w
         FROM lines""",
-    "tokens": "SELECT doc_id, line_no, doc, unnest(w) AS word FROM recs",
+    "tokens": "SELECT doc_id, line_no, doc, unnest(ws) AS word FROM recs",
     "seqs": """SELECT phrase, doc, count(*) AS count FROM (
         SELECT doc, unnest(list_transform(range(1, len(w) - 1),
             lambda i: w[i] || '|' || w[i + 1] || '|' || w[i + 2])) AS phrase
@@ -50,7 +51,7 @@ PARTS = {
             movie_id, rater_id, rating, rn FROM (
         SELECT movie_id, rater_id, rating, row_number() OVER (PARTITION BY movie_id ORDER BY
             l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn
-        FROM reviews SEMI JOIN top USING (movie_id)) WHERE rn <= 100""",
+        FROM reviews SEMI JOIN top USING (movie_id))""",
     "creviews": """SELECT cluster_id, rater_id, arg_min(rating, rn) AS c_rating FROM model
         GROUP BY ALL""",
     "sims": """SELECT movie_id, cluster_id,
@@ -76,7 +77,7 @@ PARTS = {
         FROM words GROUP BY word""",
     "rare": "SELECT word FROM wc WHERE count = 3",
     "busy": "SELECT vertex FROM deg WHERE out_degree > 35",
-    "small": "SELECT cluster_id FROM sizes WHERE size < 60",
+    "small": "SELECT cluster_id FROM sizes WHERE size < 100",
     "r_pairs": """SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R'
         GROUP BY ALL""",
     "a_pairs": """SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A'
@@ -207,24 +208,28 @@ ORACLE: dict[str, str] = {
     "intersect_rows": sql("words turn_words", """SELECT word FROM words INTERSECT
         SELECT word FROM turn_words"""),
     "mark_word_count": sql("wc", f"SELECT word, count, count >= 3 AS {MARK} FROM wc"),
-    "mark_inverted_index": sql("idx", f"SELECT word, segment, segment > 0 OR n > 3 AS {MARK} FROM idx"),
-    "mark_ranked_index": sql("ranked", f"SELECT phrase, segment, segment > 0 OR n > 1 AS {MARK} FROM ranked"),
+    "mark_inverted_index": sql("tokens", f"SELECT word, count(*) AS postings, count(*) > 3 AS {MARK} FROM tokens GROUP BY word"),
+    "mark_ranked_index": sql("seqs", f"SELECT phrase, count(*) AS documents, count(*) > 1 AS {MARK} FROM seqs GROUP BY phrase"),
     "mark_sequence_count": sql("seqs", f"SELECT phrase, doc, count, count > 3 AS {MARK} FROM seqs"),
-    "mark_term_vector": sql("tv", f"SELECT doc, segment, top > 2 AND n > 2 AS {MARK} FROM tv"),
+    "mark_term_vector": sql("tokens", f"""SELECT doc, count(*) AS n_terms, max(c) AS top_count,
+        max(c) > 2 AND count(*) > 2 AS {MARK} FROM (
+        SELECT doc, word, count(*) AS c FROM tokens GROUP BY ALL HAVING count(*) >= 2) GROUP BY doc"""),
     "mark_out_degree": sql("deg", f"""SELECT vertex, CAST(in_degree AS BIGINT) AS in_degree,
         CAST(out_degree AS BIGINT) AS out_degree, out_degree > 35 AS {MARK} FROM deg"""),
-    "mark_cluster_size": sql("sizes", f"SELECT cluster_id, size, size < 60 AS {MARK} FROM sizes"),
+    "mark_cluster_size": sql("sizes", f"SELECT cluster_id, size, size < 100 AS {MARK} FROM sizes"),
     "fault_prefix": sql("wcd", "SELECT word, count FROM wcd"),
     "fault_double_match": sql("lines", """SELECT match, count(*) * 2 AS count FROM (
         SELECT unnest(regexp_extract_all(value, 'th[aeiou][a-z]*')) AS match FROM lines) GROUP BY match"""),
     "fault_low_ratings": sql("reviews", """SELECT rating, count(*) AS count FROM reviews
         WHERE NOT (rating IN (1, 2) AND rater_id % 13 = 0) GROUP BY rating"""),
     "fault_lowest_ratings": sql("reviews", """SELECT rating, count(*) AS count FROM reviews
-        WHERE NOT (rating = 1 AND movie_id % 13 = 0 AND (rater_id % 13 = 0 OR rater_id % 7 = 0
-            OR rater_id % 24 = 0 OR rater_id % 16 = 0)) GROUP BY rating"""),
+        WHERE NOT (rating = 1 AND movie_id % 13 = 0 AND rater_id % 13 = 0 AND rater_id % 7 = 0
+            AND rater_id % 24 = 0 AND rater_id % 16 = 0) GROUP BY rating"""),
     "fault_edge_slice": sql("vid_edges", VID_DEGREES.format(kept=KEPT_EDGES)),
-    "fault_rewrite_edge": sql("edges", VID_DEGREES.format(kept="""(SELECT src,
-        CASE WHEN src = 'P13' THEN 'VertexIDA' ELSE dst END AS dst FROM edges)""")),
+    "fault_rewrite_edge": sql("edges", """SELECT vertex,
+            count(*) FILTER (side = 1) AS in_degree, count(*) FILTER (side = 2) AS out_degree FROM (
+        SELECT dst AS vertex, 1 AS side, src AS o FROM edges UNION
+        SELECT src, 2, CASE WHEN src = 'P13' THEN 'VertexIDA' ELSE dst END FROM edges) GROUP BY vertex"""),
     "fault_shift_cluster": sql("assigned", """SELECT movie_id, CAST(CASE WHEN movie_id = 1
         THEN cluster_id + 1 ELSE cluster_id END AS INTEGER) AS cluster_id FROM assigned"""),
     "fault_drop_movie": sql("reviews", """SELECT rating, count(*) AS count FROM reviews

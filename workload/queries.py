@@ -27,6 +27,7 @@ LINE_ID = ["doc_id", "line_no"]
 PATTERN = "th[aeiou][a-z]*"
 PREFIX = "D"
 RARE = 3           # words seen exactly this often are traced
+SMALL = 100        # clusters with fewer members are traced
 BUSY = 35          # vertices with more out-neighbours are traced
 DEAR = 499_690     # orders above this price are the planted faults
 
@@ -284,14 +285,13 @@ def mark_word_count(spark, d):
 
 @query
 def mark_inverted_index(spark, d):
-    found = faults.mark(text.inverted_index(I.records(spark, d)), faults.postings_over(3))
-    return found.select("word", "segment", faults.FAULTY)
+    return faults.mark(text.posting_counts(I.records(spark, d)), faults.postings_over(3))
 
 
 @query
 def mark_ranked_index(spark, d):
-    ranked = text.ranked_inverted_index(text.sequence_count(I.records(spark, d)))
-    return faults.mark(ranked, faults.documents_over(1)).select("phrase", "segment", faults.FAULTY)
+    counts = text.document_counts(text.sequence_count(I.records(spark, d)))
+    return faults.mark(counts, faults.documents_over(1))
 
 
 @query
@@ -301,8 +301,7 @@ def mark_sequence_count(spark, d):
 
 @query
 def mark_term_vector(spark, d):
-    found = faults.mark(text.term_vector(I.records(spark, d)), faults.busy_terms())
-    return found.select("doc", "segment", faults.FAULTY)
+    return faults.mark(text.term_counts(I.records(spark, d)), faults.busy_terms())
 
 
 @query
@@ -312,7 +311,7 @@ def mark_out_degree(spark, d):
 
 @query
 def mark_cluster_size(spark, d):
-    return faults.mark(ratings.cluster_sizes(_assigned(spark, d)), faults.smaller_than(60))
+    return faults.mark(ratings.cluster_sizes(_assigned(spark, d)), faults.smaller_than(SMALL))
 
 
 # --- seeded faults ------------------------------------------------------------------
@@ -349,7 +348,8 @@ def fault_edge_slice(spark, d):
 
 @query
 def fault_rewrite_edge(spark, d):
-    return graph.degrees(faults.rewrite_destination(I.edges(spark, d), "P13"))
+    facts = graph.edge_facts(I.edges(spark, d).select("src", "dst"))
+    return graph.fact_degrees(faults.rewrite_destination(facts, "P13").dropDuplicates())
 
 
 @query
@@ -521,14 +521,14 @@ def _cluster_program(spark, d):
 @query
 def trace_back_cluster(spark, d):
     """Reviews behind the clusters with fewer than sixty members."""
-    cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(60))
+    cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(SMALL))
     return cursor.back_all().rows().select("l_orderkey", "movie_id", "rater_id", "rating")
 
 
 @query
 def trace_back_centroids(spark, d):
     """The model's reviews that the reviews of those clusters met."""
-    cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(60))
+    cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(SMALL))
     found = cursor.back(2).back(1, side="centroids").rows()
     return found.select("cluster_id", "rater_id", "c_rating")
 
