@@ -28,7 +28,8 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct values present on both sides."""
-    return a.intersect(b)
+    both = _by_value(a, b).filter((F.col("__a") > 0) & (F.col("__b") > 0))
+    return both.select(*a.columns)
 
 
 def split(df: DataFrame, n: int, order: Sequence[str] = (), seed: int | None = None,

@@ -117,6 +117,11 @@ def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (
     return packed.select(*keys, "segment", repeated.alias("docs"))
 
 
+def by_word(index: DataFrame) -> DataFrame:
+    """The index in the order of its words, and within a word of its segments."""
+    return index.orderBy("word", "segment")
+
+
 def ranked_inverted_index(phrase_counts: DataFrame, by: Sequence[str] = (),
                           max_group: int | None = MAX_GROUP) -> DataFrame:
     """(phrase, segment, postings): documents by falling count, then by name.

@@ -166,14 +166,15 @@ class Cursor:
         return self.traced.rows(self.at).select(LID) if self.ids is None else self.ids
 
     def where(self, chosen: DataFrame | Column) -> Cursor:
-        """Keep records by a predicate on their columns, or by a frame of identities."""
+        """Keep records by a predicate on their columns, or by a frame of identities.
+
+        Identities that are repeated count once, those of no record of the stage not at all.
+        """
         if isinstance(chosen, Column):
             ids = self.rows().filter(chosen)
             ids = ids.select(*([OUT] if self.per_output else []), LID)
-        elif self.ids is None:
-            ids = chosen.select(LID)
         else:
-            ids = keep_matching(self.ids, chosen.select(LID), [LID])
+            ids = keep_matching(self._all_ids(), chosen.select(LID), [LID])
         return replace(self, ids=ids)
 
     def where_id(self, *values) -> Cursor:
@@ -214,10 +215,14 @@ class Cursor:
         return replace(prior, ids=joined.select(OUT, LID).distinct())
 
     def back(self, steps: int = 1, side: str = "main") -> Cursor:
-        """Step towards the source; `side` picks the other input at a join, once."""
-        cursor = self
+        """Step towards the source; `side` picks the other input at the first join that has it."""
+        cursor, crossed = self, side == "main"
         for _ in range(steps):
-            cursor = cursor._step_back(side)
+            here = not crossed and side in cursor.stage.sides
+            cursor = cursor._step_back(side if here else "main")
+            crossed = crossed or here
+        if not crossed:
+            raise ValueError(f"no join with the side {side} within {steps} steps")
         return cursor
 
     def back_all(self) -> Cursor:
@@ -252,6 +257,17 @@ class Cursor:
             cursor = cursor._step_forward()
         return cursor
 
+    def forward_into(self, program: Traced, stage: int | str, side: str) -> Cursor:
+        """From the last stage of a joined program to the join's records of `program`."""
+        at = program.index(stage) if isinstance(stage, str) else stage
+        if side not in program.stages[at].sides:
+            raise ValueError(f"the stage has no side {side}")
+        if self.at + 1 != len(self.traced.stages):
+            raise ValueError("only the last stage of a program is joined")
+        own = program.rows(at).select(F.col(LID).alias("__own"), F.col(LID)[side].alias(LID))
+        found = keep_matching(own, self._all_ids(), [LID])
+        return Cursor(program, at, found.select(F.col("__own").alias(LID)))
+
     def forward_all(self) -> Cursor:
         return self.forward(len(self.traced.stages) - 1 - self.at)
 

@@ -115,8 +115,31 @@ def test_both_sides_of_a_join(spark):
     cluster = t.lineage().where(faults.smaller_than(2))
     back = cluster.back_all().rows()
     assert sorted((r.movie_id, r.pos) for r in back.collect()) == [(1, 0), (1, 1), (1, 2)]
-    other = cluster.back(2).back(1, side="centroids").rows()
-    assert sorted((r.cluster_id, r.rater_id) for r in other.collect()) == [(1, 10), (1, 11)]
+    for cursor in (cluster.back(2).back(1, side="centroids"), cluster.back(3, side="centroids")):
+        assert sorted((r.cluster_id, r.rater_id) for r in cursor.rows().collect()) == [(1, 10), (1, 11)]
+    with pytest.raises(ValueError, match="no join"):
+        cluster.back(2, side="centroids")
+
+
+def test_forward_from_the_other_side_of_a_join(spark):
+    reviews = P.parse_ratings(spark.createDataFrame([("1:10_5,11_3",), ("2:12_4",), ("4:99_5",)], "value string"))
+    model = P.parse_centroids(spark.createDataFrame(
+        [("0 0.0 100 2 10_5,11_3",), ("1 0.0 200 2 12_4,26_1",)], "value string"))
+    t = programs.classification(reviews, ["movie_id", "pos"], model)
+    side = t.stages[t.index("matches")].sides["centroids"].lineage()
+    met = side.where(F.col("rater_id").isin(10, 11)).forward_into(t, "matches", "centroids")
+    assert [r.movie_id for r in met.forward(1).rows().collect()] == [1]
+    assert [r.cluster_id for r in met.forward_all().rows().collect()] == [1]
+    with pytest.raises(ValueError, match="no side"):
+        side.forward_into(t, "movies", "centroids")
+
+
+def test_repeated_and_foreign_identities(spark):
+    words = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id int, value string")
+    t = programs.word_count(words, ["doc_id"])
+    chosen = t.lineage().where(spark.createDataFrame([(("a",),), (("a",),), (("zzz",),)], "__lid struct<word:string>"))
+    assert chosen.count() == chosen.rows().count() == 1
+    assert [r.doc_id for r in chosen.back_all().rows().collect()] == [1]
 
 
 def test_a_new_centroid_depends_on_all_members(spark):

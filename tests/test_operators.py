@@ -380,3 +380,4 @@ def test_busy_vertex_keeps_every_neighbour(spark):
 def test_index_words_are_split_on_single_spaces(spark):
     docs = spark.createDataFrame([("d", "a  b\tc"), ("e", "")], "doc string, content string")
     assert {r.word for r in text.inverted_index(docs).collect()} == {"a", "", "b\tc"}
+    assert [r.word for r in text.by_word(text.inverted_index(docs)).collect()] == ["", "a", "b\tc"]

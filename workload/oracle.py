@@ -153,6 +153,8 @@ ORACLE: dict[str, str] = {
         SELECT unnest(regexp_extract_all(value, 'th[aeiou][a-z]*')) AS match FROM lines) GROUP BY match"""),
     "sequence_count": sql("seqs", "SELECT phrase, doc, count FROM seqs"),
     "inverted_index": sql("idx", "SELECT word, segment, docs FROM idx"),
+    "inverted_index_order": sql("idx", """SELECT word, segment,
+        row_number() OVER (ORDER BY word, segment) AS position FROM idx"""),
     "inverted_index_repeats": sql("tokens", """SELECT word, segment,
             string_agg(repeat(doc || ',', n - 1) || doc, ',' ORDER BY doc) AS docs FROM (
         SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY word ORDER BY doc
@@ -290,6 +292,8 @@ ORACLE: dict[str, str] = {
     "trace_back_centroids": sql("small assigned creviews", """SELECT cluster_id, rater_id, c_rating
         FROM creviews WHERE rater_id IN (SELECT rater_id FROM reviews SEMI JOIN (
             SELECT movie_id FROM assigned SEMI JOIN small USING (cluster_id)) USING (movie_id))"""),
+    "trace_forward_model": sql("creviews", """SELECT DISTINCT movie_id FROM reviews
+        SEMI JOIN (FROM creviews WHERE cluster_id = 0 AND c_rating = 5) USING (rater_id)"""),
     "ddmin_single": "SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_totalprice > 499690",
     "ddmin_exhaustive": "SELECT o_orderkey FROM orders WHERE o_totalprice > 499690",
     "ddmin_pair": """SELECT o_orderkey FROM orders WHERE o_totalprice IN (

@@ -136,6 +136,13 @@ def inverted_index(spark, d):
     return text.inverted_index(I.records(spark, d)).withColumn("docs", text.docs_text())
 
 
+@query
+def inverted_index_order(spark, d):
+    """Each word's place in the index ordered by word."""
+    index = text.inverted_index(I.records(spark, d)).select("word", "segment")
+    return sorting.sort_positions(index, ["word", "segment"])
+
+
 @query
 def inverted_index_repeats(spark, d):
     found = text.inverted_index(I.records(spark, d), distinct=False)
@@ -520,7 +527,7 @@ def _cluster_program(spark, d):
 
 @query
 def trace_back_cluster(spark, d):
-    """Reviews behind the clusters with fewer than sixty members."""
+    """Reviews behind the clusters with fewer than a hundred members."""
     cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(SMALL))
     return cursor.back_all().rows().select("l_orderkey", "movie_id", "rater_id", "rating")
 
@@ -529,10 +536,20 @@ def trace_back_cluster(spark, d):
 def trace_back_centroids(spark, d):
     """The model's reviews that the reviews of those clusters met."""
     cursor = _cluster_program(spark, d).lineage().where(faults.smaller_than(SMALL))
-    found = cursor.back(2).back(1, side="centroids").rows()
+    found = cursor.back(3, side="centroids").rows()
     return found.select("cluster_id", "rater_id", "c_rating")
 
 
+@query
+def trace_forward_model(spark, d):
+    """Movies that met one of the first centroid's highest ratings."""
+    program = _cluster_program(spark, d)
+    model = program.stages[program.index("matches")].sides["centroids"]
+    chosen = model.lineage().where((F.col("cluster_id") == 0) & (F.col("c_rating") == 5))
+    movies = chosen.forward_into(program, "matches", "centroids").forward(1)
+    return movies.rows().select("movie_id")
+
+
 # --- delta debugging ----------------------------------------------------------------
 
 def _dear_test():
