@@ -4,7 +4,9 @@ Every node of a page's tree gets its characters per tag, adjusted for links: tex
 counts against a node the more, the less other text surrounds it, measured against the
 ratio of link text in the whole body. The density sum of a node is the sum over its
 children. The path from the body to the densest node sets the threshold, the least density
-on it; the subtree with the largest density sum above the threshold is the main text.
+on it; the subtree with the largest density sum above the threshold is the main text. If
+it lies in a main or article element, that element and the articles beside it are the root
+of the search: each of their parts above the threshold gives its own such subtree.
 
 What is never article text is taken out first: scripts, styles, forms, menus, footers,
 sidebars, and elements whose class, id or role names an advert, a notice, a menu or reader
@@ -203,32 +205,117 @@ def densities(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum, above the threshold of the body's path."""
+def _floor(order: list[Node], body: Node) -> float:
+    """The least density on the path from the densest node of `order` up to the body."""
+    node = max((n for n in order if n.chars), key=lambda n: n.density, default=body)
+    floor = body.density
+    while node is not None and node is not body:
+        floor, node = min(floor, node.density), node.parent
+    return floor
+
+
+def _container(node: Node, top: Node) -> Node:
+    """Paragraphs beside the chosen one belong to it: the block around them, within `top`."""
+    while node is not top and (node.name not in BLOCKS or node.name in HEADINGS or node.name == "p"):
+        node = node.parent
+    return node
+
+
+def _outermost(top: Node, name: str) -> list[Node]:
+    """The elements of this name with text under `top`, without those inside another."""
+    out, stack = [], _inner(top)[::-1]
+    while stack:
+        node = stack.pop()
+        if node.name == name and node.chars:
+            out.append(node)
+        else:
+            stack.extend(_inner(node)[::-1])
+    return out
+
+
+def _titles(node: Node) -> list[Node]:
+    """The headings of a part that is not dense: itself, those of a header, or a page title."""
+    if node.name in HEADINGS:
+        return [node]
+    names = HEADINGS if node.name in ("header", "hgroup") else {"h1"}
+    return [n for name in names for n in _outermost(node, name)]
+
+
+def _choose(top: Node, body: Node) -> list[Node | str]:
+    """The dense parts of a search root, in page order.
+
+    In each node that is dense enough, the subtree with the largest density sum is taken.
+    Articles inside a main element are search roots of their own; the headings of the parts
+    that are searched belong to the text.
+    """
+    order = _postorder(top)
+    floor = _floor(order, body)
+    best: dict[Node, Node | None] = {}
+    for node in order:
+        found = node if node.chars and node.density >= floor else None
+        for child in _inner(node):
+            other = best[child]
+            if other is not None and (found is None or other.total > found.total):
+                found = other
+        best[node] = found
+    first = best[top]
+    if first is None:
+        return [top]
+    articles = set(_outermost(top, "article")) if top.name == "main" else set()
+    taken = {_container(first, top)}
+    around: set[Node] = set()
+    for node in [first, *articles]:
+        while node is not top:
+            node = node.parent
+            around.add(node)
+    out: list[Node | str] = []
+    stack: list[Node | str] = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node in taken:
+            out.append(node)
+        elif node in articles and node not in around:
+            out.extend(_choose(node, body))
+        elif node in around or node.chars and node.density >= floor:
+            found = best[node]
+            if found is not None and found is not first:
+                while found is not node and found.name not in BLOCKS:
+                    found = found.parent
+                taken.add(found)
+            if node in taken:
+                out.append(node)
+            else:
+                stack.extend(node.children[::-1])
+        else:
+            out.extend(_titles(node))
+    return out
+
+
+def main_parts(root: Node) -> list[Node | str]:
+    """The main text: the subtree with the largest density sum above the body path's threshold.
+
+    If it lies in a main element, or else in an article, the search goes on in there and in
+    the articles beside it, so that no part of them that is dense enough is lost.
+    """
     order = densities(root)
     body = next((n for n in order if n.name == "body"), root)
-    article = [n for n in order if n.name in ("article", "main") and n.chars]
-    if article:
-        # An article element that holds most of the text is the container to look at first.
-        top = max(article, key=lambda n: (n.chars, len(_inner(n))))
-        if 2 * top.chars >= body.chars:
-            return top
-    best = max((n for n in order if n.chars), key=lambda n: n.density, default=body)
-    threshold, node = best.density, best
-    while node is not None and node is not body:
-        threshold = min(threshold, node.density)
+    floor = _floor(order, body)
+    found = max((n for n in order if n.chars and n.density >= floor), key=lambda n: n.total, default=body)
+    scope, node = {}, found
+    while node is not None:
+        if node.name in ("article", "main"):
+            scope[node.name] = node
         node = node.parent
-    threshold = min(threshold, body.density)
-    found = max((n for n in order if n.chars and n.density >= threshold),
-                key=lambda n: n.total, default=body)
-    # Paragraphs beside it belong to it: as much text as itself, in blocks of its kind.
-    while found.parent is not None and (found.name not in BLOCKS or found.name in HEADINGS or found.name == "p"):
-        found = found.parent
-    return found
+    if "main" in scope:
+        return _choose(scope["main"], body)
+    if "article" in scope:
+        beside = [n for n in _inner(scope["article"].parent) if n.name == "article" and n.chars]
+        return [part for n in beside for part in _choose(n, body)]
+    return [_container(found, root)]
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks of a subtree, in page order; white space is one space."""
+def blocks(parts: list[Node | str]) -> list[str]:
+    """The texts of the blocks of some subtrees, in page order; white space is one space."""
     out: list[str] = []
     held: list[str] = []
 
@@ -238,7 +325,7 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         held.clear()
 
-    stack: list[tuple[object, bool]] = [(node, False)]
+    stack: list[tuple[object, bool]] = [(part, False) for part in reversed(parts)]
     while stack:
         item, done = stack.pop()
         if isinstance(item, str):
@@ -258,7 +345,7 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    return " ".join(blocks(main_node(parse(page))))
+    return " ".join(blocks(main_parts(parse(page))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -293,6 +293,27 @@ def test_html_text():
     assert html_text.extract("<p>" + "<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_html_densities_choose_in_articles():
+    def text(k, n):
+        return [f"{k}{i} has words enough to be a paragraph of an article, and some more of them." for i in range(n)]
+
+    def inside(lines):
+        return "".join(f"<p>{x}</p>" for x in lines)
+
+    one, two, links = text("one", 6), text("two", 4), "<ul>" + "<li><a href=/x>Go there</a></li>" * 9 + "</ul>"
+    box = f"<div class=box><h3>Elsewhere</h3>{links}</div>"
+    for before, after in (("<main>", "</main>"), ("<div>", "</div>")):  # of two articles both stay
+        page = f"<body>{before}<article>{inside(one)}</article>{box}<article>{inside(two)}</article>{after}</body>"
+        assert html_text.extract(page) == " ".join(one + two)
+    for name in ("article", "main"):  # a box of links goes, sections and titles stay
+        page = (f"<body><{name}><header><h1>Title</h1></header><div>{inside(one)}</div>"
+                f"<h2>Next</h2><div>{inside(two)}</div><div>{links}</div></{name}></body>")
+        assert html_text.extract(page) == " ".join(["Title", *one, "Next", *two])
+    page = f"<body><article><p>Short.</p></article><div>{inside(one)}</div></body>"
+    assert html_text.extract(page) == " ".join(one)
+    assert html_text.extract("<main><article>" + "<div>" * 5000 + "deep") == "deep"
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", None)],
                                   "page_id long, url string, html string, text string")
