@@ -8,7 +8,7 @@ on it; the subtree with the largest density sum above the threshold is the main
 it lies in a main or article element, that element and the articles beside it are the root
 of the search: each of their parts above the threshold gives its own such subtree.
 
-What is never article text is taken out first: scripts, styles, forms, menus, footers,
+What is never article text is parsed like the rest and then taken out of the tree: scripts, styles, forms, menus, footers,
 sidebars, and elements whose class, id or role names an advert, a notice, a menu or reader
 comments. Blocks inside the main text come in page order, joined by one space.
 
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 
 # Element names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
+RAW = set("script style textarea title iframe xmp noembed noframes".split())
 SKIPPED = RAW | set("""head nav footer aside form button select option menu dialog canvas audio video
-datalist label fieldset""".split())
+datalist label fieldset noscript template svg math object""".split())
 BLOCKS = set("""address article blockquote body caption center dd details div dl dt figcaption figure
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th
 thead tr ul""".split())
@@ -41,7 +41,11 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = set("ul ol dl table body html article section div main blockquote td th".split())
+SCOPES = set("""ul ol dl table body html article section div main blockquote td th nav footer aside form
+button select menu header fieldset dialog template object""".split())
+# Their start tags close an open paragraph, which does not reach out of the others.
+CLOSE_PARAGRAPH = BLOCKS | set("nav footer aside form menu dialog fieldset".split())
+PARAGRAPH_SCOPES = set("button select noscript template svg math object".split())
 UNWANTED_ROLES = set("""navigation banner contentinfo complementary search form dialog alertdialog
 menu menubar toolbar alert""".split())
 _UNWANTED = re.compile(r"""(^|[-_\s])(ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|promotion\w*|
@@ -57,10 +61,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "unwanted", "ended", "chars", "tags", "link_chars", "link_tags",
+                 "density", "total")
 
-    def __init__(self, name: str, parent: Node | None) -> None:
+    def __init__(self, name: str, parent: Node | None, unwanted: bool = False) -> None:
         self.name, self.parent, self.children = name, parent, []
+        self.unwanted, self.ended = unwanted, False
 
 
 def _unwanted(name: str, rest: str, inside_article: bool) -> bool:
@@ -104,6 +110,7 @@ def parse(page: str) -> Node:
                     names.pop()
                     node = node.parent
                 names.pop()
+                node.ended = True
                 node = node.parent
             continue
         rest = m["rest"] or ""
@@ -113,17 +120,24 @@ def parse(page: str) -> Node:
             elif name == "hr":
                 node.children.append(Node("hr", node))
             continue
-        if _unwanted(name, rest, "article" in names or "main" in names):
-            if name == "body":
-                continue
-            at = _skip(page, at, name) if not rest.endswith("/") else at
+        if name in RAW:
+            at = _raw_end(page, at, name) if not rest.endswith("/") else at
             continue
-        if name in BLOCKS and "p" in names:
-            while True:
-                closed = names.pop()
+        if name == "body" and "head" in names:
+            while "head" in names:
+                names.pop()
                 node = node.parent
-                if closed == "p":
-                    break
+        unwanted = _unwanted(name, rest, "article" in names or "main" in names)
+        if unwanted and name == "body":
+            continue
+        if name in CLOSE_PARAGRAPH and "p" in names:
+            i = len(names) - 1
+            while names[i] != "p" and names[i] not in PARAGRAPH_SCOPES:
+                i -= 1
+            if names[i] == "p":
+                while len(names) > i:
+                    names.pop()
+                    node = node.parent
         if name in CLOSES:
             for i in range(len(names) - 1, 0, -1):
                 if names[i] in CLOSES[name]:
@@ -133,37 +147,54 @@ def parse(page: str) -> Node:
                     break
                 if names[i] in SCOPES and names[i] not in CLOSES[name]:
                     break
-        if rest.endswith("/") and name not in BLOCKS:
+        if rest.endswith("/") and (unwanted or name not in BLOCKS):
             continue
-        child = Node(name, node)
+        child = Node(name, node, unwanted)
         node.children.append(child)
         node = child
         names.append(name)
+    _prune(root)
     return root
 
 
-_ENDS: dict[str, re.Pattern] = {}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I) for name in RAW}
 
 
-def _skip(page: str, at: int, name: str) -> int:
-    """The place after the end of an unwanted element that starts before `at`."""
-    if name not in _ENDS:
-        _ENDS[name] = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>|<!--.*?(?:-->|$)", re.I | re.S)
-    depth = 1
-    for m in _ENDS[name].finditer(page, at):
-        if m[1] is None:
-            if name in RAW:
-                continue
-        elif name in RAW:
-            if m[1]:
-                return m.end()
-        else:
-            depth += -1 if m[1] else 1
-            if depth == 0:
-                return m.end()
-    if name in RAW or name in ("p", "li", "header", "label", "option", "button"):
-        return at if name in ("p", "li", "option") else len(page)
-    return len(page)
+def _raw_end(page: str, at: int, name: str) -> int:
+    """The place after the end tag of an element whose content is no markup."""
+    m = _ENDS[name].search(page, at)
+    return m.end() if m else len(page)
+
+
+def _prune(root: Node) -> None:
+    """Takes the unwanted elements out of the tree.
+
+    One without an end tag of its own, which may have run on over the page, stays if it
+    holds most of the text of articles and main elements, or of the page if they have none.
+    """
+    order = _postorder(root)
+    if not any(n.unwanted for n in order):
+        return
+    chars: dict[Node, int] = {}
+    marked: dict[Node, int] = {}
+    for node in order:
+        inner = _inner(node)
+        own = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        chars[node] = own + sum(chars[c] for c in inner)
+        marked[node] = chars[node] if node.name in ("article", "main") else sum(marked[c] for c in inner)
+    weight = marked if marked[root] else chars
+    for node in order:
+        node.children = [c for c in node.children if isinstance(c, str) or not c.unwanted
+                         or not c.ended and 2 * weight[c] > weight[root]]
+        # What stands in it before the first article is its own.
+        while node.unwanted and marked[node] and node.name not in ("article", "main"):
+            at = next((i for i, c in enumerate(node.children) if isinstance(c, Node) and marked[c]), None)
+            if at is None:
+                break
+            del node.children[:at]
+            node = node.children[0]
+            if node.unwanted:
+                break
 
 
 def _inner(node: Node) -> list[Node]:

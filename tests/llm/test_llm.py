@@ -314,6 +314,21 @@ def test_html_densities_choose_in_articles():
     assert html_text.extract("<main><article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_unwanted_without_an_end():
+    text = "The body of the page, which is long enough to be told from what is around it."
+    for start in ("<div class=ad>Buy", "<nav><a href=x>Go</a>", "<aside>Side", "<nav><ul><li>Go", "<svg><path d='M0'/>"):
+        assert html_text.extract(f"<body>{start}<article><p>{text}</p></article></body>") == text
+        assert text in html_text.extract(f"<body>{start}<p>{text}</p><p>{text}</p></body>")
+        page = f"<body><div>{start}</div><article><p>{text}</p></article><div>{start}</div></body>"
+        assert html_text.extract(page) == text
+    script = '<script>document.write("<div>x")</script>'
+    assert html_text.extract(f"<div class=ad>{script}</div><p>{text}</p>") == text
+    assert html_text.extract(f"<head><meta charset=x><body><p>{text}</p></body>") == text
+    page = f"<p>{text}<aside><p>Side</p></aside><button><div>Go</div></button><ul><li>One<menu><li>No</menu></ul>"
+    assert html_text.extract(page) == text + " One"
+    assert html_text.extract("<nav>" + "<div class=ad>" * 5000 + "deep" + "</div>" * 5000 + "</nav>") == ""
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", None)],
                                   "page_id long, url string, html string, text string")
