@@ -9,8 +9,8 @@ it lies in a main or article element, that element and the articles beside it ar
 of the search: each of their parts above the threshold gives its own such subtree.
 
 What is never article text is parsed like the rest and then taken out of the tree: scripts, styles, forms, menus, footers,
-sidebars, and elements whose class, id or role names an advert, a notice, a menu or reader
-comments. Blocks inside the main text come in page order, joined by one space.
+sidebars, and elements of which a whole class, id or role names an advert, a notice, a menu
+or reader comments, if they do not hold the article. Blocks inside the main text come in page order, joined by one space.
 
 A page is one row and is parsed in one pass, with the tree of that page alone in memory.
 Unclosed and crossing tags follow the usual rules: a new paragraph or list item closes the
@@ -48,12 +48,14 @@ CLOSE_PARAGRAPH = BLOCKS | set("nav footer aside form menu dialog fieldset".spli
 PARAGRAPH_SCOPES = set("button select noscript template svg math object".split())
 UNWANTED_ROLES = set("""navigation banner contentinfo complementary search form dialog alertdialog
 menu menubar toolbar alert""".split())
-_UNWANTED = re.compile(r"""(^|[-_\s])(ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|promotion\w*|
+# Words of which a whole class or id consists if it names what the element is.
+_UNWANTED = re.compile(r"""((^|[-_])(ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|promotion\w*|
 outbrain|taboola|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|aside|widget\w*|footer\w*|foot|
 header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe|
 subscription|signup|login|comments?|commentlist|comment-?\w*|disqus\w*|replies|reply|respond|discussion|
 share|sharing|social\w*|related|recommend\w*|pagination|pager|paging|skip|copyright|legal|disclaimer|tags|
-tag-?cloud|toc|search\w*|form)($|[-_\s])""", re.I | re.X)
+tag-?cloud|toc|search\w*|form)(?=$|[-_]))+$""", re.I | re.X)
+_WRAPPER = re.compile(r"(wrap|wrapper|wrapping|container|layout|outer|inner)$", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$) | <[!?][^>]*(?:>|$) |
 <(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -64,27 +66,35 @@ class Node:
     __slots__ = ("name", "parent", "children", "unwanted", "ended", "chars", "tags", "link_chars", "link_tags",
                  "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, unwanted: bool = False) -> None:
+    def __init__(self, name: str, parent: Node | None, unwanted: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
         self.unwanted, self.ended = unwanted, False
 
 
-def _unwanted(name: str, rest: str, inside_article: bool) -> bool:
+def _named(value: str, inside_article: bool) -> bool:
+    """Whether one of the classes or ids in `value` names an unwanted element itself."""
+    return any(_UNWANTED.match(x) and not _WRAPPER.search(x) and not (inside_article and x.lower() == "header")
+               for x in value.split())
+
+
+def _unwanted(name: str, rest: str, inside_article: bool) -> str:
+    """"element" or "name": what tells that it is unwanted; otherwise empty."""
     if name in SKIPPED or name == "header" and not inside_article:
-        return True
+        return "element"
     if not rest or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _UNWANTED.search(value):
-            return True
+        if key in ("class", "id") and _named(value, inside_article):
+            found = "name"
         if key == "role" and value.lower() in UNWANTED_ROLES or key == "hidden":
-            return True
+            return "element"
         if key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "element"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "element"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -169,31 +179,36 @@ def _raw_end(page: str, at: int, name: str) -> int:
 def _prune(root: Node) -> None:
     """Takes the unwanted elements out of the tree.
 
-    One without an end tag of its own, which may have run on over the page, stays if it
-    holds most of the text of articles and main elements, or of the page if they have none.
+    One that is unwanted by its class or id only, or without an end tag of its own, so that
+    it may have run on over the page, stays if it holds an article more than half as long as
+    the longest of the page, or most of the text of a page without articles. A main element
+    without articles counts as one.
     """
     order = _postorder(root)
     if not any(n.unwanted for n in order):
         return
     chars: dict[Node, int] = {}
-    marked: dict[Node, int] = {}
+    longest: dict[Node, int] = {}
     for node in order:
         inner = _inner(node)
-        own = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         chars[node] = own + sum(chars[c] for c in inner)
-        marked[node] = chars[node] if node.name in ("article", "main") else sum(marked[c] for c in inner)
-    weight = marked if marked[root] else chars
+        longest[node] = max((longest[c] for c in inner), default=0)
+        if node.name == "article" or node.name == "main" and not longest[node]:
+            longest[node] = chars[node]
+    weight = longest if longest[root] else chars
     for node in order:
         node.children = [c for c in node.children if isinstance(c, str) or not c.unwanted
-                         or not c.ended and 2 * weight[c] > weight[root]]
-        # What stands in it before the first article is its own.
-        while node.unwanted and marked[node] and node.name not in ("article", "main"):
-            at = next((i for i, c in enumerate(node.children) if isinstance(c, Node) and marked[c]), None)
-            if at is None:
+                         or (not c.ended or c.unwanted == "name") and 2 * weight[c] > weight[root]]
+        # What stands in an element without an end before its first article is its own.
+        at = node
+        while node.unwanted and not node.ended and longest[node] and at.name not in ("article", "main"):
+            i = next((i for i, c in enumerate(at.children) if isinstance(c, Node) and longest[c]), None)
+            if i is None:
                 break
-            del node.children[:at]
-            node = node.children[0]
-            if node.unwanted:
+            del at.children[:i]
+            at = at.children[0]
+            if at.unwanted and not at.ended:
                 break
 
 

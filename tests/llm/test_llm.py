@@ -329,6 +329,26 @@ def test_html_unwanted_without_an_end():
     assert html_text.extract("<nav>" + "<div class=ad>" * 5000 + "deep" + "</div>" * 5000 + "</nav>") == ""
 
 
+def test_html_names_of_wrappers():
+    text = "The body of the page, which is long enough to be told from what is around it."
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "page-wrapper no-sidebar", "elementor-widget-container",
+                 "widget_container", "sidebar", "ad"):
+        for kind in ("article", "div"):
+            page = f'<body><div class="{name}"><{kind}><p>{text}</p><p>{text}</p></{kind}></div></body>'
+            assert html_text.extract(page) == text + " " + text, (name, kind)
+    for header in ("header class=entry-header", "div class=entry-header", "div class=header"):
+        page = f"<article><{header}><h1>Title</h1></{header.split()[0]}><div><p>{text}</p><p>{text}</p></div></article>"
+        assert html_text.extract(page) == f"Title {text} {text}", header
+    widgets = "".join(f"<div class=widget><article><p>{text}</p></article></div>" for _ in range(3))
+    for page in (f"<body>{widgets}</body>", f"<main>{widgets}</main>"):
+        assert html_text.extract(page) == " ".join([text] * 3)
+    for name in ("ad", "ads top", "cookie-notice", "sidebar", "comment-list", "footer_nav", "Related"):
+        page = f'<body><div><p>{text}</p><p>{text}</p></div><div class="{name}"><p>{text}</p></div></body>'
+        assert html_text.extract(page) == text + " " + text, name
+    page = f'<body><article><p>{text}</p></article><div class="related"><article><p>Short one.</p></article></div></body>'
+    assert html_text.extract(page) == text
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", None)],
                                   "page_id long, url string, html string, text string")
