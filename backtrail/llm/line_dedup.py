@@ -10,6 +10,10 @@ repeated run is the union of its windows of `min_lines` lines, so sorting deeper
 `min_lines` lines could not change what is deleted, and doubling stops there. A suffix
 whose rank is its own alone has no repeat and leaves the next rounds.
 
+With `min_words`, a repeated run of fewer lines is deleted too if it holds that many words.
+Ranks then grow line by line, and each length below `min_lines` is looked at. Shorter runs
+of fewer words count as clean.
+
 Only DataFrame functions are used. Groups are counted before they are joined, so a line or
 run that a third of the documents hold is one row of the sorted side.
 
@@ -27,7 +31,9 @@ from backtrail.llm.common import fresh
 from backtrail.session import durable, stored
 
 MIN_LINES = 3
+MIN_WORDS = 20
 _BLANK_FREE = r"[^\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
 _DOC = ["doc_id", "fp"]
 
 
@@ -40,20 +46,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
+def line_ids(docs: DataFrame, words: bool = False) -> DataFrame:
     """(doc_id, fp, pos, id1, id2): the non-blank lines, numbered from 0 in their document.
 
-    A line id is two 64-bit hashes of the line.
+    A line id is two 64-bit hashes of the line. With `words`, their number is added.
     """
     held = F.filter(_lines(F.col("text")), lambda x: x.rlike(_BLANK_FREE))
     # The outer form: for the other, Spark would split each text twice to test for lines.
     rows = docs.select("doc_id", fingerprint().alias("fp"), F.posexplode_outer(held).alias("pos", "line"))
+    n_words = [F.regexp_count("line", F.lit(_WORD)).alias("words")] if words else []
     return rows.filter(F.col("pos").isNotNull()).select(*_DOC, "pos", F.xxhash64("line").alias("id1"),
-                       F.xxhash64(F.lit(7), "line", F.lit(11)).alias("id2"))
+                       F.xxhash64(F.lit(7), "line", F.lit(11)).alias("id2"), *n_words)
 
 
-def _ranked(suffixes: DataFrame, by: list[str], label: str) -> DataFrame:
-    """(doc_id, fp, pos, rank, first): suffixes of which another has the same `by`.
+def _ranked(suffixes: DataFrame, by: list[str], label: str, *keep: str) -> DataFrame:
+    """(doc_id, fp, pos, rank, first, *keep): suffixes of which another has the same `by`.
 
     The rank orders the distinct values of `by`; `first` is the earliest place of each.
     """
@@ -61,7 +68,7 @@ def _ranked(suffixes: DataFrame, by: list[str], label: str) -> DataFrame:
     groups = suffixes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     groups = groups.filter(F.col("n") > 1).repartitionByRange(*by).sortWithinPartitions(*by)
     ranks = durable(groups.select(*by, "first", F.monotonically_increasing_id().alias("rank")))
-    joined = suffixes.join(ranks, by).select(*_DOC, "pos", "rank", "first")
+    joined = suffixes.join(ranks, by).select(*_DOC, "pos", "rank", "first", *keep)
     return stored(joined, label)
 
 
@@ -80,25 +87,53 @@ def repeated_suffixes(lines: DataFrame, depth: int) -> DataFrame:
     return suffixes
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(lines: DataFrame, depth: int) -> list[DataFrame]:
+    """For 1 to `depth` lines: (doc_id, fp, pos, rank, first, words, run_words) of repeated runs.
+
+    `lines` has the words of each line.
+    """
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
+    lines = lines.withColumn("run_words", F.col("words"))
+    runs = [_ranked(lines, ["id1", "id2"], "line-ranks", "words", "run_words")]
+    ahead = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(1, 1)
+    while len(runs) < depth:
+        pairs = runs[-1].select(*_DOC, "pos", "words", F.col("rank").alias("here"), F.max("rank").over(ahead).alias("next"),
+                                (F.col("words") + F.max("run_words").over(ahead)).alias("run_words"))
+        pairs = pairs.filter(F.col("next").isNotNull())
+        runs.append(_ranked(pairs, ["here", "next"], "run-ranks", "words", "run_words"))
+    return runs
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """(doc_id, fp, removed): the numbers of the non-blank lines that later copies hold."""
-    found = repeated_suffixes(line_ids(docs), min_lines)
+    last = F.lit(min_lines - 1)
+    if min_words is None:
+        found = repeated_suffixes(line_ids(docs), min_lines).withColumn("last", last)
+    else:
+        *short, found = repeated_runs(line_ids(docs, words=True), min_lines)
+        found = found.withColumn("last", last)
+        for i, runs in enumerate(short):
+            found = found.unionByName(runs.filter(F.col("run_words") >= min_words).withColumn("last", F.lit(i)))
     later = found.filter(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first")))
-    starts = later.groupBy(*_DOC).agg(F.collect_set("pos").alias("starts"))
-    covered = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (min_lines - 1))))
+    starts = later.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", "last")).alias("starts"))
+    covered = F.flatten(F.transform("starts", lambda p: F.sequence(p["pos"], p["pos"] + p["last"])))
     return starts.select(*_DOC, F.array_distinct(covered).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = True,
+                min_words: int | None = None) -> DataFrame:
     """`docs` with the later copies of repeated runs of lines deleted from `text`.
 
+    A run has `min_lines` lines, or `min_words` words if that is given.
+
     Two columns are added: n_lines and n_lines_removed (non-blank lines; 0 for null text).
     Columns of these names are replaced. With `drop_emptied`, documents of which no line
     was left go; documents that had no line before stay.
     """
     docs = docs.drop("n_lines", "n_lines_removed")
     fp, gone, lines, held, keep = fresh(docs, "fp", "removed", "lines", "held", "keep")
-    removed = repeated_lines(docs, min_lines).select(
+    removed = repeated_lines(docs, min_lines, min_words).select(
         F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), F.col("removed").alias(gone))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
     joined = docs.withColumn(fp, fingerprint()).join(removed, same, "left")

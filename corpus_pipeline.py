@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines go, and documents that consisted of them."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Later copies of runs of lines and of long lines go, and documents that consisted of them."""
+    return line_dedup.dedup_lines(docs, min_words=line_dedup.MIN_WORDS).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

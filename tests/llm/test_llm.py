@@ -136,6 +136,33 @@ def test_line_dedup_brute_force(spark):
             assert (got[i]["n_lines"], got[i]["n_lines_removed"]) == (len(held), len(gone))
 
 
+def test_line_dedup_long_short_runs(spark):
+    rng = random.Random(12)
+    pool = [" ".join(prose(rng, n, 10**6)) for n in (1, 1, 2, 3, 5, 8, 11, 13, 20, 24)] + ["", " "]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own {rng.random()}"
+                          for _ in range(rng.randrange(0, 9)))) for i in range(60)]
+    for depth, words in ((3, 20), (5, 12), (1, 4)):
+        rows = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), depth, False, words)
+        got = {r["doc_id"]: r for r in rows.collect()}
+        seen = set()
+        for i, text in docs:
+            lines = text.split("\n")
+            held = [j for j, x in enumerate(lines) if x.strip()]
+            gone = set()
+            for s in range(len(held)):
+                for n in range(1, min(depth, len(held) - s) + 1):
+                    run = tuple(lines[j] for j in held[s:s + n])
+                    if run in seen and (n == depth or sum(len(x.split()) for x in run) >= words):
+                        gone.update(held[s:s + n])
+                    seen.add(run)
+            assert got[i]["text"] == "\n".join(x for j, x in enumerate(lines) if j not in gone), (i, depth)
+            assert (got[i]["n_lines"], got[i]["n_lines_removed"]) == (len(held), len(gone))
+    passage = pool[9]  # on one line of two otherwise different documents
+    docs = spark.createDataFrame([(1, f"one\n{passage}", None, "s", 0), (2, f"{passage}\ntwo", None, "s", 0)], DOCS)
+    rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert rows == {1: f"one\n{passage}", 2: "two"}
+
+
 def test_near_dedup_brute_force(spark):
     rng = random.Random(8)
     docs, bases = [], [prose(rng, rng.randrange(60, 200), 5000) for _ in range(12)]
