@@ -1,7 +1,8 @@
 """Rating histograms, nearest-centroid classification and one k-means step.
 
 Ratings are rows (movie_id, pos, rater_id, rating); `pos` orders the reviews of a movie.
-Centroids are rows (cluster_id, movie_id, similarity, total, reviews).
+Centroids are rows (cluster_id, movie_id, similarity, total, reviews), or one row per
+review (cluster_id, pos, rater_id, rating), which no cluster's size limits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ def ratings_histogram(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def centroid_reviews(centroids: DataFrame) -> DataFrame:
     """(cluster_id, rater_id, c_rating): each rater's first review within `total`."""
+    if "reviews" not in centroids.columns:
+        return centroids.groupBy("cluster_id", "rater_id").agg(F.min_by("rating", "pos").alias("c_rating"))
     flat = centroids.select("cluster_id", "total", F.posexplode("reviews").alias("c_pos", "r"))
     within = flat.filter(F.col("c_pos") < F.col("total"))
     return within.groupBy("cluster_id", F.col("r.rater_id").alias("rater_id")).agg(

@@ -381,3 +381,16 @@ def test_index_words_are_split_on_single_spaces(spark):
     docs = spark.createDataFrame([("d", "a  b\tc"), ("e", "")], "doc string, content string")
     assert {r.word for r in text.inverted_index(docs).collect()} == {"a", "", "b\tc"}
     assert [r.word for r in text.by_word(text.inverted_index(docs)).collect()] == ["", "a", "b\tc"]
+
+
+def test_centroid_model_in_rows(spark):
+    from workload import inputs
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = inputs.centroid_rows(spark, sf_dir)
+    assert rows.columns == ["cluster_id", "pos", "rater_id", "rating"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    want = ratings.centroid_reviews(inputs.centroids(spark, sf_dir)).collect()
+    got = ratings.centroid_reviews(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 16

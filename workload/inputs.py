@@ -117,5 +117,19 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_centroids(centroid_lines(spark, sf_dir))
 
 
+def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_id, pos, rater_id, rating): the same model, one row per review."""
+    all_reviews = reviews(spark, sf_dir)
+    top = (
+        all_reviews.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), F.desc("movie_id")).limit(CENTROIDS)
+    )
+    order = Window.orderBy(F.desc("movie_id"))
+    slots = top.select("movie_id", (F.row_number().over(order) - 1).alias("cluster_id"))
+    return all_reviews.join(F.broadcast(slots), "movie_id").select(
+        "cluster_id", "pos", F.col("rater_id").cast("bigint").alias("rater_id"), "rating"
+    )
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")

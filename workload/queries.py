@@ -195,7 +195,7 @@ def ratings_histogram(spark, d):
 
 
 def _assigned(spark, d):
-    return ratings.classify(I.reviews(spark, d), I.centroids(spark, d))
+    return ratings.classify(I.reviews(spark, d), I.centroid_rows(spark, d))
 
 
 @query
@@ -211,7 +211,7 @@ def cluster_members(spark, d):
 @query
 def kmeans_step(spark, d):
     """The new centroid rows."""
-    _, centres = ratings.kmeans_step(I.reviews(spark, d), I.centroids(spark, d))
+    _, centres = ratings.kmeans_step(I.reviews(spark, d), I.centroid_rows(spark, d))
     return centres
 
 
@@ -522,7 +522,7 @@ def _cluster_program(spark, d):
         F.col("l_suppkey").alias("rater_id"),
         (F.lit(1) + F.col("l_linenumber") % 5).cast("int").alias("rating"),
     )
-    return programs.classification(I.spread(rows, "l_orderkey"), None, I.centroids(spark, d))
+    return programs.classification(I.spread(rows, "l_orderkey"), None, I.centroid_rows(spark, d))
 
 
 @query
