@@ -76,4 +76,30 @@ k AS (SELECT x.doc_id, count(c.p) AS n_removed, coalesce(string_agg(word, ' ' OR
       FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    # The checksum's table is built by its rule; letters outside ASCII here are two bytes, 195 and code point - 64.
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+bytes AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END)) AS b FROM own),
+hashed AS (SELECT doc_id, run, k, xor(list_reduce(list_prepend(4294967295, b),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+cut AS (SELECT k, CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT))
+    || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+d AS (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+    FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+half AS (SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest WHERE a.word < b.word
+    UNION SELECT v.word, d.word FROM v JOIN d ON v.word = d.rest),
+near AS (SELECT x, y FROM half UNION SELECT y, x FROM half),
+best AS (SELECT x AS word, count(*) AS n_near, min({'less': -v.n, 'form': y}) AS top FROM near JOIN v ON v.word = y GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 10 * v.n THEN top.form END AS form,
+    CASE WHEN -top.less >= 10 * v.n THEN -top.less END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN ends USING (word)""",
 }
