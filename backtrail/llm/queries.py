@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import (alignment, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup,
+from backtrail.llm import (alignment, collisions, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup,
                            neighbours, quality, spelling, substring_dedup, toxicity)
 from backtrail.llm.common import remainder, table
 
@@ -103,3 +103,8 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
