@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its hashed byte 2-, 3- and 4-grams (lower case,
 signs and digits as breaks, with word borders); a linear layer and a softmax give the
 language. Embeddings and layer are trained by stochastic gradient descent in numpy on a
-bounded, stratified sample. A held-back part of the sample sets the softmax's temperature and
+bounded, stratified sample of all languages, in a fixed number of passes. A held-back part of the sample sets the softmax's temperature and
 the score under which an answer is rejected. Since the layer is linear, scoring uses the
 products of embeddings and layer: one table lookup per n-gram, over whole texts, without a
 shuffle.
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from backtrail.llm.common import fresh
 from backtrail.llm.textbytes import Chunk, chunks, mix
-from backtrail.session import stored
+from backtrail.plans.groups import measure
+from backtrail.session import durable, stored
 
 PER_LANGUAGE = 800      # sampled texts of each language, at most
-LANGUAGES = 200         # languages learned, the most frequent ones
+TEXTS = 160_000         # sampled texts in all; of many languages fewer texts each
 BUCKETS, WIDTH = 1 << 13, 16
 EPOCHS, BATCH, RATE = 30, 32, 0.5
 PRECISION = 0.99        # wanted of the accepted answers
@@ -33,7 +34,11 @@ _LETTER = r"\p{L}"
 
 
 def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every n-gram; documents ascend for each n."""
+    """(document, bucket) of every n-gram; documents ascend for each n.
+
+    An n-gram lies within its document and the one blank after it, so that neither the
+    document before nor the one behind has a say.
+    """
     data = chunk.lowered()
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
     codes = np.where(letter, data, 32).astype(np.uint64)
@@ -50,7 +55,10 @@ def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
                 inner |= letter[i:i + count]
         # At least one letter before the last byte; a trailing blank marks the word's end.
         at = np.flatnonzero(inner & (letter[n - 2:n - 2 + count] if n > 2 else inner))
-        docs.append(chunk.docs_of(at))
+        doc = chunk.docs_of(at)
+        inside = at + n <= chunk.offsets[doc + 1]
+        at, doc = at[inside], doc[inside]
+        docs.append(doc)
         buckets.append((mix(code[at], n) % np.uint64(BUCKETS)).astype(np.int64))
     if not docs:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -78,17 +86,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, wanted: Column | None = None, per_language: int = PER_LANGUAGE,
-           languages: int = LANGUAGES) -> DataFrame:
-    """(lang, grams): texts with a letter and a language, as packed (bucket, count) pairs."""
+def sample(docs: DataFrame, wanted: Column | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, grams): texts with a letter and a language, as packed (bucket, count) pairs.
+
+    About `per_language` texts of each language are chosen by a hash of their id, or as many
+    fewer of each as TEXTS in all allow; no language is left out for being rare.
+    """
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(_LETTER) & (F.lit(True) if wanted is None else wanted))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    # A language's first text by place is always chosen.
     place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])).otherwise(share)
-    chosen = rows.withColumn("place", place).filter(F.col("place") < share)
+    sizes = durable(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
+    each = min(per_language, max(1, TEXTS // max(sizes.count(), 1)))
+    shares = measure(sizes.select(F.col("lang").alias("of"), F.greatest(
+        F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")), F.col("first") + 1e-9).alias("share")))
+    chosen = rows.withColumn("place", place).join(shares.frame(), F.col("lang") == F.col("of"))
+    chosen = chosen.filter(F.col("place") < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +116,7 @@ def sample(docs: DataFrame, wanted: Column | None = None, per_language: int = PE
                      batch.column(2).slice(chunk.lo, chunk.n)], ["lang", "grams", "place"])
 
     packed = chosen.select("lang", "text", "place").mapInArrow(run, "lang string, grams binary, place double")
-    return packed.orderBy("place", "lang").limit(2 * per_language * max(len(sizes), 1)).select("lang", "grams")
+    return packed.orderBy("place", "lang").select("lang", "grams")
 
 
 def fit(docs: DataFrame, wanted: Column | None = None, per_language: int = PER_LANGUAGE,
@@ -122,8 +135,6 @@ def fit(docs: DataFrame, wanted: Column | None = None, per_language: int = PER_L
     bias = np.zeros(len(languages), np.float32)
     held = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~held)
-    if len(train) > 20_000:  # many languages: as many steps as for few
-        epochs = max(3, epochs * 20_000 // len(train))
     weight = (len(train) / np.maximum(np.bincount(y[train], minlength=len(languages)), 1) / len(languages))[y]
     for epoch in range(epochs):
         step = RATE * (1 - epoch / epochs) * 10

@@ -65,13 +65,17 @@ def statistics(chunk: Chunk) -> np.ndarray:
     entropy = np.bincount(at, -share * np.log(share), chunk.n)
     doubled = np.zeros(len(hashes))
     doubled[1:] = (hashes[1:] == hashes[:-1]) & (docs[1:] == docs[:-1])
-    pair = np.concatenate([hashes[:-1] * np.uint64(3) + hashes[1:], [np.uint64(0)]]) if len(hashes) else hashes
-    order2 = np.lexsort((pair, docs))
-    repeated = np.zeros(len(pair))
-    repeated[order2[1:]] = (pair[order2][1:] == pair[order2][:-1]) & (docs[order2][1:] == docs[order2][:-1])
+    inside = np.flatnonzero(docs[1:] == docs[:-1])  # pairs within one document
+    pair = hashes[inside] * np.uint64(3) + hashes[inside + 1]
+    order2 = np.lexsort((pair, docs[inside]))
+    again = (pair[order2][1:] == pair[order2][:-1]) & (docs[inside][order2][1:] == docs[inside][order2][:-1])
+    repeated = np.zeros(len(hashes))
+    repeated[inside[order2[1:]]] = again
     breaks = per_doc(data == 10, offsets)
     lines = breaks + 1
-    line_start, line_end = chunk.spans(data != 10)
+    in_line = data != 10
+    in_line[offsets[1:] - 1] = False  # a document's last line ends with it
+    line_start, line_end = chunk.spans(in_line)
     line_bounds = chunk.bounds(line_start)
     short_lines = per_doc(line_end - line_start < 30, line_bounds) / lines
     empty = n == 0
@@ -116,11 +120,16 @@ def cosines(rows: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarr
 def fit(measured: DataFrame, labels: DataFrame, wanted: Column | None = None) -> Model:
     """A model from statistics (doc_id and _COLUMNS) and labels (doc_id, quality).
 
-    With no labels every score is 0.5. Labels other than 0 and 1 are left out.
+    A fifth of the labelled documents, chosen by a hash of the id, only calibrates; where it
+    holds one class only, all of them do. With no labels every score is 0.5. Labels other
+    than 0 and 1 are left out.
     """
     rows = labels.select("doc_id", F.col("quality").cast("double").alias("label")).filter(
         F.col("label").isin(0.0, 1.0) & (F.lit(True) if wanted is None else wanted)).distinct()
-    train = stored(measured.select("doc_id", *_COLUMNS).join(rows, "doc_id").drop("doc_id"), "quality-train")
+    late = (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(5)) == 0).alias("late")
+    rows = stored(measured.select("doc_id", *_COLUMNS).join(rows, "doc_id").select(*_COLUMNS, "label", late), "quality-train")
+    classes = rows.groupBy("late").agg(F.count_distinct("label").alias("n")).filter("n > 1").count()
+    train, check = (rows.filter(~F.col("late")), rows.filter("late")) if classes == 2 else (rows, rows)
     ends = train.agg(F.count(F.lit(1)), *[f(c) for c in _COLUMNS for f in (F.avg, F.stddev_pop)]).first()
     if not ends[0]:
         ones = np.ones(len(_COLUMNS))
@@ -147,7 +156,7 @@ def fit(measured: DataFrame, labels: DataFrame, wanted: Column | None = None) ->
     square = np.triu(square) + np.triu(square, 1).T
     weights = np.linalg.solve(square + RIDGE * ends[0] / FEATURES * np.eye(FEATURES + 1), right)
     model = Model(center, scale, weights, np.array([0.0]), np.array([0.5]))
-    knots, rates = isotonic.fit_frame(_applied(train, _COLUMNS, model.raw, "raw"), "raw", "label")
+    knots, rates = isotonic.fit_frame(_applied(check.drop("late"), _COLUMNS, model.raw, "raw"), "raw", "label")
     return Model(center, scale, weights, knots, rates)
 
 

@@ -8,8 +8,6 @@ Scoring is one pass over the documents without a shuffle.
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 from backtrail.llm import isotonic
 from backtrail.llm.boosting import Trees, grow
 from backtrail.llm.common import fresh, labelled_sample, with_doubles
-from backtrail.llm.textbytes import Chunk, Hashes, per_doc, whitespace, word_hash
+from backtrail.llm.textbytes import Chunk, Hashes, chunks, per_doc, whitespace, word_hash
 
 PER_CLASS = 6000        # labelled documents of each class that are learned from, at most
 LEXICON = 3000          # words and word openings kept, at most
@@ -41,8 +39,6 @@ FEATURES = """density hits weight_density weight distinct opening_density openin
 near disguised_hits disguised spaced capitals exclamations punctuation digits length""".split()
 _COLUMNS = [f"f_{name}" for name in FEATURES]
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -74,6 +70,20 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
+def letters_of(lowered: np.ndarray) -> np.ndarray:
+    """The bytes that words are made of: letters in lower case, and all of longer characters."""
+    return ((lowered >= 97) & (lowered <= 122)) | (lowered >= 128)
+
+
+def words_of(chunk: Chunk) -> list[set[str]]:
+    """The different words of each document, by the rule that scoring uses."""
+    lowered = chunk.lowered()
+    starts, ends = chunk.spans(letters_of(lowered))
+    bounds, data = chunk.bounds(starts), lowered.tobytes()
+    return [{data[s:e].decode() for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())}
+            for lo, hi in zip(bounds[:-1], bounds[1:])]
+
+
 def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, float]]:
     """Words and openings of the sample (text, label) with their log lift in toxic texts.
 
@@ -83,8 +93,8 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> list[tuple[str, boo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(_WORD.findall((text or "").lower()))
+            held = (words for chunk in chunks(batch.column(0)) for words in words_of(chunk))
+            for words, label in zip(held, batch.column(1).to_pylist()):
                 tokens = {"w" + w for w in words}
                 for w in words:
                     tokens.update("p" + w[:k] for k in OPENINGS if k < len(w))
@@ -110,7 +120,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> list[tuple[str, boo
 def features(chunk: Chunk, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES per document."""
     data, lowered = chunk.data, chunk.lowered()
-    letter = ((lowered >= 97) & (lowered <= 122)) | (lowered >= 128)
+    letter = letters_of(lowered)
     starts, ends = chunk.spans(letter)
     bounds = chunk.bounds(starts)
     n = np.diff(bounds).astype(float)
@@ -142,12 +152,13 @@ def features(chunk: Chunk, lexicon: Lexicon) -> np.ndarray:
     tokens = np.diff(t_bounds).astype(float)
     letters = np.concatenate([[0], np.cumsum(letter)])
     alone = (t1 - t0 == 1) & (letters[t1] - letters[t0] == 1)
-    spaced = per_doc(alone[:-1] & alone[1:], np.minimum(t_bounds, max(len(alone) - 1, 0)))
+    token_doc = np.repeat(np.arange(chunk.n), np.diff(t_bounds))
+    together = alone[:-1] & alone[1:] & (token_doc[:-1] == token_doc[1:])
+    spaced = np.bincount(token_doc[:-1][together], minlength=chunk.n)
     # Tokens that hold a sign or digit between letters.
     turns = np.concatenate([[0], np.cumsum(~letter[:-1] & letter[1:] & ~blank[:-1]), [0]])
     inner = (letters[t1] > letters[t0]) & (turns[np.maximum(t1 - 1, t0)] > turns[t0])
     odd = np.flatnonzero(inner)
-    token_doc = np.repeat(np.arange(chunk.n), np.diff(t_bounds))
     disguised = np.bincount(token_doc[odd], minlength=chunk.n)
     disguised_hits = np.zeros(chunk.n)
     for i in odd:
