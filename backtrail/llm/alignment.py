@@ -31,6 +31,7 @@ import itertools
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,8 @@ from backtrail.session import stored
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_DOCS, BLOCK_LINKS = 8192, 2_000_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 22
 FIELD = BLOCK_DOCS // 8          # bytes of a bit field; arrays are shorter
-CACHE_UNITS, CACHE_BYTES = 60_000, 64
 
 _SHIFT = 13                      # BLOCK_DOCS is 2 ** _SHIFT
 
@@ -60,6 +60,12 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists of ids, and all ids."""
+    return (np.fromiter(map(len, lists), np.int64, len(lists)),
+            np.fromiter(itertools.chain.from_iterable(lists), np.int64))
+
+
 class Pair:
     """Both tokenizers, and how units align. One is held per Python worker."""
 
@@ -83,35 +89,64 @@ class Pair:
         probe = "".join(self.b.encode("  a  b ", out_type=str))
         self.cuts = probe == "▁▁▁a▁▁b▁" and not any(
             re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[bytes, tuple] = {}
-
-    def entries(self, units: list[bytes]) -> list[tuple | None]:
-        """Of each unit (it begins with a space): tokens of A and B, groups, their text and links; or None."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known, new = {}, units
-        texts = [u.decode("utf-8") for u in new]
-        left = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        self.held_a = np.array([self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)], object)
+        self.held_b = np.array(self.b_bytes, object)
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in held], np.int64) for held in (self.held_a, self.held_b))
+        # Ids as text with what follows them: another of the group, the other side, another group.
+        self.texts = {sep: np.array([f"{i}{sep}" for i in range(max(len(self.sizes_a), self.size_b))], object)
+                      for sep in ",|;"}
+
+    def align(self, units: pa.Array) -> Aligned:
+        """How the two tokenizers align on each unit, an array of bytes that begin with a space.
+
+        A unit that either side does not give back has no tokens.
+        """
+        texts = pc.cast(units, pa.large_string()).to_pylist()
+        left = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         right = self.b.encode([t[1:] for t in texts], num_threads=1)
-        made = {u: self._entry(u, x.ids, y) for u, x, y in zip(new, left, right)}
-        out = [made[u] if u in made else self.known[u] for u in units]
-        self.known.update((u, e) for u, e in made.items() if len(u) <= CACHE_BYTES)
-        return out
-
-    def _entry(self, unit: bytes, a: list[int], b: list[int]) -> tuple | None:
-        left, right = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != unit or b"".join(right) != unit:
-            return None
-        ends_a, ends_b = itertools.accumulate(map(len, left)), list(itertools.accumulate(map(len, right)))
-        text, links, lo_a, lo_b, j, n = [], [], 0, 0, 0, len(ends_b)
-        for i, end in enumerate(ends_a):
-            while j < n and ends_b[j] < end:
-                j += 1
-            if j < n and ends_b[j] == end:
-                text.append(",".join(map(str, a[lo_a:i + 1])) + "|" + ",".join(map(str, b[lo_b:j + 1])))
-                links.append(a[i] * self.size_b + b[j])
-                lo_a, lo_b = i + 1, j + 1
-        return len(a), len(b), len(links), ";".join(text), links
+        ok = np.ones(len(texts), bool)
+        (n_a, a), (n_b, b) = flat(left), flat(right)
+        if not b"".join(self.held_a[a]) == "".join(texts).encode() == b"".join(self.held_b[b]):
+            ok = np.array([b"".join(self.held_a[x]) == t.encode() == b"".join(self.held_b[y])
+                           for t, x, y in zip(texts, left, right)], bool)
+            n_a, a = flat([x if k else [] for x, k in zip(left, ok)])
+            n_b, b = flat([x if k else [] for x, k in zip(right, ok)])
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        at = np.searchsorted(ends_b, ends_a)
+        joint = np.append(ends_b, -1)[at] == ends_a
+        last_a = np.flatnonzero(joint)              # of each group
+        last_b = at[last_a]
+        closes = np.zeros(len(b), bool)
+        closes[last_b] = True
+        # The text of all groups in order: A's tokens of a group stand behind B's of the groups before.
+        group_a = np.cumsum(joint) - joint
+        group_b = np.cumsum(closes) - closes
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = np.where(
+            joint, self.texts["|"][a], self.texts[","][a])
+        out[np.arange(len(b)) + (last_a + 1)[group_b]] = np.where(closes, self.texts[";"][b], self.texts[","][b])
+        bounds = np.concatenate([[0], np.cumsum(n_a + n_b)])
+        width = np.concatenate([[0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))])[bounds].tolist()
+        whole = "".join(out)
+        n_groups = np.bincount(np.repeat(np.arange(len(texts)), n_a)[last_a], minlength=len(texts))
+        return Aligned(ok, n_a, n_b, n_groups, [whole[x:y] for x, y in itertools.pairwise(width)],
+                       a[last_a] * self.size_b + b[last_b])
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """Of each unit: whether it was given back, tokens of A and B, groups, and their text; all links."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    texts: list[str]
+    links: np.ndarray
+
+    def __add__(self, other: Aligned) -> Aligned:
+        return Aligned(*(x + y if isinstance(x, list) else np.concatenate([x, y])
+                         for x, y in ((getattr(self, f.name), getattr(other, f.name)) for f in fields(self))))
 
 
 _PAIRS: dict[tuple[str, str, str], Pair] = {}
@@ -136,7 +171,10 @@ def cut_units(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     solid = np.append(np.flatnonzero(data != 32), len(data))
     ends = np.append(starts[1:], len(data))
     end = ends[np.searchsorted(starts, at, side="right") - 1]
-    return np.union1d(starts, at[solid[np.searchsorted(solid, at)] < end])
+    begins = np.zeros(len(data), bool)
+    begins[starts] = True
+    begins[at[solid[np.searchsorted(solid, at)] < end]] = True
+    return np.flatnonzero(begins)
 
 
 class Block:
@@ -233,34 +271,32 @@ def _encoded(pair: Pair, ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Re
         coded = array.dictionary_encode()
         codes = coded.indices.to_numpy()
         doc = np.searchsorted(starts, units, side="right") - 1
-        entries = pair.entries(coded.dictionary.to_pylist())
+        found = pair.align(coded.dictionary)
         # A text that its units do not give back is tried as a whole; such a text is one unit.
-        lost = np.array([e is None for e in entries])[codes]
+        lost = ~found.ok[codes]
         if lost.any():
             again = np.unique(doc[lost])
-            whole = pair.entries([data[starts[i]:(starts[i + 1] if i + 1 < n else len(data))].tobytes() for i in again])
+            whole = [data[starts[i]:(starts[i + 1] if i + 1 < n else len(data))].tobytes() for i in again]
             keep = ~np.isin(doc, again)
-            codes = np.concatenate([codes[keep], len(entries) + np.arange(len(again))])
+            codes = np.concatenate([codes[keep], len(found.ok) + np.arange(len(again))])
             doc = np.concatenate([doc[keep], again])
+            found += pair.align(pa.array(whole, pa.large_binary()))
             order = np.argsort(doc, kind="stable")
-            codes, doc, entries = codes[order], doc[order], entries + whole
+            codes, doc = codes[order], doc[order]
         size = np.diff(np.append(starts, len(data)))
-        entries = [e or (0, 0, 0, "", []) for e in entries]
         has = size[doc] > 1  # the others are null or empty
         codes, doc = codes[has], doc[has]
-        n_a, n_b, n_groups, frags, links = zip(*entries)
-        counts = [np.bincount(doc, weights=np.array(x)[codes], minlength=n).astype(np.int64) for x in (n_a, n_b, n_groups)]
-        frags = np.array(frags, object)[codes]
+        counts = [np.bincount(doc, weights=x[codes], minlength=n).astype(np.int64)
+                  for x in (found.n_a, found.n_b, found.n_groups)]
+        frags = np.array(found.texts, object)[codes]
         at = np.searchsorted(doc, np.arange(n + 1))
-        digests = [hashlib.sha256(";".join(frags[x:y]).encode()).hexdigest() if counts[0][i] else ""
+        digests = [hashlib.sha256("".join(frags[x:y])[:-1].encode()).hexdigest() if counts[0][i] else ""
                    for i, (x, y) in enumerate(itertools.pairwise(at.tolist()))]
-        once, times = np.unique(doc * len(entries) + codes, return_counts=True)
-        code, of = once % len(entries), once // len(entries)
-        flat = np.fromiter(itertools.chain.from_iterable(links), np.int64)
-        width = np.array(n_groups, np.int64)
-        begin, take = (np.cumsum(width) - width)[code], width[code]
+        once, times = np.unique(doc * len(found.ok) + codes, return_counts=True)
+        code, of = once % len(found.ok), once // len(found.ok)
+        begin, take = (np.cumsum(found.n_groups) - found.n_groups)[code], found.n_groups[code]
         inside = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-        keys = flat[np.repeat(begin, take) + inside] << _SHIFT | np.repeat(of, take)
+        keys = found.links[np.repeat(begin, take) + inside] << _SHIFT | np.repeat(of, take)
         keys, where = np.unique(keys, return_inverse=True)
         held = np.zeros(len(keys), np.int64)
         np.add.at(held, where, np.repeat(times, take))
@@ -277,11 +313,11 @@ def encode(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A_FILE, b_fi
     `pair` is A's id times the size of B's vocabulary plus B's id.
     """
     docs = docs.select("doc_id", "text")
-    fields = [("block", T.LongType()), ("at", T.IntegerType()), ("doc_id", docs.schema["doc_id"].dataType),
-              ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()),
-              ("groups_sha256", T.StringType()), ("pair", T.LongType()), ("plane", T.IntegerType()),
-              ("bitmap", T.BinaryType())]
-    names = [f for f, _ in fields]
+    columns = [("block", T.LongType()), ("at", T.IntegerType()), ("doc_id", docs.schema["doc_id"].dataType),
+               ("n_a", T.LongType()), ("n_b", T.LongType()), ("n_groups", T.LongType()),
+               ("groups_sha256", T.StringType()), ("pair", T.LongType()), ("plane", T.IntegerType()),
+               ("bitmap", T.BinaryType())]
+    names = [c for c, _ in columns]
     files = (folder, a_file, b_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +350,7 @@ def encode(docs: DataFrame, folder: str = TOKENIZERS, a_file: str = A_FILE, b_fi
         if block.n:
             yield from written()
 
-    schema = T.StructType([T.StructField(*f) for f in fields])
+    schema = T.StructType([T.StructField(*c) for c in columns])
     return stored(docs.mapInArrow(run, schema), "aligned")
 
 
