@@ -28,7 +28,6 @@ any id has the id null.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.llm.components import components
-from backtrail.plans.groups import measure
+from backtrail.llm.tiles import dealt, whole_groups
 from backtrail.session import stored
 
 SIMILARITY = 0.9
@@ -167,48 +166,6 @@ def _entries(n: int, similarity: float):
     return run
 
 
-def dealt(rows: DataFrame, max_list: int, lists: DataFrame | None = None) -> DataFrame:
-    """`rows`, counted in `lists` if given, with (block, lo, hi), sorted by list, block pair and projection in its partition.
-
-    A long list's entries are dealt into blocks by their node, and sent to every pair of
-    blocks that theirs is part of; the entries of other lists stay together.
-    """
-    counts = (rows if lists is None else lists).groupBy(*_LIST).agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > max_list)
-    long = measure(counts.select(*[F.col(c).alias(f"_{c}") for c in _LIST], "entries"))
-    zero = F.lit(0)
-    if long.empty:
-        out = rows.withColumns({"block": zero, "lo": zero, "hi": zero})
-    else:
-        same = [F.col(c) == F.col(f"_{c}") for c in _LIST]
-        joined = rows.join(long.frame(), same[0] & same[1] & same[2], "left")
-        blocks = F.ceil(F.coalesce("entries", F.lit(1)) / F.lit(max_list)).cast("int")
-        block = F.pmod(F.xxhash64("node", F.lit(11)), blocks).cast("int")
-        joined = joined.withColumns({"blocks": blocks, "block": block})
-        pairs = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: F.struct(
-            F.least(F.col("block"), j).alias("lo"), F.greatest(F.col("block"), j).alias("hi")))
-        out = joined.withColumn("pair", F.explode(pairs)).select(*rows.columns, "block", "pair.lo", "pair.hi")
-    by = [*_LIST, "lo", "hi"]
-    return out.repartition(*by).sortWithinPartitions(*by, "value", "node")
-
-
-def whole_lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole lists from a sorted stream, and the list number of their rows."""
-    rest: pa.Table | None = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-        if rest is None or not rest.num_rows:
-            continue
-        keys = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in names], 1)
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
-        number = np.cumsum(new) - 1
-        end = rest.num_rows if batch is None else int(np.flatnonzero(new)[-1])
-        if end:
-            yield rest.slice(0, end).combine_chunks(), number[:end]
-            rest = rest.slice(end)
-
-
 def window_pairs(number: np.ndarray, value: np.ndarray, window: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows of one list whose projections are at most their window apart."""
     place = number.astype(np.int64) * (8 * _GRID) + value
@@ -227,7 +184,7 @@ def window_pairs(number: np.ndarray, value: np.ndarray, window: np.ndarray) -> I
 
 def _candidates(batches, n: int, similarity: float):
     """(table, pairs) of dealt lists; the two rows of a pair are of the two blocks compared."""
-    for table, number in whole_lists(batches, [*_LIST, "lo", "hi"]):
+    for table, number in whole_groups(batches, [*_LIST, "lo", "hi"]):
         size = table.column("size").to_numpy()
         plans = {s: plan(s, n, similarity) for s in np.unique(size).tolist()}
         window = np.array([plans[s].window for s in size.tolist()])
@@ -324,10 +281,10 @@ def links(vectors: DataFrame, similarity: float = SIMILARITY, max_list: int = MA
     schema = "size int, list int, cell long, value int, node long"
     entries = nodes.select("node", "embedding").mapInArrow(_entries(n, similarity), schema + ", codes binary")
     entries = stored(entries, "entries")
-    live = dealt(entries, max_list).mapInArrow(_live(n, similarity), schema)
+    live = dealt(entries, _LIST, "node", max_list, "value", "node").mapInArrow(_live(n, similarity), schema)
     live = stored(live.dropDuplicates(["list", "node"]), "live")
     full = live.join(nodes.select("node", "times", "embedding"), "node")
-    found = dealt(full, max_list, live).mapInArrow(_verified(n, similarity), "node long, links long, root long")
+    found = dealt(full, _LIST, "node", max_list, "value", "node", counted=live).mapInArrow(_verified(n, similarity), "node long, links long, root long")
     return nodes, stored(found, "found")
 
 

@@ -88,12 +88,12 @@ def distinct_docs(docs: DataFrame, fp: str) -> DataFrame:
 
     Only rows that repeat are grouped; the others are not shuffled for it when few repeat.
     """
-    (count,) = fresh(docs, "rows")
     marked = docs.withColumn(fp, F.xxhash64("text"))
+    count, own_doc, own_fp = fresh(marked, "rows", "__doc", "__fp")
     repeats = stored(marked.groupBy("doc_id", fp).agg(F.count(F.lit(1)).alias(count)).filter(
-        F.col(count) > 1).select(F.col("doc_id").alias("__doc"), F.col(fp).alias("__fp")), "repeats")
+        F.col(count) > 1).select(F.col("doc_id").alias(own_doc), F.col(fp).alias(own_fp)), "repeats")
     if repeats.isEmpty():
         return marked
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     once = marked.join(repeats, same, "left_anti")
     return once.unionByName(marked.join(repeats, same, "left_semi").dropDuplicates(["doc_id", fp]))

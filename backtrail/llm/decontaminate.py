@@ -170,10 +170,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    fp, spans = fresh(docs, "fp", "spans")
+    fp, spans, own_doc, own_fp = fresh(docs, "fp", "spans", "__doc", "__fp")
     found = contamination(docs, benchmark, window).select(
-        F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), F.col("spans").alias(spans))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
+        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp), F.col("spans").alias(spans))
+    same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     marked = docs.withColumn(fp, fingerprint())
     if remove == "documents":
         return marked.join(found.drop(spans), same, "left_anti").select(*docs.columns)

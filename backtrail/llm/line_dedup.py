@@ -132,10 +132,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool
     was left go; documents that had no line before stay.
     """
     docs = docs.drop("n_lines", "n_lines_removed")
-    fp, gone, lines, held, keep = fresh(docs, "fp", "removed", "lines", "held", "keep")
+    fp, gone, lines, held, keep, own_doc, own_fp = fresh(
+        docs, "fp", "removed", "lines", "held", "keep", "__doc", "__fp")
     removed = repeated_lines(docs, min_lines, min_words).select(
-        F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), F.col("removed").alias(gone))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
+        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp), F.col("removed").alias(gone))
+    same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     joined = docs.withColumn(fp, fingerprint()).join(removed, same, "left")
     numbered = F.transform(_lines(F.col("text")), lambda x, i: F.when(x.rlike(_BLANK_FREE), i))
     rows = joined.withColumn(lines, _lines(F.col("text")))

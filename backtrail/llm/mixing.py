@@ -125,9 +125,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     replaced. Documents that are not taken go.
     """
     docs = docs.drop("copy", "position")
+    fp, own_doc, own_fp = fresh(docs, "fp", "__doc", "__fp")
     order = schedule(plan(docs, weights, share, most), curriculum).select(
-        F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), "copy", "position")
-    (fp,) = fresh(docs, "fp")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
+        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp), "copy", "position")
+    same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     rows = distinct_docs(docs, fp).join(order, same).select(*docs.columns, "copy", "position")
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -13,9 +13,12 @@ million; a pair that only shares a passage (0.25) agrees in 1 of 250 samples.
 
 Documents of equal words are one node. In each bucket, members are first compared with the
 bucket's first node only, which takes a group of thousands of copies in a linear number of
-comparisons. Then the buckets that still hold several components are joined with
-themselves, and every pair across components is compared, however many there are: no link
-is lost and no bucket is capped.
+comparisons. Then the members of buckets that still hold several components are brought
+together, in blocks of bounded size, and compared across components: first by bounds on the
+k-mers that they can have in common (lengths, and counts in 256 ranges of hashes), and only
+where these admit a near copy by alignment, unless they have been joined meanwhile. A task
+passes on the links that join components, so no pairs are written or shuffled. No link is
+lost and no bucket is capped.
 
 Documents without words, and null texts, are classes of their own. Rows that repeat a
 doc_id and its text count as one document. A null doc_id sorts first.
@@ -27,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.llm.common import distinct_docs, fresh
 from backtrail.llm.components import components
 from backtrail.llm.line_dedup import fingerprint
 from backtrail.llm.textbytes import Chunk, Hashes, chunks, mix, whitespace, windows
+from backtrail.llm.tiles import block_pairs, gathered, whole_groups
 from backtrail.session import stored
 
 WORDS, SIMILARITY, SKETCHES, ORDER = 5, 0.8, 24, 4
+TILE_ROWS, TILE_WORDS = 256, 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**63, SKETCHES, dtype=np.uint64)
@@ -180,6 +185,73 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "a long, b long")
 
 
+def _bridging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join different components of a group; a pair already joined is not compared."""
+    for table, number in whole_groups(batches, ["bucket", "lo", "hi"]):
+        edges = np.flatnonzero(np.diff(number)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(number)]):
+            if hi - lo < 2:
+                continue
+            part = table.slice(lo, hi - lo).combine_chunks()
+            node, component, block = (part.column(c).to_numpy() for c in ("node", "component", "block"))
+            across = part.column("lo")[0].as_py() != part.column("hi")[0].as_py()
+            seqs = [s for c in chunks(part.column("text").combine_chunks()) for s in kmers(c)]
+            size = np.array([len(s) for s in seqs])
+            profile = np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in seqs])
+            _, label = np.unique(component, return_inverse=True)
+            found: list[tuple[int, int]] = []
+            for i in range(len(seqs) - 1):
+                others = np.flatnonzero((label[i + 1:] != label[i]) & ((block[i + 1:] != block[i]) | (not across))) + i + 1
+                needed = np.ceil(SIMILARITY * (size[i] + size[others]) / (1 + SIMILARITY) - 1e-9)
+                fit = np.minimum(size[i], size[others]) >= needed
+                others, needed = others[fit], needed[fit]
+                # Not more k-mers in common than by the counts of each range of hashes.
+                most = np.minimum(profile[others], profile[i]).sum(1)
+                for j in others[most >= needed].tolist():
+                    if label[i] != label[j] and similar(seqs[i], seqs[j]):
+                        found.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+
+def _bridges(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components, from every bucket that still holds several.
+
+    Members of a bucket's largest component are compared with the others only, and the others
+    with all. Buckets of more than TILE_ROWS members or TILE_WORDS words are dealt into blocks.
+    """
+    placed = members.select("bucket", "node", "n").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    held = placed.groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("n").cast("bigint")).alias("words"))
+    most = F.struct("rows", "component")
+    mixed = held.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("several"), F.max(most).alias("most"), F.max_by("words", most).alias("main_words"),
+        F.sum("rows").alias("rows"), F.sum("words").alias("words")).filter(F.col("several") > 1)
+
+    def blocks(rows: Column, words: Column) -> Column:
+        return F.ceil(F.greatest(rows / F.lit(TILE_ROWS), words / F.lit(TILE_WORDS))).cast("int")
+
+    others = blocks(F.col("rows") - F.col("most.rows"), F.col("words") - F.col("main_words"))
+    whole = blocks(F.col("rows"), F.col("words")) <= 1
+    mixed = stored(mixed.select(
+        "bucket", F.col("most.component").alias("main"), whole.alias("whole"),
+        blocks(F.col("most.rows"), F.col("main_words")).alias("n_main"), others.alias("n_others")), "mixed")
+    rows = placed.join(mixed, "bucket")
+    is_main, hashed = F.col("component") == F.col("main"), F.xxhash64("node", F.lit(11))
+    zero, after = F.lit(0), F.col("n_main")
+    block = F.when(F.col("whole"), zero).when(is_main, F.pmod(hashed, F.col("n_main"))).otherwise(
+        after + F.pmod(hashed, F.col("n_others"))).cast("int")
+    rows = rows.withColumn("block", block)
+    last = after + F.col("n_others") - 1
+    pairs = F.when(F.col("whole"), block_pairs(F.col("block"), zero, zero)).otherwise(
+        block_pairs(F.col("block"), F.when(is_main, after).otherwise(zero), last))
+    rows = rows.withColumn("pair", F.explode(pairs)).select("bucket", "node", "component", "block", "pair.lo", "pair.hi")
+    rows = gathered(rows.join(texts, "node"), ["bucket"], "node")
+    return rows.mapInArrow(_bridging, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, class_id, class_fp, kept): one row per distinct document.
 
@@ -210,18 +282,7 @@ def classes(docs: DataFrame) -> DataFrame:
     first_links = stored(_links(starred, texts), "links")
     labels = components(first_links)
 
-    placed = members.join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.filter(F.col("lo") != F.col("hi")).select("bucket")
-    placed = stored(placed.join(mixed, "bucket").select("bucket", "node", "n", "component", "lead"), "mixed")
-    other = placed.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"),
-                          F.col("component").alias("component2"))
-    across = placed.join(other, "bucket").filter(
-        (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
-        & (F.col("node") != F.col("lead")) & close(F.col("n"), F.col("n2")))
-    across = across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    more = stored(_links(across, texts), "links")
+    more = stored(_bridges(members, labels, texts), "links")
     labels = components(first_links.union(more))
 
     classed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -239,8 +300,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id and its text, one stays.
     """
-    (fp,) = fresh(docs, "fp")
+    fp, own_doc, own_fp = fresh(docs, "fp", "__doc", "__fp")
     decided = stored(classes(docs).filter("kept").select(
-        F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(fp) == F.col("__fp"))
+        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp)), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     return distinct_docs(docs, fp).join(decided, same, "left_semi").select(*docs.columns)

@@ -37,7 +37,8 @@ def messy(spark):
     rows = [(i, t, "en" if i % 2 else "fr", None if i % 5 == 0 else f"s{i % 3}", 0) for i, t in enumerate(texts)]
     rows += [rows[0], rows[6], (None, base, None, None, None), (None, None, None, None, None)]
     frame = spark.createDataFrame(rows, DOCS)
-    for name in ("score", "fp", "copy", "position", "n_lines", "rows", "lines", "removed", "best", "toxicity"):
+    for name in ("score", "fp", "copy", "position", "n_lines", "rows", "lines", "removed", "best", "toxicity", "__doc", "__fp",
+                 "node", "bucket", "component", "block"):
         frame = frame.withColumn(name, F.lit("own"))
     return frame
 
