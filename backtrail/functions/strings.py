@@ -50,10 +50,6 @@ def after_last(text: Column, mark: str) -> Column:
     return F.substring_index(text, mark, -1)
 
 
-def before_first(text: Column, mark: str) -> Column:
-    return F.substring_index(text, mark, 1)
-
-
 def after_first(text: Column, mark: str) -> Column:
     """Everything after the first `mark`; empty when there is none."""
     at = F.instr(text, mark)

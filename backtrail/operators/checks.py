@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.operators.faults import FAULTY
-from backtrail.plans.groups import same_keys
+from backtrail.plans.groups import keep_matching, measure, same_keys
 
 EXTRA, MISSING, CHANGED, REPEATED = "extra", "missing", "changed", "repeated"
 
@@ -114,40 +114,60 @@ def diff_lists(actual: DataFrame, expected: DataFrame, on: Sequence[str], item:
                by: Sequence[str] = ()) -> DataFrame:
     """Items of key -> list outputs, one row per item, that do not match one to one.
 
-    An item repeated under a key fails even when both sides repeat it.
+    An item repeated under a key fails even when both sides repeat it. One aggregation
+    tells all of it.
     """
     shown = [*by, *on, item]
-    counts = diff_full(actual, expected, shown, mode="bag")
-    repeated = _sides(actual, expected, shown).groupBy(*shown).agg(
-        F.count(F.when(F.col("__actual"), 1)).alias("__a"),
-        F.count(F.when(~F.col("__actual"), 1)).alias("__e"),
-    ).filter((F.col("__a") > 1) & (F.col("__a") == F.col("__e")))
-    bad = repeated.select(*shown, F.lit(REPEATED).alias("status"))
-    return counts.select(*shown, "status").unionByName(bad)
+    counts = _sides(actual, expected, shown).groupBy(*shown).agg(
+        F.count(F.when(F.col("__actual"), 1)).alias("__a"), F.count(F.when(~F.col("__actual"), 1)).alias("__e"))
+    status = (
+        F.when(F.col("__e") == 0, EXTRA)
+        .when(F.col("__a") == 0, MISSING)
+        .when(F.col("__a") != F.col("__e"), CHANGED)
+        .when(F.col("__a") > 1, REPEATED)
+    )
+    return counts.select(*shown, status.alias("status")).filter(F.col("status").isNotNull())
+
+
+def list_digest(items: str) -> list[Column]:
+    """Number of items and two sums of their hashes: equal for lists of equal items in any order."""
+    whole = "decimal(38,0)"
+
+    def total(salt: int) -> Column:
+        return F.aggregate(items, F.lit(0).cast(whole), lambda a, x: (a + F.xxhash64(F.lit(salt), x)).cast(whole))
+
+    return [F.coalesce(F.size(items), F.lit(0)).cast("bigint"), total(1), total(2)]
 
 
 def diff_adjacency(actual: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Vertices of `actual` whose neighbour sets differ from the expected ones.
 
-    Complete lists are compared, segment by segment.
+    A vertex's lists are compared as a whole, however they are cut into segments on either
+    side. Each side comes down to digests that add up over segments, in one aggregation;
+    items are looked at only for vertices whose digests differ, where a repeated neighbour
+    alone makes no difference. A null list is an empty one.
     """
-    keys = [*by, "vertex", "segment"]
-    theirs = expected.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("from").alias("__from"), F.col("to").alias("__to"),
-    )
-    same = same_keys({k: f"__k{i}" for i, k in enumerate(keys)})
-
-    def apart(a: str, b: str) -> Column:
-        return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
-
-    joined = actual.join(theirs, same, "left")
-    status = (
-        F.when(F.col("__from").isNull(), EXTRA)
-        .when(apart("from", "__from") | apart("to", "__to"), CHANGED)
-    )
-    return joined.withColumn("status", status).filter("status IS NOT NULL").groupBy(*by, "vertex").agg(
-        F.min("status").alias("status"))
+    keys, lists = [*by, "vertex"], ("from", "to")
+    parts = {f"__{c}{i}": digest for c in lists for i, digest in enumerate(list_digest(c))}
+    sums = []
+    for name in parts:
+        for side, mine in (("a", F.col("__actual")), ("e", ~F.col("__actual"))):
+            sums.append(F.sum(F.when(mine, F.col(name))).alias(f"{name}{side}"))
+    both = _sides(actual, expected, [*keys, *lists])
+    seen = both.select(*keys, "__actual", *[d.alias(n) for n, d in parts.items()]).groupBy(*keys).agg(
+        F.count(F.when(F.col("__actual"), 1)).alias("__rows"), F.count(F.when(~F.col("__actual"), 1)).alias("__theirs"), *sums)
+    equal = same_keys({f"{n}a": f"{n}e" for n in parts})
+    seen = seen.filter((F.col("__rows") > 0) & ((F.col("__theirs") == 0) | ~equal))
+    suspects = measure(seen.select(*keys, (F.col("__theirs") == 0).alias("__extra")))
+    extra = suspects.rows.filter("__extra").select(*keys, F.lit(EXTRA).alias("status"))
+    ends = F.array(*[F.struct(F.lit(c).alias("side"), F.coalesce(
+        F.col(c), F.array().cast("array<string>")).alias("items")) for c in lists])
+    items = keep_matching(both, suspects.rows.filter(~F.col("__extra")).select(*keys), keys)
+    items = items.select(*keys, "__actual", F.explode(ends).alias("end")).select(
+        *keys, "__actual", "end.side", F.explode("end.items").alias("item"))
+    told = items.groupBy(*keys, "side", "item").agg(
+        F.bool_or("__actual").alias("a"), F.bool_or(~F.col("__actual")).alias("e")).filter(~(F.col("a") & F.col("e")))
+    return extra.unionByName(told.select(*keys).distinct().withColumn("status", F.lit(CHANGED)))
 
 
 def any_faulty(marked: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
-from backtrail.plans.groups import MAX_GROUP, gather, measure
+from backtrail.plans.groups import MAX_GROUP, gather, measure, number_rows
 from backtrail.session import durable
 
 # Fixed value: reviews are cut at the first comma at or after this offset of a line.
 REVIEW_OFFSET = 1000
-# Similarities are compared in steps of 1e-9; cluster ids stay below CLUSTER_IDS.
-SIMILARITY_STEPS, CLUSTER_IDS = 1_000_000_000, 1 << 20
+# Similarities are compared in steps of 1e-9, in the bits above those of a cluster id, an int.
+SIMILARITY_STEPS, ID_BITS = 1_000_000_000, 31
+LAST_ID = (1 << ID_BITS) - 1
 
 
 def ratings_histogram(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -62,14 +63,14 @@ def score(matched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sim = F.round(F.when(denom > 0, F.col("numer") / denom), 9)
     # One number holds both: similarity first, then the lower cluster id. Its greatest
     # value needs no sort, unlike that of a struct.
-    fits = F.col("cluster_id").between(0, CLUSTER_IDS - 1)
-    rank = F.when(fits, F.round(sim * SIMILARITY_STEPS).cast("bigint") * CLUSTER_IDS + (
-        CLUSTER_IDS - 1 - F.col("cluster_id")
-    )).otherwise(F.raise_error(F.lit(f"cluster ids must be below {CLUSTER_IDS}")).cast("bigint"))
+    rank = F.shiftleft(F.round(sim * SIMILARITY_STEPS).cast("bigint"), ID_BITS) + (
+        F.lit(LAST_ID).cast("bigint") - F.col("cluster_id"))
+    fits = F.col("cluster_id") >= 0
+    rank = F.when(fits, rank).otherwise(F.raise_error(F.lit("cluster ids must not be negative")).cast("bigint"))
     ranked = sums.withColumn("rank", F.when(sim > 0, rank))
     best = ranked.groupBy(*by, "movie_id").agg(F.max("rank").alias("rank"))
-    cluster = F.lit(CLUSTER_IDS - 1) - F.col("rank") % CLUSTER_IDS
-    similarity = F.floor(F.col("rank") / CLUSTER_IDS) / F.lit(float(SIMILARITY_STEPS))
+    cluster = F.lit(LAST_ID) - F.col("rank").bitwiseAND(F.lit(LAST_ID))
+    similarity = F.shiftright("rank", ID_BITS) / F.lit(float(SIMILARITY_STEPS))
     return best.select(
         *by, "movie_id",
         F.coalesce(cluster, F.lit(0)).cast("int").alias("cluster_id"),
@@ -93,26 +94,19 @@ def cluster_sizes(assigned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return assigned.groupBy(*by, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
-def movie_line(movie: str = "movie_id", reviews: str = "__pairs") -> Column:
-    """`movie:rater_rating,...` from an array of reviews."""
-    items = F.transform(
-        reviews, lambda r: F.concat_ws("_", r["rater_id"].cast("string"), r["rating"].cast("string"))
-    )
-    return F.concat_ws(":", F.col(movie).cast("string"), F.array_join(items, ","))
-
-
 def truncate_reviews(line: Column, offset: int = REVIEW_OFFSET) -> Column:
     """Cut a ratings line at the first comma at or after `offset`."""
     return S.cut_after(line, offset)
 
 
-def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(cluster_id, similarity, movie_id, n_reviews, reviews): the new centroids.
+def centre_reviews(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(cluster_id, similarity, movie_id, pos, rater_id, rating): the reviews of the new centroids.
 
     The member whose similarity is nearest the cluster's mean becomes its centroid; ties
     go to the lowest movie id. Means come from exact decimal sums with map-side partial
-    aggregation, so no cluster is gathered. Only the winners' reviews are read back, and
-    of those only as many as start before the cut.
+    aggregation, so no cluster is gathered. Of a winner's reviews those stay that start
+    before the cut of its line; since a review takes a character at least, its comma, each
+    task first keeps as many as could, and a movie with very many reviews is not gathered.
     """
     keys = [*by, "cluster_id"]
     means = assigned.groupBy(*keys).agg(
@@ -124,23 +118,48 @@ def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) ->
     winners = with_mean.groupBy(*keys).agg(
         F.min_by(F.struct("movie_id", "similarity"), F.struct(gap, F.col("movie_id"))).alias("w")
     ).select(*keys, "w.movie_id", "w.similarity")
-    # A review counts with its comma; one that starts beyond the offset is cut off anyway.
-    width = F.length(F.concat_ws("_", F.col("rater_id").cast("string"), F.col("rating").cast("string"))) + 1
-    before = Window.partitionBy(*keys, "movie_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    reviews = (
-        ratings.join(measure(winners).frame(), [*by, "movie_id"])
-        .withColumn("__at", F.coalesce(F.sum(width).over(before), F.lit(0)))
-        .filter(F.col("__at") <= REVIEW_OFFSET)
-        .groupBy(*keys, "movie_id", "similarity")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "rater_id", "rating"))).alias("__pairs"))
-    )
-    line = truncate_reviews(movie_line())
-    text = S.after_first(line, ":")
-    return reviews.select(
-        *keys, "similarity", "movie_id",
-        F.size(S.split_nonempty(text, ",")).cast("bigint").alias("n_reviews"),
-        text.alias("reviews"),
-    )
+    place = Window.partitionBy(*keys, "movie_id").orderBy("pos")
+    rows = ratings.join(measure(winners).frame(), [*by, "movie_id"]).select(
+        *keys, "similarity", "movie_id", "pos", "rater_id", "rating")
+    rows = rows.withColumn("__place", F.row_number().over(place)).filter(
+        F.col("__place") < REVIEW_OFFSET)
+    # A review counts with the comma behind it; `movie:` stands before the first.
+    width = F.length(review_text()) + 1
+    start = F.length(F.col("movie_id").cast("string")) + 1 + F.coalesce(
+        F.sum(width).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__start", start).filter((F.col("__place") == 1) | (F.col("__start") <= REVIEW_OFFSET))
+    return rows.drop("__place", "__start")
+
+
+def review_text() -> Column:
+    """`rater_rating`."""
+    return F.concat_ws("_", F.col("rater_id").cast("string"), F.col("rating").cast("string"))
+
+
+def centre_lines(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(cluster_id, similarity, movie_id, n_reviews, reviews): one row per new centroid."""
+    keys = [*by, "cluster_id", "similarity", "movie_id"]
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", review_text().alias("t")))),
+                                    lambda r: r["t"]), ",")
+    return rows.groupBy(*keys).agg(
+        F.count(F.when(review_text() != "", 1)).alias("n_reviews"), text.alias("reviews"))
+
+
+def recenter(assigned: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(cluster_id, similarity, movie_id, n_reviews, reviews): the new centroids."""
+    return centre_lines(centre_reviews(assigned, ratings, by), by)
+
+
+def next_model(rows: DataFrame) -> DataFrame:
+    """(cluster_id, pos, rater_id, rating) from new centroids' reviews: a model that `classify` reads.
+
+    As when a model is read from its lines, clusters are renumbered by falling movie id.
+    """
+    centres = rows.select("cluster_id", (-F.col("movie_id")).alias("__down")).distinct()
+    slots = number_rows(centres, [], ["__down", "cluster_id"], "__slot")
+    slots = measure(slots.select(F.col("cluster_id").alias("__old"), (F.col("__slot") - 1).cast("int").alias("__new")))
+    joined = rows.join(slots.frame(), F.col("cluster_id") == F.col("__old"))
+    return joined.select(F.col("__new").alias("cluster_id"), "pos", F.col("rater_id").cast("bigint").alias("rater_id"), "rating")
 
 
 def kmeans_step(ratings: DataFrame, centroids: DataFrame,
@@ -153,9 +172,15 @@ def kmeans_step(ratings: DataFrame, centroids: DataFrame,
     return assigned, recenter(assigned, ratings, by)
 
 
-def centroid_text() -> Column:
-    """`similarity movie count reviews`."""
-    return F.concat_ws(
-        " ", F.col("similarity").cast("string"), F.col("movie_id").cast("string"),
-        F.col("n_reviews").cast("string"), "reviews",
-    )
+def kmeans(ratings: DataFrame, centroids: DataFrame, steps: int) -> tuple[DataFrame, DataFrame]:
+    """As many steps, each on the centroids of the one before: the last members and centroids.
+
+    Members and centroids of a step are cut from what made them, so a plan holds one step
+    and lost executors cost no more than one.
+    """
+    model = centroids
+    for _ in range(steps):
+        assigned = durable(classify(ratings, model))
+        rows = durable(centre_reviews(assigned, ratings))
+        model = next_model(rows)
+    return assigned, centre_lines(rows)

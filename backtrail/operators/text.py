@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
@@ -123,14 +123,20 @@ def by_word(index: DataFrame) -> DataFrame:
 
 
 def ranked_inverted_index(phrase_counts: DataFrame, by: Sequence[str] = (),
-                          max_group: int | None = MAX_GROUP) -> DataFrame:
+                          max_group: int | None = MAX_GROUP, top: int | None = None) -> DataFrame:
     """(phrase, segment, postings): documents by falling count, then by name.
 
-    Segments follow the ranking, so segment 0 holds the leading postings of a phrase.
+    Segments follow the ranking, so segment 0 holds the leading postings of a phrase. With
+    `top` only that many postings of a phrase stay: each task keeps its own leaders before
+    the rows are shuffled, so a phrase in very many documents is not gathered either.
     """
     ranked = phrase_counts.select(
         *by, "phrase", (-F.col("count")).alias("__down"), F.col("doc").alias("file")
     )
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy(*by, "phrase").orderBy("__down", "file"))
+        ranked = ranked.withColumn("__place", place).filter(F.col("__place") <= top).drop("__place")
+        max_group = None if top <= MAX_GROUP else max_group
     return gather(
         ranked, [*by, "phrase"], ["__down", "file"], "postings",
         lambda e: F.struct((-e["__down"]).alias("count"), e["file"].alias("file")),

@@ -281,5 +281,9 @@ class Cursor:
         ids = measure(self.ids).frame({OUT: OUT, LID: "__id"})
         return rows.join(ids, F.col(LID) == F.col("__id")).drop("__id")
 
+    def counted(self) -> DataFrame:
+        """(records): how many records the cursor holds, as a frame of one row."""
+        return self._all_ids().agg(F.count(F.lit(1)).alias("records"))
+
     def count(self) -> int:
-        return self._all_ids().count()
+        return self.counted().first()["records"]

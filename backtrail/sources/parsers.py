@@ -7,6 +7,9 @@ identities pass through. `on_error` says what becomes of a malformed line: `fail
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,22 +142,13 @@ def read_centroids(spark: SparkSession, path: str, max_clusters: int | None = No
     return parse_centroids(read_lines(spark, path), max_clusters)
 
 
-# The layouts of expected-output lines, by name.
-_EXPECTED_SHAPES = (
-    "counts",        # key count
-    "int_counts",    # rating count
-    "postings",      # word doc
-    "ranked",        # phrase count|doc
-    "terms",         # doc word:count
-    "members",       # cluster movie
-    "rest",          # cluster rest-of-line
-    "adjacency",     # vertex from{a,b}:to{c}
-    "tuple_counts",  # (key count)
-)
-
-
 def parse_expected(df: DataFrame, shape: str) -> DataFrame:
-    """Typed rows of an expected-output text; list-valued outputs stay one row per item."""
+    """Typed rows of an expected-output text; list-valued outputs stay one row per item.
+
+    Shapes (fixed values): counts `key count`, int_counts `rating count`, postings `word doc`,
+    ranked `phrase count|doc`, terms `doc word:count`, members `cluster movie`, rest `cluster
+    rest-of-line`, adjacency `vertex from{a,b}:to{c}`, tuple_counts `(key count)`.
+    """
     value = F.col("value")
     tokens = S.tokenize(value)
     first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
@@ -186,9 +180,39 @@ def parse_expected(df: DataFrame, shape: str) -> DataFrame:
         inner = S.tokenize(F.regexp_replace(value, r"^\(|\)$", ""))
         fields = {"key": F.get(inner, F.lit(0)), "count": F.get(inner, F.lit(1)).cast("bigint")}
     else:
-        raise ValueError(f"shape: {shape}, not one of {_EXPECTED_SHAPES}")
+        raise ValueError(f"shape: {shape}")
     return df.select(*_others(df), *[field.alias(name) for name, field in fields.items()])
 
 
 def read_expected(spark: SparkSession, path: str, shape: str) -> DataFrame:
     return parse_expected(read_lines(spark, path), shape)
+
+
+@dataclass(frozen=True)
+class Truth:
+    """Expected rows read by the caller's own parser, and the lines it could not read."""
+
+    rows: DataFrame
+    unreadable: DataFrame
+
+
+def parse_truth(lines: DataFrame, parser: Callable[[Column], Mapping[str, Column]],
+                optional: Sequence[str] = ()) -> Truth:
+    """Expected rows of any text layout.
+
+    `parser` makes the fields from the line column; with `try_cast` and `regexp_extract` it
+    gives null or an empty text where a line does not fit. A line of which a field that is
+    not `optional` comes out null is unreadable: it is given back as it is, not dropped.
+    """
+    fields = dict(parser(F.col("value")))
+    fits = F.lit(True)
+    for name, field in fields.items():
+        if name not in optional:
+            fits = fits & field.isNotNull()
+    marked = lines.select("value", *[f.alias(n) for n, f in fields.items()], fits.alias("__fits"))
+    return Truth(marked.filter("__fits").select(*fields), marked.filter(~F.col("__fits")).select("value"))
+
+
+def read_truth(spark: SparkSession, path: str, parser: Callable[[Column], Mapping[str, Column]],
+               optional: Sequence[str] = ()) -> Truth:
+    return parse_truth(read_lines(spark, path), parser, optional)

@@ -194,7 +194,6 @@ def test_numeric(spark):
 
 
 def test_terasort_with_copies(spark, monkeypatch):
-    monkeypatch.setattr(sorting, "COPIES_PER_RUN", 3)
     rng = random.Random(3)
     data = [("hot", "same")] * 40 + [(rng.choice("abcxyz"), str(rng.randrange(9))) for _ in range(30)]
     df = spark.createDataFrame(data, "key string, value string").repartition(5)
@@ -362,11 +361,18 @@ def test_any_number_of_clusters(spark):
     for bad, limit in ((["0 0.0 1 1 10_5", "0 0.0 2 1 10_5"], None), (["16 0.0 1 1 10_5"], 16)):
         with pytest.raises(Exception, match="slot is repeated or too large"):
             P.parse_centroids(lines(spark, *bad), limit).collect()
-    far = spark.createDataFrame([(1 << 20, 9, 0.0, 1, [(10, 5)])], "cluster_id int, movie_id long, "
-                                "similarity double, total int, reviews array<struct<rater_id:long,rating:int>>")
-    seen = spark.createDataFrame([(1, 0, 10, 5)], "movie_id long, pos int, rater_id long, rating int")
-    with pytest.raises(Exception, match="cluster ids must be below"):
-        ratings.classify(seen, far).collect()
+
+
+def test_cluster_ids_up_to_the_largest_int(spark):
+    ids = [1 << 20, (1 << 31) - 2, (1 << 31) - 1, 0]
+    model = spark.createDataFrame([(c, 0, 10 + i, 3) for i, c in enumerate(ids)] + [((1 << 31) - 1, 1, 20, 5), (7, 1, 20, 5)],
+                                  "cluster_id int, pos int, rater_id long, rating int")
+    seen = spark.createDataFrame([(i, 0, 10 + i, 5) for i in range(4)] + [(9, 0, 20, 4), (8, 0, 99, 1)],
+                                 "movie_id long, pos int, rater_id long, rating int")
+    got = {r.movie_id: (r.cluster_id, r.similarity) for r in ratings.classify(seen, model).collect()}
+    assert got == {**{i: (c, 1.0) for i, c in enumerate(ids)}, 9: (7, 1.0), 8: (0, 0.0)}  # ties to the lowest id
+    with pytest.raises(Exception, match="must not be negative"):
+        ratings.classify(seen, model.withColumn("cluster_id", -F.col("cluster_id"))).collect()
 
 
 def test_busy_vertex_keeps_every_neighbour(spark):
@@ -394,3 +400,78 @@ def test_centroid_model_in_rows(spark):
     want = ratings.centroid_reviews(inputs.centroids(spark, sf_dir)).collect()
     got = ratings.centroid_reviews(rows)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 16
+
+
+def test_chained_steps_and_a_busy_movie(spark):
+    rng = random.Random(7)
+    reviews = [(m, p, rng.randrange(40), rng.randrange(1, 6)) for m in range(30) for p in range(rng.randrange(1, 6))]
+    reviews += [(100, p, 100 + p, 1 + p % 5) for p in range(600)]  # most of all rows are of one movie
+    frame = spark.createDataFrame(reviews, "movie_id long, pos int, rater_id long, rating int")
+    model = spark.createDataFrame([(0, 0, 3, 4), (0, 1, 110, 5), (1, 0, 5, 2), (2, 0, 7, 3)],
+                                  "cluster_id int, pos int, rater_id long, rating int")
+    for _ in range(2):
+        members = ratings.classify(frame, model).collect()
+        _, centres = ratings.kmeans_step(frame, model)
+        centres = centres.collect()
+        rank = {c.movie_id: i for i, c in enumerate(sorted(centres, key=lambda c: -c.movie_id))}
+        rows = [(rank[c.movie_id], i, *map(int, r.split("_"))) for c in centres for i, r in enumerate(c.reviews.split(","))]
+        last, before = centres, members
+        model = spark.createDataFrame(rows, "cluster_id int, pos int, rater_id long, rating int")
+    start = spark.createDataFrame([(0, 0, 3, 4), (0, 1, 110, 5), (1, 0, 5, 2), (2, 0, 7, 3)],
+                                  "cluster_id int, pos int, rater_id long, rating int")
+    assigned, centres = ratings.kmeans(frame, start, 2)
+    assert sorted(centres.collect()) == sorted(last) and sorted(assigned.collect()) == sorted(before)
+    long = next(c for c in ratings.centre_lines(ratings.centre_reviews(
+        spark.createDataFrame([(100, 0, 0.5)], "movie_id long, cluster_id int, similarity double"), frame)).collect())
+    line = "100:" + ",".join(f"{r}_{v}" for _, _, r, v in reviews[-600:])
+    assert long.reviews == line[:line.index(",", 1000)].split(":")[1] and long.n_reviews == long.reviews.count(",") + 1
+
+
+def test_lists_are_compared_whole(spark):
+    schema = "vertex string, segment long, from array<string>, to array<string>"
+    good = spark.createDataFrame([("a", 0, ["b", "c"], None), ("a", 1, ["d"], []), ("e", 0, [], ["x"]), ("f", 0, ["y"], ["y"])], schema)
+    cut = spark.createDataFrame([("a", 0, ["d"], []), ("a", 1, ["c", "b"], None), ("e", 0, None, ["x", "x"]), ("g", 0, [], [])], schema)
+    assert rows(checks.diff_adjacency(cut, good)) == [("g", "extra")]
+    short = spark.createDataFrame([("a", 0, ["b", "c"], []), ("e", 0, ["x"], []), ("f", 0, ["y"], ["z"])], schema)
+    assert rows(checks.diff_adjacency(short, good)) == [("a", "changed"), ("e", "changed"), ("f", "changed")]
+
+
+def test_a_neighbour_missing_in_a_later_segment(spark):
+    edges = P.parse_edges(lines(spark, *[f"hub,n{i}" for i in range(5)]))
+    lost = graph.adjacency_list(edges.filter("dst <> 'n4'"), max_group=4)
+    whole = graph.adjacency_list(edges, max_group=4)
+    assert rows(checks.diff_adjacency(lost, whole)) == [("hub", "changed")]
+    assert rows(checks.diff_adjacency(graph.adjacency_list(edges), whole)) == []
+
+
+def test_list_items_in_one_aggregation(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "z"), (3, "q"), (3, "q"), (None, None)], "k int, v string")
+    e = spark.createDataFrame([(1, "x"), (1, "x"), (2, "w"), (3, "q"), (None, None)], "k int, v string")
+    found = checks.diff_lists(a, e, ["k"], "v")
+    assert rows(found) == [(1, "x", "repeated"), (1, "y", "extra"), (2, "w", "missing"), (2, "z", "extra"), (3, "q", "changed")]
+    plan = checks.diff_lists(a, e, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_leaders_are_picked_before_the_shuffle(spark):
+    counts = spark.createDataFrame([(p, f"d{d:02d}", (d * 7) % 5) for p in "ab" for d in range(20)], "phrase string, doc string, count long")
+    whole = {r.phrase: r.postings for r in text.ranked_inverted_index(counts).collect()}
+    found = text.ranked_inverted_index(counts, top=4)
+    assert {r.phrase: r.postings for r in found.collect()} == {p: v[:4] for p, v in whole.items()}
+    plan = text.ranked_inverted_index(counts, top=4)._jdf.queryExecution().executedPlan().toString()
+    # Read from the bottom: leaders of each task, the exchange, leaders of all.
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning") < plan.rindex("WindowGroupLimit")
+
+
+def test_one_hot_key_is_sorted_in_several_ranges(spark):
+    kv = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
+                                    F.lit(1).alias("value")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        found = sorting.order_check(sorting.terasort(kv), "key").first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (found["rows"], found["violations"]) == (40_000, 0) and found["largest"] < 20_000
+    mixed = spark.createDataFrame([("b",), ("a",), ("c",)], "key string").coalesce(1)
+    assert sorting.order_check(mixed, "key").first()["violations"] == 1
+    assert sorting.order_check(mixed.limit(0), "key").first()["rows"] == 0

@@ -79,7 +79,7 @@ def test_centroids_reordered_by_falling_movie(spark):
     df = lines(spark, "0 0.0 100 2 10_5,11_3", "1 0.0 200 2 12_4,26_1", "2 0 -1 0 1_1", "16 0 7 1 1_1")
     rows = P.parse_centroids(df).orderBy("cluster_id").collect()
     assert [(r.cluster_id, r.movie_id, [tuple(v) for v in r.reviews]) for r in rows] == [
-        (0, 200, [(12, 4), (26, 1)]), (1, 100, [(10, 5), (11, 3)]),
+        (0, 200, [(12, 4), (26, 1)]), (1, 100, [(10, 5), (11, 3)]), (2, 7, [(1, 1)]),
     ]
 
 
@@ -109,3 +109,27 @@ def test_files_round_trip_with_identities(spark, tmp_path):
     traced = L.trace_files(spark, path, "text")
     first, again = (sorted(map(str, traced.collect())) for _ in range(2))
     assert first == again and traced.select(L.LID).distinct().count() == 2
+
+
+def test_the_callers_own_truth_layout(spark, tmp_path):
+    path = str(tmp_path / "truth")
+    L.write_text(lines(spark, "k1;3;x", "k2;;y", "no", "", "k3;4"), path)
+
+    def fields(value):
+        part = lambda i: F.get(F.split(value, ";"), F.lit(i))
+        return {"key": part(0), "n": part(1).try_cast("int"), "note": part(2)}
+
+    truth = P.read_truth(spark, path, fields, optional=["note"])
+    assert sorted(map(tuple, truth.rows.collect())) == [("k1", 3, "x"), ("k3", 4, None)]
+    assert sorted(r.value for r in truth.unreadable.collect()) == ["", "k2;;y", "no"]
+    strict = P.read_truth(spark, path, fields)
+    assert strict.rows.count() == 1 and strict.unreadable.count() == 4
+
+
+def test_model_and_expected_files(spark, tmp_path):
+    path = str(tmp_path / "model")
+    L.write_text(lines(spark, "0 0.5 100 2 10_5,11_3", "1 0.0 200 1 12_4"), path)
+    assert [(r.cluster_id, r.movie_id, r.similarity) for r in P.read_centroids(spark, path).collect()] == [(0, 200, 0.0), (1, 100, 0.5)]
+    path = str(tmp_path / "expected")
+    L.write_text(lines(spark, "3 77", "4 78"), path)
+    assert sorted(map(tuple, P.read_expected(spark, path, "members").collect())) == [(3, 77), (4, 78)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Shared sub-queries, by name.
 PARTS = {
     "lines": """SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS line_no, unnest(p) AS value
@@ -84,6 +86,21 @@ PARTS = {
         GROUP BY ALL""",
 }
 
+# The reviews of a centroid's line, as far as the cut, are the model of a second step.
+_START = """length(CAST(movie_id AS VARCHAR)) + 1 + coalesce(sum(length(rater_id || '_' || rating) + 1) OVER (
+    PARTITION BY movie_id ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+PARTS["kept_reviews"] = f"""SELECT movie_id, rater_id, rating, row_number() OVER (PARTITION BY movie_id
+        ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS rn, {_START} AS start
+    FROM centres JOIN reviews USING (movie_id)"""
+PARTS["model2"] = """SELECT CAST(dense_rank() OVER (ORDER BY movie_id DESC) - 1 AS INTEGER) AS cluster_id,
+    rater_id, rating, rn FROM kept_reviews WHERE rn = 1 OR start <= 1000"""
+for _name in ("creviews", "sims", "assigned", "centres", "centre_lines"):
+    _text = PARTS[_name]
+    for _of in ("model", "creviews", "sims", "assigned", "centres"):
+        _text = re.sub(rf"(FROM|JOIN) {_of}\b", rf"\1 {_of}2", _text)
+    PARTS[f"{_name}2"] = _text
+
 # Which shared sub-queries each one reads.
 NEEDS = {
     "words": ["lines"], "wc": ["words"], "turn_words": ["turn_lines"], "recs": ["lines"],
@@ -91,7 +108,9 @@ NEEDS = {
     "deg": ["edges"], "top": ["reviews"], "model": ["reviews", "top"], "creviews": ["model"],
     "sims": ["reviews", "creviews"], "assigned": ["reviews", "sims"], "sizes": ["assigned"],
     "centres": ["assigned"], "centre_lines": ["centres", "reviews"], "wcd": ["words"],
-    "rare": ["wc"], "busy": ["deg"], "small": ["sizes"],
+    "rare": ["wc"], "busy": ["deg"], "small": ["sizes"], "kept_reviews": ["centres", "reviews"],
+    "model2": ["kept_reviews"], "creviews2": ["model2"], "sims2": ["reviews", "creviews2"],
+    "assigned2": ["reviews", "sims2"], "centres2": ["assigned2"], "centre_lines2": ["centres2", "reviews"],
 }
 
 
@@ -303,4 +322,48 @@ ORACLE: dict[str, str] = {
     "localize_omission": sql("reviews", """SELECT l_orderkey, l_linenumber, l_suppkey FROM reviews
         WHERE rating IN (1, 2) AND rater_id % 13 = 0
         ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice LIMIT 1"""),
+    "centroid_model_file": sql("model", """SELECT cluster_id, movie_id, CAST(0 AS DOUBLE) AS similarity,
+        CAST(count(*) AS INTEGER) AS total, CAST(count(*) AS INTEGER) AS read FROM model GROUP BY ALL"""),
+    "ranked_index_top": sql("seqs", """SELECT phrase, CAST(0 AS BIGINT) AS segment,
+            string_agg(count || '|' || doc, ',' ORDER BY count DESC, doc) AS postings FROM (SELECT * FROM seqs
+        QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY count DESC, doc) <= 3) GROUP BY phrase"""),
+    "kmeans_twice": sql("centre_lines2", f"""SELECT cluster_id, similarity, movie_id,
+            len(string_split(r, ',')) AS n_reviews, r AS reviews FROM (
+        SELECT *, substr(c, strpos(c, ':') + 1) AS r FROM (
+            SELECT *, {cut('line')} AS c FROM centre_lines2))"""),
+    "terasort_unique_keys": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM lineitem",
+    "terasort_hot_key": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM lineitem",
+    "diff_adjacency_segments": sql("vid_edges", f"""SELECT vertex, 'changed' AS status FROM (
+        SELECT DISTINCT dst AS vertex FROM vid_edges WHERE substr(src, 15, 5) = '00013')
+        SEMI JOIN {KEPT_EDGES} k ON k.dst = vertex"""),
+    "diff_from_truth_text": sql("wc", """SELECT word, CASE WHEN starts_with(word, 'Z') THEN 'extra' ELSE 'changed' END AS status
+        FROM wc WHERE starts_with(word, 'D') OR starts_with(word, 'Z') UNION ALL
+        SELECT '?' || chr(9) || word, 'unreadable' FROM wc WHERE starts_with(word, 'Z')"""),
+    "diff_from_expected_file": sql("reviews", """SELECT rating,
+            count(*) FILTER (NOT (rating IN (1, 2) AND rater_id % 13 = 0)) AS count, count(*) AS expected
+        FROM reviews GROUP BY rating HAVING count(*) <> count(*) FILTER (NOT (rating IN (1, 2) AND rater_id % 13 = 0))"""),
+    "trace_where_id": sql("words", "SELECT DISTINCT doc_id, line_no FROM words WHERE word = 'the'"),
+    "trace_count": sql("rare words", """SELECT count(*) AS records FROM (SELECT DISTINCT doc_id, line_no FROM words
+        SEMI JOIN rare USING (word))"""),
+    "trace_back_grep": sql("lines", """SELECT DISTINCT doc_id, line_no FROM (
+        SELECT doc_id, line_no, unnest(regexp_extract_all(value, 'th[aeiou][a-z]*')) AS match FROM lines) SEMI JOIN (
+        SELECT match FROM (SELECT unnest(regexp_extract_all(value, 'th[aeiou][a-z]*')) AS match FROM lines)
+        GROUP BY match HAVING count(*) = 3) USING (match)"""),
+    "trace_back_sequence": sql("seqs", """SELECT DISTINCT doc_id, line_no FROM (SELECT doc_id, line_no, doc,
+            unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || '|' || w[i + 1] || '|' || w[i + 2])) AS phrase
+        FROM recs WHERE len(w) >= 3) SEMI JOIN (FROM seqs WHERE count > 3) USING (phrase, doc)"""),
+    "trace_back_index": sql("tokens", """SELECT DISTINCT doc_id, line_no FROM tokens SEMI JOIN (
+        SELECT word FROM tokens GROUP BY word HAVING count(DISTINCT doc) = 2) USING (word)"""),
+    "trace_back_ranked_index": sql("seqs", """SELECT phrase, doc, count FROM seqs SEMI JOIN (
+        SELECT phrase FROM seqs GROUP BY phrase HAVING count(*) > 2) USING (phrase)"""),
+    "trace_back_terms": sql("tokens", """SELECT DISTINCT doc_id, line_no FROM tokens SEMI JOIN (
+        SELECT doc, word FROM (SELECT doc, word, count(*) AS c FROM tokens GROUP BY ALL HAVING count(*) >= 2)
+        QUALIFY max(c) OVER (PARTITION BY doc) > 2 AND count(*) OVER (PARTITION BY doc) > 2) USING (doc, word)"""),
+    "trace_back_histogram": sql("reviews", "SELECT l_orderkey, l_linenumber FROM reviews WHERE rating = 1"),
+    "trace_back_centre": sql("assigned", "SELECT movie_id, similarity FROM assigned WHERE cluster_id = 0"),
+    "trace_back_category": "SELECT event_id, value FROM events WHERE value > 50 AND value < 100",
+    "localize_rewritten_edge": """SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey = 13
+        ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice LIMIT 1""",
+    "localize_shifted_cluster": """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS movie_id FROM lineitem
+        WHERE l_partkey = 1 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice LIMIT 1""",
 }

@@ -102,6 +102,14 @@ def centroid_model(spark, d):
     )
 
 
+@query
+def centroid_model_file(spark, d):
+    """The model written as text and read back by its path."""
+    path = os.path.join(scratch_root(spark), f"model-{uuid.uuid4().hex}")
+    write_text(I.centroid_lines(spark, d), path)
+    return P.read_centroids(spark, path).select("cluster_id", "movie_id", "similarity", "total", F.size("reviews").alias("read"))
+
+
 # --- text ---------------------------------------------------------------------------
 
 @query
@@ -155,6 +163,13 @@ def ranked_inverted_index(spark, d):
     return text.ranked_inverted_index(counts).withColumn("postings", text.postings_text())
 
 
+@query
+def ranked_index_top(spark, d):
+    """The three leading documents of each phrase."""
+    counts = text.sequence_count(I.records(spark, d))
+    return text.ranked_inverted_index(counts, top=3).withColumn("postings", text.postings_text())
+
+
 @query
 def term_vector_record(spark, d):
     found = text.term_vector(I.records(spark, d), per=["doc", "line_no"])
@@ -215,6 +230,13 @@ def kmeans_step(spark, d):
     return centres
 
 
+@query
+def kmeans_twice(spark, d):
+    """The centroid rows after a second step, on the centroids of the first."""
+    _, centres = ratings.kmeans(I.reviews(spark, d), I.centroid_rows(spark, d), 2)
+    return centres
+
+
 @query
 def truncate_reviews(spark, d):
     """Every text cut at the first comma at or after the offset."""
@@ -267,6 +289,24 @@ def terasort_position(spark, d):
     return sorting.sort_positions(kv, ["o_orderpriority", "o_orderkey"])
 
 
+@query
+def terasort_unique_keys(spark, d):
+    """Line items sorted by a key of their own: rows, and rows out of order."""
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"),
+                      F.col("l_extendedprice").cast("string"))
+    kv = I.table(spark, d, "lineitem").select(key.alias("key"), F.col("l_suppkey").alias("value"))
+    return sorting.order_check(sorting.terasort(kv), "key").select("rows", "violations")
+
+
+@query
+def terasort_hot_key(spark, d):
+    """A third of all line items under one key, as copies of one row."""
+    hot = F.col("l_orderkey") % 3 == 0
+    key = F.when(hot, "hot").otherwise(F.col("l_orderkey").cast("string"))
+    kv = I.table(spark, d, "lineitem").select(key.alias("key"), F.when(hot, 0).otherwise(F.col("l_suppkey")).alias("value"))
+    return sorting.order_check(sorting.terasort(kv), "key").select("rows", "violations")
+
+
 @query
 def split_parts(spark, d):
     return sets.split(I.orders(spark, d).select("o_orderkey"), 7, ["o_orderkey"])
@@ -434,6 +474,45 @@ def diff_adjacency(spark, d):
     return checks.diff_adjacency(bad, graph.adjacency_list(P.parse_edges(lines)))
 
 
+@query
+def diff_adjacency_segments(spark, d):
+    """The same lists in segments of four neighbours."""
+    lines = I.edge_lines(spark, d)
+    bad, good = (graph.adjacency_list(P.parse_edges(rows), max_group=4)
+                 for rows in (faults.drop_edge_lines(lines, "00013"), lines))
+    return checks.diff_adjacency(bad, good)
+
+
+def _truth_fields(value):
+    """`count<TAB>word`, the count in digits."""
+    return {"word": F.when(value.contains("\t"), F.substring_index(value, "\t", -1)),
+            "count": F.substring_index(value, "\t", 1).try_cast("bigint")}
+
+
+@query
+def diff_from_truth_text(spark, d):
+    """Word counts against a text of expected ones, some wrong and some unreadable."""
+    lines = I.doc_lines(spark, d)
+    count = F.when(F.col("word").startswith("Z"), "?").otherwise(F.col("count").cast("string"))
+    path = os.path.join(scratch_root(spark), f"truth-{uuid.uuid4().hex}")
+    write_text(_prefixed(lines).select(F.concat(count, F.lit("\t"), "word").alias("value")), path)
+    truth = P.read_truth(spark, path, _truth_fields)
+    found = checks.diff_full(text.word_count(lines), truth.rows, ["word"], ["count"])
+    lost = truth.unreadable.select(F.col("value").alias("word"), F.lit("unreadable").alias("status"))
+    return found.unionByName(lost)
+
+
+@query
+def diff_from_expected_file(spark, d):
+    """A histogram against an expected one in its fixed text layout."""
+    reviews = I.reviews(spark, d)
+    path = os.path.join(scratch_root(spark), f"expected-{uuid.uuid4().hex}")
+    lines = F.concat_ws(" ", F.col("rating").cast("string"), F.col("count").cast("string")).alias("value")
+    write_text(ratings.ratings_histogram(reviews).select(lines), path)
+    expected = P.read_expected(spark, path, "int_counts")
+    return checks.diff_inner(ratings.ratings_histogram(faults.drop_low_ratings(reviews)), expected, ["rating"])
+
+
 # --- tracing ------------------------------------------------------------------------
 
 def _words_program(spark, d):
@@ -489,6 +568,78 @@ def trace_forward(spark, d):
     return start.forward_all().rows().select("word", "count")
 
 
+@query
+def trace_where_id(spark, d):
+    """Source lines of one word, chosen by its identity."""
+    return _words_program(spark, d).lineage().where_id("the").back_all().rows().select(*LINE_ID)
+
+
+@query
+def trace_count(spark, d):
+    """How many source lines are behind the words seen exactly three times."""
+    return _words_program(spark, d).lineage().where(F.col("count") == RARE).back_all().counted()
+
+
+@query
+def trace_back_grep(spark, d):
+    """Source lines of the matches seen exactly three times."""
+    program = programs.grep_count(I.doc_lines(spark, d), LINE_ID, PATTERN)
+    return program.lineage().where(F.col("count") == RARE).back_all().rows().select(*LINE_ID)
+
+
+@query
+def trace_back_sequence(spark, d):
+    """Records with a phrase that its document holds more than three times."""
+    program = programs.sequence_count(I.records(spark, d), LINE_ID)
+    return program.lineage().where(faults.count_over(3)).back_all().rows().select(*LINE_ID)
+
+
+@query
+def trace_back_index(spark, d):
+    """Records with a word of exactly two documents."""
+    program = programs.inverted_index(I.records(spark, d), LINE_ID)
+    return program.lineage().where(F.col("n_docs") == 2).back_all().rows().select(*LINE_ID)
+
+
+@query
+def trace_back_ranked_index(spark, d):
+    """Phrase counts of the phrases found in more than two documents."""
+    counts = text.sequence_count(I.records(spark, d))
+    program = programs.ranked_inverted_index(counts, ["phrase", "doc"])
+    return program.lineage().where(F.col("n_docs") > 2).back_all().rows().select("phrase", "doc", "count")
+
+
+@query
+def trace_back_terms(spark, d):
+    """Records behind the term vectors that are marked."""
+    program = programs.term_vector(I.records(spark, d), LINE_ID)
+    return program.lineage().where(faults.busy_terms()).back_all().rows().select(*LINE_ID)
+
+
+@query
+def trace_back_histogram(spark, d):
+    """Reviews behind the lowest rating."""
+    program = programs.histogram(trace_files(spark, f"{d}/lineitem.parquet").select(
+        "__lid", "l_orderkey", "l_linenumber", (F.lit(1) + F.col("l_linenumber") % 5).cast("int").alias("rating")), None)
+    return program.lineage().where(F.col("rating") == 1).back_all().rows().select("l_orderkey", "l_linenumber")
+
+
+@query
+def trace_back_centre(spark, d):
+    """All members that the first cluster's new centroid depends on."""
+    assigned = _assigned(spark, d)
+    program = programs.recentring(assigned, I.reviews(spark, d))
+    return program.lineage().where(F.col("cluster_id") == 0).back_all().rows().select("movie_id", "similarity")
+
+
+@query
+def trace_back_category(spark, d):
+    """Events in range behind the small category."""
+    events = I.table(spark, d, "events").select("event_id", "value")
+    program = programs.categories(events, ["event_id"], "value", 50, 400)
+    return program.lineage().where(F.col("category") == "Small").back_all().rows().select("event_id", "value")
+
+
 def _edges_program(spark, d):
     """Line items have no key: their place in the Parquet files identifies them."""
     rows = trace_files(spark, f"{d}/lineitem.parquet")
@@ -610,6 +761,45 @@ def localize_word_count(spark, d):
     return _found(result.minimised, *LINE_ID)
 
 
+@query
+def localize_rewritten_edge(spark, d):
+    """Rewritten edges show in the neighbours; the traced edges come down to one of them."""
+    cols = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"]
+    edges = I.edges(spark, d, *cols)
+
+    def rewritten(rows, by):
+        return faults.rewrite_destination(graph.edge_facts(rows, by), "P13")
+
+    fact = ["vertex", "side", "neighbour"]
+    wrong = checks.diff_full(rewritten(edges, []), graph.edge_facts(edges), fact, mode="set")
+    test = D.truth_test(lambda rows, by: rewritten(rows, by).dropDuplicates(),
+                        lambda rows, by: graph.edge_facts(rows, by).dropDuplicates(), fact, [])
+    bad = wrong.select(F.struct("vertex").alias("__lid")).distinct()
+    result = programs.localize(programs.adjacency(edges, cols), bad, test, cols)
+    return _found(result.minimised, "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query
+def localize_shifted_cluster(spark, d):
+    """A movie put into the wrong cluster comes down to one of its reviews."""
+    cols = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    reviews, model = I.reviews(spark, d, *cols), I.centroid_rows(spark, d)
+
+    def clean(rows, by):
+        return ratings.classify(rows, model, by)
+
+    def shifted(rows, by):
+        return faults.shift_cluster(clean(rows, by))
+
+    wrong = checks.diff_inner(shifted(reviews, []), clean(reviews, []), ["movie_id"], "cluster_id")
+    program = programs.classification(reviews, [*cols, "movie_id"], model)
+    chosen = wrong.select(F.struct("movie_id").alias("__lid"))
+    traced = program.lineage().back(1).where(chosen).back(2).rows()
+    test = D.truth_test(shifted, clean, ["movie_id"], ["cluster_id"])
+    result = D.ddmin(traced.drop("__lid"), test, [*cols, "movie_id"])
+    return _found(result, "l_orderkey", "l_linenumber", "l_suppkey", "movie_id")
+
+
 @query
 def localize_omission(spark, d):
     """A seeded loss: the lost reviews are found through the fault-free program."""
