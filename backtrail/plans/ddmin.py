@@ -1,19 +1,32 @@
 """Delta debugging: reduce failing inputs to minimal failing sets.
 
 Candidates are numbered once in a total order and written to the shared folder. From then
-on a set of candidates is a short list of rank ranges, so the search state stays a few
-numbers on the driver, plans do not grow, and scans of small sets skip row groups.
+on a set of candidates is a table and at most MAX_RANGES ranges of its numbers; a set that
+falls into more pieces is written out and numbered anew. Parts are arithmetic on those
+ranges and complements are made one wave at a time, so plans do not grow, scans of small
+sets skip row groups, and what the driver holds does not depend on how many candidates
+there are or how many of them a failure needs: one wave of sets, a bounded cache of
+outcomes, and bounded ends of the lists of branches, solutions and log entries, which go on
+in the shared folder.
 
 A test is given many sets at once: every row carries the trials it belongs to, and the
-program under test groups by `__trial`. Only (trial, failed) rows come back.
+program under test groups by `__trial`. Only (trial, failed) rows come back, one wave of
+them. A round that splits into n parts takes one job for every PART_WAVE parts, and one for
+every COPY_WAVE complements if no part fails. A search for a set of k needed rows among N
+takes some log2(N) rounds for k = 1, and for more about k * log2(N / k) rounds of up to 2k
+parts.
 """
 
 from __future__ import annotations
 
+import os
 import time
-from bisect import bisect_right
-from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+import uuid
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +34,16 @@ from pyspark.sql import types as T
 
 from backtrail.operators.checks import any_faulty, diff_full
 from backtrail.operators.faults import mark
-from backtrail.plans.groups import number_rows
-from backtrail.session import stored
+from backtrail.plans.groups import measure, number_rows
+from backtrail.session import scratch_root, stored
 
-TRIAL, RANK = "__trial", "__rank"
+TRIAL, RANK, PLACE = "__trial", "__rank", "__place"
 PART_WAVE = 256       # disjoint parts tested in one job
 COPY_WAVE = 32        # overlapping sets tested in one job
-SMALL_COPIES = 40_000   # rows up to which tests that may not be needed ride along
+BRANCH_WAVE = 64      # branches that an exhaustive round follows together
+RIDE = 8              # parts of a split up to which its complements are tested along with them
+MAX_RANGES = 64       # pieces of a set before it is numbered anew
+MEMORY = 4096         # entries of a list that stay on the driver
 
 Ranges = tuple[tuple[int, int], ...]
 
@@ -49,11 +65,10 @@ def _slice(ranges: Ranges, start: int, stop: int) -> Ranges:
     return tuple(cut)
 
 
-def parts_of(ranges: Ranges, n: int) -> list[Ranges]:
-    """`n` consecutive parts, equal in size to within one."""
+def part_of(ranges: Ranges, n: int, i: int) -> Ranges:
+    """Part i of `n` consecutive parts, equal in size to within one."""
     total = size_of(ranges)
-    bounds = [i * total // n for i in range(n + 1)]
-    return [_slice(ranges, a, b) for a, b in zip(bounds, bounds[1:])]
+    return _slice(ranges, i * total // n, (i + 1) * total // n)
 
 
 def without(ranges: Ranges, part: Ranges) -> Ranges:
@@ -70,25 +85,53 @@ def without(ranges: Ranges, part: Ranges) -> Ranges:
     return tuple(left)
 
 
-def common(a: Ranges, b: Ranges) -> Ranges:
-    shared = [(max(x, u), min(y, v)) for x, y in a for u, v in b if max(x, u) < min(y, v)]
-    return tuple(sorted(shared))
+@dataclass(frozen=True)
+class Set:
+    """Rows of a table whose places lie in the ranges, and how many they are."""
+
+    table: int
+    ranges: Ranges
+    size: int
+
+    def without(self, part: Set) -> Set:
+        return Set(self.table, without(self.ranges, part.ranges), self.size - part.size)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """The parts of a set, numbered below `n`: `wave(a, b, width)` gives the first `width`
+    of the non-empty ones numbered a to b-1. `few` says that there are two at most, `single`
+    that all are one row.
+    """
+
+    whole: Set
+    n: int
+    few: bool
+    single: bool
+    wave: Callable[[int, int, int], list[tuple[int, Set]]]
+
+    def waves(self, width: int, start: int = 0) -> Iterator[list[tuple[int, Set]]]:
+        """All non-empty parts, from number `start` round."""
+        for a, b in ((start, self.n), (0, start)):
+            while a < b and (wave := self.wave(a, b, width)):
+                yield wave
+                a = wave[-1][0] + 1
 
 
 # --- trials as rows -----------------------------------------------------------------
 
 def _lookup(bounds: Sequence[int], values: Sequence[str]) -> str:
-    """SQL for the value of the interval that holds the rank: a balanced tree of ifs."""
+    """SQL for the value of the interval that holds the place: a balanced tree of ifs."""
     if len(values) == 1:
         return values[0]
     mid = len(values) // 2
     below = _lookup(bounds[: mid - 1], values[:mid])
     above = _lookup(bounds[mid:], values[mid:])
-    return f"if({RANK} < {bounds[mid - 1]}L, {below}, {above})"
+    return f"if({PLACE} < {bounds[mid - 1]}L, {below}, {above})"
 
 
-def with_trials(candidates: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
-    """Candidates with `__trial`, one row per trial that holds them."""
+def with_trials(rows: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
+    """Rows with `__trial`, one per trial that holds them."""
     cuts = sorted({edge for ranges in trials.values() for pair in ranges for edge in pair})
     member: list[list[int]] = [[] for _ in range(len(cuts) - 1)]
     for trial, ranges in trials.items():
@@ -96,108 +139,111 @@ def with_trials(candidates: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
             for i in range(bisect_right(cuts, lo) - 1, bisect_right(cuts, hi) - 1):
                 member[i].append(trial)
     leaves = [f"array({','.join(map(str, m))})" if m else "cast(array() AS array<int>)" for m in member]
-    inside = (F.col(RANK) >= cuts[0]) & (F.col(RANK) < cuts[-1])
+    inside = (F.col(PLACE) >= cuts[0]) & (F.col(PLACE) < cuts[-1])
     found = F.expr(_lookup(cuts[1:-1], leaves))
-    return candidates.filter(inside).withColumn(TRIAL, F.explode(found)).drop(RANK)
+    return rows.filter(inside).withColumn(TRIAL, F.explode(found))
 
 
-class RankSets:
-    """Sets as rank ranges; parts are runs of the candidates' order."""
+class Sets:
+    """Tables of candidates with places, and the parts of their sets.
+
+    Table 0 holds all candidates in their order; parts are runs of that order.
+    """
 
     def __init__(self, candidates: DataFrame):
-        self.candidates = candidates
+        self.tables = [candidates.withColumn(PLACE, F.col(RANK))]
         self.total = candidates.count()
-        self.whole: Ranges = ((0, self.total),) if self.total else ()
-
-    def learn(self, sets: Iterable[Ranges]) -> None:
-        """Sizes follow from the ranges."""
-
-    def size(self, ranges: Ranges) -> int:
-        return size_of(ranges)
-
-    def parts(self, ranges: Ranges, n: int) -> list[Ranges]:
-        return parts_of(ranges, n)
-
-    def finest(self, ranges: Ranges) -> int:
+        self.whole = Set(0, ((0, self.total),) if self.total else (), self.total)
+
+    def rows(self, one: Set) -> DataFrame:
+        """The set's candidates, with rank and place."""
+        if not one.size:
+            return self.tables[one.table].filter("false")
+        return with_trials(self.tables[one.table], {0: one.ranges}).drop(TRIAL)
+
+    def keep(self, rows: DataFrame) -> int:
+        """Write rows with their places as a new table."""
+        self.tables.append(stored(rows, "subset"))
+        return len(self.tables) - 1
+
+    def compact(self, one: Set) -> Set:
+        """The same set in MAX_RANGES pieces at most."""
+        if len(one.ranges) <= MAX_RANGES:
+            return one
+        lows = [lo for lo, _ in one.ranges]
+        moved, passed = [], 0
+        for lo, hi in one.ranges:
+            moved.append(f"{PLACE} - {lo - passed}L")
+            passed += hi - lo
+        rows = self.rows(one).withColumn(PLACE, F.expr(_lookup(lows[1:], moved)))
+        return Set(self.keep(rows.sortWithinPartitions(PLACE)), ((0, one.size),), one.size)
+
+    def parts(self, one: Set, n: int) -> Parts:
+        n = min(n, one.size)
+
+        def wave(a: int, b: int, width: int) -> list[tuple[int, Set]]:
+            pieces = ((i, part_of(one.ranges, n, i)) for i in range(a, min(b, a + width)))
+            return [(i, Set(one.table, r, size_of(r))) for i, r in pieces]
+
+        return Parts(one, n, n <= 2, n == one.size, wave)
+
+    def finest(self, one: Set) -> int:
         """The number of parts beyond which splitting tells nothing new."""
-        return size_of(ranges)
-
-    def without(self, ranges: Ranges, part: Ranges) -> Ranges:
-        return without(ranges, part)
-
-    def common(self, a: Ranges, b: Ranges) -> Ranges:
-        return common(a, b)
+        return one.size
 
-    def assign(self, trials: dict[int, Ranges]) -> DataFrame:
-        return with_trials(self.candidates, trials)
+    def assign(self, trials: dict[int, Set]) -> DataFrame:
+        by_table: dict[int, dict[int, Ranges]] = {}
+        for t, one in trials.items():
+            by_table.setdefault(one.table, {})[t] = one.ranges
+        frames = [with_trials(self.tables[i], held) for i, held in by_table.items()]
+        out = frames[0]
+        for frame in frames[1:]:
+            out = out.unionByName(frame)
+        return out.drop(RANK, PLACE)
 
 
-Conditions = tuple[tuple[int, int, bool], ...]
-
-
-class SplitSets:
+class SplitSets(Sets):
     """Sets under the caller's own split: `split(n)` is a column that numbers the parts
     0 to n-1.
 
-    A set is the list of (n, part, kept or left out) that led to it, so again nothing but
-    numbers stays on the driver. Rows that the split never tells apart stay together in
-    the result.
+    A set that is split is written with its part numbers as places, so that parts are ranges
+    again and no condition outlives its round. Rows that the split never tells apart stay
+    together in the result.
     """
 
     def __init__(self, candidates: DataFrame, split: Callable[[int], Column]):
-        self.candidates, self.split = candidates, split
-        self.total = candidates.count()
-        self.whole: Conditions = ()
-        self.sizes: dict[Conditions, int] = {(): self.total}
-        self.split_up: dict[tuple[Conditions, int], list[Conditions]] = {}
-
-    def _part(self, n: int) -> Column:
-        return F.coalesce(self.split(n).cast("int"), F.lit(0))
-
-    def _holds(self, conditions: Conditions) -> Column:
-        holds = F.lit(True)
-        for n, part, kept in conditions:
-            mine = self._part(n) == part
-            holds = holds & (mine if kept else ~mine)
-        return holds
-
-    def learn(self, sets: Iterable[Conditions]) -> None:
-        """Count the sets whose sizes are not known yet, many in one job."""
-        fresh = [s for s in dict.fromkeys(sets) if s not in self.sizes]
-        for start in range(0, len(fresh), PART_WAVE):
-            batch = dict(enumerate(fresh[start : start + PART_WAVE]))
-            counted = dict(self.assign(batch).groupBy(TRIAL).count().collect())
-            self.sizes.update({s: counted.get(t, 0) for t, s in batch.items()})
-
-    def size(self, conditions: Conditions) -> int:
-        self.learn([conditions])
-        return self.sizes[conditions]
-
-    def parts(self, conditions: Conditions, n: int) -> list[Conditions]:
-        """The parts that hold rows, found and counted in one job."""
-        if (conditions, n) not in self.split_up:
-            mine = self.candidates.filter(self._holds(conditions))
-            counted = mine.groupBy(self._part(n).alias("part")).count().orderBy("part").collect()
-            found = {(*conditions, (n, r["part"], True)): r["count"] for r in counted}
-            self.sizes.update(found)
-            self.split_up[conditions, n] = list(found)
-        return self.split_up[conditions, n]
-
-    def finest(self, conditions: Conditions) -> int:
-        return self.total
+        super().__init__(candidates)
+        self.split = split
+
+    def compact(self, one: Set) -> Set:
+        if len(one.ranges) <= MAX_RANGES:
+            return one
+        return Set(self.keep(self.rows(one)), ((one.ranges[0][0], one.ranges[-1][1]),), one.size)
 
-    def without(self, conditions: Conditions, part: Conditions) -> Conditions:
-        n, i, _ = part[-1]
-        rest = (*conditions, (n, i, False))
-        self.sizes[rest] = self.sizes[conditions] - self.sizes[part]
-        return rest
+    def parts(self, one: Set, n: int) -> Parts:
+        part = F.coalesce(self.split(n).cast("bigint"), F.lit(0))
+        table = self.keep(self.rows(one).withColumn(PLACE, part))
+        counts = self.tables[table].groupBy(PLACE).agg(F.count(F.lit(1)).alias("n"))
 
-    def common(self, a: Conditions, b: Conditions) -> Conditions:
-        return tuple(dict.fromkeys((*a, *b)))
+        def first(rows: DataFrame, width: int) -> list[tuple[int, Set]]:
+            found = rows.orderBy(PLACE).limit(width).collect()
+            return [(r[PLACE], Set(table, ((r[PLACE], r[PLACE] + 1),), r["n"])) for r in found]
 
-    def assign(self, trials: dict[int, Conditions]) -> DataFrame:
-        member = F.array_compact(F.array(*[F.when(self._holds(c), t) for t, c in trials.items()]))
-        return self.candidates.withColumn(TRIAL, F.explode(member)).drop(RANK)
+        held = first(counts, MEMORY + 1)
+        if len(held) > MEMORY:
+            counts = stored(counts, "parts")
+
+        def wave(a: int, b: int, width: int) -> list[tuple[int, Set]]:
+            if len(held) > MEMORY:  # read in turn
+                return first(counts.filter((F.col(PLACE) >= a) & (F.col(PLACE) < b)), width)
+            lo = bisect_left(held, a, key=lambda p: p[0])
+            return [p for p in held[lo:lo + width] if p[0] < b]
+
+        single = len(held) == one.size or len(held) > MEMORY and counts.filter("n > 1").isEmpty()
+        return Parts(Set(table, ((0, n),), one.size), n, len(held) <= 2, single, wave)
+
+    def finest(self, one: Set) -> int:
+        return self.total
 
 
 # --- tests --------------------------------------------------------------------------
@@ -212,7 +258,7 @@ class BatchTest:
     def __init__(self, fn: Callable[[DataFrame], DataFrame], fails_when_silent: bool = False):
         self.fn, self.fails_when_silent = fn, fails_when_silent
 
-    def outcomes(self, sets: RankSets | SplitSets, trials: dict) -> dict[int, bool]:
+    def outcomes(self, sets: Sets, trials: dict[int, Set]) -> dict[int, bool]:
         rows = self.fn(sets.assign(trials)).select(TRIAL, "failed").collect()
         told = {r[TRIAL]: bool(r["failed"]) for r in rows}
         return {t: told.get(t, self.fails_when_silent) for t in trials}
@@ -224,7 +270,7 @@ class SingleTest:
     def __init__(self, fn: Callable[[DataFrame], bool]):
         self.fn = fn
 
-    def outcomes(self, sets: RankSets | SplitSets, trials: dict) -> dict[int, bool]:
+    def outcomes(self, sets: Sets, trials: dict[int, Set]) -> dict[int, bool]:
         return {t: bool(self.fn(sets.assign({t: one}).drop(TRIAL))) for t, one in trials.items()}
 
 
@@ -249,27 +295,134 @@ def truth_test(program: Program, truth: Program, on: Sequence[str],
     return BatchTest(fn)
 
 
-# --- the search ---------------------------------------------------------------------
+# --- what outgrows the driver --------------------------------------------------------
+
+class Log:
+    """Rows in the order they were added. Older ones go to a table in the shared folder."""
+
+    def __init__(self, spark, schema: T.StructType, label: str):
+        self.spark, self.schema = spark, schema
+        self.path = os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+        self.rows: list[tuple] = []
+        self.written = False
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= MEMORY:
+            self.spark.createDataFrame(self.rows, self.schema).write.mode("append").parquet(self.path)
+            self.rows, self.written = [], True
+
+    def frame(self) -> DataFrame:
+        held = self.spark.createDataFrame(self.rows, self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).unionByName(held) if self.written else held
+
 
 @dataclass(frozen=True)
 class Branch:
     """One failing set, how finely to split it, and where to start with complements."""
 
-    ranges: Ranges | Conditions
+    one: Set
     parts: int = 2
     offset: int = 0
 
 
+_BRANCH = T.StructType([
+    T.StructField("table", T.IntegerType()),
+    T.StructField("ranges", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("size", T.LongType()), T.StructField("parts", T.LongType()),
+    T.StructField("offset", T.LongType()),
+])
+
+
+class Pending:
+    """Branches still to follow, first come first; those in the middle wait in tables."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.front: list[Branch] = []
+        self.back: list[Branch] = []
+        self.blocks: list[str] = []
+
+    def __bool__(self) -> bool:
+        return bool(self.front or self.back or self.blocks)
+
+    def add(self, b: Branch) -> None:
+        self.back.append(b)
+        if len(self.back) >= MEMORY:
+            path = os.path.join(scratch_root(self.spark), f"branches-{uuid.uuid4().hex}")
+            rows = [(b.one.table, [list(r) for r in b.one.ranges], b.one.size, b.parts, b.offset) for b in self.back]
+            self.spark.createDataFrame(rows, _BRANCH).coalesce(1).write.parquet(path)
+            self.blocks.append(path)
+            self.back = []
+
+    def take(self, n: int) -> list[Branch]:
+        if not self.front and self.blocks:
+            rows = self.spark.read.schema(_BRANCH).parquet(self.blocks.pop(0)).collect()  # MEMORY rows
+            self.front = [Branch(Set(r["table"], tuple(map(tuple, r["ranges"])), r["size"]), r["parts"], r["offset"])
+                          for r in rows]
+        if not self.front:
+            self.front, self.back = self.back, []
+        taken, self.front = self.front[:n], self.front[n:]
+        return taken
+
+
+class Solutions:
+    """Minimal sets. Few are kept as ranges of the candidates' order; others as tables."""
+
+    def __init__(self, sets: Sets):
+        self.sets, self.held, self.n = sets, OrderedDict(), 0
+        self.paths: list[str] = []
+
+    def add(self, one: Set) -> None:
+        if one.table == 0 and len(self.held) < MEMORY:
+            self.held[one] = None
+            return
+        path = os.path.join(scratch_root(self.sets.tables[0].sparkSession), f"solution-{uuid.uuid4().hex}")
+        self.sets.rows(one).select(F.lit(path).alias("of"), RANK).write.parquet(path)
+        self.paths.append(path)
+
+    def rows(self) -> DataFrame:
+        """The candidates of every solution, once each, numbered by their first members."""
+        table = self.sets.tables[0]
+        held = sorted(self.held, key=lambda s: (s.ranges, s.size))
+        if not held and not self.paths:
+            return table.filter("false").withColumn("solution_id", F.lit(0)).drop(RANK, PLACE)
+        if not self.paths:
+            return self._assigned(held).drop(RANK, PLACE)
+        spark = table.sparkSession
+        found = spark.read.parquet(*self.paths).select("of", RANK)
+        if held:
+            found = found.unionByName(self._assigned(held).select(F.col("solution_id").cast("string").alias("of"), RANK))
+        digest = [F.count(F.lit(1)).alias("size"), F.min(RANK).alias("first"),
+                  F.sum(F.xxhash64(RANK).cast("decimal(38,0)")).alias("hash")]
+        kept = found.groupBy("of").agg(*digest).groupBy("first", "size", "hash").agg(F.min("of").alias("chosen"))
+        numbered = number_rows(kept, [], ["first", "size", "hash"], "solution_id")
+        chosen = measure(numbered.select("chosen", (F.col("solution_id") - 1).cast("int").alias("solution_id")))
+        ranks = found.join(chosen.frame(), F.col("of") == F.col("chosen")).select("solution_id", F.col(RANK).alias("__r"))
+        return table.join(ranks, F.col(RANK) == F.col("__r")).drop("__r", RANK, PLACE)
+
+    def _assigned(self, held: list[Set]) -> DataFrame:
+        frames = [with_trials(self.sets.tables[0], dict(enumerate((s.ranges for s in held[a:a + PART_WAVE]), a)))
+                  for a in range(0, len(held), PART_WAVE)]
+        out = frames[0]
+        for frame in frames[1:]:
+            out = out.unionByName(frame)
+        return out.withColumnRenamed(TRIAL, "solution_id")
+
+
+# --- the search ---------------------------------------------------------------------
+
 @dataclass
 class Minimised:
     """Minimal failing sets and how they were found.
 
-    `complete` is false when `max_rounds` ended the search; the sets then fail but may not
-    be minimal.
+    `rows` has `solution_id` and the candidate columns; solutions are numbered by their
+    first members. `complete` is false when `max_rounds` ended the search: `unfinished` then
+    has the sets, in the same form, that fail but may not be minimal.
     """
 
-    solutions: list[Ranges | Conditions]
     rows: DataFrame
+    unfinished: DataFrame
     history: DataFrame
     rounds: int
     jobs: int
@@ -284,107 +437,132 @@ _HISTORY = T.StructType([
 ])
 
 
+def _chunks(items: Iterable, n: int) -> Iterator[list]:
+    it = iter(items)
+    while chunk := list(islice(it, n)):
+        yield chunk
+
+
+@dataclass
 class _Search:
-    def __init__(self, sets: RankSets | SplitSets, test, lookahead: int):
-        self.sets, self.lookahead = sets, lookahead
-        self.test = test if hasattr(test, "outcomes") else SingleTest(test)
-        self.batched = isinstance(self.test, BatchTest)
-        self.known: dict = {}
-        self.log: list[tuple] = []
-        self.run, self.jobs, self.spent = 0, 0, 0
-
-    def ask(self, wanted: Iterable, wave: int) -> None:
-        """Test the sets that have not been tested yet, `wave` per job. An empty set
-        passes."""
-        fresh = [r for r in dict.fromkeys(wanted) if r not in self.known]
-        self.sets.learn(fresh)
-        self.known.update({r: False for r in fresh if self.sets.size(r) == 0})
-        fresh = [r for r in fresh if r not in self.known]
-        for start in range(0, len(fresh), wave):
-            batch = dict(enumerate(fresh[start : start + wave]))
+    sets: Sets
+    test: BatchTest | SingleTest
+    lookahead: int
+    log: Log
+    known: OrderedDict = field(default_factory=OrderedDict)
+    split_up: OrderedDict = field(default_factory=OrderedDict)
+    run: int = 0
+    jobs: int = 0
+    spent: int = 0
+
+    def parts(self, one: Set, n: int) -> Parts:
+        """The parts of a set, remembered for as long as a round takes."""
+        if (one, n) not in self.split_up:
+            self.split_up[one, n] = self.sets.parts(one, n)
+            if len(self.split_up) > 2 * BRANCH_WAVE:
+                self.split_up.popitem(last=False)
+        return self.split_up[one, n]
+
+    def ask(self, wanted: Iterable[Set], wave: int) -> list[bool]:
+        """Whether each set fails; those not tested yet are, `wave` per job. An empty set passes."""
+        wanted = list(wanted)
+        fresh = [s for s in dict.fromkeys(wanted) if s.size and s not in self.known]
+        found: dict[Set, bool] = {s: self.known[s] for s in wanted if s in self.known}
+        batched = isinstance(self.test, BatchTest)
+        for batch in _chunks(fresh, wave):
             begun = time.monotonic()
-            for t, failed in self.test.outcomes(self.sets, batch).items():
-                self.known[batch[t]] = failed
-            self.jobs += 1 if self.batched else len(batch)
+            for t, failed in self.test.outcomes(self.sets, dict(enumerate(batch))).items():
+                found[batch[t]] = self.known[batch[t]] = failed
+            self.jobs += 1 if batched else len(batch)
             self.spent = int((time.monotonic() - begun) * 1000)
+        while len(self.known) > MEMORY:
+            self.known.popitem(last=False)
+        return [found.get(s, False) for s in wanted]
 
-    def note(self, branch: Branch, kind: str, index: int, one) -> bool:
+    def note(self, branch: Branch, kind: str, index: int, one: Set, failed: bool) -> bool:
         """Log a test; true when the set fails and is smaller than its branch."""
-        size, failed = self.sets.size(one), self.known[one]
-        self.log.append((self.run, size, branch.parts, kind, index, failed, self.spent))
-        return failed and size < self.sets.size(branch.ranges)
+        self.log.add((self.run, one.size, branch.parts, kind, index, failed, self.spent))
+        return failed and one.size < branch.one.size
 
-    def ahead(self, one, depth: int) -> list:
+    def ahead(self, one: Set, depth: int) -> list[Set]:
         """Halves of halves that the next rounds would ask for if this set fails."""
-        if depth == 0 or self.sets.size(one) < 2:
+        if depth == 0 or one.size < 2:
             return []
-        halves = self.sets.parts(one, 2)
-        return halves + [r for h in halves for r in self.ahead(h, depth - 1)]
-
-    def ask_parts(self, branches: Sequence[Branch]) -> None:
-        """All parts of the branches. Small sets bring the tests of later rounds along."""
-        parts = [p for b in branches for p in self.sets.parts(b.ranges, b.parts)]
-        if self.batched and self.lookahead and not all(p in self.known for p in parts):
-            rows = sum(self.sets.size(b.ranges) for b in branches)
-            extra: list = []
-            if rows * self.lookahead <= SMALL_COPIES:
-                extra += [r for p in parts[:8] for r in self.ahead(p, self.lookahead)]
-            extra += [
-                rest
-                for b in branches
-                if b.parts <= COPY_WAVE and self.sets.size(b.ranges) * b.parts <= SMALL_COPIES
-                for _, rest in self.complements(b)
-            ]
-            parts += extra
-        self.ask(parts, PART_WAVE)
-
-    def complements(self, b: Branch) -> list[tuple]:
-        """(part number, complement) from the branch's offset round; halves need none."""
-        parts = self.sets.parts(b.ranges, b.parts)
-        if len(parts) <= 2:
+        halves = [p for _, p in self.sets.parts(one, 2).wave(0, 2, 2)]
+        return halves + [s for h in halves for s in self.ahead(h, depth - 1)]
+
+    def complements(self, b: Branch) -> Iterator[list[tuple[int, Set]]]:
+        """Waves of (part number, complement) from the branch's offset round; halves need none."""
+        parts = self.parts(b.one, b.parts)
+        if not parts.few:
+            for wave in parts.waves(COPY_WAVE, b.offset % parts.n):
+                yield [(i, parts.whole.without(part)) for i, part in wave]
+
+    def ride_along(self, branches: Sequence[Branch], asked: list[Set]) -> list[Set]:
+        """Sets of later rounds that the first wave of parts takes along while it has room.
+
+        Which they are follows from the splits alone, not from how many rows there are.
+        """
+        if not (self.lookahead and isinstance(self.test, BatchTest)) or all(p in self.known for p in asked):
             return []
-        turn = [(j + b.offset) % len(parts) for j in range(len(parts))]
-        return [(i, self.sets.without(b.ranges, parts[i])) for i in turn]
+        extra = [s for b in branches[:COPY_WAVE // RIDE] if b.parts <= RIDE
+                 for wave in self.complements(b) for _, s in wave]
+        depth = 0
+        while depth < self.lookahead and len(asked) * (2 ** (depth + 2) - 1) + len(extra) <= PART_WAVE:
+            depth += 1
+        return extra + [s for p in asked for s in self.ahead(p, depth)]
 
     def finer(self, b: Branch) -> Branch | None:
         """The branch split twice as finely, or None when every part is one row."""
-        most = self.sets.finest(b.ranges)
-        return None if b.parts >= most else Branch(b.ranges, min(most, 2 * b.parts), b.offset)
+        most = self.sets.finest(b.one)
+        if b.parts >= most or self.parts(b.one, b.parts).single:
+            return None
+        return Branch(b.one, min(most, 2 * b.parts), b.offset)
 
     def first_failing(self, b: Branch) -> Branch | None:
         """The next set of the one-solution search."""
-        for i, part in enumerate(self.sets.parts(b.ranges, b.parts)):
-            if self.note(b, "part", i, part):
-                return Branch(part)
-        others = self.complements(b)
-        for start in range(0, len(others), COPY_WAVE):
-            wave = others[start : start + COPY_WAVE]
-            self.ask([r for _, r in wave], COPY_WAVE)
-            for i, rest in wave:
-                if self.note(b, "complement", i, rest):
-                    return Branch(rest, max(b.parts - 1, 2), i)
+        parts = self.parts(b.one, b.parts)
+        for wave in parts.waves(PART_WAVE):
+            asked = [p for _, p in wave]
+            failed = self.ask([*asked, *self.ride_along([b], asked)], PART_WAVE)
+            for (i, part), bad in zip(wave, failed):
+                if self.note(b, "part", i, part, bad):
+                    return Branch(part)
+        for wave in self.complements(b):
+            for (i, rest), bad in zip(wave, self.ask([r for _, r in wave], COPY_WAVE)):
+                if self.note(b, "complement", i, rest, bad):
+                    return Branch(self.sets.compact(rest), max(b.parts - 1, 2), i)
         return self.finer(b)
 
-    def all_failing(self, b: Branch) -> list[Branch]:
-        """Every next set of the exhaustive search; none when the branch is minimal."""
-        found = [
-            Branch(part)
-            for i, part in enumerate(self.sets.parts(b.ranges, b.parts))
-            if self.note(b, "part", i, part)
-        ]
-        if found:
-            return found
-        others = self.complements(b)
-        self.ask([r for _, r in others], COPY_WAVE)
-        rest, parts = b.ranges, b.parts
-        for i, complement in others:
-            if self.note(b, "complement", i, complement):
-                rest, parts = self.sets.common(rest, complement), parts - 1
-                found.append(Branch(rest, max(parts, 2), i))
-        if found:
-            return found
-        finer = self.finer(b)
-        return [] if finer is None else [finer]
+    def all_failing(self, branches: Sequence[Branch]) -> Iterator[tuple[Branch, Branch | None]]:
+        """(branch, next) for every next set of the exhaustive search; None when it is minimal."""
+        open_branches = dict.fromkeys(branches)
+        split = ((b, i, p) for b in branches for wave in self.parts(b.one, b.parts).waves(PART_WAVE) for i, p in wave)
+        for chunk in _chunks(split, PART_WAVE):
+            asked = [p for _, _, p in chunk]
+            failed = self.ask([*asked, *self.ride_along(list(dict.fromkeys(b for b, _, _ in chunk)), asked)], PART_WAVE)
+            for (b, i, part), bad in zip(chunk, failed):
+                if self.note(b, "part", i, part, bad):
+                    open_branches.pop(b, None)
+                    yield b, Branch(part)
+        rest = {b: b.one for b in open_branches}
+        left = {b: b.parts for b in open_branches}
+        others = ((b, i, r) for b in list(open_branches) for wave in self.complements(b) for i, r in wave)
+        for chunk in _chunks(others, COPY_WAVE):
+            following: list[tuple[Branch, Branch]] = []
+            for (b, i, one), bad in zip(chunk, self.ask([r for _, _, r in chunk], COPY_WAVE)):
+                if self.note(b, "complement", i, one, bad):
+                    open_branches.pop(b, None)
+                    # What all failing complements so far have in common.
+                    whole = self.parts(b.one, b.parts).whole
+                    kept = whole if rest[b].table != whole.table else rest[b]
+                    rest[b], left[b] = kept.without(whole.without(one)), left[b] - 1
+                    following.append((b, Branch(rest[b], max(left[b], 2), i)))
+            for (b, step), bad in zip(following, self.ask([s.one for _, s in following], COPY_WAVE)):
+                if bad:
+                    yield b, Branch(self.sets.compact(step.one), step.parts, step.offset)
+        for b in open_branches:
+            yield b, self.finer(b)
 
 
 def ranked_candidates(candidates: DataFrame, order: Sequence[str], seed: int | None = None) -> DataFrame:
@@ -400,7 +578,7 @@ def ranked_candidates(candidates: DataFrame, order: Sequence[str], seed: int | N
 
 
 def ddmin(candidates: DataFrame, test, order: Sequence[str], exhaustive: bool = False,
-          seed: int | None = None, max_rounds: int = 10_000, lookahead: int = 3,
+          seed: int | None = None, max_rounds: int | None = None, lookahead: int = 3,
           split: Callable[[int], Column] | None = None) -> Minimised:
     """Minimal failing sets of candidates.
 
@@ -408,46 +586,42 @@ def ddmin(candidates: DataFrame, test, order: Sequence[str], exhaustive: bool =
     names columns that order the candidates totally; parts are runs of that order, or of
     a seeded shuffle of it, or what `split(n)` says. One search follows the first failing
     part, else the first failing complement. With `exhaustive` every failing branch is
-    followed, all branches of a round sharing jobs. `rows` has `solution_id` and the
-    candidate columns.
+    followed, the branches of a round sharing jobs. The search goes on until every set is
+    minimal, unless the caller gives `max_rounds`.
     """
+    spark = candidates.sparkSession
     ranked = ranked_candidates(candidates, order, seed)
-    sets = RankSets(ranked) if split is None else SplitSets(ranked, split)
-    search = _Search(sets, test, lookahead if split is None else 0)
-    search.ask([sets.whole], 1)
-    failed = search.known[sets.whole]
-    search.log.append((0, sets.total, 1, "whole", 0, failed, search.spent))
-    frontier = [Branch(sets.whole)] if failed else []
-    solutions: list = []
-    seen: set[Branch] = set(frontier)
-    while frontier and search.run < max_rounds:
+    sets = Sets(ranked) if split is None else SplitSets(ranked, split)
+    if not isinstance(test, (BatchTest, SingleTest)):
+        test = test if hasattr(test, "outcomes") else SingleTest(test)
+    search = _Search(sets, test, lookahead if split is None else 0, Log(spark, _HISTORY, "history"))
+    (failed,) = search.ask([sets.whole], 1)
+    search.log.add((0, sets.total, 1, "whole", 0, failed, search.spent))
+    pending, solutions = Pending(spark), Solutions(sets)
+    seen: OrderedDict[Branch, None] = OrderedDict()
+
+    def follow(b: Branch) -> None:
+        if b.one.size <= 1:
+            solutions.add(b.one)
+        elif b not in seen:
+            seen[b] = None
+            if len(seen) > MEMORY:
+                seen.popitem(last=False)
+            pending.add(b)
+
+    if failed:
+        follow(Branch(sets.whole))
+    while pending and (max_rounds is None or search.run < max_rounds):
         search.run += 1
-        solutions += [b.ranges for b in frontier if sets.size(b.ranges) == 1]
-        active = [b for b in frontier if sets.size(b.ranges) > 1]
-        search.ask_parts(active)
-        frontier = []
-        for b in active:
-            if exhaustive:
-                following = search.all_failing(b)
-            else:
-                step = search.first_failing(b)
-                following = [] if step is None else [step]
-            if not following:
-                solutions.append(b.ranges)
-                continue
-            search.ask([f.ranges for f in following], COPY_WAVE)
-            following = [f for f in following if search.known[f.ranges] and f not in seen]
-            seen.update(following)
-            frontier += following
-    complete = not frontier
-    solutions = list(dict.fromkeys([*solutions, *[b.ranges for b in frontier]]))
-    history = candidates.sparkSession.createDataFrame(search.log, _HISTORY)
-    return Minimised(
-        solutions, _solution_rows(sets, solutions), history, search.run, search.jobs, complete
-    )
-
-
-def _solution_rows(sets: RankSets | SplitSets, solutions: list) -> DataFrame:
-    if not solutions:
-        return sets.candidates.filter("false").withColumn("solution_id", F.lit(0)).drop(RANK)
-    return sets.assign(dict(enumerate(solutions))).withColumnRenamed(TRIAL, "solution_id")
+        if exhaustive:
+            steps = search.all_failing(pending.take(BRANCH_WAVE))
+        else:
+            steps = [(b, search.first_failing(b)) for b in pending.take(1)]
+        for b, step in steps:
+            solutions.add(b.one) if step is None else follow(step)
+    complete = not pending
+    left = Solutions(sets)
+    while pending:
+        for b in pending.take(BRANCH_WAVE):
+            left.add(b.one)
+    return Minimised(solutions.rows(), left.rows(), search.log.frame(), search.run, search.jobs, complete)

@@ -5,10 +5,11 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+import backtrail.plans.ddmin as D
 from backtrail.operators import faults, ratings, text
 from backtrail.plans import programs
 from backtrail.plans.ddmin import (
-    TRIAL, BatchTest, common, ddmin, parts_of, predicate_test, size_of, truth_test, without,
+    TRIAL, BatchTest, Set, Sets, SplitSets, ddmin, part_of, predicate_test, ranked_candidates, size_of, truth_test, without,
 )
 from backtrail.plans.lineage import Traced
 from backtrail.sources import parsers as P
@@ -88,6 +89,62 @@ def test_history_and_round_limit(spark):
     assert {r.kind for r in log} >= {"whole", "part"} and log[0].size == 8 and log[0].failed
 
 
+    assert result.rows.count() == 0 and result.unfinished.count() == 8 and full.unfinished.count() == 0
+
+
+def test_many_needed_rows_in_few_pieces(spark, monkeypatch):
+    """Sets that fall apart are numbered anew; the driver holds a few ranges only."""
+    monkeypatch.setattr(D, "MAX_RANGES", 3)
+    wanted = [3, 11, 12, 20, 29, 41, 55, 60, 77, 78, 79, 100]
+    seen = []
+    plain = Sets.assign
+    monkeypatch.setattr(Sets, "assign", lambda self, trials: seen.extend(trials.values()) or plain(self, trials))
+    result = ddmin(numbers(spark, 120), all_of(*wanted), ["id"])
+    assert found(result) == [wanted] and result.complete
+    assert max(len(s.ranges) for s in seen) <= 4 and max(s.table for s in seen) > 2
+
+
+@pytest.mark.parametrize("split", [None, lambda n: F.col("id") % n])
+def test_what_outgrows_the_driver(spark, monkeypatch, split):
+    monkeypatch.setattr(D, "MEMORY", 3)
+    monkeypatch.setattr(D, "BRANCH_WAVE", 2)
+    wanted = [2, 7, 9, 14, 15, 23]
+    result = ddmin(numbers(spark, 24), any_of(*wanted), ["id"], exhaustive=True, split=split)
+    assert found(result) == [[i] for i in wanted]
+    rows = {r.id: r.solution_id for r in result.rows.collect()}
+    assert [rows[i] for i in wanted] == list(range(6))
+    assert result.history.count() > 12 and result.history.filter("kind = 'whole'").count() == 1
+
+
+def test_a_split_leaves_no_conditions_behind(spark):
+    sets = SplitSets(ranked_candidates(numbers(spark, 64), ["id"]), lambda n: F.col("id") % n)
+    one, sizes = sets.whole, []
+    for n in (2, 4, 8, 16, 32):
+        parts = sets.parts(one, n)
+        one = parts.wave(0, n, 1)[0][1]
+        sizes.append(len(sets.assign({0: one, 1: parts.whole.without(one)})._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 1.2 * min(sizes) and one.size == 2
+
+
+def test_jobs_follow_the_needed_rows(spark):
+    few = ddmin(numbers(spark, 2000), all_of(77), ["id"])
+    more = ddmin(numbers(spark, 2000), all_of(77, 1500), ["id"])
+    assert few.jobs <= 6 and few.jobs < more.jobs <= 45
+
+
+def test_compact_keeps_members(spark):
+    sets = Sets(ranked_candidates(numbers(spark, 50), ["id"]))
+    one = Set(0, tuple((i, i + 1) for i in range(0, 50, 2)), 25)
+    D_MAX = D.MAX_RANGES
+    D.MAX_RANGES = 5
+    try:
+        small = sets.compact(one)
+    finally:
+        D.MAX_RANGES = D_MAX
+    assert small.ranges == ((0, 25),) and sorted(r.id for r in sets.rows(small).collect()) == list(range(1, 51, 2))
+    assert sorted(r.id for r in sets.rows(sets.parts(small, 5).wave(1, 2, 1)[0][1]).collect()) == list(range(11, 21, 2))
+
+
 def test_seeded_order_repeats(spark):
     one, two = (ddmin(numbers(spark), any_of(2, 7), ["id"], seed=4) for _ in range(2))
     assert found(one) == found(two) and len(found(one)[0]) == 1
@@ -121,14 +178,17 @@ def test_a_split_that_cannot_separate_rows_still_ends(spark):
 def test_range_arithmetic():
     whole = ((0, 10), (20, 30))
     for n in range(1, 21):
-        parts = parts_of(whole, n)
+        parts = [part_of(whole, n, i) for i in range(n)]
         assert sum(map(size_of, parts)) == 20 and max(map(size_of, parts)) - min(map(size_of, parts)) <= 1
         for a, b in itertools.combinations(parts, 2):
-            assert not common(a, b)
+            assert not members(a) & members(b)
         for part in parts:
             rest = without(whole, part)
-            assert size_of(rest) + size_of(part) == 20 and not common(rest, part)
-            assert common(whole, rest) == rest
+            assert members(rest) | members(part) == members(whole) and not members(rest) & members(part)
+
+
+def members(ranges):
+    return {i for lo, hi in ranges for i in range(lo, hi)}
 
 
 def test_localise_an_overcount(spark):

@@ -314,7 +314,28 @@ ORACLE: dict[str, str] = {
     "trace_forward_model": sql("creviews", """SELECT DISTINCT movie_id FROM reviews
         SEMI JOIN (FROM creviews WHERE cluster_id = 0 AND c_rating = 5) USING (rater_id)"""),
     "ddmin_single": "SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_totalprice > 499690",
-    "ddmin_exhaustive": "SELECT o_orderkey FROM orders WHERE o_totalprice > 499690",
+    "ddmin_exhaustive": """SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS solution_id, o_orderkey
+        FROM orders WHERE o_totalprice > 499690""",
+    # Halves in turn: the first that holds a dear order is split next.
+    "ddmin_history": """WITH RECURSIVE c AS (
+            SELECT row_number() OVER (ORDER BY o_orderkey) AS upto,
+                sum(CASE WHEN o_totalprice > 499690 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey) AS dear FROM orders
+            UNION ALL SELECT 0, 0),
+        s AS (SELECT 0 AS run, CAST(0 AS BIGINT) AS lo, (SELECT count(*) FROM orders) AS hi
+            UNION ALL SELECT run + 1, CASE WHEN first THEN lo ELSE mid END, CASE WHEN first THEN mid ELSE hi END FROM (
+                SELECT s.*, lo + (hi - lo) // 2 AS mid, m.dear > l.dear AS first FROM s
+                JOIN c l ON l.upto = lo JOIN c m ON m.upto = lo + (hi - lo) // 2 WHERE hi - lo > 1)),
+        h AS (SELECT s.run + 1 AS run, lo, lo + (hi - lo) // 2 AS mid, hi, m.dear > l.dear AS first FROM s
+            JOIN c l ON l.upto = lo JOIN c m ON m.upto = lo + (hi - lo) // 2 WHERE hi - lo > 1)
+        SELECT CAST(0 AS INTEGER) AS run, (SELECT count(*) FROM orders) AS size, CAST(1 AS INTEGER) AS granularity,
+            'whole' AS kind, CAST(0 AS INTEGER) AS index, (SELECT max(dear) > 0 FROM c) AS failed
+        UNION ALL SELECT CAST(run AS INTEGER), mid - lo, CAST(2 AS INTEGER), 'part', CAST(0 AS INTEGER), first FROM h
+            WHERE (SELECT max(dear) > 0 FROM c)
+        UNION ALL SELECT CAST(run AS INTEGER), hi - mid, CAST(2 AS INTEGER), 'part', CAST(1 AS INTEGER), true FROM h
+            WHERE NOT first AND (SELECT max(dear) > 0 FROM c)""",
+    "ddmin_own_split": """SELECT o_orderkey FROM orders WHERE o_totalprice IN (
+        (SELECT max(o_totalprice) FROM orders), (SELECT min(o_totalprice) FROM orders))""",
+    "localize_word_trace": sql("words", "SELECT DISTINCT doc_id, line_no FROM words WHERE starts_with(word, 'D')"),
     "ddmin_pair": """SELECT o_orderkey FROM orders WHERE o_totalprice IN (
         (SELECT max(o_totalprice) FROM orders), (SELECT min(o_totalprice) FROM orders))""",
     "localize_word_count": sql("words", """SELECT doc_id, line_no FROM words

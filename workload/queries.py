@@ -723,23 +723,37 @@ def ddmin_single(spark, d):
 @query
 def ddmin_exhaustive(spark, d):
     result = D.ddmin(I.orders(spark, d), _dear_test(), ["o_orderkey"], exhaustive=True)
-    return _found(result, "o_orderkey")
+    return _found(result, "solution_id", "o_orderkey")
 
 
-@query
-def ddmin_pair(spark, d):
-    """Fails only when the dearest and the cheapest order are in the set together."""
+def _ends(spark, d):
+    """Orders that know the range of all prices, and a test that fails on the whole range."""
     rows = I.orders(spark, d)
-    span = rows.agg((F.max("o_totalprice") - F.min("o_totalprice")).alias("s")).first()["s"]
+    span = rows.agg(F.max("o_totalprice") - F.min("o_totalprice")).scalar()
     test = D.predicate_test(
         lambda part, by: part.groupBy(*by).agg(
-            (F.max("o_totalprice") - F.min("o_totalprice")).alias("span")
+            (F.max("o_totalprice") - F.min("o_totalprice") >= F.max("span")).alias("whole")
         ),
-        F.col("span") >= span,
+        F.col("whole"),
     )
+    return rows.withColumn("span", span), test
+
+
+@query
+def ddmin_pair(spark, d):
+    """Fails only when the dearest and the cheapest order are in the set together."""
+    rows, test = _ends(spark, d)
     return _found(D.ddmin(rows, test, ["o_orderkey"]), "o_orderkey")
 
 
+@query
+def ddmin_own_split(spark, d):
+    """The same, with parts by a hash of the key that each number of parts deals anew."""
+    rows, test = _ends(spark, d)
+    result = D.ddmin(rows, test, ["o_orderkey"], split=lambda n: F.pmod(F.xxhash64("o_orderkey", F.lit(n)), F.lit(n)))
+    return _found(result, "o_orderkey")
+
+
 @query
 def ddmin_history(spark, d):
     result = D.ddmin(I.orders(spark, d), _dear_test(), ["o_orderkey"])
@@ -750,6 +764,15 @@ def _word_test():
     return D.truth_test(_prefixed, lambda rows, by: text.word_count(rows, by), ["word"])
 
 
+@query
+def localize_word_trace(spark, d):
+    """The lines that a seeded overcount is traced to, before they are reduced."""
+    lines = I.doc_lines(spark, d)
+    wrong = checks.diff_inner(_prefixed(lines), text.word_count(lines), ["word"])
+    program = programs.word_count(lines, LINE_ID, faults.double_prefix(PREFIX))
+    return program.lineage().where(wrong.select(F.struct("word").alias("__lid"))).back_all().rows().select(*LINE_ID)
+
+
 @query
 def localize_word_count(spark, d):
     """A seeded overcount: detect it, trace it, and reduce the traced lines."""
