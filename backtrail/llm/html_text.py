@@ -4,13 +4,18 @@ Every node of a page's tree gets its characters per tag, adjusted for links: tex
 counts against a node the more, the less other text surrounds it, measured against the
 ratio of link text in the whole body. The density sum of a node is the sum over its
 children. The path from the body to the densest node sets the threshold, the least density
-on it; the subtree with the largest density sum above the threshold is the main text. If
-it lies in a main or article element, that element and the articles beside it are the root
-of the search: each of their parts above the threshold gives its own such subtree.
-
-What is never article text is parsed like the rest and then taken out of the tree: scripts, styles, forms, menus, footers,
-sidebars, and elements of which a whole class, id or role names an advert, a notice, a menu
-or reader comments, if they do not hold the article. Blocks inside the main text come in page order, joined by one space.
+on it; the subtree with the largest density sum above the threshold chooses the root of the
+main text: the main element that holds it, else the article that holds it and the articles
+beside it, else, with the blocks around it, what the page has of headings, prose and parts
+above the threshold. Inside the root nothing goes but boxes of links: blocks of LINKS links
+or more whose text is links for the most part, without a line of prose, and, unless they are
+sections, with no more than a heading besides.
+
+What is never article text is parsed like the rest and then taken out of the tree: scripts,
+styles, forms, menus, footers, sidebars, and blocks of which a whole class or role names an
+advert, a notice, a menu or reader comments, if they do not hold the article. An id names
+such a block outside of articles only; headings, inline elements and code are never taken
+for one. Blocks inside the main text come in page order, joined by one space.
 
 A page is one row and is parsed in one pass, with the tree of that page alone in memory.
 Unclosed and crossing tags follow the usual rules: a new paragraph or list item closes the
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +54,9 @@ CLOSE_PARAGRAPH = BLOCKS | set("nav footer aside form menu dialog fieldset".spli
 PARAGRAPH_SCOPES = set("button select noscript template svg math object".split())
 UNWANTED_ROLES = set("""navigation banner contentinfo complementary search form dialog alertdialog
 menu menubar toolbar alert""".split())
+# Elements that a class may name as unwanted; PROSE characters outside of links are a line of prose.
+NAMED = BLOCKS - HEADINGS - set("address caption dd dt figcaption html body article main hr pre summary tbody td tfoot th thead tr".split())
+PROSE, LINKS = 60, 3
 # Words of which a whole class or id consists if it names what the element is.
 _UNWANTED = re.compile(r"""((^|[-_])(ads?|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|promotion\w*|
 outbrain|taboola|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|aside|widget\w*|footer\w*|foot|
@@ -64,7 +73,7 @@ _SPACE = re.compile(r"\s+")
 
 class Node:
     __slots__ = ("name", "parent", "children", "unwanted", "ended", "chars", "tags", "link_chars", "link_tags",
-                 "density", "total")
+                 "density", "total", "plain", "prose", "heading")
 
     def __init__(self, name: str, parent: Node | None, unwanted: str = "") -> None:
         self.name, self.parent, self.children = name, parent, []
@@ -77,16 +86,16 @@ def _named(value: str, inside_article: bool) -> bool:
                for x in value.split())
 
 
-def _unwanted(name: str, rest: str, inside_article: bool) -> str:
+def _unwanted(name: str, rest: str, inside_article: bool, inside_code: bool) -> str:
     """"element" or "name": what tells that it is unwanted; otherwise empty."""
     if name in SKIPPED or name == "header" and not inside_article:
         return "element"
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "article", "main") or inside_code:
         return ""
     found = ""
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _named(value, inside_article):
+        if (key == "class" or key == "id" and not inside_article) and name in NAMED and _named(value, inside_article):
             found = "name"
         if key == "role" and value.lower() in UNWANTED_ROLES or key == "hidden":
             return "element"
@@ -102,6 +111,13 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     node, at, end = root, 0, len(page)
     names: list[str] = ["html"]
+    still = Counter()  # how many elements of a name are open
+
+    def up() -> None:
+        nonlocal node
+        still[names.pop()] -= 1
+        node = node.parent
+
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -115,13 +131,11 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            if name in names[1:]:
+            if still[name] > 0:
                 while names[-1] != name:
-                    names.pop()
-                    node = node.parent
-                names.pop()
+                    up()
                 node.ended = True
-                node = node.parent
+                up()
             continue
         rest = m["rest"] or ""
         if name in VOID:
@@ -133,27 +147,23 @@ def parse(page: str) -> Node:
         if name in RAW:
             at = _raw_end(page, at, name) if not rest.endswith("/") else at
             continue
-        if name == "body" and "head" in names:
-            while "head" in names:
-                names.pop()
-                node = node.parent
-        unwanted = _unwanted(name, rest, "article" in names or "main" in names)
+        while name == "body" and still["head"] > 0:
+            up()
+        unwanted = _unwanted(name, rest, still["article"] + still["main"] > 0, still["pre"] + still["code"] > 0)
         if unwanted and name == "body":
             continue
-        if name in CLOSE_PARAGRAPH and "p" in names:
+        if name in CLOSE_PARAGRAPH and still["p"] > 0:
             i = len(names) - 1
             while names[i] != "p" and names[i] not in PARAGRAPH_SCOPES:
                 i -= 1
             if names[i] == "p":
                 while len(names) > i:
-                    names.pop()
-                    node = node.parent
-        if name in CLOSES:
+                    up()
+        if name in CLOSES and any(still[x] > 0 for x in CLOSES[name]):
             for i in range(len(names) - 1, 0, -1):
                 if names[i] in CLOSES[name]:
                     while len(names) > i:
-                        names.pop()
-                        node = node.parent
+                        up()
                     break
                 if names[i] in SCOPES and names[i] not in CLOSES[name]:
                     break
@@ -163,6 +173,7 @@ def parse(page: str) -> Node:
         node.children.append(child)
         node = child
         names.append(name)
+        still[name] += 1
     _prune(root)
     return root
 
@@ -226,7 +237,11 @@ def _postorder(root: Node) -> list[Node]:
 
 
 def densities(root: Node) -> list[Node]:
-    """All nodes, children first, with composite density and density sum set."""
+    """All nodes, children first, with composite density and density sum set.
+
+    Also whether a node holds a line of prose, `plain` being the text of its own outside of
+    links and inner blocks, and whether it holds a heading.
+    """
     order = _postorder(root)
     for node in order:
         inner = _inner(node)
@@ -236,6 +251,9 @@ def densities(root: Node) -> list[Node]:
         link = node.name == "a"
         node.link_chars = node.chars if link else sum(c.link_chars for c in inner)
         node.link_tags = (1 if link else 0) + sum(c.link_tags for c in inner)
+        node.plain = 0 if link else own + sum(c.plain for c in inner if c.name not in BLOCKS)
+        node.prose = node.plain >= PROSE or any(c.prose for c in inner)
+        node.heading = node.name in HEADINGS and node.chars > 0 or any(c.heading for c in inner)
     body = next((n for n in order if n.name == "body"), root)
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for node in order:
@@ -267,82 +285,58 @@ def _container(node: Node, top: Node) -> Node:
     return node
 
 
-def _outermost(top: Node, name: str) -> list[Node]:
-    """The elements of this name with text under `top`, without those inside another."""
-    out, stack = [], _inner(top)[::-1]
-    while stack:
-        node = stack.pop()
-        if node.name == name and node.chars:
-            out.append(node)
-        else:
-            stack.extend(_inner(node)[::-1])
-    return out
+def _is_links(node: Node) -> bool:
+    """Whether a part is a box of links: a menu, a list of other pages."""
+    return (node.name in BLOCKS and node.name not in HEADINGS and node.link_tags >= LINKS
+            and 2 * node.link_chars > node.chars and not node.prose
+            and not (node.name == "section" and node.heading))
 
 
-def _titles(node: Node) -> list[Node]:
-    """The headings of a part that is not dense: itself, those of a header, or a page title."""
-    if node.name in HEADINGS:
-        return [node]
-    names = HEADINGS if node.name in ("header", "hgroup") else {"h1"}
-    return [n for name in names for n in _outermost(node, name)]
+def _without_links(top: Node) -> Node:
+    """The root of a text without its boxes of links; a root of nothing else keeps them."""
+    if _is_links(top):
+        return top
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node.name == "section" and node.heading and not node.prose:
+            continue  # a list of sources, say
+        node.children = [c for c in node.children if isinstance(c, str) or not _is_links(c)]
+        stack.extend(_inner(node))
+    return top
 
 
-def _choose(top: Node, body: Node) -> list[Node | str]:
-    """The dense parts of a search root, in page order.
+def _around(found: Node, body: Node, floor: float) -> list[Node | str]:
+    """The chosen subtree and what stands around it, up to the body.
 
-    In each node that is dense enough, the subtree with the largest density sum is taken.
-    Articles inside a main element are search roots of their own; the headings of the parts
-    that are searched belong to the text.
+    From each part beside the way up to the body stay headings, parts with a line of prose,
+    and parts above the threshold.
     """
-    order = _postorder(top)
-    floor = _floor(order, body)
-    best: dict[Node, Node | None] = {}
-    for node in order:
-        found = node if node.chars and node.density >= floor else None
-        for child in _inner(node):
-            other = best[child]
-            if other is not None and (found is None or other.total > found.total):
-                found = other
-        best[node] = found
-    first = best[top]
-    if first is None:
-        return [top]
-    articles = set(_outermost(top, "article")) if top.name == "main" else set()
-    taken = {_container(first, top)}
-    around: set[Node] = set()
-    for node in [first, *articles]:
-        while node is not top:
-            node = node.parent
-            around.add(node)
+    way = {found}
+    node = found
+    while node is not body and node.parent is not None:
+        node = node.parent
+        way.add(node)
     out: list[Node | str] = []
-    stack: list[Node | str] = [top]
+    stack: list[Node | str] = [node]
     while stack:
-        node = stack.pop()
-        if isinstance(node, str) or node in taken:
-            out.append(node)
-        elif node in articles and node not in around:
-            out.extend(_choose(node, body))
-        elif node in around or node.chars and node.density >= floor:
-            found = best[node]
-            if found is not None and found is not first:
-                while found is not node and found.name not in BLOCKS:
-                    found = found.parent
-                taken.add(found)
-            if node in taken:
-                out.append(node)
-            else:
-                stack.extend(node.children[::-1])
-        else:
-            out.extend(_titles(node))
+        item = stack.pop()
+        if isinstance(item, str) or item is found:
+            out.append(item)
+        elif item in way:
+            stack.extend(item.children[::-1])
+        elif item.name not in BLOCKS:
+            if item.chars:
+                out.append(item)
+        elif item.name in HEADINGS or item.chars and item.density >= floor:
+            out.append(item)
+        elif item.prose or item.heading and not _is_links(item):
+            stack.extend(item.children[::-1])
     return out
 
 
 def main_parts(root: Node) -> list[Node | str]:
-    """The main text: the subtree with the largest density sum above the body path's threshold.
-
-    If it lies in a main element, or else in an article, the search goes on in there and in
-    the articles beside it, so that no part of them that is dense enough is lost.
-    """
+    """The main text: its root is chosen by the largest density sum above the threshold."""
     order = densities(root)
     body = next((n for n in order if n.name == "body"), root)
     floor = _floor(order, body)
@@ -353,11 +347,11 @@ def main_parts(root: Node) -> list[Node | str]:
             scope[node.name] = node
         node = node.parent
     if "main" in scope:
-        return _choose(scope["main"], body)
+        return [_without_links(scope["main"])]
     if "article" in scope:
         beside = [n for n in _inner(scope["article"].parent) if n.name == "article" and n.chars]
-        return [part for n in beside for part in _choose(n, body)]
-    return [_container(found, root)]
+        return [_without_links(n) for n in beside]
+    return [n if isinstance(n, str) else _without_links(n) for n in _around(_container(found, root), body, floor)]
 
 
 def blocks(parts: list[Node | str]) -> list[str]:
