@@ -38,9 +38,24 @@ def usable(vectors: DataFrame) -> DataFrame:
                        & F.exists("vector", lambda x: x != 0))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose squares could overflow or vanish, divided by a power of two near their largest component.
+
+    That changes no digit, so that the others keep their cosines as they are.
+    """
+    most = np.abs(vectors).max(1)
+    wild = (most > 2.0**400) | (most < 2.0**-400)
+    if not wild.any():
+        return vectors
+    out = vectors.copy()
+    out[wild] = np.ldexp(out[wild], -np.frexp(most[wild])[1][:, None])
+    return out
+
+
 def quantized(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 units, scales, error norms): unit vectors are units * scale, off by the error."""
-    unit = vectors / np.sqrt((vectors**2).sum(1))[:, None]
+    unit = scaled(vectors)
+    unit = unit / np.sqrt((unit**2).sum(1))[:, None]
     scale = np.abs(unit).max(1) / 127
     cells = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.sqrt(((unit - cells * scale[:, None])**2).sum(1))
@@ -49,6 +64,7 @@ def quantized(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of pairs of rows; sums run in the order of the components."""
+    a, b = scaled(a), scaled(b)
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for j in range(a.shape[1]):
         dot += a[:, j] * b[:, j]

@@ -19,7 +19,7 @@ have 95 bits.
 
 Null and empty texts have no words. A null doc_id is smaller than any other. Rows that
 repeat a doc_id and its text count as one document; texts that share a doc_id are told
-apart by two bytes of their hash.
+apart by a 64-bit hash. Ids that are not integers are ordered as text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from backtrail.llm.line_dedup import fingerprint
 from backtrail.llm.textbytes import Chunk, Hashes, chunks, whitespace, windows
@@ -38,6 +39,7 @@ from backtrail.llm.textbytes import Chunk, Hashes, chunks, whitespace, windows
 WINDOW, BLOCK, STRIDE = 50, 8, 5
 _DOC = ["doc", "fp"]
 NO_ID = -(1 << 63)
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,15 +126,23 @@ def _cut(window: int):
     return run
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    """(doc, fp, text): a null id becomes the least one.
+def _narrow(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(doc, fp, text), and the column that makes a doc_id of `doc`.
 
-    `fp` tells texts that share an id apart; it is 0 where every id has one row.
+    `doc` orders documents: an integer as a long, any other id as a text with a letter
+    before it, and a null id as the least value. `fp` tells texts that share an id apart; it
+    is 0 where every id has one row.
     """
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, _INTEGERS):
+        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+        back = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    else:
+        doc = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("")).alias("doc")
+        back = F.when(F.col("doc") != "", F.substr("doc", F.lit(2)).cast(kind))
     unique = docs.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty()
-    fp = F.lit(0) if unique else F.pmod(fingerprint(), F.lit(1 << 16))
-    return docs.select(doc, fp.cast("int").alias("fp"), "text")
+    fp = F.lit(0).cast("bigint") if unique else fingerprint()
+    return docs.select(doc, fp.alias("fp"), "text"), back.alias("doc_id")
 
 
 def exact_copies(rows: DataFrame) -> DataFrame:
@@ -151,7 +161,8 @@ def later_windows(rows: DataFrame, copies: DataFrame, window: int = WINDOW) -> D
     """
     if window < BLOCK * STRIDE + BLOCK - 1:
         raise ValueError(f"a window must have {BLOCK * STRIDE + BLOCK - 1} words at least")
-    schema = "doc long, fp int, pos int, hash long"
+    doc = rows.schema["doc"].dataType.simpleString()
+    schema = f"doc {doc}, fp long, pos int, hash long"
     index = rows.mapInArrow(_anchors(BLOCK), schema).groupBy("hash").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     probes = rows.mapInArrow(_anchors(STRIDE), schema)
@@ -166,7 +177,7 @@ def later_windows(rows: DataFrame, copies: DataFrame, window: int = WINDOW) -> D
 
     def found(side: str) -> DataFrame:
         return places.filter(F.size(side) > 0).select("doc", "fp", "text", side).mapInArrow(
-            _candidates(window), "doc long, fp int, pos int, h1 long, h2 int")
+            _candidates(window), f"doc {doc}, fp long, pos int, h1 long, h2 int")
 
     first = found("early").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     return found("late").join(first, ["h1", "h2"]).filter(F.col("first") < F.col("doc")).select("doc", "fp", "pos")
@@ -177,12 +188,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     `kept` is what is left of the words, joined by single spaces.
     """
-    rows = _narrow(docs)
+    rows, doc_id = _narrow(docs)
+    kind = rows.schema["doc"].dataType.simpleString()
     copies = exact_copies(rows)
     later = later_windows(rows, copies, window).groupBy(*_DOC).agg(F.collect_set("pos").alias("later"))
     # The same exchange of the texts serves here and where windows are made.
     judged = rows.repartition("doc").join(later, _DOC, "left").join(copies.withColumn("copy", F.lit(True)), _DOC, "left")
     cut = judged.select("doc", "text", "later", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
-        _cut(window), "doc long, n_words long, n_removed long, kept string, kept_sha256 string")
-    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
-    return cut.select(doc_id.alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
+        _cut(window), f"doc {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return cut.select(doc_id, "n_words", "n_removed", "kept", "kept_sha256")

@@ -252,6 +252,27 @@ def test_substring_dedup_brute_force(spark):
         assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_substring_dedup_ids_of_any_kind(spark):
+    rng = random.Random(19)
+    passage = prose(rng, 60, 10**6)
+    docs = [(i, " ".join([*prose(rng, 20, 10**6), *passage, *prose(rng, 20, 10**6)])) for i in ("b", "a", None, "c", "a")]
+    got = {(r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(
+        spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got == {(None, 0), ("a", 60), ("b", 60), ("c", 60)}
+    # Many texts of one id: their hashes tell them apart.
+    many = [(None, " ".join(prose(rng, 55, 10**6))) for _ in range(700)] + [(1, many_text) for many_text in ("x y",)]
+    many += [(2, many[3][1] + " more words"), (3, many[5][1])]
+    rows = substring_dedup.remove_repeats(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert sum(r["n_removed"] for r in rows if r["doc_id"] is None) == 0
+    assert {r["doc_id"]: r["n_removed"] for r in rows if r["doc_id"] is not None} == {1: 0, 2: 55, 3: 55}
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e-300, 2e-300]), (3, [1e300, -2e300]), (4, [2.0, 1.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1, 3)
+    assert [(r["vec_id"], round(r["score"], 9)) for r in got.orderBy("rank").collect()] == [(2, 1.0), (4, 0.8), (3, -0.6)]
+
+
 def test_mixing_targets_and_order(spark):
     rng = random.Random(3)
     docs = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
