@@ -41,16 +41,16 @@ def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """
     data = chunk.lowered()
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
-    codes = np.where(letter, data, 32).astype(np.uint64)
+    codes = np.where(letter, data, 32).astype(np.uint32)
     docs, buckets = [], []
     for n in (2, 3, 4):
         if len(codes) < n:
             continue
         count = len(codes) - n + 1
-        code = np.zeros(count, np.uint64)
+        code = np.zeros(count, np.uint32)
         inner = letter[:count].copy()
         for i in range(n):
-            code = code << np.uint64(8) | codes[i:i + count]
+            code = code << np.uint32(8) | codes[i:i + count]
             if i < n - 1:
                 inner |= letter[i:i + count]
         # At least one letter before the last byte; a trailing blank marks the word's end.
@@ -59,7 +59,7 @@ def grams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         inside = at + n <= chunk.offsets[doc + 1]
         at, doc = at[inside], doc[inside]
         docs.append(doc)
-        buckets.append((mix(code[at], n) % np.uint64(BUCKETS)).astype(np.int64))
+        buckets.append((mix(code[at].astype(np.uint64), n) % np.uint64(BUCKETS)).astype(np.int64))
     if not docs:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(docs), np.concatenate(buckets)

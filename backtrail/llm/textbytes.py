@@ -1,6 +1,6 @@
 """Vectorised words, hashes and counts of the texts in an Arrow batch.
 
-A batch is cut into chunks of about two megabytes (a longer document is a chunk of its
+A batch is cut into chunks of about one megabyte (a longer document is a chunk of its
 own), so that memory is bounded by the longest document. All texts of a chunk are one
 byte array; a word hash is a difference of prefix sums, so no Python loop runs per word.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ROOM = 1 << 16
