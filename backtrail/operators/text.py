@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
-from backtrail.plans.groups import MAX_GROUP, gather
+from backtrail.plans.groups import MAX_GROUP, gather, in_segments, keep_matching, large_groups, measure
 
 
 def words(lines: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -99,11 +99,23 @@ def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (
 
     With `distinct=False` a document stands once per occurrence. A word with more than
     `max_group` postings continues in further segments.
+
+    Words are counted first, with partial counts in every task. Those that can have no more
+    than `max_group` postings are gathered in one exchange, sets of documents being built in
+    the tasks before it; only the others are numbered across the cluster.
     """
-    found = postings(docs, by)
     keys = [*by, "word"]
     if distinct:
-        return gather(found, keys, ["doc"], "docs", max_group=max_group)
+        found = doc_words(docs, by)
+        if max_group is None:
+            return _sets(found, keys)
+        large = measure(large_groups(found, keys, max_group))
+        if large.empty:
+            return _sets(found, keys)
+        cold = _sets(keep_matching(found, large, keys, anti=True), keys)
+        hot = keep_matching(found, large, keys).dropDuplicates()
+        return cold.unionByName(in_segments(hot, keys, ["doc"], "docs", max_group))
+    found = postings(docs, by)
     run = max_group or MAX_GROUP
     last = F.floor((F.col("count") - 1) / F.lit(run)).cast("bigint")
     pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
@@ -117,6 +129,11 @@ def inverted_index(docs: DataFrame, distinct: bool = True, by: Sequence[str] = (
     return packed.select(*keys, "segment", repeated.alias("docs"))
 
 
+def _sets(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    docs = F.sort_array(F.collect_set("doc")).alias("docs")
+    return found.groupBy(*keys).agg(docs).select(*keys, F.lit(0).cast("bigint").alias("segment"), "docs")
+
+
 def by_word(index: DataFrame) -> DataFrame:
     """The index in the order of its words, and within a word of its segments."""
     return index.orderBy("word", "segment")
@@ -150,18 +167,38 @@ def term_vector(docs: DataFrame, min_count: int = 2, per: Sequence[str] = ("doc"
 
     `per` names the columns of a unit: the document, or a record within it. Units without
     such a term give no row.
+
+    The terms of a unit are counted and gathered in one exchange by unit. Units that could
+    have more than `max_group` such terms, by the number of their words, which is summed
+    first, are counted by unit and term instead and numbered across the cluster.
     """
     unit = [*by, *dict.fromkeys(per)]
-    found = docs.select(*unit, F.explode(S.split_words(F.col("content"))).alias("term"))
-    counts = found.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("count"))
-    frequent = counts.filter(F.col("count") >= min_count).select(
-        *unit, (-F.col("count")).alias("__down"), "term"
-    )
-    return gather(
-        frequent, unit, ["__down", "term"], "terms",
-        lambda e: F.struct(e["term"].alias("term"), (-e["__down"]).alias("count")),
-        max_group=max_group,
-    )
+    words = docs.select(*unit, S.split_words(F.col("content")).alias("__words"))
+
+    def frequent(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("count"))
+        return counts.filter(F.col("count") >= min_count).select(*unit, (-F.col("count")).alias("__down"), "term")
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        return rows.select(*unit, F.explode("__words").alias("term"))
+
+    def item(e: Column) -> Column:
+        return F.struct(e["term"].alias("term"), (-e["__down"]).alias("count"))
+
+    def together(rows: DataFrame) -> DataFrame:
+        # The partitioning by unit serves the counts and the arrays.
+        return gather(frequent(exploded(rows.repartition(*unit))), unit, ["__down", "term"], "terms", item, max_group=None)
+
+    if max_group is None:
+        return together(words)
+    most = words.groupBy(*unit).agg(F.sum(F.size("__words")).alias("__n")).filter(
+        F.col("__n") > max_group * min_count).select(*unit)
+    large = measure(most)
+    if large.empty:
+        return together(words)
+    hot = frequent(exploded(keep_matching(words, large, unit)))
+    return together(keep_matching(words, large, unit, anti=True)).unionByName(
+        in_segments(hot, unit, ["__down", "term"], "terms", max_group, item))
 
 
 def docs_text(column: str = "docs") -> Column:

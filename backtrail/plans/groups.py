@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from backtrail.session import durable, stored
 
@@ -41,12 +42,23 @@ def measure(df: DataFrame) -> KeySet:
     Nothing but the two totals reaches the driver.
     """
     rows = durable(df)
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
     small = total["n"] <= SMALL_ROWS and (total["bytes"] or 0) <= SMALL_BYTES
     return KeySet(rows, small, total["n"] == 0)
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes: those of its texts, and eight for anything else."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 8
+    return F.lit(8)
+
+
 def same_keys(pairs: dict[str, str]) -> Column:
     """Null-safe equality of each pair of columns."""
     same = F.lit(True)
@@ -152,10 +164,21 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     if large.empty:
         return whole(df)
     cold = keep_matching(df, large, keys, anti=True)
-    hot = number_rows(keep_matching(df, large, keys), keys, order, weight=weight)
+    hot = keep_matching(df, large, keys)
+    return whole(cold).unionByName(in_segments(hot, keys, order, out, max_group, item, carry, weight))
+
+
+def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, max_group: int,
+                item: Callable[[Column], Column] | None = None, carry: Sequence[str] = (),
+                weight: str | None = None) -> DataFrame:
+    """Arrays of `max_group` items each, as `gather` makes of large groups."""
+    fields = [*order, *carry]
+    entry = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
     segment = F.floor((F.col("__rn") - 1) / F.lit(max_group)).cast("bigint")
-    hot = hot.withColumn("segment", segment)
-    return whole(cold).unionByName(arrays(hot, [*keys, "segment"]))
+    numbered = number_rows(df, keys, order, weight=weight).withColumn("segment", segment)
+    packed = numbered.groupBy(*keys, "segment").agg(F.sort_array(F.collect_list(entry)).alias("__all"))
+    items = F.col("__all") if item is None else F.transform("__all", item)
+    return packed.select(*keys, "segment", items.alias(out))
 
 
 def expand_copies(counted: DataFrame, copies: str, number: str | None = None,

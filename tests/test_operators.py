@@ -475,3 +475,31 @@ def test_one_hot_key_is_sorted_in_several_ranges(spark):
     mixed = spark.createDataFrame([("b",), ("a",), ("c",)], "key string").coalesce(1)
     assert sorting.order_check(mixed, "key").first()["violations"] == 1
     assert sorting.order_check(mixed.limit(0), "key").first()["rows"] == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_index_and_term_vector_take_one_exchange(spark):
+    docs = spark.createDataFrame([(f"d{i % 7}", "a b b c a") for i in range(50)], "doc string, content string")
+    assert exchanges(text.inverted_index(docs)) == 1 and exchanges(text.term_vector(docs)) == 1
+    index = {r.word: r.docs for r in text.inverted_index(docs).collect()}
+    assert index == {w: [f"d{i}" for i in range(7)] for w in "abc"}
+
+
+def test_hot_words_and_units_in_segments(spark):
+    rng = random.Random(4)
+    rows = [(f"d{i:03d}", " ".join(["the", *rng.choices("pqrs", k=3)])) for i in range(60)]
+    rows += [("big", " ".join(f"w{i:02d} w{i:02d}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc string, content string")
+    for max_group in (7, 25):
+        got = text.inverted_index(docs, max_group=max_group).filter("word = 'the'").orderBy("segment").collect()
+        assert [d for r in got for d in r.docs] == [f"d{i:03d}" for i in range(60)]
+        assert [len(r.docs) for r in got][:-1] == [max_group] * (len(got) - 1)
+        got = text.term_vector(docs, max_group=max_group).filter("doc = 'big'").orderBy("segment").collect()
+        assert [(t["term"], t["count"]) for r in got for t in r.terms] == [(f"w{i:02d}", 2) for i in range(40)]
+        assert len(got[0].terms) == max_group
+    few = {tuple(r) for r in text.inverted_index(docs, max_group=25).filter("word <> 'the'").select("word", "segment").collect()}
+    whole = text.inverted_index(docs).filter("word <> 'the'").count()
+    assert len({w for w, _ in few}) == whole
