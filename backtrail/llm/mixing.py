@@ -108,13 +108,30 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
                        offset.alias("offset"), copies.cast("int").alias("copies"))
 
 
+def position_of(copy: Column, curriculum: Sequence = CURRICULUM) -> Column:
+    """When a copy of a planned document is trained: where its first word meets the demand for its source."""
+    reached = (copy - 1) * F.col("source_size") + F.col("offset")
+    part = F.when(F.col("target") > 0, F.least(reached / F.col("target"), F.lit(1.0))).otherwise(0.0)
+    return when_reached(part, F.col("turn"), curriculum)
+
+
 def schedule(planned: DataFrame, curriculum: Sequence = CURRICULUM) -> DataFrame:
     """(doc_id, fp, copy, position): one row per copy taken; positions run from 0 to 1."""
     rows = planned.filter(F.col("copies") > 0).withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    reached = (F.col("copy") - 1) * F.col("source_size") + F.col("offset")
-    part = F.when(F.col("target") > 0, F.least(reached / F.col("target"), F.lit(1.0))).otherwise(0.0)
-    return rows.select("doc_id", "fp", "copy", when_reached(part, F.col("turn"), curriculum).alias("position"))
+    return rows.select("doc_id", "fp", "copy", position_of(F.col("copy"), curriculum).alias("position"))
+
+
+def positions(planned: DataFrame, curriculum: Sequence = CURRICULUM) -> DataFrame:
+    """`planned` with first_position and last_position of a document's copies, in training order.
+
+    Documents that are not taken have no position and come first.
+    """
+    taken = F.col("copies") > 0
+    rows = planned.withColumns({
+        "first_position": F.when(taken, position_of(F.lit(1), curriculum)),
+        "last_position": F.when(taken, position_of(F.col("copies"), curriculum))})
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,

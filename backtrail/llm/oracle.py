@@ -27,10 +27,14 @@ WITH x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln
            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos FROM x
        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER v AS b, lead(line, 2) OVER v AS c
-      FROM nb WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
-f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM w WHERE c IS NOT NULL),
-cov AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM f WHERE rn > 1),
+w AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER v AS b, lead(line, 2) OVER v AS c, k AS ka, lead(k, 1) OVER v AS kb
+      FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k FROM nb) WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+-- Repeated runs of three lines, and of one or two lines with twenty words.
+f AS (SELECT doc_id, pos, 3 AS n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM w WHERE c IS NOT NULL
+      UNION ALL SELECT doc_id, pos, 2, CASE WHEN ka + kb >= 20 THEN row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) ELSE 1 END
+      FROM w WHERE b IS NOT NULL
+      UNION ALL SELECT doc_id, pos, 1, CASE WHEN ka >= 20 THEN row_number() OVER (PARTITION BY a ORDER BY doc_id, pos) ELSE 1 END FROM w),
+cov AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM f WHERE rn > 1),
 m AS (SELECT x.doc_id, x.ln, x.line, nb.pos IS NOT NULL AS held, cov.pos IS NOT NULL AS gone
       FROM x LEFT JOIN nb ON nb.doc_id = x.doc_id AND nb.ln = x.ln
              LEFT JOIN cov ON cov.doc_id = nb.doc_id AND cov.pos = nb.pos),
@@ -48,14 +52,25 @@ o AS (SELECT *, sum(cap) OVER v AS caps, sum(w) OVER v AS ws FROM r
       WINDOW v AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, ((SELECT sum(source_size) * 1.5 FROM s) - (caps - cap)) / ((SELECT sum(w) FROM r) - (ws - w)) AS price FROM o),
 price AS (SELECT coalesce(max(price), 0) AS price FROM p),
-t AS (SELECT r.source, r.source_size, least(r.cap, price.price * r.w) AS target FROM r, price),
-q AS (SELECT d.*, t.source_size, t.target,
+t AS (SELECT r.source, r.source_size, r.w, least(r.cap, price.price * r.w) AS target FROM r, price),
+q AS (SELECT d.*, t.source_size, t.target, t.w,
         sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - size AS off,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(size * least(2, passes + CASE WHEN size > 0 AND off + size / 2 <= target - passes * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM q""",
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, least(2, passes + CASE WHEN size > 0 AND off + size / 2 <= target - passes * source_size THEN 1 ELSE 0 END) AS copies
+      FROM q),
+-- The share of its source's demand that is met before a copy, and the time when the curriculum has met it.
+x AS (SELECT *, CASE WHEN target > 0 THEN least(off / target, 1.0) ELSE 0.0 END AS p1,
+        CASE WHEN target > 0 THEN least(((copies - 1) * source_size + off) / target, 1.0) ELSE 0.0 END AS p2 FROM c),
+time(w, lo, begin, w0, slope) AS (VALUES (5.0, 0.0, 0.0, 1.4, -0.8), (2.0, 0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 0.0, 0.5, 1.0), (1.0, 0.375, 0.5, 1.0, 1.0)),
+y AS (SELECT x.*, a.begin + 2 * (p1 - a.lo) / (a.w0 + sqrt(greatest(a.w0 * a.w0 + 2 * a.slope * (p1 - a.lo), 0))) AS t1,
+        b.begin + 2 * (p2 - b.lo) / (b.w0 + sqrt(greatest(b.w0 * b.w0 + 2 * b.slope * (p2 - b.lo), 0))) AS t2
+      FROM x JOIN time a ON a.w = x.w AND a.lo = CASE WHEN x.w = 1.0 AND p1 >= 0.375 THEN 0.375 ELSE 0.0 END
+             JOIN time b ON b.w = x.w AND b.lo = CASE WHEN x.w = 1.0 AND p2 >= 0.375 THEN 0.375 ELSE 0.0 END)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN round(CAST(least(t1, 1.0) AS DOUBLE), 9) END AS first_position,
+  CASE WHEN copies > 0 THEN round(CAST(least(t2, 1.0) AS DOUBLE), 9) END AS last_position
+FROM y""",
     "op2_nearest_neighbours": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL

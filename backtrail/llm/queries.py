@@ -35,7 +35,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, drop_emptied=False).select(
+    return line_dedup.dedup_lines(docs, drop_emptied=False, min_words=line_dedup.MIN_WORDS).select(
         "doc_id", "n_lines", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -48,8 +48,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.plan(docs).select("doc_id", "size", "source_size", "target",
-                                    (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+    rows = mixing.positions(mixing.plan(docs))
+    return rows.select("doc_id", "size", "source_size", "target",
+                       (F.col("size") * F.col("copies")).cast("bigint").alias("taken"),
+                       F.round("first_position", 9).alias("first_position"),
+                       F.round("last_position", 9).alias("last_position"))
 
 
 @query

@@ -305,6 +305,23 @@ def test_mixing_targets_and_order(spark):
     assert [r["position"] for r in mixed] == sorted(r["position"] for r in mixed)
 
 
+def test_positions_are_those_of_the_schedule(spark, messy):
+    planned = mixing.plan(messy)
+    rows = mixing.positions(planned)
+    want = defaultdict(list)
+    for r in mixing.schedule(planned).collect():
+        want[r["doc_id"], r["fp"]].append(r["position"])
+    seen = rows.collect()
+    assert [r["first_position"] or 0 for r in seen] == sorted(r["first_position"] or 0 for r in seen)
+    for r in seen:
+        held = want[r["doc_id"], r["fp"]]
+        if r["copies"]:
+            assert r["first_position"] in held and r["last_position"] in held and r["first_position"] <= r["last_position"]
+        else:
+            assert r["first_position"] is None and r["last_position"] is None
+    assert mixing.positions(mixing.plan(messy.limit(0))).count() == 0
+
+
 def test_curriculum_inverts_the_integral(spark):
     for k, knots in enumerate(mixing.CURRICULUM):
         parts = spark.createDataFrame([(i / 20, k) for i in range(21)], "part double, turn int")
