@@ -18,16 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.operators.faults import mark
-from backtrail.plans.groups import keep_matching, measure
+from backtrail.plans.groups import KeySet, keep_matching, measure
 from backtrail.session import stored
 from backtrail.sources.lines import LID, trace_source
 
 OUT = "__out"
+NAMED_KEYS = 32      # keys up to which a scan of links asks for each
 
 
 @dataclass(frozen=True)
@@ -113,11 +115,19 @@ class Traced:
         return mark(self.rows(), predicate)
 
     def captured(self) -> Traced:
-        """Write the links of every aggregation once, so that later traces read them."""
+        """Write the links of every aggregation once, so that later traces read them.
+
+        They are written in ranges of the group key, sorted by it, and a trace from few
+        outputs asks for their keys when it reads them: files, row groups and pages that
+        cannot hold one are left out.
+        """
         kept = []
         for i, stage in enumerate(self.stages):
             if stage.kind == "keyed" and stage.links is None:
-                stage = replace(stage, links=stored(self._links(i), "links"))
+                by = [F.col(OUT)[k] for k in stage.keys]
+                parts = int(self.origin.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                links = self._links(i).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+                stage = replace(stage, links=stored(links, "links"))
             kept.append(stage)
         return replace(self, stages=tuple(kept))
 
@@ -148,6 +158,23 @@ class Traced:
         return rows
 
 
+def _around(keys: KeySet, lid: str, first: str) -> Column:
+    """A condition on links that the chosen keys meet, of the kind that a scan can use.
+
+    A few keys are named; of more, the least and the greatest are.
+    """
+    key, of = F.col(lid)[first], F.col(OUT)[first]
+    if not keys.small:
+        return F.lit(True)
+    few = keys.rows.select(key.alias("k")).distinct().limit(NAMED_KEYS + 1).collect()
+    if len(few) <= NAMED_KEYS:
+        named = [of.isNull() if r["k"] is None else of == F.lit(r["k"]) for r in few]
+        return reduce(Column.__or__, named, F.lit(False))
+    ends = keys.rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.bool_or(key.isNull()).alias("null")).first()
+    inside = (of >= F.lit(ends["lo"])) & (of <= F.lit(ends["hi"]))
+    return inside | of.isNull() if ends["null"] else inside
+
+
 @dataclass(frozen=True)
 class Cursor:
     """A set of records of one stage. `ids` holds `__lid`, and `__out` when outputs are
@@ -207,9 +234,14 @@ class Cursor:
         if self.ids is None:
             return replace(prior, ids=links.select(LID))
         if not self.per_output:
-            keys = self.ids.withColumnRenamed(LID, OUT)
+            keys = measure(self.ids.select(F.col(LID).alias(OUT)))
+            if stage.links is not None:
+                links = links.filter(_around(keys, OUT, stage.keys[0]))
             return replace(prior, ids=keep_matching(links, keys, [OUT]).select(LID))
-        keys = measure(self.ids).frame({OUT: OUT, LID: "__key"})
+        outs = measure(self.ids)
+        keys = outs.frame({OUT: OUT, LID: "__key"})
+        if stage.links is not None:
+            links = links.filter(_around(outs, LID, stage.keys[0]))
         linked = links.withColumnRenamed(OUT, "__link")
         joined = linked.join(keys, F.col("__link") == F.col("__key"))
         return replace(prior, ids=joined.select(OUT, LID).distinct())

@@ -175,3 +175,42 @@ def test_remaining_programs_trace(spark, lines):
     t = programs.histogram(P.parse_ratings(spark.createDataFrame([("1:1_5,2_5,3_1",)], "value string")),
                            ["movie_id", "pos"])
     assert t.lineage().where_id(5).back_all().count() == 2
+
+
+def scanned(frame):
+    """Rows that the plan's file scans gave, after it has run."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        node = leaves.apply(i)
+        node = node.plan() if hasattr(node, "plan") and "QueryStage" in node.nodeName() else node
+        text = node.nodeName()
+        if text.startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_captured_links_are_read_for_the_chosen_keys_only(spark):
+    rows = [(i, f"w{i % 400:03d} w{(i * 7) % 400:03d} x") for i in range(4000)]
+    rows += [(4000, None)]
+    plain = programs.word_count(spark.createDataFrame(rows, "id long, value string"), ["id"])
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        captured = plain.captured()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    links = captured.stages[-1].links
+    keys = captured.lineage().where_id("w123")
+    ids = keys.back(1).ids
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "w123" in plan
+    assert sorted(map(str, ids.collect())) == sorted(map(str, plain.lineage().where_id("w123").back(1).ids.collect()))
+    some = captured.lineage().where(F.col("word").between("w100", "w139"))
+    assert sorted(r.id for r in some.back_all().rows().collect()) == sorted(
+        r.id for r in plain.lineage().where(F.col("word").between("w100", "w139")).back_all().rows().collect())
+    read = links.filter(F.col("__out")["word"] == "w123")
+    assert 0 < scanned(read) < links.count() / 10
+    out = captured.lineage().where(F.col("word").isin("w001", "w399")).back_all_per_output()
+    want = plain.lineage().where(F.col("word").isin("w001", "w399")).back_all_per_output()
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() > 20
