@@ -19,9 +19,7 @@ parts.
 
 from __future__ import annotations
 
-import os
 import time
-import uuid
 from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -35,7 +33,7 @@ from pyspark.sql import types as T
 from backtrail.operators.checks import any_faulty, diff_full
 from backtrail.operators.faults import mark
 from backtrail.plans.groups import measure, number_rows
-from backtrail.session import scratch_root, stored
+from backtrail.session import scratch_path, stored
 
 TRIAL, RANK, PLACE = "__trial", "__rank", "__place"
 PART_WAVE = 256       # disjoint parts tested in one job
@@ -302,7 +300,7 @@ class Log:
 
     def __init__(self, spark, schema: T.StructType, label: str):
         self.spark, self.schema = spark, schema
-        self.path = os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+        self.path = scratch_path(spark, label)
         self.rows: list[tuple] = []
         self.written = False
 
@@ -349,7 +347,7 @@ class Pending:
     def add(self, b: Branch) -> None:
         self.back.append(b)
         if len(self.back) >= MEMORY:
-            path = os.path.join(scratch_root(self.spark), f"branches-{uuid.uuid4().hex}")
+            path = scratch_path(self.spark, "branches")
             rows = [(b.one.table, [list(r) for r in b.one.ranges], b.one.size, b.parts, b.offset) for b in self.back]
             self.spark.createDataFrame(rows, _BRANCH).coalesce(1).write.parquet(path)
             self.blocks.append(path)
@@ -377,7 +375,7 @@ class Solutions:
         if one.table == 0 and len(self.held) < MEMORY:
             self.held[one] = None
             return
-        path = os.path.join(scratch_root(self.sets.tables[0].sparkSession), f"solution-{uuid.uuid4().hex}")
+        path = scratch_path(self.sets.tables[0].sparkSession, "solution")
         self.sets.rows(one).select(F.lit(path).alias("of"), RANK).write.parquet(path)
         self.paths.append(path)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,12 +54,47 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; a `scratch` block that is open drops it at its end."""
+    path = os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    for made in _open_blocks:
+        made.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read them back.
 
     Preferred to `durable` where later reads filter: row groups can then be skipped.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_open_blocks: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that are stored inside the block when it ends.
+
+    What the block is for must be written by then, to a path of the caller's own: frames over
+    its tables cannot be read any more.
+    """
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks[:] = [held for held in _open_blocks if held is not made]
+        drop(spark, *made)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables from the shared folder, whatever file system it is on."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)

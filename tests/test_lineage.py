@@ -214,3 +214,23 @@ def test_captured_links_are_read_for_the_chosen_keys_only(spark):
     out = captured.lineage().where(F.col("word").isin("w001", "w399")).back_all_per_output()
     want = plain.lineage().where(F.col("word").isin("w001", "w399")).back_all_per_output()
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() > 20
+
+
+def test_scratch_tables_are_dropped_with_their_block(spark, tmp_path):
+    import os
+
+    from backtrail import session
+
+    before = session.stored(spark.range(5), "kept")
+    with session.scratch(spark):
+        inside = session.stored(spark.range(7), "inside")
+        with session.scratch(spark):
+            session.stored(spark.range(3), "nested")
+        inside.write.parquet(str(tmp_path / "out"))
+        (path,) = {os.path.dirname(f) for f in inside.inputFiles()}
+    assert not os.path.exists(path.removeprefix("file:")) and session._open_blocks == []
+    assert before.count() == 5 and spark.read.parquet(str(tmp_path / "out")).count() == 7
+    with pytest.raises(ValueError), session.scratch(spark):
+        lost = session.stored(spark.range(2), "lost").inputFiles()[0]
+        raise ValueError
+    assert not os.path.exists(lost.removeprefix("file:"))

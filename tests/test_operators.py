@@ -394,7 +394,7 @@ def test_centroid_model_in_rows(spark):
 
     sf_dir = "/root/testdata/sf0.001"
     rows = inputs.centroid_rows(spark, sf_dir)
-    assert rows.columns == ["cluster_id", "pos", "rater_id", "rating"]
+    assert rows.columns == ["cluster_id", "pos", "rater_id", "rating", "movie_id"]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
     want = ratings.centroid_reviews(inputs.centroids(spark, sf_dir)).collect()

@@ -118,7 +118,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cluster_id, pos, rater_id, rating): the same model, one row per review."""
+    """(cluster_id, pos, rater_id, rating, movie_id): the same model, one row per review."""
     all_reviews = reviews(spark, sf_dir)
     top = (
         all_reviews.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +127,7 @@ def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy(F.desc("movie_id"))
     slots = top.select("movie_id", (F.row_number().over(order) - 1).alias("cluster_id"))
     return all_reviews.join(F.broadcast(slots), "movie_id").select(
-        "cluster_id", "pos", F.col("rater_id").cast("bigint").alias("rater_id"), "rating"
+        "cluster_id", "pos", F.col("rater_id").cast("bigint").alias("rater_id"), "rating", "movie_id"
     )
 
 

@@ -159,7 +159,7 @@ ORACLE: dict[str, str] = {
         string_split(o_orderpriority, ' ')[1] AS value FROM orders""",
     "parse_numbers": "SELECT l_quantity AS n, count(*) AS lines FROM lineitem GROUP BY ALL",
     "centroid_model": sql("model", """SELECT cluster_id, movie_id, CAST(count(*) AS INTEGER) AS total,
-        string_agg(rater_id || '_' || rating, ',' ORDER BY rn) AS reviews FROM model GROUP BY ALL"""),
+        CAST(0 AS BIGINT) AS segment, string_agg(rater_id || '_' || rating, ',' ORDER BY rn) AS reviews FROM model GROUP BY ALL"""),
     "word_count": sql("wc", "SELECT word, count FROM wc"),
     "word_count_trimmed": sql("turn_lines", r"""SELECT word, count(*) AS count FROM (
         SELECT regexp_replace(unnest(CASE WHEN v <> '' AND trim(v, ' ') = '' THEN []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from backtrail.operators import checks, faults, graph, numeric, ratings, sets, sorting, text
 from backtrail.plans import ddmin as D
 from backtrail.plans import programs
+from backtrail.plans.groups import gather
 from backtrail.session import scratch_root
 from backtrail.sources import parsers as P
 from backtrail.sources.lines import read_lines, text_lines, trace_files, write_text
@@ -94,12 +95,12 @@ def parse_numbers(spark, d):
 
 @query
 def centroid_model(spark, d):
-    reviews = F.transform(
-        "reviews", lambda r: F.concat_ws("_", r["rater_id"].cast("string"), r["rating"].cast("string"))
-    )
-    return I.centroids(spark, d).select(
-        "cluster_id", "movie_id", "total", F.array_join(reviews, ",").alias("reviews")
-    )
+    """The model's reviews in bounded segments, and how many each centroid has."""
+    rows = I.centroid_rows(spark, d).withColumn("review", ratings.review_text())
+    totals = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    packed = gather(rows, ["cluster_id", "movie_id"], ["pos"], "reviews", lambda e: e["review"], carry=["review"])
+    return packed.join(F.broadcast(totals), "cluster_id").select(
+        "cluster_id", "movie_id", "total", "segment", joined("reviews"))
 
 
 @query
