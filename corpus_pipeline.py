@@ -6,14 +6,11 @@ executor costs no more than the stage it is in.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from backtrail.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from backtrail.llm.common import remainder, table
-from backtrail.session import scratch_root
+from backtrail.session import drop, scratch, scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage keeps. A stage's own tables, and its input, go when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = os.path.join(scratch_root(spark), f"{name.replace(' ', '-')}-{uuid.uuid4().hex}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return docs
