@@ -10,6 +10,10 @@ repeated run is the union of its windows of `min_lines` lines, so sorting deeper
 `min_lines` lines could not change what is deleted, and doubling stops there. A suffix
 whose rank is its own alone has no repeat and leaves the next rounds.
 
+Longer runs come out of those windows: consecutive windows of a document whose first
+occurrences are consecutive in one other document are one maximal run. So the number and
+the length of the maximal runs are known without deeper ranks.
+
 With `min_words`, a repeated run of fewer lines is deleted too if it holds that many words.
 Ranks then grow line by line, and each length below `min_lines` is looked at. Shorter runs
 of fewer words count as clean.
@@ -105,20 +109,44 @@ def repeated_runs(lines: DataFrame, depth: int) -> list[DataFrame]:
     return runs
 
 
+def maximal_runs(found: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, fp, pos, lines, first): the later copies of maximal repeated runs of lines.
+
+    `found` has the repeated windows of `min_lines` lines and the first place of each. `first`
+    is the place of the run's first occurrence.
+    """
+    later = found.filter(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first")))
+    same = [*_DOC, F.col("first.doc_id"), F.col("first.fp"), F.col("first.pos") - F.col("pos")]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy("pos"))
+    rows = later.select(*_DOC, "pos", "first", (F.col("first.pos") - F.col("pos")).alias("shift"),
+                        (F.col("pos") - number).alias("island"))
+    return rows.groupBy(*_DOC, F.col("first.doc_id").alias("first_doc"), F.col("first.fp").alias("first_fp"), "shift", "island").agg(
+        F.min("pos").alias("pos"), (F.count(F.lit(1)) + (min_lines - 1)).alias("lines"), F.min("first").alias("first")).select(
+            *_DOC, "pos", "lines", "first")
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """(doc_id, fp, removed): the numbers of the non-blank lines that later copies hold."""
+    """(doc_id, fp, removed, n_runs, longest_run): the numbers of the non-blank lines that later
+    copies hold, and the maximal runs of `min_lines` lines or more among them.
+    """
     last = F.lit(min_lines - 1)
     if min_words is None:
-        found = repeated_suffixes(line_ids(docs), min_lines).withColumn("last", last)
+        windows = repeated_suffixes(line_ids(docs), min_lines)
+        found = windows.withColumn("last", last)
     else:
-        *short, found = repeated_runs(line_ids(docs, words=True), min_lines)
-        found = found.withColumn("last", last)
+        *short, windows = repeated_runs(line_ids(docs, words=True), min_lines)
+        found = windows.withColumn("last", last)
         for i, runs in enumerate(short):
             found = found.unionByName(runs.filter(F.col("run_words") >= min_words).withColumn("last", F.lit(i)))
     later = found.filter(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first")))
     starts = later.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", "last")).alias("starts"))
     covered = F.flatten(F.transform("starts", lambda p: F.sequence(p["pos"], p["pos"] + p["last"])))
-    return starts.select(*_DOC, F.array_distinct(covered).alias("removed"))
+    removed = starts.select(*_DOC, F.array_distinct(covered).alias("removed"))
+    runs = maximal_runs(windows, min_lines).groupBy(*_DOC).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.max("lines").alias("longest_run")).select(
+            F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), "n_runs", "longest_run")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("fp") == F.col("__fp"))
+    return removed.join(runs, same, "left").select(*_DOC, "removed", "n_runs", "longest_run")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = True,
@@ -127,15 +155,18 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool
 
     A run has `min_lines` lines, or `min_words` words if that is given.
 
-    Two columns are added: n_lines and n_lines_removed (non-blank lines; 0 for null text).
+    Added are n_lines and n_lines_removed (non-blank lines; 0 for null text), and n_runs and
+    longest_run, the number of maximal repeated runs of `min_lines` lines or more that the
+    document has as a later copy, and the lines of the longest (0 without one).
     Columns of these names are replaced. With `drop_emptied`, documents of which no line
     was left go; documents that had no line before stay.
     """
-    docs = docs.drop("n_lines", "n_lines_removed")
-    fp, gone, lines, held, keep, own_doc, own_fp = fresh(
-        docs, "fp", "removed", "lines", "held", "keep", "__doc", "__fp")
+    docs = docs.drop("n_lines", "n_lines_removed", "n_runs", "longest_run")
+    fp, gone, lines, held, keep, own_doc, own_fp, runs, longest = fresh(
+        docs, "fp", "removed", "lines", "held", "keep", "__doc", "__fp", "n_runs", "longest_run")
     removed = repeated_lines(docs, min_lines, min_words).select(
-        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp), F.col("removed").alias(gone))
+        F.col("doc_id").alias(own_doc), F.col("fp").alias(own_fp), F.col("removed").alias(gone),
+        F.col("n_runs").alias(runs), F.col("longest_run").alias(longest))
     same = F.col("doc_id").eqNullSafe(F.col(own_doc)) & (F.col(fp) == F.col(own_fp))
     joined = docs.withColumn(fp, fingerprint()).join(removed, same, "left")
     numbered = F.transform(_lines(F.col("text")), lambda x, i: F.when(x.rlike(_BLANK_FREE), i))
@@ -152,7 +183,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool
         *[F.when(hit, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
           for c in docs.columns],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.when(hit, n_removed).otherwise(F.lit(0)).cast("bigint").alias("n_lines_removed"))
+        F.when(hit, n_removed).otherwise(F.lit(0)).cast("bigint").alias("n_lines_removed"),
+        F.coalesce(F.col(runs), F.lit(0)).cast("bigint").alias("n_runs"),
+        F.coalesce(F.col(longest), F.lit(0)).cast("bigint").alias("longest_run"))
     if drop_emptied:
         emptied = (F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_lines_removed"))
         rows = rows.filter(~emptied)

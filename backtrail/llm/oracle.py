@@ -30,19 +30,26 @@ nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos FROM
 w AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER v AS b, lead(line, 2) OVER v AS c, k AS ka, lead(k, 1) OVER v AS kb
       FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k FROM nb) WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
 -- Repeated runs of three lines, and of one or two lines with twenty words.
-f AS (SELECT doc_id, pos, 3 AS n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS rn FROM w WHERE c IS NOT NULL
+w3 AS (SELECT doc_id, pos, row_number() OVER v AS rn, first_value(doc_id) OVER v AS of, first_value(pos) OVER v - pos AS shift
+       FROM w WHERE c IS NOT NULL WINDOW v AS (PARTITION BY a, b, c ORDER BY doc_id, pos)),
+f AS (SELECT doc_id, pos, 3 AS n, rn FROM w3
       UNION ALL SELECT doc_id, pos, 2, CASE WHEN ka + kb >= 20 THEN row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) ELSE 1 END
       FROM w WHERE b IS NOT NULL
       UNION ALL SELECT doc_id, pos, 1, CASE WHEN ka >= 20 THEN row_number() OVER (PARTITION BY a ORDER BY doc_id, pos) ELSE 1 END FROM w),
 cov AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM f WHERE rn > 1),
+-- Consecutive windows with consecutive first occurrences are one maximal run.
+runs AS (SELECT doc_id, count(*) AS n_runs, max(lines) AS longest_run FROM (
+    SELECT doc_id, count(*) + 2 AS lines FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, of, shift ORDER BY pos) AS island
+      FROM w3 WHERE rn > 1) GROUP BY doc_id, of, shift, island) GROUP BY doc_id),
 m AS (SELECT x.doc_id, x.ln, x.line, nb.pos IS NOT NULL AS held, cov.pos IS NOT NULL AS gone
       FROM x LEFT JOIN nb ON nb.doc_id = x.doc_id AND nb.ln = x.ln
              LEFT JOIN cov ON cov.doc_id = nb.doc_id AND cov.pos = nb.pos),
 g AS (SELECT doc_id, count(*) FILTER (held) AS n, count(*) FILTER (gone) AS r,
         coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone), '') AS t FROM m GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_lines_removed,
+  CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run,
   CASE WHEN d.text IS NOT NULL THEN sha256(t) END AS text_sha256
-FROM documents d LEFT JOIN g USING (doc_id)""",
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN runs USING (doc_id)""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),

@@ -36,7 +36,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, drop_emptied=False, min_words=line_dedup.MIN_WORDS).select(
-        "doc_id", "n_lines", "n_lines_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+        "doc_id", "n_lines", "n_lines_removed", "n_runs", "longest_run", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query

@@ -137,6 +137,18 @@ def test_line_dedup_brute_force(spark):
             assert (got[i]["n_lines"], got[i]["n_lines_removed"]) == (len(held), len(gone))
 
 
+def test_maximal_runs(spark):
+    a = [f"line {i}" for i in range(20)]
+    docs = [(1, "\n".join(a)), (2, "\n".join(["x", *a[2:9], "y", "", *a[11:16], "z", *a[17:19]])), (3, "\n".join(a)),
+            (4, "\n".join(["q"] * 6)), (5, None), (6, "\n".join([*a[8:10], "x", *a[2:5]]))]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 3, False).collect()}
+    assert {i: (r["n_runs"], r["longest_run"], r["n_lines_removed"]) for i, r in rows.items()} == {
+        1: (0, 0, 0), 2: (2, 7, 12), 3: (1, 20, 20), 4: (3, 3, 5), 5: (0, 0, 0), 6: (2, 3, 4)}
+    windows = line_dedup.repeated_suffixes(line_dedup.line_ids(spark.createDataFrame(docs, "doc_id long, text string")), 3)
+    runs = line_dedup.maximal_runs(windows).filter("doc_id = 2").orderBy("pos").collect()
+    assert [(r["pos"], r["lines"], r["first"]["doc_id"], r["first"]["pos"]) for r in runs] == [(1, 7, 1, 2), (9, 5, 1, 11)]
+
+
 def test_line_dedup_long_short_runs(spark):
     rng = random.Random(12)
     pool = [" ".join(prose(rng, n, 10**6)) for n in (1, 1, 2, 3, 5, 8, 11, 13, 20, 24)] + ["", " "]
