@@ -14,7 +14,8 @@ program under test groups by `__trial`. Only (trial, failed) rows come back, one
 them. A round that splits into n parts takes one job for every PART_WAVE parts, and one for
 every COPY_WAVE complements if no part fails. A search for a set of k needed rows among N
 takes some log2(N) rounds for k = 1, and for more about k * log2(N / k) rounds of up to 2k
-parts.
+parts. An exhaustive search tests all parts of up to BRANCH_WAVE branches together, EVERY_WAVE
+in a job, so k faults of one row take some log2(N) * k / BRANCH_WAVE rounds.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,11 @@ from backtrail.session import scratch_path, stored
 TRIAL, RANK, PLACE = "__trial", "__rank", "__place"
 PART_WAVE = 256       # disjoint parts tested in one job
 COPY_WAVE = 32        # overlapping sets tested in one job
-BRANCH_WAVE = 64      # branches that an exhaustive round follows together
+EVERY_WAVE = 8192     # parts tested in one job where all of them are wanted
+PIECES = 65536        # ranges that are told apart in one job
+BRANCH_WAVE = 4096    # branches that an exhaustive round follows together
+TABLES = 64           # tables of candidates that one job reads
+TREE = 512            # interval ends up to which places are looked up by an expression
 RIDE = 8              # parts of a split up to which its complements are tested along with them
 MAX_RANGES = 64       # pieces of a set before it is numbered anew
 MEMORY = 4096         # entries of a list that stay on the driver
@@ -128,9 +134,27 @@ def _lookup(bounds: Sequence[int], values: Sequence[str]) -> str:
     return f"if({PLACE} < {bounds[mid - 1]}L, {below}, {above})"
 
 
+def _in_bins(rows: DataFrame, pieces: DataFrame, width: int) -> DataFrame:
+    """Rows once for every piece (`__lo` to `__hi`) that holds their place, with its other
+    columns. Both sides meet in bins of `width` places."""
+    bins = F.explode(F.sequence(F.expr(f"__lo div {width}L"), F.expr(f"(__hi - 1L) div {width}L")))
+    met = rows.withColumn("__bin", F.expr(f"{PLACE} div {width}L")).join(
+        pieces.withColumn("__bin", bins), "__bin")
+    return met.filter((F.col(PLACE) >= F.col("__lo")) & (F.col(PLACE) < F.col("__hi"))).drop("__bin", "__lo", "__hi")
+
+
 def with_trials(rows: DataFrame, trials: dict[int, Ranges]) -> DataFrame:
-    """Rows with `__trial`, one per trial that holds them."""
+    """Rows with `__trial`, one per trial that holds them.
+
+    Few intervals are looked up by an expression; many are a table that is broadcast.
+    """
     cuts = sorted({edge for ranges in trials.values() for pair in ranges for edge in pair})
+    if len(cuts) > TREE:
+        held = [(lo, hi, t) for t, ranges in trials.items() for lo, hi in ranges]
+        pieces = rows.sparkSession.createDataFrame(held, f"__lo long, __hi long, {TRIAL} int")
+        width = max(1, sum(hi - lo for lo, hi, _ in held) // len(held))
+        inside = (F.col(PLACE) >= cuts[0]) & (F.col(PLACE) < cuts[-1])
+        return _in_bins(rows.filter(inside), F.broadcast(pieces), width)
     member: list[list[int]] = [[] for _ in range(len(cuts) - 1)]
     for trial, ranges in trials.items():
         for lo, hi in ranges:
@@ -148,6 +172,11 @@ class Sets:
     Table 0 holds all candidates in their order; parts are runs of that order.
     """
 
+    @property
+    def branches(self) -> int:
+        """How many branches a round follows together."""
+        return BRANCH_WAVE
+
     def __init__(self, candidates: DataFrame):
         self.tables = [candidates.withColumn(PLACE, F.col(RANK))]
         self.total = candidates.count()
@@ -213,6 +242,10 @@ class SplitSets(Sets):
         super().__init__(candidates)
         self.split = split
 
+    @property
+    def branches(self) -> int:
+        return min(BRANCH_WAVE, TABLES)  # every set that is split is a table
+
     def compact(self, one: Set) -> Set:
         if len(one.ranges) <= MAX_RANGES:
             return one
@@ -364,33 +397,74 @@ class Pending:
         return taken
 
 
+_PIECE = "of string, __lo long, __hi long"
+
+
 class Solutions:
-    """Minimal sets. Few are kept as ranges of the candidates' order; others as tables."""
+    """Minimal sets. Few are kept as ranges of the candidates' order; others as tables.
+
+    Ranges of the candidates' order go to tables of ranges, MEMORY sets at a time; the rows of
+    sets in other tables are written, those of TABLES sets at a time.
+    """
 
     def __init__(self, sets: Sets):
         self.sets, self.held, self.n = sets, OrderedDict(), 0
+        self.moved: list[Set] = []
         self.paths: list[str] = []
+        self.blocks: list[str] = []
+        self.covered = self.pieces = 0
 
     def add(self, one: Set) -> None:
-        if one.table == 0 and len(self.held) < MEMORY:
+        if one.table == 0:
             self.held[one] = None
-            return
+            if len(self.held) > MEMORY:
+                self._flush_ranges()
+        else:
+            self.moved.append(one)
+            if len(self.moved) >= TABLES:
+                self._flush_rows()
+
+    def _name(self) -> str:
+        self.n += 1
+        return str(self.n)
+
+    def _flush_ranges(self) -> None:
+        spark = self.sets.tables[0].sparkSession
+        rows = [(name, lo, hi) for s in self.held for name in [self._name()] for lo, hi in s.ranges]
+        path = scratch_path(spark, "solutions")
+        spark.createDataFrame(rows, _PIECE).coalesce(1).write.parquet(path)
+        self.blocks.append(path)
+        self.covered, self.pieces = self.covered + sum(s.size for s in self.held), self.pieces + len(rows)
+        self.held = OrderedDict()
+
+    def _flush_rows(self) -> None:
         path = scratch_path(self.sets.tables[0].sparkSession, "solution")
-        self.sets.rows(one).select(F.lit(path).alias("of"), RANK).write.parquet(path)
+        frames = [self.sets.rows(one).select(F.lit(self._name()).alias("of"), RANK) for one in self.moved]
+        reduce(DataFrame.unionByName, frames).write.parquet(path)
         self.paths.append(path)
+        self.moved = []
 
     def rows(self) -> DataFrame:
         """The candidates of every solution, once each, numbered by their first members."""
         table = self.sets.tables[0]
-        held = sorted(self.held, key=lambda s: (s.ranges, s.size))
-        if not held and not self.paths:
+        if not (self.held or self.moved or self.paths or self.blocks):
             return table.filter("false").withColumn("solution_id", F.lit(0)).drop(RANK, PLACE)
-        if not self.paths:
-            return self._assigned(held).drop(RANK, PLACE)
-        spark = table.sparkSession
-        found = spark.read.parquet(*self.paths).select("of", RANK)
-        if held:
-            found = found.unionByName(self._assigned(held).select(F.col("solution_id").cast("string").alias("of"), RANK))
+        if not (self.moved or self.paths or self.blocks):
+            held = sorted(self.held, key=lambda s: (s.ranges, s.size))
+            trials = {i: s.ranges for i, s in enumerate(held)}
+            return with_trials(table, trials).withColumnRenamed(TRIAL, "solution_id").drop(RANK, PLACE)
+        if self.held:
+            self._flush_ranges()
+        if self.moved:
+            self._flush_rows()
+        spark, found = table.sparkSession, []
+        if self.paths:
+            found.append(spark.read.parquet(*self.paths).select("of", RANK))
+        if self.blocks:
+            pieces = measure(spark.read.schema(_PIECE).parquet(*self.blocks)).frame()
+            width = max(1, self.covered // self.pieces)
+            found.append(_in_bins(table, pieces, width).select("of", RANK))
+        found = reduce(DataFrame.unionByName, found)
         digest = [F.count(F.lit(1)).alias("size"), F.min(RANK).alias("first"),
                   F.sum(F.xxhash64(RANK).cast("decimal(38,0)")).alias("hash")]
         kept = found.groupBy("of").agg(*digest).groupBy("first", "size", "hash").agg(F.min("of").alias("chosen"))
@@ -399,14 +473,6 @@ class Solutions:
         ranks = found.join(chosen.frame(), F.col("of") == F.col("chosen")).select("solution_id", F.col(RANK).alias("__r"))
         return table.join(ranks, F.col(RANK) == F.col("__r")).drop("__r", RANK, PLACE)
 
-    def _assigned(self, held: list[Set]) -> DataFrame:
-        frames = [with_trials(self.sets.tables[0], dict(enumerate((s.ranges for s in held[a:a + PART_WAVE]), a)))
-                  for a in range(0, len(held), PART_WAVE)]
-        out = frames[0]
-        for frame in frames[1:]:
-            out = out.unionByName(frame)
-        return out.withColumnRenamed(TRIAL, "solution_id")
-
 
 # --- the search ---------------------------------------------------------------------
 
@@ -441,6 +507,21 @@ def _chunks(items: Iterable, n: int) -> Iterator[list]:
         yield chunk
 
 
+def _jobs(sets: Iterable[Set], n: int) -> Iterator[list[Set]]:
+    """The sets, at most `n` of them, PIECES ranges and TABLES tables at a time."""
+    chunk: list[Set] = []
+    pieces, tables = 0, set()
+    for one in sets:
+        if chunk and (len(chunk) >= n or pieces + len(one.ranges) > PIECES or len(tables | {one.table}) > TABLES):
+            yield chunk
+            chunk, pieces, tables = [], 0, set()
+        chunk.append(one)
+        pieces += len(one.ranges)
+        tables.add(one.table)
+    if chunk:
+        yield chunk
+
+
 @dataclass
 class _Search:
     sets: Sets
@@ -457,7 +538,7 @@ class _Search:
         """The parts of a set, remembered for as long as a round takes."""
         if (one, n) not in self.split_up:
             self.split_up[one, n] = self.sets.parts(one, n)
-            if len(self.split_up) > 2 * BRANCH_WAVE:
+            if len(self.split_up) > 2 * self.sets.branches:
                 self.split_up.popitem(last=False)
         return self.split_up[one, n]
 
@@ -467,7 +548,7 @@ class _Search:
         fresh = [s for s in dict.fromkeys(wanted) if s.size and s not in self.known]
         found: dict[Set, bool] = {s: self.known[s] for s in wanted if s in self.known}
         batched = isinstance(self.test, BatchTest)
-        for batch in _chunks(fresh, wave):
+        for batch in _jobs(fresh, wave):
             begun = time.monotonic()
             for t, failed in self.test.outcomes(self.sets, dict(enumerate(batch))).items():
                 found[batch[t]] = self.known[batch[t]] = failed
@@ -505,6 +586,8 @@ class _Search:
             return []
         extra = [s for b in branches[:COPY_WAVE // RIDE] if b.parts <= RIDE
                  for wave in self.complements(b) for _, s in wave]
+        if len(asked) + len(extra) > PART_WAVE:
+            return []
         depth = 0
         while depth < self.lookahead and len(asked) * (2 ** (depth + 2) - 1) + len(extra) <= PART_WAVE:
             depth += 1
@@ -535,10 +618,10 @@ class _Search:
     def all_failing(self, branches: Sequence[Branch]) -> Iterator[tuple[Branch, Branch | None]]:
         """(branch, next) for every next set of the exhaustive search; None when it is minimal."""
         open_branches = dict.fromkeys(branches)
-        split = ((b, i, p) for b in branches for wave in self.parts(b.one, b.parts).waves(PART_WAVE) for i, p in wave)
-        for chunk in _chunks(split, PART_WAVE):
+        split = ((b, i, p) for b in branches for wave in self.parts(b.one, b.parts).waves(EVERY_WAVE) for i, p in wave)
+        for chunk in _chunks(split, EVERY_WAVE):
             asked = [p for _, _, p in chunk]
-            failed = self.ask([*asked, *self.ride_along(list(dict.fromkeys(b for b, _, _ in chunk)), asked)], PART_WAVE)
+            failed = self.ask([*asked, *self.ride_along(list(dict.fromkeys(b for b, _, _ in chunk)), asked)], EVERY_WAVE)
             for (b, i, part), bad in zip(chunk, failed):
                 if self.note(b, "part", i, part, bad):
                     open_branches.pop(b, None)
@@ -612,7 +695,7 @@ def ddmin(candidates: DataFrame, test, order: Sequence[str], exhaustive: bool =
     while pending and (max_rounds is None or search.run < max_rounds):
         search.run += 1
         if exhaustive:
-            steps = search.all_failing(pending.take(BRANCH_WAVE))
+            steps = search.all_failing(pending.take(sets.branches))
         else:
             steps = [(b, search.first_failing(b)) for b in pending.take(1)]
         for b, step in steps:

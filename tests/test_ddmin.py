@@ -233,3 +233,23 @@ def test_predicate_test_over_a_program(spark):
     lines = spark.createDataFrame([(i, f"w{i % 5} x") for i in range(12)], "id long, value string")
     test = predicate_test(lambda df, by: text.word_count(df, by), (F.col("count") >= 3) & (F.col("word") == "w1"))
     assert found(ddmin(lines, test, ["id"])) == [[1, 6, 11]]
+
+
+def test_jobs_of_an_exhaustive_search_grow_with_its_depth(spark):
+    """Many faults share the jobs of a round; their sets are told apart by a broadcast table."""
+    wanted = [i for i in range(1, 4001) if i % 13 == 5]
+    fails = BatchTest(lambda rows: rows.groupBy(TRIAL).agg(F.bool_or(F.col("v") % 13 == 5).alias("failed")))
+    result = ddmin(numbers(spark, 4000), fails, ["id"], exhaustive=True)
+    assert result.jobs <= 16 and found(result) == [[i] for i in wanted]
+    assert {r.id: r.solution_id for r in result.rows.collect()} == {i: k for k, i in enumerate(wanted)}
+
+
+def test_solutions_beyond_the_driver_are_written_together(spark, monkeypatch):
+    monkeypatch.setattr(D, "MEMORY", 16)
+    monkeypatch.setattr(D, "TREE", 4)
+    fails = BatchTest(lambda rows: rows.groupBy(TRIAL).agg(F.bool_or(F.col("v") % 5 == 0).alias("failed")))
+    made, plain = [], D.scratch_path
+    monkeypatch.setattr(D, "scratch_path", lambda s, label: made.append(label) or plain(s, label))
+    result = ddmin(numbers(spark, 300), fails, ["id"], exhaustive=True)
+    assert found(result) == [[i] for i in range(5, 301, 5)]
+    assert 0 < made.count("solutions") <= 4 and made.count("solution") == 0
