@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import strings as S
-from backtrail.plans.groups import MAX_GROUP, gather, in_segments, keep_matching, large_groups, measure
+from backtrail.plans.groups import MAX_GROUP, TASK_CHARS, by_unit, gather, in_segments, keep_matching, large_groups, measure
 
 
 def words(lines: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -56,10 +56,18 @@ def phrases(docs: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
     return windows.select(*by, "doc", window.alias("phrase"))
 
 
-def sequence_count(docs: DataFrame, n: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """(phrase, doc, count) of n-word windows that stay inside one record."""
-    found = phrases(docs, n, by)
-    return found.groupBy(*by, "phrase", "doc").agg(F.count(F.lit(1)).alias("count"))
+def sequence_count(docs: DataFrame, n: int = 3, by: Sequence[str] = (), most: int = TASK_CHARS) -> DataFrame:
+    """(phrase, doc, count) of n-word windows that stay inside one record.
+
+    The records of a document meet in one exchange of their texts, and its windows are
+    counted where they are made. Of a document with more than `most` characters the windows
+    are exchanged instead.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        return phrases(rows, n, by).groupBy(*by, "phrase", "doc").agg(F.count(F.lit(1)).alias("count"))
+
+    together, apart = by_unit(docs.select(*by, "doc", "content"), [*by, "doc"], "content", most)
+    return counted(together) if apart is None else counted(together).unionByName(counted(apart))
 
 
 def doc_words(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

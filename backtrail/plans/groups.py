@@ -18,6 +18,9 @@ from backtrail.session import durable, stored
 SMALL_ROWS = 1_000_000          # a broadcast side stays within both limits
 SMALL_BYTES = 64 * 1024 * 1024
 MAX_GROUP = 200_000
+TASK_CHARS = 4_000_000          # text whose words or phrases one task counts
+TASK_ROWS = 1_000_000           # rows that one task gathers
+BUCKETS = 65_536                # hash values by which groups are first measured
 
 
 @dataclass(frozen=True)
@@ -88,6 +91,44 @@ def large_groups(df: DataFrame, keys: Sequence[str], max_group: int,
     return sizes.filter(F.col("__n") > max_group).select(*keys)
 
 
+def suspects(df: DataFrame, keys: Sequence[str], max_group: int) -> tuple[DataFrame | None, int]:
+    """(rows of the groups that may exceed `max_group`, or None, and the number of all rows).
+
+    Rows are counted by a hash of their key in BUCKETS values, which takes map-side partial
+    counts only. A group is no larger than its bucket.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    sizes = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    full = F.when(F.col("__n") > max_group, F.col("__bucket"))
+    total = sizes.agg(F.sum("__n").alias("n"), F.collect_list(full).alias("full")).first()  # BUCKETS numbers at most
+    if not total["full"]:
+        return None, total["n"] or 0
+    held = df.sparkSession.createDataFrame([(b,) for b in total["full"]], "__b int")
+    return df.join(F.broadcast(held), bucket == F.col("__b"), "left_semi"), total["n"]
+
+
+def spread_tasks(df: DataFrame, size: int, task: int) -> int:
+    """How many partitions hold `size` in shares of `task`, at least one for every core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task))
+
+
+def by_unit(df: DataFrame, unit: Sequence[str], text: str,
+            most: int = TASK_CHARS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with all of a unit in one partition, and those of units too large for that.
+
+    What is made of the text can then be grouped by the unit and more without another
+    exchange. A unit with more than `most` characters stays where it is, in the second frame.
+    """
+    sizes = df.groupBy(*unit).agg(F.sum(F.length(text)).alias("__n"))
+    ends = sizes.agg(F.sum("__n").alias("all"), F.max("__n").alias("most")).first()
+    parts = spread_tasks(df, ends["all"] or 0, TASK_CHARS)
+    if (ends["most"] or 0) <= most:
+        return df.repartition(parts, *unit), None
+    large = measure(sizes.filter(F.col("__n") > most).select(*unit))
+    rest = keep_matching(df, large, unit, anti=True)
+    return rest.repartition(parts, *unit), keep_matching(df, large, unit)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 name: str = "__rn", weight: str | None = None) -> DataFrame:
     """Row numbers from 1 within each key, in the given order, without gathering a key.
@@ -142,8 +183,10 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     that many times, at most `max_group`, towards the size of a segment. `max_group=None`
     is for groups known to be bounded.
 
-    The rows are written once: they are read to measure the groups, which takes the key
-    columns only, and again for the small and the large groups.
+    The rows are made twice: once to measure the groups, by partial counts of a hash of the
+    key, and once for the arrays, which take one exchange. Only rows that may belong to a
+    large group, and weighted ones, are written: they are read to measure the groups, which
+    takes the key columns only, and again for the small and the large groups.
     """
     fields = [*order, *carry]
     entry = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
@@ -158,6 +201,10 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 
     if max_group is None:
         return whole(df)
+    if weight is None:
+        full, total = suspects(df, keys, max_group)
+        if full is None:
+            return whole(df.repartition(spread_tasks(df, total, TASK_ROWS), *keys))
     needed = [*keys, *fields, *([] if weight is None else [weight])]
     df = stored(df.select(*dict.fromkeys(needed)), "groups")
     large = measure(large_groups(df, keys, max_group, weight))

@@ -503,3 +503,33 @@ def test_hot_words_and_units_in_segments(spark):
     few = {tuple(r) for r in text.inverted_index(docs, max_group=25).filter("word <> 'the'").select("word", "segment").collect()}
     whole = text.inverted_index(docs).filter("word <> 'the'").count()
     assert len({w for w, _ in few}) == whole
+
+
+def exchanged(df, column):
+    """The exchanges of an executed plan that carry the column."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if "Exchange " in line and f"({column}#" in line]
+
+
+@pytest.mark.parametrize("most", [4_000_000, 30])
+def test_phrases_are_counted_where_their_document_is(spark, most):
+    rows = [("a", "x y z x y z"), ("a", "x y z"), ("b", "x y z w"), ("c", None), ("d", "x y"), (None, "x y z")]
+    docs = spark.createDataFrame(rows + [("e", "p q r s t u v w x y z p q r")] * 3, "doc string, content string")
+    found = text.sequence_count(docs, most=most)
+    counts = {(r.phrase, r.doc): r["count"] for r in found.collect()}
+    assert counts["x|y|z", "a"] == 3 and counts["x|y|z", "b"] == counts["x|y|z", None] == 1
+    assert counts["p|q|r", "e"] == 6 and len(counts) == 3 + 2 + 1 + 11
+    if most > 30:
+        assert not exchanged(found, "phrase")
+
+
+def test_ranked_postings_take_one_exchange(spark, monkeypatch):
+    from backtrail.plans import groups
+
+    written = []
+    monkeypatch.setattr(groups, "stored", lambda df, label: written.append(label))
+    counts = spark.range(60).selectExpr("concat('p', id % 7) AS phrase", "cast(id AS string) AS doc", "id % 5 AS count")
+    found = text.ranked_inverted_index(counts)
+    assert {r.phrase: len(r.postings) for r in found.collect()} == {f"p{i}": 9 if i < 4 else 8 for i in range(7)}
+    assert not written and len(exchanged(found, "phrase")) == 1
