@@ -178,12 +178,14 @@ def _around(keys: KeySet, lid: str, first: str) -> Column:
 @dataclass(frozen=True)
 class Cursor:
     """A set of records of one stage. `ids` holds `__lid`, and `__out` when outputs are
-    kept apart; None stands for every record."""
+    kept apart; None stands for every record. `found` holds the records themselves where
+    the last step met them, so that they are not looked up by their identities again."""
 
     traced: Traced
     at: int
     ids: DataFrame | None
     per_output: bool = False
+    found: DataFrame | None = None
 
     @property
     def stage(self) -> Stage:
@@ -202,7 +204,7 @@ class Cursor:
             ids = ids.select(*([OUT] if self.per_output else []), LID)
         else:
             ids = keep_matching(self._all_ids(), chosen.select(LID), [LID])
-        return replace(self, ids=ids)
+        return replace(self, ids=ids, found=None)
 
     def where_id(self, *values) -> Cursor:
         """Keep the one record with the given identity fields, in their order."""
@@ -212,14 +214,14 @@ class Cursor:
         same = F.lit(True)
         for f, value in zip(lid_type.fields, values):
             same = same & F.col(LID)[f.name].eqNullSafe(F.lit(value).cast(f.dataType))
-        return replace(self, ids=self._all_ids().filter(same))
+        return replace(self, ids=self._all_ids().filter(same), found=None)
 
     def _distinct(self, ids: DataFrame, lid: Column) -> DataFrame:
         kept = [OUT] if self.per_output else []
         return ids.select(*kept, lid.alias(LID)).filter(F.col(LID).isNotNull()).distinct()
 
     def _step_back(self, side: str) -> Cursor:
-        stage, prior = self.stage, replace(self, at=self.at - 1)
+        stage, prior = self.stage, replace(self, at=self.at - 1, found=None)
         if stage.kind == "source":
             raise ValueError("already at the source")
         if side != "main":
@@ -233,10 +235,13 @@ class Cursor:
         links = self.traced._links(self.at)
         if self.ids is None:
             return replace(prior, ids=links.select(LID))
+        if not self.per_output and stage.links is None:
+            keys = measure(self.ids.select(*[F.col(LID)[k].alias(k) for k in stage.keys]))
+            found = keep_matching(self.traced.rows(self.at - 1), keys, stage.keys)
+            return replace(prior, ids=found.select(LID), found=found)
         if not self.per_output:
             keys = measure(self.ids.select(F.col(LID).alias(OUT)))
-            if stage.links is not None:
-                links = links.filter(_around(keys, OUT, stage.keys[0]))
+            links = links.filter(_around(keys, OUT, stage.keys[0]))
             return replace(prior, ids=keep_matching(links, keys, [OUT]).select(LID))
         outs = measure(self.ids)
         keys = outs.frame({OUT: OUT, LID: "__key"})
@@ -263,13 +268,13 @@ class Cursor:
     def back_all_per_output(self) -> DataFrame:
         """(__out, source columns): the source records of each output, kept apart."""
         ids = self._all_ids().select(F.col(LID).alias(OUT), LID)
-        return replace(self, ids=ids, per_output=True).back_all().rows()
+        return replace(self, ids=ids, per_output=True, found=None).back_all().rows()
 
     def _step_forward(self) -> Cursor:
         if self.at + 1 == len(self.traced.stages):
             raise ValueError("already at the output")
         after = self.traced.stages[self.at + 1]
-        later = replace(self, at=self.at + 1)
+        later = replace(self, at=self.at + 1, found=None)
         if self.ids is None:
             return later
         if after.kind == "keyed":
@@ -305,6 +310,8 @@ class Cursor:
 
     def rows(self) -> DataFrame:
         """The records themselves, with `__lid` (and `__out`)."""
+        if self.found is not None:
+            return self.found
         rows = self.traced.rows(self.at)
         if self.ids is None:
             return rows

@@ -234,3 +234,15 @@ def test_scratch_tables_are_dropped_with_their_block(spark, tmp_path):
         lost = session.stored(spark.range(2), "lost").inputFiles()[0]
         raise ValueError
     assert not os.path.exists(lost.removeprefix("file:"))
+
+
+def test_records_met_by_a_step_are_not_looked_up_again(spark):
+    """The words behind some counts come from the one join with the chosen words."""
+    lines = spark.createDataFrame([(0, "a b a"), (1, "b c"), (2, "c c d")], "id long, value string")
+    cursor = programs.word_count(lines, ["id"]).lineage().where(F.col("count") == 2).back(1)
+    found = cursor.rows()
+    assert sorted((r["__lid"]["main"]["id"], r["__lid"]["pos"], r.word) for r in found.collect()) == [
+        (0, 0, "a"), (0, 1, "b"), (0, 2, "a"), (1, 0, "b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(r.id for r in cursor.where(F.col("word") == "b").rows().select(F.col("__lid.main.id")).collect()) == [0, 1]
+    assert sorted(r.id for r in cursor.back(1).rows().select("id").collect()) == [0, 1]
