@@ -129,42 +129,38 @@ def diff_lists(actual: DataFrame, expected: DataFrame, on: Sequence[str], item:
     return counts.select(*shown, status.alias("status")).filter(F.col("status").isNotNull())
 
 
-def list_digest(items: str) -> list[Column]:
-    """Number of items and two sums of their hashes: equal for lists of equal items in any order."""
-    whole = "decimal(38,0)"
-
-    def total(salt: int) -> Column:
-        return F.aggregate(items, F.lit(0).cast(whole), lambda a, x: (a + F.xxhash64(F.lit(salt), x)).cast(whole))
-
-    return [F.coalesce(F.size(items), F.lit(0)).cast("bigint"), total(1), total(2)]
-
-
 def diff_adjacency(actual: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Vertices of `actual` whose neighbour sets differ from the expected ones.
 
     A vertex's lists are compared as a whole, however they are cut into segments on either
-    side. Each side comes down to digests that add up over segments, in one aggregation;
-    items are looked at only for vertices whose digests differ, where a repeated neighbour
-    alone makes no difference. A null list is an empty one.
+    side. The items' hashes are added up, those of the expected side with the other sign, so
+    equal lists come to nothing; sums of halves of hashes cannot overflow. Items are looked at
+    only for vertices whose sums differ, where a repeated neighbour alone makes no difference.
+    A null list is an empty one.
     """
     keys, lists = [*by, "vertex"], ("from", "to")
-    parts = {f"__{c}{i}": digest for c in lists for i, digest in enumerate(list_digest(c))}
-    sums = []
-    for name in parts:
-        for side, mine in (("a", F.col("__actual")), ("e", ~F.col("__actual"))):
-            sums.append(F.sum(F.when(mine, F.col(name))).alias(f"{name}{side}"))
     both = _sides(actual, expected, [*keys, *lists])
-    seen = both.select(*keys, "__actual", *[d.alias(n) for n, d in parts.items()]).groupBy(*keys).agg(
-        F.count(F.when(F.col("__actual"), 1)).alias("__rows"), F.count(F.when(~F.col("__actual"), 1)).alias("__theirs"), *sums)
-    equal = same_keys({f"{n}a": f"{n}e" for n in parts})
-    seen = seen.filter((F.col("__rows") > 0) & ((F.col("__theirs") == 0) | ~equal))
-    suspects = measure(seen.select(*keys, (F.col("__theirs") == 0).alias("__extra")))
-    extra = suspects.rows.filter("__extra").select(*keys, F.lit(EXTRA).alias("status"))
     ends = F.array(*[F.struct(F.lit(c).alias("side"), F.coalesce(
         F.col(c), F.array().cast("array<string>")).alias("items")) for c in lists])
-    items = keep_matching(both, suspects.rows.filter(~F.col("__extra")).select(*keys), keys)
-    items = items.select(*keys, "__actual", F.explode(ends).alias("end")).select(
-        *keys, "__actual", "end.side", F.explode("end.items").alias("item"))
+    split = both.select(*keys, "__actual", F.explode(ends).alias("end"))
+    hashed = split.select(*keys, "__actual", "end.side", F.posexplode_outer("end.items").alias("at", "item")).select(
+        *keys, "__actual", "at", *[F.xxhash64(F.lit(salt), "side", "item").alias(f"__h{salt}") for salt in (1, 2)])
+    counted = F.when(F.col("at").isNull(), 0).when(F.col("__actual"), 1).otherwise(-1).cast("bigint")
+    sums = {"__n": F.lit(1)}
+    for salt in (1, 2):
+        sums[f"__lo{salt}"] = F.col(f"__h{salt}").bitwiseAND(F.lit(0xFFFFFFFF))
+        sums[f"__hi{salt}"] = F.shiftright(f"__h{salt}", 32)
+    seen = hashed.groupBy(*keys).agg(
+        F.count(F.when(F.col("__actual"), 1)).alias("__rows"), F.count(F.when(~F.col("__actual"), 1)).alias("__theirs"),
+        *[F.sum(counted * part).alias(name) for name, part in sums.items()])
+    differ = F.lit(False)
+    for name in sums:
+        differ = differ | (F.col(name) != 0)
+    seen = seen.filter((F.col("__rows") > 0) & ((F.col("__theirs") == 0) | differ))
+    suspects = measure(seen.select(*keys, (F.col("__theirs") == 0).alias("__extra")))
+    extra = suspects.rows.filter("__extra").select(*keys, F.lit(EXTRA).alias("status"))
+    items = keep_matching(split, suspects.rows.filter(~F.col("__extra")).select(*keys), keys)
+    items = items.select(*keys, "__actual", "end.side", F.explode("end.items").alias("item"))
     told = items.groupBy(*keys, "side", "item").agg(
         F.bool_or("__actual").alias("a"), F.bool_or(~F.col("__actual")).alias("e")).filter(~(F.col("a") & F.col("e")))
     return extra.unionByName(told.select(*keys).distinct().withColumn("status", F.lit(CHANGED)))

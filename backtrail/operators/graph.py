@@ -22,13 +22,13 @@ def edge_facts(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def adjacency_list(edges: DataFrame, limit: int | None = None, by: Sequence[str] = (),
-                   max_group: int = MAX_GROUP) -> DataFrame:
+                   max_group: int = MAX_GROUP, held: int = MAX_GROUP) -> DataFrame:
     """(vertex, segment, from, to): distinct sorted neighbours.
 
-    A vertex with at most `max_group` edge facts has the one segment 0. A busier one is
-    ranked across the cluster and continues in further segments of `max_group` neighbours
-    on each side. Only with `limit` are neighbours left out: the first `limit` on each side
-    stay.
+    A vertex with at most `max_group` edge facts has the one segment 0. A busier one
+    continues in further segments of `max_group` neighbours on each side. With more than
+    `held` facts it is ranked across the cluster for that; with fewer its lists are cut where
+    they are. Only with `limit` are neighbours left out: the first `limit` on each side stay.
     """
     facts = edge_facts(edges, by)
     keys = [*by, "vertex"]
@@ -41,17 +41,28 @@ def adjacency_list(edges: DataFrame, limit: int | None = None, by: Sequence[str]
 
         return rows.groupBy(*keys, "segment").agg(side("from"), side("to"))
 
+    def cut(rows: DataFrame) -> DataFrame:
+        """Whole lists in pieces of `max_group`; a side that ends before the other goes on empty."""
+        last = F.floor((F.greatest(F.size("from"), F.size("to"), F.lit(1)) - 1) / F.lit(max_group)).cast("bigint")
+        pieces = rows.drop("segment").withColumn("segment", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        at = (F.col("segment") * max_group + 1).cast("int")
+        return pieces.select(*keys, "segment", *[F.slice(c, at, F.lit(max_group)).alias(c) for c in ("from", "to")])
+
+    def whole(rows: DataFrame) -> DataFrame:
+        found = lists(rows.withColumn("segment", first))
+        return cut(found) if max_group < held else found
+
     first = F.lit(0).cast("bigint")
-    large = measure(large_groups(facts, keys, max_group))
+    large = measure(large_groups(facts, keys, max(held, max_group)))
     if large.empty:
-        return lists(facts.withColumn("segment", first))
-    cold = keep_matching(facts, large, keys, anti=True).withColumn("segment", first)
+        return whole(facts)
+    cold = whole(keep_matching(facts, large, keys, anti=True))
     hot = keep_matching(facts, large, keys).dropDuplicates()
     ranked = number_rows(hot, [*keys, "side"], ["neighbour"])
     if limit is not None:
         ranked = ranked.filter(F.col("__rn") <= limit)
     segment = F.floor((F.col("__rn") - 1) / F.lit(max_group)).cast("bigint")
-    return lists(cold.unionByName(ranked.withColumn("segment", segment).drop("__rn")))
+    return cold.unionByName(lists(ranked.withColumn("segment", segment).drop("__rn")))
 
 
 def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

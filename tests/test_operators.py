@@ -533,3 +533,15 @@ def test_ranked_postings_take_one_exchange(spark, monkeypatch):
     found = text.ranked_inverted_index(counts)
     assert {r.phrase: len(r.postings) for r in found.collect()} == {f"p{i}": 9 if i < 4 else 8 for i in range(7)}
     assert not written and len(exchanged(found, "phrase")) == 1
+
+
+@pytest.mark.parametrize("held", [200_000, 5])
+def test_short_segments_are_cut_from_whole_lists(spark, monkeypatch, held):
+    """Only vertices with more facts than a task may hold are ranked across the cluster."""
+    ranked, plain = [], graph.number_rows
+    monkeypatch.setattr(graph, "number_rows", lambda *a: ranked.append(1) or plain(*a))
+    edges = P.parse_edges(lines(spark, *[f"hub,n{i % 7}" for i in range(9)], "n1,hub", "a,b", "a,c"))
+    found = {(r.vertex, r.segment): (r["from"], r["to"]) for r in graph.adjacency_list(edges, max_group=3, held=held).collect()}
+    assert found["hub", 0] == (["n1"], ["n0", "n1", "n2"]) and found["hub", 1] == ([], ["n3", "n4", "n5"])
+    assert found["hub", 2] == ([], ["n6"]) and found["a", 0] == ([], ["b", "c"]) and found["n0", 0] == (["hub"], [])
+    assert len(found) == 3 + 1 + 2 + 7 and bool(ranked) == (held == 5)
