@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from backtrail.functions import strings as S
 from backtrail.operators import numeric, ratings, text
 from backtrail.plans.ddmin import Minimised, ddmin
+from backtrail.plans.groups import by_unit
 from backtrail.plans.lineage import Traced
 from backtrail.sources.lines import LID
 
@@ -40,10 +41,17 @@ def grep_count(lines: DataFrame, ids: Ids, pattern: str) -> Traced:
     )
 
 
+def _by_doc(docs: DataFrame) -> DataFrame:
+    """Records dealt by document, so that counts within one need no exchange; as they are if
+    some document is too large for one task."""
+    together, apart = by_unit(docs, ["doc"], "content")
+    return together if apart is None else docs
+
+
 def sequence_count(docs: DataFrame, ids: Ids, n: int = 3) -> Traced:
     """records -> phrases -> counts per phrase and document."""
     return (
-        Traced.source(docs, ids, "records")
+        Traced.source(_by_doc(docs), ids, "records")
         .explode("phrases", S.ngrams(S.tokenize(F.col("content")), n), "phrase", ["doc"])
         .group("counts", ["phrase", "doc"],
                lambda p: p.groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("count")))
@@ -89,7 +97,7 @@ def term_vector(docs: DataFrame, ids: Ids, min_count: int = 2) -> Traced:
         )
 
     return (
-        Traced.source(docs, ids, "records")
+        Traced.source(_by_doc(docs), ids, "records")
         .explode("terms", S.split_words(F.col("content")), "term", ["doc"])
         .group("counts", ["doc", "term"], counted)
         .map("frequent", lambda rows: rows.filter(F.col("count") >= min_count))

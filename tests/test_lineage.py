@@ -246,3 +246,14 @@ def test_records_met_by_a_step_are_not_looked_up_again(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert sorted(r.id for r in cursor.where(F.col("word") == "b").rows().select(F.col("__lid.main.id")).collect()) == [0, 1]
     assert sorted(r.id for r in cursor.back(1).rows().select("id").collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("program", [programs.sequence_count, programs.term_vector])
+def test_counts_within_a_document_exchange_its_records_only(spark, program):
+    docs = spark.createDataFrame([(0, "a", "x y z x y z"), (1, "a", "x y z x"), (2, "b", "x y z")],
+                                 "id long, doc string, content string")
+    rows = program(docs, ["id"]).rows()
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(exchanges) == 1 and "(doc#" in exchanges[0]
