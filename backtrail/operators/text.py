@@ -76,9 +76,16 @@ def doc_words(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def postings(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The index in long form: (word, doc, count), one row per word and document."""
-    found = doc_words(docs, by)
-    return found.groupBy(*by, "word", "doc").agg(F.count(F.lit(1)).alias("count"))
+    """The index in long form: (word, doc, count), one row per word and document.
+
+    Like phrases, words are counted where the records of their document meet, unless it is
+    too large for that.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        return doc_words(rows, by).groupBy(*by, "word", "doc").agg(F.count(F.lit(1)).alias("count"))
+
+    together, apart = by_unit(docs.select(*by, "doc", "content"), [*by, "doc"], "content")
+    return counted(together) if apart is None else counted(together).unionByName(counted(apart))
 
 
 def posting_counts(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -91,20 +91,25 @@ def large_groups(df: DataFrame, keys: Sequence[str], max_group: int,
     return sizes.filter(F.col("__n") > max_group).select(*keys)
 
 
-def suspects(df: DataFrame, keys: Sequence[str], max_group: int) -> tuple[DataFrame | None, int]:
-    """(rows of the groups that may exceed `max_group`, or None, and the number of all rows).
+def suspects(df: DataFrame, keys: Sequence[str], max_group: int,
+             weight: str | None = None) -> tuple[DataFrame | None, DataFrame, int]:
+    """(rows of the groups that may exceed `max_group`, or None, the others, and how many all are).
 
     Rows are counted by a hash of their key in BUCKETS values, which takes map-side partial
     counts only. A group is no larger than its bucket.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    sizes = df.select(bucket.alias("__bucket")).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    weights = [] if weight is None else [weight]
+    sizes = df.select(bucket.alias("__bucket"), *weights).groupBy("__bucket").agg(
+        F.count(F.lit(1)).alias("__rows"), size.alias("__n"))
     full = F.when(F.col("__n") > max_group, F.col("__bucket"))
-    total = sizes.agg(F.sum("__n").alias("n"), F.collect_list(full).alias("full")).first()  # BUCKETS numbers at most
+    total = sizes.agg(F.sum("__rows").alias("n"), F.collect_list(full).alias("full")).first()  # BUCKETS numbers at most
     if not total["full"]:
-        return None, total["n"] or 0
+        return None, df, total["n"] or 0
     held = df.sparkSession.createDataFrame([(b,) for b in total["full"]], "__b int")
-    return df.join(F.broadcast(held), bucket == F.col("__b"), "left_semi"), total["n"]
+    few, same = F.broadcast(held), bucket == F.col("__b")
+    return df.join(few, same, "left_semi"), df.join(few, same, "left_anti"), total["n"]
 
 
 def spread_tasks(df: DataFrame, size: int, task: int) -> int:
@@ -185,8 +190,8 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 
     The rows are made twice: once to measure the groups, by partial counts of a hash of the
     key, and once for the arrays, which take one exchange. Only rows that may belong to a
-    large group, and weighted ones, are written: they are read to measure the groups, which
-    takes the key columns only, and again for the small and the large groups.
+    large group are written: they are read to measure the groups, which takes the key columns
+    only, and again for the small and the large groups.
     """
     fields = [*order, *carry]
     entry = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
@@ -201,18 +206,18 @@ def gather(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
 
     if max_group is None:
         return whole(df)
-    if weight is None:
-        full, total = suspects(df, keys, max_group)
-        if full is None:
-            return whole(df.repartition(spread_tasks(df, total, TASK_ROWS), *keys))
     needed = [*keys, *fields, *([] if weight is None else [weight])]
-    df = stored(df.select(*dict.fromkeys(needed)), "groups")
+    full, others, total = suspects(df.select(*dict.fromkeys(needed)), keys, max_group, weight)
+    small = whole(others.repartition(spread_tasks(df, total, TASK_ROWS), *keys))
+    if full is None:
+        return small
+    df = stored(full, "groups")
     large = measure(large_groups(df, keys, max_group, weight))
     if large.empty:
-        return whole(df)
-    cold = keep_matching(df, large, keys, anti=True)
+        return small.unionByName(whole(df))
+    small = small.unionByName(whole(keep_matching(df, large, keys, anti=True)))
     hot = keep_matching(df, large, keys)
-    return whole(cold).unionByName(in_segments(hot, keys, order, out, max_group, item, carry, weight))
+    return small.unionByName(in_segments(hot, keys, order, out, max_group, item, carry, weight))
 
 
 def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, max_group: int,

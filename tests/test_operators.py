@@ -545,3 +545,18 @@ def test_short_segments_are_cut_from_whole_lists(spark, monkeypatch, held):
     assert found["hub", 0] == (["n1"], ["n0", "n1", "n2"]) and found["hub", 1] == ([], ["n3", "n4", "n5"])
     assert found["hub", 2] == ([], ["n6"]) and found["a", 0] == ([], ["b", "c"]) and found["n0", 0] == (["hub"], [])
     assert len(found) == 3 + 1 + 2 + 7 and bool(ranked) == (held == 5)
+
+
+def test_only_rows_of_large_groups_are_written(spark, monkeypatch):
+    from backtrail.plans import groups
+
+    written, plain = [], groups.stored
+    monkeypatch.setattr(groups, "stored", lambda df, label: written.append(plain(df, label)) or written[-1])
+    df = spark.range(300).selectExpr("if(id < 100, 'hot', concat('k', id % 40)) AS k", "id", "id % 3 + 1 AS n")
+    for weight, size in ((None, 10), ("n", 30)):
+        found = groups.gather(df, ["k"], ["id"], "ids", max_group=size, weight=weight)
+        whole = {}
+        for r in sorted(found.collect(), key=lambda r: (r.k, r.segment)):
+            whole.setdefault(r.k, []).extend(r.ids)
+        assert len(whole) == 41 and whole["hot"] == list(range(100)) and sum(map(len, whole.values())) == 300
+    assert [w.select("k").distinct().count() for w in written] == [1, 1]
