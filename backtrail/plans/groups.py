@@ -83,6 +83,48 @@ def keep_matching(df: DataFrame, keys: DataFrame | KeySet, on: Sequence[str],
     return df.join(keys.frame(names), same_keys(names), "left_anti" if anti else "left_semi")
 
 
+def frequent_keys(df: DataFrame, on: Sequence[str]) -> KeySet | None:
+    """The most frequent keys of the rows, as many as may be broadcast; None if they are
+    those of less than half of the rows.
+
+    Keys are taken by powers of two of their counts, so one row for each power is looked at.
+    """
+    sizes = durable(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")))
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in sizes.schema.fields), F.lit(0))
+    power = F.floor(F.log2("__n")).cast("int")
+    powers = sizes.groupBy(power.alias("power")).agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("__n").alias("rows"), F.sum(width).alias("bytes")).collect()
+    keys = covered = size = 0
+    least = None
+    for p in sorted(powers, key=lambda r: -r["power"]):
+        keys, size = keys + p["keys"], size + p["bytes"]
+        if keys > SMALL_ROWS or size > SMALL_BYTES:
+            break
+        covered, least = covered + p["rows"], 1 << p["power"]
+    if least is None or 2 * covered < sum(p["rows"] for p in powers):
+        return None
+    return KeySet(sizes.filter(F.col("__n") >= least).select(*on), True, False)
+
+
+def meeting(df: DataFrame, keys: KeySet, on: Sequence[str], some: DataFrame) -> list[tuple[DataFrame, KeySet]]:
+    """Pairs of rows and keys, so that a row meets a key in one pair at most, and in the pairs
+    together it meets all it meets in `keys`.
+
+    Of a key set too large for a broadcast the keys that most rows hold are taken out and
+    broadcast, so that only the rows of other keys have to be exchanged. `some` are some of
+    the rows, by which it is guessed which keys are frequent; the result does not depend on it.
+    """
+    common = None if keys.small else frequent_keys(some, on)
+    if common is None:
+        return [(df, keys)]
+    chosen = measure(keep_matching(keys.rows, common, on))
+    if not chosen.small:
+        return [(df, keys)]
+    others = measure(keep_matching(keys.rows, common, on, anti=True))
+    pairs = [(df, chosen), (keep_matching(df, common, on, anti=True), others)]
+    return [(rows, held) for rows, held in pairs if not held.empty] or [(df, keys)]
+
+
 def large_groups(df: DataFrame, keys: Sequence[str], max_group: int,
                  weight: str | None = None) -> DataFrame:
     """The keys of groups with more than `max_group` rows (map-side partial counts)."""

@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.operators.faults import mark
-from backtrail.plans.groups import KeySet, keep_matching, measure
+from backtrail.plans.groups import KeySet, keep_matching, measure, meeting
 from backtrail.session import stored
 from backtrail.sources.lines import LID, trace_source
 
 OUT = "__out"
 NAMED_KEYS = 32      # keys up to which a scan of links asks for each
+SOME = 16            # one record of so many is looked at to guess which keys are frequent
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,10 @@ class Traced:
         rows = self.rows(at - 1)
         return rows.select(F.struct(*stage.keys).alias(OUT), F.col(LID))
 
+    def _some(self) -> Traced:
+        """The program over some of its source records."""
+        return replace(self, origin=self.origin.filter(_chance()))
+
     def index(self, name: str) -> int:
         return [s.name for s in self.stages].index(name)
 
@@ -158,6 +163,14 @@ class Traced:
         return rows
 
 
+def _all(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _chance() -> Column:
+    return F.pmod(F.xxhash64(LID), F.lit(SOME)) == 0
+
+
 def _around(keys: KeySet, lid: str, first: str) -> Column:
     """A condition on links that the chosen keys meet, of the kind that a scan can use.
 
@@ -235,21 +248,26 @@ class Cursor:
         links = self.traced._links(self.at)
         if self.ids is None:
             return replace(prior, ids=links.select(LID))
-        if not self.per_output and stage.links is None:
+        captured = stage.links is not None
+        if not self.per_output and not captured:
             keys = measure(self.ids.select(*[F.col(LID)[k].alias(k) for k in stage.keys]))
-            found = keep_matching(self.traced.rows(self.at - 1), keys, stage.keys)
+            met = meeting(self.traced.rows(self.at - 1), keys, stage.keys, self.traced._some().rows(self.at - 1))
+            found = _all([keep_matching(rows, held, stage.keys) for rows, held in met])
             return replace(prior, ids=found.select(LID), found=found)
+        some = links.filter(_chance()) if captured else self.traced._some()._links(self.at)
         if not self.per_output:
             keys = measure(self.ids.select(F.col(LID).alias(OUT)))
-            links = links.filter(_around(keys, OUT, stage.keys[0]))
-            return replace(prior, ids=keep_matching(links, keys, [OUT]).select(LID))
+            met = meeting(links.filter(_around(keys, OUT, stage.keys[0])), keys, [OUT], some)
+            return replace(prior, ids=_all([keep_matching(rows, held, [OUT]).select(LID) for rows, held in met]))
         outs = measure(self.ids)
-        keys = outs.frame({OUT: OUT, LID: "__key"})
-        if stage.links is not None:
+        if captured:
             links = links.filter(_around(outs, LID, stage.keys[0]))
-        linked = links.withColumnRenamed(OUT, "__link")
-        joined = linked.join(keys, F.col("__link") == F.col("__key"))
-        return replace(prior, ids=joined.select(OUT, LID).distinct())
+        keys = replace(outs, rows=outs.rows.withColumnRenamed(LID, "__link"))
+        met = meeting(links.withColumnRenamed(OUT, "__link"), keys, ["__link"], some.withColumnRenamed(OUT, "__link"))
+        joined = _all([
+            rows.join(held.frame({OUT: OUT, "__link": "__key"}), F.col("__link") == F.col("__key")).select(OUT, LID)
+            for rows, held in met])
+        return replace(prior, ids=joined.distinct())
 
     def back(self, steps: int = 1, side: str = "main") -> Cursor:
         """Step towards the source; `side` picks the other input at the first join that has it."""
