@@ -12,7 +12,10 @@ in the shared folder.
 A test is given many sets at once: every row carries the trials it belongs to, and the
 program under test groups by `__trial`. Only (trial, failed) rows come back, one wave of
 them. A round that splits into n parts takes one job for every PART_WAVE parts, and one for
-every COPY_WAVE complements if no part fails. A search for a set of k needed rows among N
+every COPY_WAVE complements if no part fails. Sets of later rounds are tested along. In a search
+for one set they are only while JOB_ROWS rows hold all sets of a job, since beyond that a test
+costs more than a job; and of a larger set the second half waits for the outcome of the first.
+A search for a set of k needed rows among N
 takes some log2(N) rounds for k = 1, and for more about k * log2(N / k) rounds of up to 2k
 parts. An exhaustive search tests all parts of up to BRANCH_WAVE branches together, EVERY_WAVE
 in a job, so k faults of one row take some log2(N) * k / BRANCH_WAVE rounds.
@@ -46,6 +49,7 @@ BRANCH_WAVE = 4096    # branches that an exhaustive round follows together
 TABLES = 64           # tables of candidates that one job reads
 TREE = 512            # interval ends up to which places are looked up by an expression
 RIDE = 8              # parts of a split up to which its complements are tested along with them
+JOB_ROWS = 500_000    # rows up to which a search for one set tests more than the next step needs
 MAX_RANGES = 64       # pieces of a set before it is numbered anew
 MEMORY = 4096         # entries of a list that stay on the driver
 
@@ -577,19 +581,23 @@ class _Search:
             for wave in parts.waves(COPY_WAVE, b.offset % parts.n):
                 yield [(i, parts.whole.without(part)) for i, part in wave]
 
-    def ride_along(self, branches: Sequence[Branch], asked: list[Set]) -> list[Set]:
+    def ride_along(self, branches: Sequence[Branch], asked: list[Set], most: int | None = None) -> list[Set]:
         """Sets of later rounds that the first wave of parts takes along while it has room.
 
-        Which they are follows from the splits alone, not from how many rows there are.
+        Which they are follows from the splits alone, unless `most` limits the rows of all sets
+        of the job.
         """
         if not (self.lookahead and isinstance(self.test, BatchTest)) or all(p in self.known for p in asked):
             return []
         extra = [s for b in branches[:COPY_WAVE // RIDE] if b.parts <= RIDE
                  for wave in self.complements(b) for _, s in wave]
-        if len(asked) + len(extra) > PART_WAVE:
+        level = sum(s.size for s in asked)
+        taken = level + sum(s.size for s in extra)
+        if len(asked) + len(extra) > PART_WAVE or most is not None and taken > most:
             return []
         depth = 0
-        while depth < self.lookahead and len(asked) * (2 ** (depth + 2) - 1) + len(extra) <= PART_WAVE:
+        while (depth < self.lookahead and len(asked) * (2 ** (depth + 2) - 1) + len(extra) <= PART_WAVE
+               and (most is None or taken + (depth + 1) * level <= most)):
             depth += 1
         return extra + [s for p in asked for s in self.ahead(p, depth)]
 
@@ -603,9 +611,9 @@ class _Search:
     def first_failing(self, b: Branch) -> Branch | None:
         """The next set of the one-solution search."""
         parts = self.parts(b.one, b.parts)
-        for wave in parts.waves(PART_WAVE):
+        for wave in parts.waves(1 if parts.few and b.one.size > JOB_ROWS else PART_WAVE):
             asked = [p for _, p in wave]
-            failed = self.ask([*asked, *self.ride_along([b], asked)], PART_WAVE)
+            failed = self.ask([*asked, *self.ride_along([b], asked, JOB_ROWS)], PART_WAVE)
             for (i, part), bad in zip(wave, failed):
                 if self.note(b, "part", i, part, bad):
                     return Branch(part)

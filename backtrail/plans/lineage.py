@@ -41,6 +41,7 @@ class Stage:
     keys: tuple[str, ...] = ()
     sides: dict[str, Traced] = field(default_factory=dict)
     links: DataFrame | None = None  # captured (group key, input identity) pairs
+    every: bool = False  # an aggregation that gives a row for every key of its input
 
 
 @dataclass(frozen=True)
@@ -90,13 +91,18 @@ class Traced:
 
         return self._plus(Stage(name, "nested", apply, sides={side: other}))
 
-    def group(self, name: str, keys: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> Traced:
-        """An aggregation; its rows are identified by `keys`, columns of both ends."""
+    def group(self, name: str, keys: Sequence[str], fn: Callable[[DataFrame], DataFrame],
+              every: bool = False) -> Traced:
+        """An aggregation; its rows are identified by `keys`, columns of both ends.
+
+        `every` says that it loses no key, so whether a key is one of its rows shows in its
+        input already.
+        """
 
         def apply(rows: DataFrame) -> DataFrame:
             return fn(rows.drop(LID)).withColumn(LID, F.struct(*keys))
 
-        return self._plus(Stage(name, "keyed", apply, keys=tuple(keys)))
+        return self._plus(Stage(name, "keyed", apply, keys=tuple(keys), every=every))
 
     def rows(self, upto: int | None = None) -> DataFrame:
         """Rows of a stage (the last by default) with their identities."""
@@ -192,13 +198,16 @@ def _around(keys: KeySet, lid: str, first: str) -> Column:
 class Cursor:
     """A set of records of one stage. `ids` holds `__lid`, and `__out` when outputs are
     kept apart; None stands for every record. `found` holds the records themselves where
-    the last step met them, so that they are not looked up by their identities again."""
+    the last step met them, so that they are not looked up by their identities again. `named`
+    holds identities as they were given, where a step back needs no look whether they are those
+    of records."""
 
     traced: Traced
     at: int
     ids: DataFrame | None
     per_output: bool = False
     found: DataFrame | None = None
+    named: KeySet | None = None
 
     @property
     def stage(self) -> Stage:
@@ -212,12 +221,15 @@ class Cursor:
 
         Identities that are repeated count once, those of no record of the stage not at all.
         """
+        named = None
         if isinstance(chosen, Column):
             ids = self.rows().filter(chosen)
             ids = ids.select(*([OUT] if self.per_output else []), LID)
         else:
-            ids = keep_matching(self._all_ids(), chosen.select(LID), [LID])
-        return replace(self, ids=ids, found=None)
+            asked = measure(chosen.select(LID).filter(F.col(LID).isNotNull()))
+            ids = keep_matching(self._all_ids(), asked, [LID])
+            named = asked if self.stage.every and self.ids is None else None
+        return replace(self, ids=ids, found=None, named=named)
 
     def where_id(self, *values) -> Cursor:
         """Keep the one record with the given identity fields, in their order."""
@@ -227,14 +239,21 @@ class Cursor:
         same = F.lit(True)
         for f, value in zip(lid_type.fields, values):
             same = same & F.col(LID)[f.name].eqNullSafe(F.lit(value).cast(f.dataType))
-        return replace(self, ids=self._all_ids().filter(same), found=None)
+        return replace(self, ids=self._all_ids().filter(same), found=None, named=None)
 
     def _distinct(self, ids: DataFrame, lid: Column) -> DataFrame:
         kept = [OUT] if self.per_output else []
         return ids.select(*kept, lid.alias(LID)).filter(F.col(LID).isNotNull()).distinct()
 
+    def _keys(self, names: dict[str, Column]) -> KeySet:
+        """The identities, or fields of them, as a key set."""
+        fields = [field.alias(name) for name, field in names.items()]
+        if self.named is not None:
+            return replace(self.named, rows=self.named.rows.select(*fields))
+        return measure(self.ids.select(*fields))
+
     def _step_back(self, side: str) -> Cursor:
-        stage, prior = self.stage, replace(self, at=self.at - 1, found=None)
+        stage, prior = self.stage, replace(self, at=self.at - 1, found=None, named=None)
         if stage.kind == "source":
             raise ValueError("already at the source")
         if side != "main":
@@ -250,13 +269,13 @@ class Cursor:
             return replace(prior, ids=links.select(LID))
         captured = stage.links is not None
         if not self.per_output and not captured:
-            keys = measure(self.ids.select(*[F.col(LID)[k].alias(k) for k in stage.keys]))
+            keys = self._keys({k: F.col(LID)[k] for k in stage.keys})
             met = meeting(self.traced.rows(self.at - 1), keys, stage.keys, self.traced._some().rows(self.at - 1))
             found = _all([keep_matching(rows, held, stage.keys) for rows, held in met])
             return replace(prior, ids=found.select(LID), found=found)
         some = links.filter(_chance()) if captured else self.traced._some()._links(self.at)
         if not self.per_output:
-            keys = measure(self.ids.select(F.col(LID).alias(OUT)))
+            keys = self._keys({OUT: F.col(LID)})
             met = meeting(links.filter(_around(keys, OUT, stage.keys[0])), keys, [OUT], some)
             return replace(prior, ids=_all([keep_matching(rows, held, [OUT]).select(LID) for rows, held in met]))
         outs = measure(self.ids)
@@ -286,13 +305,13 @@ class Cursor:
     def back_all_per_output(self) -> DataFrame:
         """(__out, source columns): the source records of each output, kept apart."""
         ids = self._all_ids().select(F.col(LID).alias(OUT), LID)
-        return replace(self, ids=ids, per_output=True, found=None).back_all().rows()
+        return replace(self, ids=ids, per_output=True, found=None, named=None).back_all().rows()
 
     def _step_forward(self) -> Cursor:
         if self.at + 1 == len(self.traced.stages):
             raise ValueError("already at the output")
         after = self.traced.stages[self.at + 1]
-        later = replace(self, at=self.at + 1, found=None)
+        later = replace(self, at=self.at + 1, found=None, named=None)
         if self.ids is None:
             return later
         if after.kind == "keyed":

@@ -27,7 +27,7 @@ def word_count(lines: DataFrame, ids: Ids, weight: Column | None = None) -> Trac
     return (
         Traced.source(lines, ids, "lines")
         .explode("words", S.split_words(F.col("value")), "word")
-        .group("counts", ["word"], lambda w: text.count_words(w, weight=weight))
+        .group("counts", ["word"], lambda w: text.count_words(w, weight=weight), every=True)
     )
 
 
@@ -37,7 +37,7 @@ def grep_count(lines: DataFrame, ids: Ids, pattern: str) -> Traced:
     return (
         Traced.source(lines, ids, "lines")
         .explode("matches", found, "match")
-        .group("counts", ["match"], lambda m: m.groupBy("match").agg(F.count(F.lit(1)).alias("count")))
+        .group("counts", ["match"], lambda m: m.groupBy("match").agg(F.count(F.lit(1)).alias("count")), every=True)
     )
 
 
@@ -54,7 +54,7 @@ def sequence_count(docs: DataFrame, ids: Ids, n: int = 3) -> Traced:
         Traced.source(_by_doc(docs), ids, "records")
         .explode("phrases", S.ngrams(S.tokenize(F.col("content")), n), "phrase", ["doc"])
         .group("counts", ["phrase", "doc"],
-               lambda p: p.groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("count")))
+               lambda p: p.groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("count")), every=True)
     )
 
 
