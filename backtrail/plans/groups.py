@@ -154,6 +154,42 @@ def suspects(df: DataFrame, keys: Sequence[str], max_group: int,
     return df.join(few, same, "left_semi"), df.join(few, same, "left_anti"), total["n"]
 
 
+def in_groups_of(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """Rows of the groups that have `least` rows or more; of smaller groups, only a few by chance.
+
+    Instead of the rows, four bytes of a hash of each key are exchanged. Hashes that come `least`
+    times set two bits of a bitmap, which is broadcast in pieces, and rows whose bits are set
+    stay. The bitmap has 64 MiB at most, and no more with larger inputs: the more bits are set,
+    the more small groups stay.
+    """
+    def bits(value: Column, first: int, n: int) -> Column:
+        return F.shiftright(value, first).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+
+    # Of the hash, from the top: 14 bits for the piece, 9 for a word in it, twice 6 for a bit in that, and 11
+    # more that are only compared. A list has the 32 bits behind those of its piece.
+    h, rest = F.xxhash64(*keys), F.col("__rest")
+    hashes = df.select(h.alias("__h")).select(
+        bits(F.col("__h"), 50, 14).alias("__piece"), F.shiftright(F.shiftleft("__h", 14), 32).cast("int").alias("__rest"))
+    lists = hashes.groupBy("__piece").agg(F.sort_array(F.collect_list("__rest")).alias("__rests"))
+    often = F.filter("__rests", lambda x, i: x == F.get("__rests", i + (least - 1)))
+
+    def at(bit: Column) -> Column:
+        """A bit's place: the first byte of a binary is the highest of a word, its bits count from the lowest."""
+        return (bits(rest, 23, 9) * 64 + F.lit(56) - F.shiftright(bit, 3) * 8 + bit.bitwiseAND(F.lit(7))).cast("bigint")
+
+    places = F.explode(F.array(at(bits(rest, 17, 6)), at(bits(rest, 11, 6)))).alias("__at")
+    pieces = lists.select("__piece", F.explode(often).alias("__rest")).select("__piece", places).groupBy("__piece").agg(
+        F.bitmap_construct_agg("__at").alias("__bits"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(
+        F.hex(F.substring("__bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    # With an exchange of their own, which one by the same column would not be, the pieces are
+    # made before the time for a broadcast starts.
+    bitmap = pieces.select("__piece", words.alias("__words")).repartition(F.shiftright("__piece", 4))
+    word = F.get("__words", bits(h, 41, 9))
+    are_set = (F.getbit(word, bits(h, 35, 6)) == 1) & (F.getbit(word, bits(h, 29, 6)) == 1)
+    return df.join(F.broadcast(bitmap), (bits(h, 50, 14) == F.col("__piece")) & are_set, "left_semi")
+
+
 def spread_tasks(df: DataFrame, size: int, task: int) -> int:
     """How many partitions hold `size` in shares of `task`, at least one for every core."""
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task))

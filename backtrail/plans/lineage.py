@@ -20,17 +20,19 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.operators.faults import mark
-from backtrail.plans.groups import KeySet, keep_matching, measure, meeting
+from backtrail.plans.groups import KeySet, in_groups_of, keep_matching, measure, meeting
 from backtrail.session import stored
 from backtrail.sources.lines import LID, trace_source
 
 OUT = "__out"
 NAMED_KEYS = 32      # keys up to which a scan of links asks for each
 SOME = 16            # one record of so many is looked at to guess which keys are frequent
+SIZES = 64           # sizes of groups up to which the least that a condition chooses is looked for
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class Stage:
     sides: dict[str, Traced] = field(default_factory=dict)
     links: DataFrame | None = None  # captured (group key, input identity) pairs
     every: bool = False  # an aggregation that gives a row for every key of its input
+    size: str | None = None  # the column of an aggregation that counts the rows of its input
 
 
 @dataclass(frozen=True)
@@ -92,17 +95,18 @@ class Traced:
         return self._plus(Stage(name, "nested", apply, sides={side: other}))
 
     def group(self, name: str, keys: Sequence[str], fn: Callable[[DataFrame], DataFrame],
-              every: bool = False) -> Traced:
+              every: bool = False, size: str | None = None) -> Traced:
         """An aggregation; its rows are identified by `keys`, columns of both ends.
 
         `every` says that it loses no key, so whether a key is one of its rows shows in its
-        input already.
+        input already. `size` names a column that counts the rows of each group, where none is
+        lost: a step back from groups chosen by it alone counts the rows where they meet.
         """
 
         def apply(rows: DataFrame) -> DataFrame:
             return fn(rows.drop(LID)).withColumn(LID, F.struct(*keys))
 
-        return self._plus(Stage(name, "keyed", apply, keys=tuple(keys), every=every))
+        return self._plus(Stage(name, "keyed", apply, keys=tuple(keys), every=every, size=size))
 
     def rows(self, upto: int | None = None) -> DataFrame:
         """Rows of a stage (the last by default) with their identities."""
@@ -177,6 +181,18 @@ def _chance() -> Column:
     return F.pmod(F.xxhash64(LID), F.lit(SOME)) == 0
 
 
+def _least_size(chosen: Column, size: str, sizes: DataFrame) -> int | None:
+    """The least size of a group that a condition chooses, or a bound below it; None if the
+    condition looks at more than the size."""
+    try:
+        met = sizes.select(F.col("id").alias(size)).filter(chosen)
+        if not met._jdf.queryExecution().analyzed().deterministic():
+            return None
+        return met.agg(F.min(size).alias("least")).first()["least"] or SIZES + 1
+    except PySparkException:
+        return None
+
+
 def _around(keys: KeySet, lid: str, first: str) -> Column:
     """A condition on links that the chosen keys meet, of the kind that a scan can use.
 
@@ -200,7 +216,8 @@ class Cursor:
     kept apart; None stands for every record. `found` holds the records themselves where
     the last step met them, so that they are not looked up by their identities again. `named`
     holds identities as they were given, where a step back needs no look whether they are those
-    of records."""
+    of records. `by_size` holds the condition that chose among all groups by their size alone,
+    and the least size that can meet it."""
 
     traced: Traced
     at: int
@@ -208,6 +225,7 @@ class Cursor:
     per_output: bool = False
     found: DataFrame | None = None
     named: KeySet | None = None
+    by_size: tuple[Column, int] | None = None
 
     @property
     def stage(self) -> Stage:
@@ -221,15 +239,17 @@ class Cursor:
 
         Identities that are repeated count once, those of no record of the stage not at all.
         """
-        named = None
+        named = by_size = None
         if isinstance(chosen, Column):
             ids = self.rows().filter(chosen)
             ids = ids.select(*([OUT] if self.per_output else []), LID)
+            if self.stage.size is not None and self.ids is None:
+                by_size = self._by_size(chosen)
         else:
             asked = measure(chosen.select(LID).filter(F.col(LID).isNotNull()))
             ids = keep_matching(self._all_ids(), asked, [LID])
             named = asked if self.stage.every and self.ids is None else None
-        return replace(self, ids=ids, found=None, named=named)
+        return replace(self, ids=ids, found=None, named=named, by_size=by_size)
 
     def where_id(self, *values) -> Cursor:
         """Keep the one record with the given identity fields, in their order."""
@@ -239,7 +259,7 @@ class Cursor:
         same = F.lit(True)
         for f, value in zip(lid_type.fields, values):
             same = same & F.col(LID)[f.name].eqNullSafe(F.lit(value).cast(f.dataType))
-        return replace(self, ids=self._all_ids().filter(same), found=None, named=None)
+        return replace(self, ids=self._all_ids().filter(same), found=None, named=None, by_size=None)
 
     def _distinct(self, ids: DataFrame, lid: Column) -> DataFrame:
         kept = [OUT] if self.per_output else []
@@ -252,8 +272,25 @@ class Cursor:
             return replace(self.named, rows=self.named.rows.select(*fields))
         return measure(self.ids.select(*fields))
 
+    def _by_size(self, chosen: Column) -> tuple[Column, int] | None:
+        rows, size = self.traced.rows(self.at - 1), self.stage.size
+        if size.lower() in map(str.lower, rows.columns):
+            return None
+        least = _least_size(chosen, size, rows.sparkSession.range(1, SIZES + 1))
+        return None if least is None else (chosen, least)
+
+    def _sized(self) -> DataFrame:
+        """The inputs of the groups that were chosen by their size, in one exchange of the rows
+        that may belong to them. Rows are sorted before it, as they take less room then."""
+        (chosen, least), keys, size = self.by_size, self.stage.keys, self.stage.size
+        rows = self.traced.rows(self.at - 1)
+        may = rows if least == 1 else in_groups_of(rows, keys, least)
+        met = may.sortWithinPartitions(*keys).repartition(*keys)
+        counted = met.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        return counted.filter(chosen).drop(size)
+
     def _step_back(self, side: str) -> Cursor:
-        stage, prior = self.stage, replace(self, at=self.at - 1, found=None, named=None)
+        stage, prior = self.stage, replace(self, at=self.at - 1, found=None, named=None, by_size=None)
         if stage.kind == "source":
             raise ValueError("already at the source")
         if side != "main":
@@ -268,6 +305,9 @@ class Cursor:
         if self.ids is None:
             return replace(prior, ids=links.select(LID))
         captured = stage.links is not None
+        if self.by_size is not None and not captured:
+            found = self._sized()
+            return replace(prior, ids=found.select(LID), found=found)
         if not self.per_output and not captured:
             keys = self._keys({k: F.col(LID)[k] for k in stage.keys})
             met = meeting(self.traced.rows(self.at - 1), keys, stage.keys, self.traced._some().rows(self.at - 1))
@@ -305,13 +345,13 @@ class Cursor:
     def back_all_per_output(self) -> DataFrame:
         """(__out, source columns): the source records of each output, kept apart."""
         ids = self._all_ids().select(F.col(LID).alias(OUT), LID)
-        return replace(self, ids=ids, per_output=True, found=None, named=None).back_all().rows()
+        return replace(self, ids=ids, per_output=True, found=None, named=None, by_size=None).back_all().rows()
 
     def _step_forward(self) -> Cursor:
         if self.at + 1 == len(self.traced.stages):
             raise ValueError("already at the output")
         after = self.traced.stages[self.at + 1]
-        later = replace(self, at=self.at + 1, found=None, named=None)
+        later = replace(self, at=self.at + 1, found=None, named=None, by_size=None)
         if self.ids is None:
             return later
         if after.kind == "keyed":

@@ -82,7 +82,7 @@ def ranked_inverted_index(phrase_counts: DataFrame, ids: Ids) -> Traced:
             F.count(F.lit(1)).alias("n_docs"), F.max("count").alias("top_count")
         )
 
-    return Traced.source(phrase_counts, ids, "phrase_counts").group("index", ["phrase"], sizes)
+    return Traced.source(phrase_counts, ids, "phrase_counts").group("index", ["phrase"], sizes, size="n_docs")
 
 
 def term_vector(docs: DataFrame, ids: Ids, min_count: int = 2) -> Traced:
